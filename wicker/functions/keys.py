@@ -35,4 +35,5 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     for key in keys:
         term = F.col(key).eqNullSafe(F.col(f"__r_{key}"))
         condition = term if condition is None else condition & term
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+    joined = left.join(renamed, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])

@@ -38,19 +38,23 @@ def mark_repeats(
     seq: Sequence[str],
     flag: str,
     among: Column | None = None,
+    holders: Column | None = None,
 ) -> DataFrame:
-    """Flag rows that are not the first of their key in `seq` order.
+    """Flag rows that come after the first row of their key in `seq` order.
 
     The first row comes from a `min` aggregate with a map-side part, and only
     keys that occur twice reach the join, so a key with very many copies is
-    never sorted in one task. `among` limits which rows take part; other rows
-    are never flagged.
+    never sorted in one task. Rows outside `among` take no part and are never
+    flagged; only rows that satisfy `holders` can be the first of a key.
     """
     part = df if among is None else df.filter(among)
+    place = F.struct(*seq)
+    if holders is not None:
+        place = F.when(holders, place)
     first = (
         part.groupBy(*keys)
-        .agg(F.min(F.struct(*seq)).alias("__first"), F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > 1)
+        .agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        .filter((F.col("__n") > 1) & F.col("__first").isNotNull())
         .select(*keys, "__first")
     )
     joined = join_on(df, first, list(keys), "left")

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_basket"]
+_MODULES = ["q_basket", "q_orders"]
 
 
 def load_all() -> None:

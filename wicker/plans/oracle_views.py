@@ -89,3 +89,49 @@ def reliability_sql(c=0.5, l=0.25, s=0.1, j=0.15, scale=10.0) -> str:
     # DuckDB reads 0.5 as DECIMAL; the products must be doubles
     cast = {k: f"CAST({v} AS DOUBLE)" for k, v in dict(c=c, l=l, s=s, j=j, scale=scale).items()}
     return RELIABILITY.format(**cast)
+
+BAD_QUANTITY = """CASE WHEN l_partkey % 83 = 0 THEN 0.0 WHEN l_partkey % 79 = 0 THEN l_quantity + 0.5
+                  ELSE l_quantity END"""
+cte(
+    "order_view",
+    f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS occurred_at, o_orderstatus AS order_state,
+      CASE WHEN l_partkey % 61 <> 0 THEN l_linenumber END AS line_id,
+      CASE WHEN l_partkey % 59 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
+      {BAD_QUANTITY} AS quantity, l_partkey, l_suppkey, l_quantity, l_shipdate
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    """,
+)
+COPIES = "unnest(CASE WHEN {} % 50 = 0 THEN [0, 1] ELSE [0] END) AS copy"
+cte(
+    "raw_headers",
+    f"""
+    SELECT o_orderkey * 2 + copy AS seq,
+      CASE WHEN o_orderkey % 101 = 0 THEN ' ' ELSE CAST(o_orderkey AS VARCHAR) END AS transaction_id,
+      CASE WHEN o_orderkey % 103 = 0 THEN 'refund' WHEN o_orderkey % 150 = 0 AND copy = 1 THEN 'cart'
+           WHEN o_orderpriority = '5-LOW' THEN 'cart' ELSE 'order' END AS transaction_type,
+      CASE WHEN o_orderkey % 107 = 0 THEN NULL
+           WHEN o_orderkey % 7 = 0 THEN date_trunc('day', o_orderdate) + INTERVAL 4 HOUR
+           ELSE date_trunc('day', o_orderdate) END AS instant,
+      CASE WHEN o_orderkey % 250 = 0 AND copy = 0 THEN 'X' ELSE o_orderstatus END AS status,
+      CASE WHEN o_custkey % 10 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS customer_key,
+      o_orderkey IN (SELECT l_orderkey FROM lineitem) OR o_orderkey % 2 = 1 AS has_lines,
+      CASE WHEN o_orderkey % 19 <> 0 THEN 'order:' || o_orderkey END AS source_reference
+    FROM (SELECT *, {COPIES.format("o_orderkey")} FROM orders)
+    """,
+)
+cte(
+    "raw_lines",
+    f"""
+    SELECT l_orderkey * 2 + copy AS seq,
+      lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || lpad(CAST(l_partkey AS VARCHAR), 12, '0')
+        || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') || lpad(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), 4, '0')
+        || strftime(l_shipdate, '%Y%m%d') AS line_seq,
+      l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line_id,
+      CASE WHEN l_partkey % 97 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
+      CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_partkey % 89 = 0 THEN ' '
+           ELSE CAST(l_suppkey % 3 AS VARCHAR) END AS combination_id,
+      {BAD_QUANTITY} AS quantity, l_returnflag AS line_status
+    FROM (SELECT *, {COPIES.format("l_orderkey")} FROM lineitem)
+    """,
+)

@@ -57,3 +57,94 @@ def mixed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("l_partkey").alias("product_id"),
         F.when(mod("l_suppkey", 3) != 0, text(mod("l_suppkey", 3))).alias("combination_id"),
     )
+
+
+def order_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and lines as a shop source. Line numbers repeat, some values are bad."""
+    orders = table(spark, sf_dir, "orders").select(
+        text("o_orderkey").alias("order_id"),
+        F.col("o_orderdate").alias("occurred_at"),
+        F.col("o_orderstatus").alias("order_state"),
+    )
+    part = F.col("l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select(
+        text("l_orderkey").alias("order_id"),
+        F.when(part % 61 != 0, F.col("l_linenumber")).alias("line_id"),
+        F.when(part % 59 == 0, F.lit("")).otherwise(text("l_partkey")).alias("product_id"),
+        bad_quantity().alias("quantity"),
+        "l_partkey",
+        "l_suppkey",
+        "l_quantity",
+        "l_shipdate",
+    )
+    return orders, lines
+
+
+def bad_quantity() -> Column:
+    part = F.col("l_partkey")
+    return (
+        F.when(part % 83 == 0, F.lit(0.0))
+        .when(part % 79 == 0, F.col("l_quantity") + 0.5)
+        .otherwise(F.col("l_quantity"))
+    )
+
+
+def raw_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw records: bad ids, types and times, and a second copy of some."""
+    orders = table(spark, sf_dir, "orders")
+    with_lines = (
+        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    )
+    flagged = orders.join(with_lines.withColumn("__lined", F.lit(True)), "o_orderkey", "left")
+    key = F.col("o_orderkey")
+    copies = flagged.withColumn(
+        "copy", F.explode(F.when(key % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    )
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return copies.select(
+        (key * 2 + F.col("copy")).alias("seq"),
+        F.when(key % 101 == 0, F.lit(" ")).otherwise(text("o_orderkey")).alias("transaction_id"),
+        F.when(key % 103 == 0, F.lit("refund"))
+        .when((key % 150 == 0) & (F.col("copy") == 1), F.lit("cart"))
+        .when(F.col("o_orderpriority") == "5-LOW", F.lit("cart"))
+        .otherwise(F.lit("order"))
+        .alias("transaction_type"),
+        F.when(key % 107 == 0, F.concat(day, F.lit("T00:00:00")))
+        .when(key % 7 == 0, F.concat(day, F.lit("T00:00:00-04:00")))
+        .otherwise(F.concat(day, F.lit("T00:00:00.000Z")))
+        .alias("occurred_at"),
+        F.when((key % 250 == 0) & (F.col("copy") == 0), F.lit("X"))
+        .otherwise(F.col("o_orderstatus"))
+        .alias("status"),
+        F.when(F.col("o_custkey") % 10 != 0, text("o_custkey")).alias("customer_key"),
+        (F.col("__lined").isNotNull() | (key % 2 == 1)).alias("has_lines"),
+        F.lit("shop").alias("source_system"),
+        F.when(key % 19 != 0, F.concat(F.lit("order:"), text("o_orderkey"))).alias("source_reference"),
+    )
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the raw records, a second set for the records that occur twice."""
+    key, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    copies = table(spark, sf_dir, "lineitem").withColumn(
+        "copy", F.explode(F.when(key % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    )
+    pad = lambda c, n: F.lpad(text(c), n, "0")
+    return copies.select(
+        (key * 2 + F.col("copy")).alias("seq"),
+        F.concat(
+            pad("l_linenumber", 2),
+            pad("l_partkey", 12),
+            pad("l_suppkey", 10),
+            pad(F.col("l_quantity").cast("bigint"), 4),
+            F.date_format("l_shipdate", "yyyyMMdd"),
+        ).alias("line_seq"),
+        F.concat_ws("-", text("l_linenumber"), text("l_partkey"), text("l_suppkey")).alias("line_id"),
+        F.when(part % 97 == 0, F.lit("")).otherwise(text("l_partkey")).alias("product_id"),
+        F.when(supp % 3 == 0, F.lit(None).cast("string"))
+        .when(part % 89 == 0, F.lit(" "))
+        .otherwise(text(supp % 3))
+        .alias("combination_id"),
+        bad_quantity().alias("quantity"),
+        F.col("l_returnflag").alias("line_status"),
+    )
