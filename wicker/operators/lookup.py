@@ -35,7 +35,7 @@ def index_checks(edges: DataFrame, meta: DataFrame) -> DataFrame:
     per_value = groups.groupBy("model_version", stamp("window_from").alias("wf"), stamp("window_to").alias("wt")).agg(
         F.sum("n").alias("n"), F.sum(n - 1).alias("repeats"), F.sum(F.when(bad, n).otherwise(zero)).alias("bad")
     )
-    counted = per_value.join(declared).agg(
+    counted = declared.join(per_value, F.lit(True), "left").agg(
         F.abs(F.coalesce(F.sum("n"), zero) - F.coalesce(F.max("d_count"), zero)).alias("RELATIONSHIP_COUNT"),
         F.coalesce(F.sum(F.when(~F.col("model_version").eqNullSafe(F.col("d_model")), n).otherwise(zero)), zero).alias(
             "MODEL_VERSION"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.functions.cascade import first_match
+from wicker.functions.cascade import first_match, with_code
 from wicker.functions.keys import blank, product_key
 from wicker.functions.ranking import mark_repeats
 from wicker.params import ValidationParams
@@ -144,7 +144,7 @@ def contract_broken() -> Column:
 
 def validate(edges: DataFrame, p: ValidationParams = ValidationParams()) -> DataFrame:
     """Adds reject_code (NULL = accepted). `seq` gives the input order of repeats."""
-    checked = edges.withColumn("reject_code", rule_cascade(p))
+    checked = with_code(edges, "reject_code", rule_cascade(p))
     marked = mark_repeats(
         checked,
         IDENTITY,

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_basket", "q_orders"]
+_MODULES = ["q_basket", "q_orders", "q_edges"]
 
 
 def load_all() -> None:

@@ -135,3 +135,119 @@ cte(
     FROM (SELECT *, {COPIES.format("l_orderkey")} FROM lineitem)
     """,
 )
+
+EDGE_COLUMNS = """source_product_id, source_combination_id, target_product_id, target_combination_id,
+  relationship_type, evidence_kind, joint_count, source_count, target_count, total_transactions, support,
+  confidence, lift, transition_count, transition_probability, median_lag_days, rule_id, rule_version,
+  reliability, window_from, window_to, model_version"""
+
+
+def edge_ctes(window: tuple[str, str], model: str) -> None:
+    cte(
+        "edges",
+        f"""
+        SELECT (CAST(source_product_id AS BIGINT) * 10000000 + CAST(target_product_id AS BIGINT)) * 2 AS seq,
+          source_product_id, source_combination_id, target_product_id, target_combination_id,
+          'same_order' AS relationship_type, 'co_occurrence' AS evidence_kind,
+          joint_count, source_count, target_count, total_transactions, support, confidence, lift,
+          CAST(NULL AS BIGINT) AS transition_count, CAST(NULL AS DOUBLE) AS transition_probability,
+          CAST(NULL AS DOUBLE) AS median_lag_days, CAST(NULL AS VARCHAR) AS rule_id,
+          CAST(NULL AS VARCHAR) AS rule_version, {reliability_sql()} AS reliability,
+          TIMESTAMP '{window[0]}' AS window_from, TIMESTAMP '{window[1]}' AS window_to, '{model}' AS model_version
+        FROM (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY {STRENGTH}) AS rn
+              FROM bi_evidence WHERE joint_count >= 2) WHERE rn <= 3
+        """,
+        "bi_evidence",
+    )
+    cte(
+        "dirty_edges",
+        """
+        SELECT seq + copy AS seq,
+          CASE WHEN m = 0 THEN ' ' ELSE source_product_id END AS source_product_id, source_combination_id,
+          CASE WHEN m = 1 THEN '' WHEN m = 2 THEN source_product_id ELSE target_product_id END AS target_product_id,
+          target_combination_id,
+          CASE m WHEN 3 THEN 'bundle' WHEN 19 THEN 'manual' WHEN 20 THEN 'next_purchase' WHEN 21 THEN 'manual'
+            ELSE relationship_type END AS relationship_type,
+          CASE m WHEN 4 THEN 'rule' WHEN 19 THEN 'rule' WHEN 20 THEN 'transition' WHEN 21 THEN 'rule'
+            ELSE evidence_kind END AS evidence_kind,
+          CASE WHEN m = 11 THEN 0 WHEN m = 13 THEN source_count + 1 WHEN m BETWEEN 19 AND 21 THEN NULL
+            ELSE joint_count END AS joint_count,
+          CASE WHEN m = 12 THEN 0 WHEN m BETWEEN 19 AND 21 THEN NULL ELSE source_count END AS source_count,
+          CASE WHEN m BETWEEN 19 AND 21 THEN NULL ELSE target_count END AS target_count,
+          CASE WHEN m BETWEEN 19 AND 21 THEN NULL ELSE total_transactions END AS total_transactions,
+          CASE WHEN m = 8 THEN -0.1::DOUBLE WHEN m = 14 THEN support + 1e-6::DOUBLE WHEN m BETWEEN 19 AND 21 THEN NULL
+            ELSE support END AS support,
+          CASE WHEN m = 9 THEN 1.2::DOUBLE WHEN m = 15 THEN confidence + 1e-6::DOUBLE
+            WHEN m BETWEEN 19 AND 21 THEN NULL ELSE confidence END AS confidence,
+          CASE WHEN m = 10 THEN -1.0::DOUBLE WHEN m = 16 THEN lift + 1e-6::DOUBLE
+            WHEN m BETWEEN 19 AND 21 THEN NULL ELSE lift END AS lift,
+          CASE WHEN m = 20 THEN 3 ELSE transition_count END AS transition_count,
+          CASE WHEN m = 20 THEN 0.5::DOUBLE ELSE transition_probability END AS transition_probability, median_lag_days,
+          CASE WHEN m = 21 THEN 'r1' ELSE rule_id END AS rule_id,
+          CASE WHEN m = 21 THEN '1' ELSE rule_version END AS rule_version,
+          CASE WHEN m = 7 THEN 1.5::DOUBLE WHEN m = 17 THEN 'NaN'::DOUBLE ELSE reliability END AS reliability,
+          CASE WHEN m = 5 THEN TIMESTAMP '2002-06-01' ELSE window_from END AS window_from, window_to,
+          CASE WHEN m = 6 THEN ' ' ELSE model_version END AS model_version
+        FROM (SELECT *, unnest(CASE WHEN m = 18 THEN [0, 1] ELSE [0] END) AS copy FROM
+          (SELECT *, (CAST(source_product_id AS BIGINT) * 31 + CAST(target_product_id AS BIGINT)) % 31 AS m FROM edges))
+        """,
+        "edges",
+    )
+    cte(
+        "validated",
+        """
+        WITH own AS (SELECT *, CASE WHEN isnan(reliability) THEN 'NON_SERIALIZABLE_RELATIONSHIP'
+            WHEN trim(source_product_id) = '' THEN 'INVALID_SOURCE_PRODUCT'
+            WHEN trim(target_product_id) = '' THEN 'INVALID_TARGET_PRODUCT'
+            WHEN source_product_id = target_product_id THEN 'SELF_RELATIONSHIP'
+            WHEN relationship_type = 'bundle' THEN 'UNSUPPORTED_RELATIONSHIP_TYPE'
+            WHEN NOT (evidence_kind = 'co_occurrence' AND relationship_type = 'same_order'
+              OR evidence_kind = 'transition' AND relationship_type = 'next_purchase'
+              OR evidence_kind = 'rule' AND relationship_type = 'manual') THEN 'EVIDENCE_TYPE_MISMATCH'
+            WHEN window_from > window_to THEN 'INVALID_EVIDENCE_WINDOW'
+            WHEN trim(model_version) = '' THEN 'INVALID_MODEL_VERSION'
+            WHEN reliability NOT BETWEEN 0 AND 1 THEN 'INVALID_RELIABILITY'
+            WHEN support NOT BETWEEN 0 AND 1 THEN 'INVALID_SUPPORT'
+            WHEN confidence NOT BETWEEN 0 AND 1 THEN 'INVALID_CONFIDENCE'
+            WHEN lift < 0 THEN 'INVALID_LIFT'
+            WHEN joint_count = 0 THEN 'INVALID_JOINT_COUNT'
+            WHEN source_count <= 0 THEN 'INVALID_EVIDENCE_COUNTS'
+            WHEN joint_count > source_count OR joint_count > target_count THEN 'INCONSISTENT_EVIDENCE_COUNTS'
+            WHEN abs(support - joint_count::DOUBLE / total_transactions) > 1e-12 THEN 'INCONSISTENT_SUPPORT'
+            WHEN abs(confidence - joint_count::DOUBLE / source_count) > 1e-12 THEN 'INCONSISTENT_CONFIDENCE'
+            WHEN abs(lift - confidence / (target_count::DOUBLE / total_transactions)) > 1e-12 THEN 'INCONSISTENT_LIFT'
+            WHEN lift <= 1 THEN 'NON_POSITIVE_ASSOCIATION'
+            WHEN reliability < 0.3 THEN 'RELIABILITY_BELOW_MINIMUM' END AS own_code FROM dirty_edges)
+        SELECT *, CASE WHEN own_code IS NOT NULL THEN own_code
+          WHEN EXISTS (SELECT 1 FROM own e WHERE e.own_code IS NULL AND e.seq < own.seq
+            AND e.source_product_id = own.source_product_id AND e.target_product_id = own.target_product_id
+            AND e.relationship_type = own.relationship_type AND (e.evidence_kind <> 'rule' OR e.rule_id IS NOT NULL))
+            THEN 'DUPLICATE_RELATIONSHIP'
+          WHEN evidence_kind = 'rule' AND rule_id IS NULL THEN 'NON_SERIALIZABLE_RELATIONSHIP' END AS reject_code
+        FROM own
+        """,
+        "dirty_edges",
+    )
+    cte("valid_edges", "SELECT * FROM edges WHERE lift > 1 AND reliability >= 0.3", "edges")
+    cte(
+        "knowledge",
+        f"""
+        SELECT {EDGE_COLUMNS} FROM valid_edges UNION ALL
+        SELECT source_product_id, source_combination_id, target_product_id, target_combination_id, 'manual', 'rule',
+          NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'r-' || source_product_id, '1',
+          CASE WHEN (CAST(source_product_id AS BIGINT) + CAST(target_product_id AS BIGINT)) % 12 = 0
+            THEN 0.9::DOUBLE ELSE 0.25::DOUBLE END, window_from, window_to, model_version
+        FROM valid_edges WHERE (CAST(source_product_id AS BIGINT) + CAST(target_product_id AS BIGINT)) % 6 = 0
+        """,
+        "valid_edges",
+    )
+
+
+cte(
+    "source_requests",
+    """
+    SELECT p_partkey AS request_id, CAST(p_partkey AS VARCHAR) AS source_product_id,
+      CASE p_partkey % 4 WHEN 0 THEN ['same_order'] WHEN 1 THEN ['manual', 'same_cart'] END AS relationship_types,
+      CASE WHEN p_partkey % 3 <> 0 THEN 1 + p_partkey % 2 END AS lim FROM part
+    """,
+)

@@ -148,3 +148,115 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         bad_quantity().alias("quantity"),
         F.col("l_returnflag").alias("line_status"),
     )
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined edges with reliability, negative associations included."""
+    from wicker.operators import basket as B
+    from wicker.operators.reliability import with_reliability
+    from wicker.operators.validate import EDGE, complete_edges
+    from wicker.params import PairParams
+
+    eligible = B.eligible_baskets(basket_items(spark, sf_dir), WINDOW)
+    mined = B.same_order_candidates(eligible, PairParams(min_lift=0.0, max_per_source=3))
+    full = with_reliability(B.as_relationships(mined, WINDOW, MODEL))
+    return complete_edges(full).select(edge_seq().alias("seq"), *EDGE)
+
+
+def ids() -> tuple[Column, Column]:
+    return F.col("source_product_id").cast("bigint"), F.col("target_product_id").cast("bigint")
+
+
+def edge_seq() -> Column:
+    s, t = ids()
+    return (s * 10000000 + t) * 2
+
+
+def dirty_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, most of them spoilt in one of twenty ways; some occur twice."""
+    s, t = ids()
+    case = (s * 31 + t) % 31
+    base = edges(spark, sf_dir).withColumn("m", case)
+    m = F.col("m")
+
+    def change(name: str, *cases: tuple[int, Column]) -> Column:
+        out: Column | None = None
+        for number, value in cases:
+            out = F.when(m == number, value) if out is None else out.when(m == number, value)
+        return out.otherwise(F.col(name)).alias(name)
+
+    copies = F.when(m == 18, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    numeric = {c: F.when(~m.isin(19, 20, 21), F.col(c)).alias(c) for c in ("target_count", "total_transactions")}
+    none = lambda t: F.lit(None).cast(t)
+    other = [(n, none("double")) for n in (19, 20, 21)]
+    other_counts = [(n, none("bigint")) for n in (19, 20, 21)]
+    return base.withColumn("copy", F.explode(copies)).select(
+        (F.col("seq") + F.col("copy")).alias("seq"),
+        change("source_product_id", (0, F.lit(" "))),
+        "source_combination_id",
+        change("target_product_id", (1, F.lit("")), (2, F.col("source_product_id"))),
+        "target_combination_id",
+        change("relationship_type", (3, F.lit("bundle")), (19, F.lit("manual")), (20, F.lit("next_purchase")), (21, F.lit("manual"))),
+        change("evidence_kind", (4, F.lit("rule")), (19, F.lit("rule")), (20, F.lit("transition")), (21, F.lit("rule"))),
+        change("joint_count", (11, F.lit(0).cast("bigint")), (13, F.col("source_count") + 1), *other_counts),
+        change("source_count", (12, F.lit(0).cast("bigint")), *other_counts),
+        numeric["target_count"],
+        numeric["total_transactions"],
+        change("support", (8, F.lit(-0.1)), (14, F.col("support") + 1e-6), *other),
+        change("confidence", (9, F.lit(1.2)), (15, F.col("confidence") + 1e-6), *other),
+        change("lift", (10, F.lit(-1.0)), (16, F.col("lift") + 1e-6), *other),
+        change("transition_count", (20, F.lit(3).cast("bigint"))),
+        change("transition_probability", (20, F.lit(0.5))),
+        "median_lag_days",
+        change("rule_id", (21, F.lit("r1"))),
+        change("rule_version", (21, F.lit("1"))),
+        change("reliability", (7, F.lit(1.5)), (17, F.lit(float("nan")))),
+        change("window_from", (5, F.lit("2002-06-01 00:00:00").cast("timestamp"))),
+        "window_to",
+        change("model_version", (6, F.lit(" "))),
+    )
+
+
+def valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wicker.operators import validate as C
+
+    return C.accepted(C.validate(edges(spark, sf_dir)))
+
+
+def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated edges, and rule edges on some of the same pairs."""
+    from wicker.operators.validate import EDGE
+
+    s, t = ids()
+    manual = F.when((s + t) % 6 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    both = valid_edges(spark, sf_dir).withColumn("__manual", F.explode(manual))
+    flag = F.col("__manual")
+    new = {
+        "relationship_type": F.lit("manual"),
+        "evidence_kind": F.lit("rule"),
+        "rule_id": F.concat(F.lit("r-"), "source_product_id"),
+        "rule_version": F.lit("1"),
+        "reliability": F.when((s + t) % 12 == 0, F.lit(0.9)).otherwise(F.lit(0.25)),
+    }
+    gone = ["joint_count", "source_count", "target_count", "total_transactions", "support", "confidence", "lift"]
+
+    def pick(c: str) -> Column:
+        if c in new:
+            return F.when(flag, new[c]).otherwise(F.col(c)).alias(c)
+        return F.when(~flag, F.col(c)).alias(c) if c in gone else F.col(c)
+
+    return both.select(*[pick(c) for c in EDGE])
+
+
+def source_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lookup per part."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("request_id"),
+        text("p_partkey").alias("source_product_id"),
+        F.lit(None).cast("string").alias("source_combination_id"),
+        F.when(key % 4 == 0, F.array(F.lit("same_order")))
+        .when(key % 4 == 1, F.array(F.lit("manual"), F.lit("same_cart")))
+        .alias("relationship_types"),
+        F.when(key % 3 != 0, (1 + key % 2).cast("int")).alias("limit"),
+    )

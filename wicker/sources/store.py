@@ -48,6 +48,11 @@ def _write_text(spark: SparkSession, path: str, content: str) -> None:
     )
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, jvm = _fs(spark, path)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def _overwrite(jvm):
     option = jvm.org.apache.hadoop.fs.Options.Rename
     options = jvm.java.lang.reflect.Array.newInstance(option.OVERWRITE.getClass(), 1)
@@ -63,29 +68,39 @@ def _folder(root: str, snapshot_id: str) -> str:
     return f"{root}/snapshots/{snapshot_id.replace(':', '-')}"
 
 
-def write_snapshot(edges: DataFrame, root: str) -> tuple[str, str]:
-    """Store a snapshot under its content id; returns (id, created | already_exists).
+def _stage(edges: DataFrame, root: str) -> tuple[str, DataFrame]:
+    """Compute the edges once, into a folder of their own.
 
     Files are range-clustered by source, so a lookup of few sources skips most
     of them by their min/max statistics.
     """
-    spark = edges.sparkSession
-    meta = S.digest(edges).first().asDict()
+    beside = f"{root}/incoming/{uuid.uuid4().hex}"
+    S.canonical_order(edges.select(*S.EDGE)).write.parquet(f"{beside}/edges")
+    return beside, edges.sparkSession.read.parquet(f"{beside}/edges")
+
+
+def _keep(beside: str, staged: DataFrame, root: str) -> tuple[str, str]:
+    spark = staged.sparkSession
+    meta = S.digest(staged).first().asDict()
     snapshot_id = meta["snapshot_id"]
     folder = _folder(root, snapshot_id)
     if _exists(spark, folder):
         stored = S.digest(spark.read.parquet(f"{folder}/edges")).first()["snapshot_id"]
+        _drop(spark, beside)
         if stored != snapshot_id:
             raise SnapshotError("SNAPSHOT_ID_COLLISION", f"other content under {snapshot_id}")
         return snapshot_id, "already_exists"
-    beside = f"{root}/incoming/{uuid.uuid4().hex}"
-    S.canonical_order(edges.select(*S.EDGE)).write.parquet(f"{beside}/edges")
     _write_text(spark, f"{beside}/meta.json", json.dumps(meta))
     if not _rename(spark, beside, folder):
         raise SnapshotError("SNAPSHOT_WRITE_FAILURE", f"cannot move {beside} to {folder}")
     return snapshot_id, "created"
 
 
+def write_snapshot(edges: DataFrame, root: str) -> tuple[str, str]:
+    """Store a snapshot under its content id; returns (id, created | already_exists)."""
+    return _keep(*_stage(edges, root), root)
+
+
 def read_snapshot(spark: SparkSession, root: str, snapshot_id: str | None = None) -> DataFrame | None:
     """Edges of one snapshot, or of the active one; None when nothing is active."""
     dangling = snapshot_id is None
@@ -127,7 +142,8 @@ def publish(
 ) -> dict:
     """Check, store, then activate. The pointer moves last, and only on success."""
     spark = edges.sparkSession
-    stats = S.snapshot_stats(edges).first().asDict()
+    beside, staged = _stage(edges, root)
+    stats = S.snapshot_stats(staged).first().asDict()
     warnings = []
     if stats["relationships_read"] == 0:
         if not allow_empty:
@@ -138,9 +154,9 @@ def publish(
             raise SnapshotError("INVALID_EMPTY_SNAPSHOT_METADATA", "model version and window are needed")
         warnings.append("EMPTY_SNAPSHOT_PUBLISHED")
     else:
-        broken = S.publish_checks(edges).filter(F.col("violations") > 0).collect()  # at most four rows
+        broken = S.publish_checks(staged).filter(F.col("violations") > 0).collect()  # at most four rows
         if broken:
             raise SnapshotError(broken[0]["check"], f"{broken[0]['violations']} violations")
-    snapshot_id, status = write_snapshot(edges, root)
+    snapshot_id, status = _keep(beside, staged, root)
     activate(spark, root, snapshot_id)
     return {"snapshot_id": snapshot_id, "status": status, "warnings": warnings, **stats}
