@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_basket", "q_orders", "q_edges"]
+_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog"]
 
 
 def load_all() -> None:

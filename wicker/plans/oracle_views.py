@@ -251,3 +251,189 @@ cte(
       CASE WHEN p_partkey % 3 <> 0 THEN 1 + p_partkey % 2 END AS lim FROM part
     """,
 )
+
+# -- catalogue ---------------------------------------------------------------
+cte(
+    "cat_product",
+    """
+    SELECT p_partkey AS product_id, CASE WHEN p_partkey % 9 <> 0 THEN 'REF-' || p_partkey END AS reference,
+      p_type AS category_id, CASE WHEN p_partkey % 29 <> 0 THEN p_partkey % 17 <> 0 END AS active,
+      CASE WHEN p_partkey % 31 <> 0 THEN p_partkey % 13 <> 0 END AS available_for_order,
+      CAST(CASE WHEN p_partkey % 37 = 0 THEN NULL WHEN p_partkey % 43 = 0 THEN -5.0 ELSE p_retailprice END
+        AS DECIMAL(20,6)) AS price,
+      p_name AS name, p_brand || ' & ' || p_type AS short_description, 'Size ' || p_size AS long_description,
+      CASE WHEN p_partkey % 5 = 0 THEN CAST(CAST(p_retailprice AS DECIMAL(20,6)) + 10 AS DECIMAL(20,6)) END AS shop_price,
+      CASE WHEN p_partkey % 5 = 0 AND p_partkey % 10 <> 0 THEN p_partkey % 15 <> 0 END AS shop_orderable,
+      CASE WHEN p_type <> 'ECONOMY' THEN 'Cat ' || p_type END AS category
+    FROM part
+    """,
+)
+cte(
+    "cat_variant",
+    """
+    SELECT CASE WHEN lp % 4 = 0 THEN -1 - lp ELSE lp END AS product_id, lp * 10 + v + 1 AS combination_id,
+      CASE WHEN v <> 2 THEN 'REF-' || lp || '-' || v END AS reference,
+      CAST(CASE v WHEN 0 THEN 0.0 WHEN 1 THEN 2.5 ELSE 3.0 END AS DECIMAL(20,6)) AS impact_net,
+      CASE WHEN lp % 7 <> 0 THEN CAST(v >= lp % 3 AS INTEGER) END AS default_on, v, lp
+    FROM (SELECT DISTINCT l_partkey AS lp, l_suppkey % 3 AS v FROM lineitem)
+    """,
+)
+cte(
+    "cat_stock",
+    """
+    SELECT p_partkey AS product_id, 0 AS combination_id,
+      CASE WHEN p_partkey % 19 <> 0 THEN (p_partkey * 7) % 50 - 5 END AS physical_quantity
+    FROM part WHERE p_partkey % 11 <> 0
+    UNION ALL SELECT product_id, combination_id, combination_id % 13 - 2 FROM cat_variant WHERE combination_id % 7 <> 0
+    """,
+    "cat_variant",
+)
+cte(
+    "cat_attributes",
+    """
+    SELECT combination_id, 'Color' AS "group", 'Value ' || (1 + v) AS value FROM cat_variant
+    UNION ALL SELECT combination_id, 'Talla', 'Value ' || (10 + lp % 5) FROM cat_variant
+    """,
+    "cat_variant",
+)
+cte(
+    "cat_labels",
+    """SELECT combination_id, string_agg("group" || ': ' || value, ' | ' ORDER BY "group", value) AS label
+       FROM cat_attributes GROUP BY combination_id""",
+    "cat_attributes",
+)
+cte(
+    "cat_requests",
+    """
+    SELECT p_partkey AS request_id, p_partkey AS product_id,
+      CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_partkey * 10 + p_size % 4 END AS combination_id,
+      CAST(1 + p_size AS BIGINT) AS quantity, 1 AS shop_id, 1 AS currency_id, 1 AS country_id, p_partkey % 3 AS group_id,
+      p_partkey % 5 AS customer_id FROM part
+    """,
+)
+cte(
+    "price_rules",
+    """
+    SELECT (l_orderkey * 100000 + l_partkey) * 1000 + l_suppkey AS id, l_partkey AS product_id,
+      CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE l_partkey * 10 + l_suppkey % 3 + 1 END AS combination_id,
+      CASE l_linenumber WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS shop_id,
+      CASE WHEN l_suppkey % 4 = 1 THEN 1 ELSE 0 END AS currency_id, 0 AS country_id, l_suppkey % 3 AS group_id,
+      CASE WHEN l_linenumber = 6 THEN l_partkey % 5 ELSE 0 END AS customer_id,
+      CASE WHEN l_suppkey % 25 = 0 THEN 9 ELSE 0 END AS cart_id,
+      CAST(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE -1.0 END AS DECIMAL(20,6)) AS price,
+      CAST(l_quantity AS BIGINT) AS from_quantity,
+      CAST(CASE WHEN l_suppkey % 33 = 0 AND l_returnflag = 'R' THEN 1.5 WHEN l_suppkey % 35 = 0 THEN -0.1
+        WHEN l_returnflag = 'A' THEN l_discount * 1000 WHEN l_returnflag = 'R' THEN l_discount
+        WHEN l_suppkey % 37 = 0 THEN 0.1 ELSE 0.0 END AS DECIMAL(20,6)) AS reduction,
+      l_linenumber % 2 AS reduction_tax,
+      CASE WHEN l_returnflag = 'R' THEN 'percentage' WHEN l_returnflag = 'A' THEN 'amount'
+        WHEN l_suppkey % 37 = 0 THEN 'gift' ELSE 'amount' END AS reduction_type,
+      CASE WHEN l_suppkey % 10 > 1 AND NOT (l_suppkey % 10 = 2 AND l_linenumber = 4) THEN l_shipdate END AS valid_from,
+      l_suppkey % 10 = 2 AND l_linenumber = 4 AS unreadable,
+      CASE WHEN l_suppkey % 10 <> 3 THEN l_shipdate + INTERVAL 180 DAY END AS valid_to,
+      CASE WHEN l_linenumber <> 4 THEN l_linenumber % 3 END AS priority
+    FROM lineitem
+    """,
+)
+
+
+def rule_ctes(prefix: str, requests: str, as_of: str) -> None:
+    """Scoped rules and the catalogue selection for one request view (needs request_id)."""
+    cte(
+        f"{prefix}_scoped",
+        f"""
+        SELECT q.*, r.id AS rule_id, r.combination_id AS r_combination, r.shop_id AS r_shop, r.currency_id AS r_currency,
+          r.country_id AS r_country, r.group_id AS r_group, r.customer_id AS r_customer, r.price AS rule_price,
+          r.from_quantity, r.reduction, r.reduction_tax, r.reduction_type, r.valid_from, r.valid_to, r.unreadable,
+          r.priority,
+          NOT r.unreadable AND coalesce(r.valid_from <= TIMESTAMP '{as_of}', true)
+            AND coalesce(r.valid_to >= TIMESTAMP '{as_of}', true) AS valid
+        FROM {requests} q JOIN price_rules r ON r.product_id = q.product_id AND r.cart_id = 0
+          AND r.from_quantity <= q.quantity AND r.combination_id IN (0, q.combination_id) AND r.shop_id IN (0, q.shop_id)
+          AND r.currency_id IN (0, q.currency_id) AND r.country_id IN (0, q.country_id)
+          AND r.group_id IN (0, q.group_id) AND r.customer_id IN (0, q.customer_id)
+        """,
+        requests,
+        "price_rules",
+    )
+    cte(
+        f"{prefix}_selected",
+        f"""
+        SELECT *, lead(keys) OVER w = keys AS tied, lead(rule_id) OVER w AS next_id, row_number() OVER w AS place FROM
+          (SELECT *, [CAST(r_combination = combination_id AND combination_id > 0 AS BIGINT),
+               CAST(r_shop = shop_id AS BIGINT), from_quantity,
+               CAST(r_currency = currency_id AS BIGINT) + CAST(r_country = country_id AS BIGINT)
+                 + CAST(r_group = group_id AS BIGINT) + CAST(r_customer = customer_id AS BIGINT),
+               coalesce(epoch_us(valid_from), 0)] AS keys FROM {prefix}_scoped WHERE valid)
+        WINDOW w AS (PARTITION BY request_id ORDER BY keys DESC, rule_id DESC)
+        """,
+        f"{prefix}_scoped",
+    )
+    cte(f"{prefix}_best", f"SELECT * FROM {prefix}_selected WHERE place = 1", f"{prefix}_selected")
+
+
+PRICE_SQL = """
+    SELECT *, CASE WHEN NOT priced THEN NULL
+        WHEN fits THEN CAST(round(CAST(base_gross AS DECIMAL(15,0)) * (1 - CAST(reduction AS DECIMAL(12,6))), 0) AS BIGINT)
+        WHEN amount THEN greatest(base_gross - cut, 0) ELSE base_gross END AS final_gross,
+      CASE WHEN priced AND fits THEN 'percentage' WHEN priced AND amount THEN 'amount' END AS discount_type,
+      CASE WHEN priced AND fits THEN CAST(reduction AS DOUBLE) WHEN priced AND amount THEN CAST(cut AS DOUBLE) END AS discount_value,
+      CASE WHEN priced THEN rule_id END AS specific_price_id,
+      list_filter([CASE WHEN NOT priced THEN 'CATALOG_INVALID_BASE_PRICE' END,
+        CASE WHEN NOT priced THEN 'CATALOG_PRICE_UNAVAILABLE' END,
+        CASE WHEN priced AND (pct AND reduction > 1 OR reduction < 0) THEN 'SPECIFIC_PRICE_INVALID_REDUCTION' END,
+        CASE WHEN priced AND amount AND cut > base_gross THEN 'SPECIFIC_PRICE_EXCEEDS_BASE_PRICE' END,
+        CASE WHEN priced AND reduction > 0 AND reduction_type = 'gift' THEN 'SPECIFIC_PRICE_UNSUPPORTED_REDUCTION_TYPE' END],
+        lambda x: x IS NOT NULL) AS price_warnings
+    FROM (SELECT *, base_net IS NOT NULL AND base_net >= 0 AS priced,
+        coalesce(reduction > 0 AND reduction_type = 'percentage', false) AS pct,
+        coalesce(reduction > 0 AND reduction_type = 'percentage' AND reduction <= 1, false) AS fits,
+        coalesce(reduction > 0 AND reduction_type = 'amount', false) AS amount,
+        CAST(round(reduction, 0) AS BIGINT) AS cut,
+        CASE WHEN base_net >= 0 THEN CAST(round(greatest(CAST(CASE WHEN rule_price >= 0 THEN rule_price + impact_net
+          ELSE base_net END AS DECIMAL(18,6)), 0) * 1.19, 0) AS BIGINT) END AS base_gross
+      FROM (SELECT *, base_price_net + impact_net AS base_net FROM {source}))
+"""
+STATUS_SQL = """CASE WHEN active = false THEN 'inactive' WHEN active IS NULL OR available_for_order IS NULL THEN 'unknown'
+  WHEN NOT available_for_order THEN 'unavailable_for_order' WHEN stock_quantity IS NULL THEN 'unknown'
+  WHEN stock_quantity > 0 THEN 'available' ELSE 'out_of_stock' END"""
+
+
+def assembled_cte(name: str, requests: str, *extra: str) -> None:
+    cte(
+        name,
+        f"""
+        SELECT q.*, p.name, p.reference AS product_reference, v.reference AS combination_reference,
+          p.short_description AS description, p.category, p.active,
+          coalesce(p.shop_orderable, p.available_for_order) AS available_for_order,
+          coalesce(p.shop_price, p.price) AS base_price_net,
+          CASE WHEN q.combination_id = 0 THEN CAST(0 AS DECIMAL(20,6)) ELSE v.impact_net END AS impact_net,
+          CASE WHEN s.product_id IS NOT NULL THEN CAST(coalesce(s.physical_quantity, 0) AS DOUBLE) END AS stock_quantity
+        FROM {requests} q JOIN cat_product p ON p.product_id = q.product_id
+        LEFT JOIN cat_variant v ON v.product_id = q.product_id AND v.combination_id = q.combination_id
+        LEFT JOIN cat_stock s ON s.product_id = q.product_id AND s.combination_id = q.combination_id
+        WHERE q.combination_id = 0 OR v.combination_id IS NOT NULL
+        """,
+        requests,
+        "cat_product",
+        "cat_variant",
+        "cat_stock",
+        *extra,
+    )
+
+
+assembled_cte("assembled", "cat_requests")
+cte(
+    "truth_references",
+    """
+    SELECT DISTINCT ref_product, ref_combination, CAST(ref_product AS BIGINT) AS product_id,
+      coalesce(CAST(ref_combination AS BIGINT), 0) AS combination_id,
+      ref_product || ':' || coalesce(ref_combination, '') AS request_id,
+      1 AS shop_id, 1 AS currency_id, 1 AS country_id, 1 AS group_id, 0 AS customer_id, 10 AS quantity
+    FROM (SELECT CAST(p_partkey AS VARCHAR) AS ref_product, NULL AS ref_combination FROM part
+          WHERE p_partkey % 41 <> 0 AND p_partkey > 0
+          UNION ALL SELECT CAST(p_partkey AS VARCHAR), CASE p_size % 4 WHEN 2 THEN CAST(p_partkey * 10 + 1 AS VARCHAR)
+            WHEN 3 THEN CAST(p_partkey * 10 + 2 AS VARCHAR) END FROM part WHERE p_partkey % 41 <> 0 AND p_partkey > 0)
+    """,
+)
+assembled_cte("truth_assembled", "truth_references")

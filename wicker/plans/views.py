@@ -260,3 +260,177 @@ def source_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("relationship_types"),
         F.when(key % 3 != 0, (1 + key % 2).cast("int")).alias("limit"),
     )
+
+MONEY = "decimal(20,6)"
+AS_OF = "1999-01-01 00:00:00"
+CONTEXT = {"shop_id": 1, "currency_id": 1, "country_id": 1, "group_id": 1, "customer_id": 0, "quantity": 10}
+
+
+def catalog(spark: SparkSession, sf_dir: str):
+    """Shop tables out of parts (products) and line items (variants)."""
+    from wicker.sources.catalog import Catalog
+
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part")
+    pid = key.alias("product_id")
+    product = part.select(
+        pid,
+        F.when(key % 9 == 0, F.lit("  ")).otherwise(F.concat(F.lit("REF-"), text("p_partkey"))).alias("reference"),
+        F.col("p_type").alias("category_id"),
+        F.when(key % 29 == 0, F.lit(None).cast("boolean")).otherwise(key % 17 != 0).alias("active"),
+        F.when(key % 31 == 0, F.lit(None).cast("boolean")).otherwise(key % 13 != 0).alias("available_for_order"),
+        F.when(key % 37 == 0, F.lit(None).cast("double"))
+        .when(key % 43 == 0, F.lit(-5.0))
+        .otherwise(F.col("p_retailprice"))
+        .cast(MONEY)
+        .alias("price"),
+    )
+    lang = part.withColumn("shop_id", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        pid,
+        "shop_id",
+        F.lit(1).alias("lang_id"),
+        F.when(F.col("shop_id") == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" (2)"))).alias("name"),
+        F.concat(F.lit("<p>"), "p_brand", F.lit(" &amp; "), "p_type", F.lit("</p>")).alias("description_short"),
+        F.concat(F.lit("<div>Size <b>"), text("p_size"), F.lit("</b></div>")).alias("description"),
+    )
+    shop = part.select(
+        pid,
+        F.when(key % 5 == 0, 1).otherwise(2).alias("shop_id"),
+        (F.col("p_retailprice").cast(MONEY) + 10).cast(MONEY).alias("price"),
+        F.when(key % 10 != 0, key % 15 != 0).alias("available_for_order"),
+    )
+    category = part.select(F.col("p_type").alias("category_id")).distinct().select(
+        "category_id",
+        F.lit(1).alias("shop_id"),
+        F.lit(1).alias("lang_id"),
+        F.when(F.col("category_id") == "ECONOMY", F.lit("  "))
+        .otherwise(F.concat(F.lit("Cat "), "category_id"))
+        .alias("name"),
+    )
+    v = F.col("v")
+    lp = F.col("l_partkey")
+    variant = (
+        table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 3).alias("v")).distinct()
+    )
+    attribute_rows = variant.select(
+        F.when(lp % 4 == 0, -1 - lp).otherwise(lp).alias("product_id"),
+        (lp * 10 + v + 1).alias("combination_id"),
+        F.when(v == 2, F.lit(" "))
+        .otherwise(F.concat(F.lit("REF-"), text("l_partkey"), F.lit("-"), text("v")))
+        .alias("reference"),
+        F.when(v != 1, v * 1.5).cast(MONEY).alias("price"),
+        F.when(lp % 7 != 0, (v >= lp % 3).cast("int")).alias("default_on"),
+    )
+    attribute_shop = variant.select(
+        (lp * 10 + v + 1).alias("combination_id"),
+        F.when(v == 1, 1).otherwise(2).alias("shop_id"),
+        F.lit(2.5).cast(MONEY).alias("price"),
+    )
+    base_stock = part.select(
+        pid,
+        F.lit(0).cast("bigint").alias("combination_id"),
+        F.when(key % 11 == 0, 2).otherwise(1).alias("shop_id"),
+        F.when(key % 19 != 0, (key * 7) % 50 - 5).alias("physical_quantity"),
+    )
+    comb = F.col("combination_id")
+    variant_stock = attribute_rows.select(
+        "product_id",
+        "combination_id",
+        F.when(comb % 7 == 0, 2).otherwise(1).alias("shop_id"),
+        (comb % 13 - 2).alias("physical_quantity"),
+    )
+    of = variant.select(
+        (lp * 10 + v + 1).alias("combination_id"),
+        F.explode(F.array(1 + v, 10 + lp % 5)).alias("attribute_id"),
+    )
+    attribute_ids = of.select("attribute_id").distinct()
+    group = F.when(F.col("attribute_id") < 10, 1).otherwise(2)
+    attribute = attribute_ids.select("attribute_id", group.alias("group_id"))
+    attribute_lang = attribute_ids.select(
+        "attribute_id", F.lit(1).alias("lang_id"), F.concat(F.lit("Value "), text("attribute_id")).alias("name")
+    )
+    group_lang = attribute.select("group_id").distinct().select(
+        "group_id",
+        F.lit(1).alias("lang_id"),
+        F.when(F.col("group_id") == 1, F.lit("Color")).otherwise(F.lit("Talla")).alias("name"),
+    )
+    return Catalog(
+        product, lang, shop, category, attribute_rows, attribute_shop,
+        base_stock.unionByName(variant_stock), of, attribute, attribute_lang, group_lang,
+    )
+
+
+def catalog_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One numeric reference per part, base or variant; some variants do not exist."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        key.alias("request_id"),
+        key.alias("product_id"),
+        F.when(size % 3 == 0, F.lit(0)).otherwise(key * 10 + size % 4).cast("bigint").alias("combination_id"),
+        (1 + size).cast("bigint").alias("quantity"),
+        F.lit(1).cast("bigint").alias("shop_id"),
+        F.lit(1).cast("bigint").alias("currency_id"),
+        F.lit(1).cast("bigint").alias("country_id"),
+        (key % 3).alias("group_id"),
+        (key % 5).alias("customer_id"),
+    )
+
+
+def price_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a price rule of its part."""
+    part, supp, line, flag = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_returnflag")
+    text_date = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        ((F.col("l_orderkey") * 100000 + part) * 1000 + supp).alias("id"),
+        part.alias("product_id"),
+        F.when(line % 2 == 0, F.lit(0)).otherwise(part * 10 + supp % 3 + 1).cast("bigint").alias("combination_id"),
+        F.when(line == 3, 1).when(line == 5, 2).otherwise(0).cast("bigint").alias("shop_id"),
+        F.when(supp % 4 == 1, 1).otherwise(0).cast("bigint").alias("currency_id"),
+        F.lit(0).cast("bigint").alias("country_id"),
+        (supp % 3).alias("group_id"),
+        F.when(line == 6, part % 5).otherwise(0).cast("bigint").alias("customer_id"),
+        F.when(supp % 25 == 0, 9).otherwise(0).cast("bigint").alias("cart_id"),
+        F.when(flag == "N", F.col("l_extendedprice")).otherwise(F.lit(-1.0)).cast(MONEY).alias("price"),
+        F.col("l_quantity").cast("bigint").alias("from_quantity"),
+        F.when((supp % 33 == 0) & (flag == "R"), F.lit(1.5))
+        .when(supp % 35 == 0, F.lit(-0.1))
+        .when(flag == "A", F.col("l_discount") * 1000)
+        .when(flag == "R", F.col("l_discount"))
+        .when(supp % 37 == 0, F.lit(0.1))
+        .otherwise(F.lit(0.0))
+        .cast(MONEY)
+        .alias("reduction"),
+        (line % 2).alias("reduction_tax"),
+        F.when(flag == "R", F.lit("percentage"))
+        .when(flag == "A", F.lit("amount"))
+        .when(supp % 37 == 0, F.lit("gift"))
+        .otherwise(F.lit("amount"))
+        .alias("reduction_type"),
+        F.when(supp % 10 == 0, none)
+        .when(supp % 10 == 1, F.lit("0000-00-00 00:00:00"))
+        .when((supp % 10 == 2) & (line == 4), F.lit("soon"))
+        .otherwise(text_date("l_shipdate"))
+        .alias("valid_from"),
+        F.when(supp % 10 == 3, none)
+        .otherwise(text_date(F.col("l_shipdate") + F.expr("INTERVAL '180' DAY")))
+        .alias("valid_to"),
+        F.when(line != 4, line % 3).alias("priority"),
+    )
+
+
+def truth_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text references: base products twice over, variants, and unusable ones."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None).cast("string")
+    pid = F.when(key % 41 == 0, F.concat(F.lit("x"), text("p_partkey"))).otherwise(text("p_partkey"))
+    combination = (
+        F.when(size % 4 == 0, none)
+        .when(size % 4 == 1, F.lit("0"))
+        .when(size % 4 == 2, text(key * 10 + 1))
+        .otherwise(text(key * 10 + 2))
+    )
+    both = F.explode(F.array(F.struct(pid.alias("p"), none.alias("c")), F.struct(pid.alias("p"), combination.alias("c"))))
+    return table(spark, sf_dir, "part").select(both.alias("r")).select(
+        F.col("r.p").alias("product_id"), F.col("r.c").alias("combination_id")
+    )
