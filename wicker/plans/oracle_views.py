@@ -437,3 +437,264 @@ cte(
     """,
 )
 assembled_cte("truth_assembled", "truth_references")
+
+# -- recommendation ----------------------------------------------------------
+cte(
+    "commercial",
+    """
+    SELECT CASE WHEN p_partkey % 23 = 0 THEN 'x' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS product_id,
+      p_partkey % 11 <> 0 AS available, p_partkey % 13 <> 0 AS sellable, p_partkey % 17 <> 0 AS active,
+      CASE p_partkey % 5 WHEN 0 THEN 'low_stock' WHEN 1 THEN 'out_of_stock' WHEN 2 THEN 'unknown' ELSE 'in_stock' END
+        AS stock_status,
+      CASE WHEN p_partkey % 9 = 0 THEN 'EUR' ELSE 'CLP' END AS currency,
+      CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS amount,
+      CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'unknown' END AS margin_signal,
+      CASE p_size % 6 WHEN 0 THEN 'incompatible' WHEN 1 THEN 'unknown' ELSE 'compatible' END AS compatibility
+    FROM part
+    """,
+)
+
+
+def request_cte(name: str, edges: str) -> None:
+    cte(
+        name,
+        f"""
+        SELECT p_partkey AS request_id, CAST(p_partkey AS VARCHAR) AS src,
+          CASE WHEN p_partkey % 5 = 0 THEN lo END AS excluded, CASE WHEN p_partkey % 3 = 0 THEN hi END AS cart,
+          CASE WHEN p_partkey % 2 = 0 THEN lo END AS purchased, CASE WHEN p_partkey % 2 = 1 THEN lo END AS preferred,
+          CASE WHEN p_partkey % 4 = 0 THEN hi END AS context_excluded, p_partkey % 2 = 0 AS include_out_of_stock,
+          p_partkey % 4 = 1 AS in_stock_only, CASE WHEN p_partkey % 3 <> 0 THEN 'CLP' END AS budget_currency,
+          CASE WHEN p_partkey % 3 <> 0 THEN 900::DOUBLE + p_size * 4 END AS budget_max, 1 + p_partkey % 3 AS lim,
+          CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 3 THEN 'new-' || p_partkey
+            ELSE CAST(p_partkey % 149 + 1 AS VARCHAR) END AS customer_id
+        FROM part LEFT JOIN (SELECT source_product_id, min(target_product_id) AS lo, max(target_product_id) AS hi
+          FROM {edges} GROUP BY 1) ON source_product_id = CAST(p_partkey AS VARCHAR)
+        """,
+        edges,
+    )
+
+
+def commercial_ctes(prefix: str, requests: str, edges: str, data: str, pool: str) -> None:
+    """Judged, scored and ranked candidates; `pool` is the limit expression."""
+    cte(
+        f"{prefix}_judged",
+        f"""
+        SELECT *, out AND NOT include_out_of_stock AS drop_out, CASE WHEN dup > 1 THEN 'DUPLICATE_TARGET'
+          WHEN NOT has_data THEN 'MISSING_COMMERCIAL_DATA' WHEN tgt = src THEN 'SOURCE_PRODUCT'
+          WHEN tgt = excluded THEN 'EXPLICITLY_EXCLUDED' WHEN tgt = cart THEN 'ALREADY_IN_CART'
+          WHEN NOT active THEN 'INACTIVE' WHEN NOT sellable THEN 'NOT_SELLABLE'
+          WHEN out AND NOT include_out_of_stock THEN 'OUT_OF_STOCK' WHEN compatibility = 'incompatible' THEN 'INCOMPATIBLE'
+          WHEN currency = budget_currency AND amount > budget_max THEN 'ABOVE_BUDGET' END AS reject_code
+        FROM (SELECT r.*, k.* EXCLUDE (source_product_id, source_combination_id), k.target_product_id AS tgt,
+            coalesce(lift, 0) AS z_lift, coalesce(confidence, 0) AS z_conf, coalesce(support, 0) AS z_sup,
+            coalesce(joint_count, 0) AS z_joint,
+            row_number() OVER (PARTITION BY r.request_id, k.target_product_id ORDER BY reliability DESC,
+              coalesce(lift, 0) DESC, coalesce(confidence, 0) DESC, coalesce(support, 0) DESC, coalesce(joint_count, 0) DESC,
+              relationship_type) AS dup,
+            c.product_id IS NOT NULL AS has_data, c.* EXCLUDE (product_id),
+            c.stock_status = 'out_of_stock' OR NOT c.available AS out
+          FROM {requests} r JOIN {edges} k ON k.source_product_id = r.src
+          LEFT JOIN {data} c ON c.product_id = k.target_product_id)
+        """,
+        requests,
+        edges,
+        data,
+    )
+    cte(
+        f"{prefix}_scored",
+        f"""
+        SELECT *, greatest(0::DOUBLE, least(100::DOUBLE, s_rel + s_avail + s_comp + s_margin + s_pen)) AS total FROM
+        (SELECT *, reliability * 45 + z_conf * 20 + greatest(0::DOUBLE, least(1::DOUBLE, (z_lift - 1) / 4)) * 15
+            + greatest(0::DOUBLE, least(1::DOUBLE, z_sup / 0.1::DOUBLE)) * 10 AS s_rel,
+          CASE stock_status WHEN 'in_stock' THEN 5 WHEN 'low_stock' THEN 2 WHEN 'out_of_stock' THEN -15 ELSE 0 END::DOUBLE AS s_avail,
+          CASE WHEN compatibility = 'compatible' THEN 5 ELSE 0 END::DOUBLE AS s_comp,
+          CASE margin_signal WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 0 END::DOUBLE AS s_margin,
+          (CASE WHEN out THEN -15 ELSE 0 END + CASE WHEN budget_currency IS NOT NULL AND amount IS NULL THEN -2 ELSE 0 END
+            + CASE WHEN amount IS NOT NULL AND currency <> budget_currency THEN -2 ELSE 0 END)::DOUBLE AS s_pen,
+          list_filter([CASE WHEN tgt = purchased THEN 'ALREADY_PURCHASED' END, CASE WHEN out THEN 'OUT_OF_STOCK_INCLUDED' END,
+            CASE WHEN NOT out AND stock_status = 'low_stock' THEN 'LOW_STOCK' END,
+            CASE WHEN NOT out AND stock_status = 'unknown' THEN 'UNKNOWN_STOCK' END,
+            CASE WHEN compatibility = 'unknown' THEN 'UNKNOWN_COMPATIBILITY' END,
+            CASE WHEN budget_currency IS NOT NULL AND amount IS NULL THEN 'PRICE_UNAVAILABLE' END,
+            CASE WHEN amount IS NOT NULL AND currency <> budget_currency THEN 'CURRENCY_MISMATCH' END],
+            lambda x: x IS NOT NULL) AS warnings,
+          list_filter([CASE WHEN NOT out AND stock_status = 'low_stock' THEN 'LOW_STOCK' END,
+            CASE WHEN NOT out AND stock_status NOT IN ('low_stock', 'unknown') THEN 'AVAILABLE' END,
+            CASE WHEN compatibility = 'compatible' THEN 'COMPATIBLE' END,
+            CASE WHEN amount IS NOT NULL AND currency = budget_currency THEN 'WITHIN_BUDGET' END,
+            CASE WHEN reliability >= 0.7 THEN 'STRONG_RELATIONSHIP' END,
+            CASE WHEN evidence_kind = 'co_occurrence' AND confidence >= 0.5 THEN 'HIGH_CONFIDENCE' END,
+            CASE WHEN evidence_kind = 'co_occurrence' AND lift >= 2 THEN 'HIGH_LIFT' END,
+            CASE WHEN margin_signal = 'high' THEN 'HIGH_MARGIN_SIGNAL' END], lambda x: x IS NOT NULL) AS reasons
+         FROM {prefix}_judged WHERE reject_code IS NULL)
+        """,
+        f"{prefix}_judged",
+    )
+    cte(
+        f"{prefix}_top",
+        f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY total DESC, reliability DESC,
+            compatibility = 'compatible' DESC,
+            CASE stock_status WHEN 'in_stock' THEN 3 WHEN 'low_stock' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END DESC,
+            z_conf DESC, z_lift DESC, z_sup DESC, z_joint DESC, tgt) AS rank FROM {prefix}_scored)
+        WHERE rank <= {pool}
+        """,
+        f"{prefix}_scored",
+    )
+
+
+cte(
+    "behaviour",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS customer_id, json_extract_string(props, '$.k') AS product_id,
+      CASE event_type WHEN 'purchase' THEN 'purchase' WHEN 'error' THEN 'rejection' ELSE 'interest' END AS action,
+      CASE event_id % 4 WHEN 0 THEN 2 ELSE 1 END AS cnt, ts AS occurred_at
+    FROM events WHERE event_type <> 'signup'
+    UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(l_partkey AS VARCHAR), 'purchase', 1, o_orderdate
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    """,
+)
+cte(
+    "facts",
+    """
+    SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_type || '-' || p_size AS category,
+      p_brand || '-' || (p_size % 10) AS brand,
+      CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice * (p_partkey % 500) END AS price,
+      CASE WHEN p_partkey % 9 = 0 THEN 'EUR' ELSE 'CLP' END AS currency FROM part
+    """,
+)
+cte(
+    "profile",
+    """
+    SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CASE WHEN o_custkey % 8 = 0 THEN 'USD' ELSE 'CLP' END AS currency,
+      min(o_totalprice) AS min_spend, max(o_totalprice) AS max_spend, avg(o_totalprice) AS avg_spend, count(*) AS order_count
+    FROM orders GROUP BY ALL
+    """,
+)
+cte(
+    "affinity_requests",
+    """
+    SELECT user_id AS batch_id, event_id AS seq, CASE WHEN user_id % 10 = 0 THEN NULL
+      WHEN user_id % 7 = 3 THEN 'new-' || user_id ELSE CAST(user_id AS VARCHAR) END AS customer_id,
+      json_extract_string(props, '$.k') AS product_id FROM events
+    """,
+)
+POSITIVE_SIGNALS = {
+    "DIRECT_PRODUCT_PURCHASE": ("direct", 3, 0.2),
+    "CATEGORY_PURCHASE": ("category", 5, 0.1),
+    "BRAND_PURCHASE": ("brand", 5, 0.05),
+    "RECENT_PRODUCT_INTEREST": ("product_interest", 3, 0.25),
+    "RECENT_CATEGORY_INTEREST": ("category_interest", 3, 0.1),
+    "OWNED_COMPATIBLE_PRODUCT": ("owned", 2, 0.15),
+    "REPEAT_PURCHASE_PATTERN": ("repeat", 5, 0.1),
+    "OBSERVED_SPEND_FIT": ("fit", 1, 0.05),
+}
+NEGATIVE_SIGNALS = {"PRODUCT_REJECTION": ("product_rejection", 1, 0.5), "CATEGORY_REJECTION": ("category_rejection", 1, 0.25)}
+ALL_SIGNALS = POSITIVE_SIGNALS | NEGATIVE_SIGNALS
+
+
+def affinity_ctes(prefix: str, requests: str, edges: str, ref_time: str | None) -> None:
+    """Evidence, signals and the affinity table for (batch_id, seq, customer_id, product_id) requests."""
+    ref = f"TIMESTAMP '{ref_time}'" if ref_time else None
+    interest = f"occurred_at BETWEEN {ref} - INTERVAL 30 DAY AND {ref}" if ref else "false"
+    rejection = f"occurred_at BETWEEN {ref} - INTERVAL 180 DAY AND {ref}" if ref else "true"
+
+    def sums(names: dict[str, str]) -> str:
+        return ", ".join(
+            f"sum(cnt) FILTER ({cond}) AS {n}_n, max(occurred_at) FILTER ({cond}) AS {n}_t" for n, cond in names.items()
+        ) + ", bool_or(action = 'interest') AS saw_interest"
+
+    buy = "action = 'purchase'"
+    see, hate = f"action = 'interest' AND {interest}", f"action = 'rejection' AND {rejection}"
+    product = sums({"direct": buy, "product_interest": see, "product_rejection": hate})
+    category = sums({"category": buy, "category_interest": see, "category_rejection": hate})
+    cte(
+        f"{prefix}_wide",
+        f"""
+        SELECT a.*, p.* EXCLUDE (customer_id, product_id, saw_interest), c.* EXCLUDE (customer_id, category, saw_interest),
+          b.brand_n, b.brand_t, o.owned_n, o.owned_t, r.repeat_n AS repeat_days, r.repeat_t AS repeat_last, f.price, f.currency,
+          p.saw_interest AS saw_product, c.saw_interest AS saw_category, s.currency AS spend_currency,
+          CASE WHEN f.price IS NOT NULL AND f.currency = s.currency THEN
+            CASE WHEN f.price <= s.max_spend THEN 1.0::DOUBLE WHEN f.price <= s.avg_spend THEN 0.8::DOUBLE END END AS s_fit,
+          p.customer_id IS NOT NULL OR c.customer_id IS NOT NULL OR b.customer_id IS NOT NULL OR o.customer_id IS NOT NULL
+            AS has_rows
+        FROM (SELECT DISTINCT customer_id, product_id FROM {requests} WHERE customer_id IS NOT NULL) a
+        LEFT JOIN facts f USING (product_id)
+        LEFT JOIN (SELECT customer_id, product_id, {product} FROM behaviour GROUP BY 1, 2) p
+          ON p.customer_id = a.customer_id AND p.product_id = a.product_id
+        LEFT JOIN (SELECT customer_id, category, {category} FROM behaviour JOIN facts USING (product_id) GROUP BY 1, 2) c
+          ON c.customer_id = a.customer_id AND c.category = f.category
+        LEFT JOIN (SELECT customer_id, brand, sum(cnt) AS brand_n, max(occurred_at) AS brand_t
+            FROM behaviour JOIN facts USING (product_id) WHERE {buy} GROUP BY 1, 2) b
+          ON b.customer_id = a.customer_id AND b.brand = f.brand
+        LEFT JOIN (SELECT customer_id, source_product_id AS product_id, count(*) AS owned_n, max(t) AS owned_t
+            FROM (SELECT customer_id, product_id AS own, max(occurred_at) AS t FROM behaviour WHERE {buy} GROUP BY 1, 2)
+            JOIN (SELECT DISTINCT source_product_id, target_product_id FROM {edges}) ON target_product_id = own GROUP BY 1, 2) o
+          ON o.customer_id = a.customer_id AND o.product_id = a.product_id
+        LEFT JOIN (SELECT customer_id, product_id, count(DISTINCT CAST(occurred_at AS DATE)) AS repeat_n,
+            max(occurred_at) AS repeat_t FROM behaviour WHERE {buy} GROUP BY 1, 2) r
+          ON r.customer_id = a.customer_id AND r.product_id = a.product_id
+        LEFT JOIN profile s ON s.customer_id = a.customer_id
+        """,
+        requests,
+        edges,
+        "behaviour",
+        "facts",
+        "profile",
+    )
+    strengths = ", ".join(
+        f"CASE WHEN {n}_n > 0 THEN least(1.0::DOUBLE, {n}_n / {d}.0::DOUBLE) END AS s_{n}"
+        for n, d, _ in ALL_SIGNALS.values()
+        if n not in ("fit", "repeat")
+    )
+    cte(
+        f"{prefix}_signals",
+        f"""
+        SELECT *, {strengths}, CASE WHEN repeat_days >= 2 THEN least(1.0::DOUBLE, repeat_days / 5.0::DOUBLE) END AS s_repeat,
+          CASE WHEN repeat_days >= 2 THEN repeat_days END AS repeat_n, CASE WHEN repeat_days >= 2 THEN repeat_last END AS repeat_t,
+          CASE WHEN s_fit IS NOT NULL THEN 1 END AS fit_n, CAST(NULL AS TIMESTAMP) AS fit_t,
+          list_filter([{"NULL" if ref else "CASE WHEN saw_product THEN 'REFERENCE_TIME_UNAVAILABLE' END"},
+            {"NULL" if ref else "CASE WHEN saw_category THEN 'REFERENCE_TIME_UNAVAILABLE' END"},
+            CASE WHEN price IS NOT NULL AND spend_currency IS NULL THEN 'SPEND_PROFILE_UNAVAILABLE' END,
+            CASE WHEN price IS NOT NULL AND spend_currency <> currency THEN 'CURRENCY_MISMATCH' END],
+            lambda x: x IS NOT NULL) AS own_warnings
+        FROM {prefix}_wide WHERE has_rows
+        """,
+        f"{prefix}_wide",
+    )
+    z = lambda n: f"coalesce(s_{n}, 0.0::DOUBLE)"
+    plus = " + ".join(f"{z(n)} * {w}::DOUBLE" for n, _, w in POSITIVE_SIGNALS.values())
+    minus = " + ".join(f"{z(n)} * {w}::DOUBLE" for n, _, w in NEGATIVE_SIGNALS.values())
+    total = sum(w for _, _, w in POSITIVE_SIGNALS.values())
+    types = " + ".join(f"CAST(s_{n} IS NOT NULL AS INTEGER)" for n, _, _ in ALL_SIGNALS.values())
+    bad = " + ".join(f"CAST(s_{n} IS NOT NULL AS INTEGER)" for n, _, _ in NEGATIVE_SIGNALS.values())
+    count = " + ".join(f"CASE WHEN s_{n} IS NOT NULL THEN {n}_n ELSE 0 END" for n, _, _ in ALL_SIGNALS.values())
+    cte(
+        f"{prefix}_scores",
+        f"""
+        SELECT *, CASE WHEN signal_types = 0 OR pieces = 0 THEN 'none' WHEN signal_types >= 3 AND pieces >= 3 THEN 'high'
+            WHEN signal_types >= 2 AND pieces >= 2 THEN 'medium' ELSE 'low' END AS conf
+        FROM (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({plus}) - ({minus})) / {total!r}::DOUBLE)) AS score,
+          {types} AS signal_types, {bad} AS negatives, {count} AS pieces FROM {prefix}_signals)
+        """,
+        f"{prefix}_signals",
+    )
+    kept = ", ".join(f"CASE WHEN has THEN s_{n} END AS s_{n}" for n, _, _ in ALL_SIGNALS.values())
+    cte(
+        f"{prefix}_table",
+        f"""
+        SELECT batch_id, seq, customer_id, product_id, known, has, coalesce(score, 0.0::DOUBLE) AS affinity_score,
+          coalesce(conf, 'none') AS confidence, coalesce(signal_types, 0) AS signal_types, coalesce(negatives, 0) AS negatives,
+          coalesce(pieces, 0) AS pieces, {kept},
+          CASE WHEN has THEN own_warnings WHEN known AND with_evidence > 0 THEN ['PARTIAL_CUSTOMER_HISTORY']
+            WHEN known THEN ['NO_CUSTOMER_HISTORY'] ELSE [] END AS affinity_warnings,
+          CASE WHEN NOT known THEN 'CUSTOMER_NOT_IDENTIFIED' WHEN with_evidence = 0 THEN 'NO_CUSTOMER_HISTORY'
+            WHEN with_evidence < products THEN 'PARTIAL_CUSTOMER_HISTORY' END AS batch_warning
+        FROM (SELECT r.*, r.customer_id IS NOT NULL AS known, s.product_id IS NOT NULL AS has,
+            s.* EXCLUDE (customer_id, product_id), count(*) OVER (PARTITION BY batch_id) AS products,
+            count(s.product_id) OVER (PARTITION BY batch_id) AS with_evidence
+          FROM (SELECT batch_id, customer_id, product_id, min(seq) AS seq FROM {requests} GROUP BY ALL) r
+          LEFT JOIN {prefix}_scores s ON s.customer_id = r.customer_id AND s.product_id = r.product_id)
+        """,
+        f"{prefix}_scores",
+    )

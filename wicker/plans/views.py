@@ -434,3 +434,128 @@ def truth_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(both.alias("r")).select(
         F.col("r.p").alias("product_id"), F.col("r.c").alias("combination_id")
     )
+
+REF_TIME = "2024-02-05 00:00:00"
+
+
+def commercial_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Independent commercial flags per part; some parts are filed under another id."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        F.when(key % 23 == 0, F.concat(F.lit("x"), text("p_partkey"))).otherwise(text("p_partkey")).alias("product_id"),
+        F.lit(None).cast("string").alias("combination_id"),
+        (key % 11 != 0).alias("available"),
+        (key % 13 != 0).alias("sellable"),
+        (key % 17 != 0).alias("active"),
+        F.when(key % 5 == 0, "low_stock")
+        .when(key % 5 == 1, "out_of_stock")
+        .when(key % 5 == 2, "unknown")
+        .otherwise("in_stock")
+        .alias("stock_status"),
+        F.when(key % 9 == 0, "EUR").otherwise("CLP").alias("currency"),
+        F.when(key % 7 != 0, F.col("p_retailprice")).alias("amount"),
+        F.when(size % 4 == 0, "high").when(size % 4 == 1, "medium").when(size % 4 == 2, "low").otherwise("unknown").alias(
+            "margin_signal"
+        ),
+        F.when(size % 6 == 0, "incompatible").when(size % 6 == 1, "unknown").otherwise("compatible").alias("compatibility"),
+    )
+
+
+def reco_requests(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    """One recommendation request per part; its lists name targets of its own edges."""
+    key = F.col("p_partkey")
+    ends = edges.groupBy("source_product_id").agg(
+        F.concat(F.min("target_product_id"), F.lit(":")).alias("lo"),
+        F.concat(F.max("target_product_id"), F.lit(":")).alias("hi"),
+    )
+    parts = table(spark, sf_dir, "part").withColumn("source_product_id", text("p_partkey"))
+    listed = lambda when, c: F.when(when, F.array(c))
+    return parts.join(ends, "source_product_id", "left").select(
+        key.alias("request_id"),
+        "source_product_id",
+        F.lit(None).cast("string").alias("source_combination_id"),
+        F.lit(None).cast("array<string>").alias("relationship_types"),
+        listed(key % 5 == 0, F.col("lo")).alias("excluded"),
+        listed(key % 3 == 0, F.col("hi")).alias("cart"),
+        listed(key % 2 == 0, F.col("lo")).alias("purchased"),
+        listed(key % 2 == 1, F.col("lo")).alias("preferred"),
+        listed(key % 4 == 0, F.col("hi")).alias("context_excluded"),
+        (key % 2 == 0).alias("include_out_of_stock"),
+        (key % 4 == 1).alias("in_stock_only"),
+        F.when(key % 3 != 0, F.lit("CLP")).alias("budget_currency"),
+        F.when(key % 3 != 0, 900.0 + F.col("p_size") * 4).alias("budget_max"),
+        (1 + key % 3).cast("int").alias("limit"),
+        F.when(key % 5 == 0, F.lit(None).cast("string"))
+        .when(key % 7 == 3, F.concat(F.lit("new-"), text("p_partkey")))
+        .otherwise(text(key % 149 + 1))
+        .alias("customer_id"),
+    )
+
+
+def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases, interests and rejections out of events, and purchases out of orders."""
+    kind = F.col("event_type")
+    events = table(spark, sf_dir, "events").filter(kind != "signup").select(
+        text("user_id").alias("customer_id"),
+        F.get_json_object("props", "$.k").alias("product_id"),
+        F.lit(None).cast("string").alias("combination_id"),
+        F.when(kind == "purchase", "purchase").when(kind == "error", "rejection").otherwise("interest").alias("action"),
+        F.when(F.col("event_id") % 4 == 0, 2).when(F.col("event_id") % 4 != 1, 1).alias("cnt"),
+        F.col("ts").alias("occurred_at"),
+    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        text("o_custkey").alias("customer_id"),
+        text("l_partkey").alias("product_id"),
+        F.lit(None).cast("string").alias("combination_id"),
+        F.lit("purchase").alias("action"),
+        F.lit(1).alias("cnt"),
+        F.col("o_orderdate").alias("occurred_at"),
+    )
+    return events.unionByName(bought)
+
+
+def product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, brand and price of every part."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        text("p_partkey").alias("product_id"),
+        F.lit(None).cast("string").alias("combination_id"),
+        F.concat_ws("-", "p_type", text("p_size")).alias("category"),
+        F.concat_ws("-", "p_brand", text(size % 10)).alias("brand"),
+        F.when(key % 7 != 0, F.col("p_retailprice") * (key % 500)).alias("price"),
+        F.when(key % 9 == 0, "EUR").otherwise("CLP").alias("currency"),
+    )
+
+
+def compatible_products(edges: DataFrame) -> DataFrame:
+    return edges.select(
+        F.col("source_product_id").alias("product_id"),
+        F.col("source_combination_id").alias("combination_id"),
+        F.col("target_product_id").alias("compatible_product_id"),
+        F.col("target_combination_id").alias("compatible_combination_id"),
+    ).distinct()
+
+
+def spend_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        text("o_custkey").alias("customer_id"),
+        F.when(F.col("o_custkey") % 8 == 0, "USD").otherwise("CLP").alias("currency"),
+        F.col("o_totalprice").alias("amount"),
+    )
+
+
+def affinity_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event asks for its product; some users are new or not identified."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select(
+        user.alias("batch_id"),
+        F.col("event_id").alias("seq"),
+        F.when(user % 10 == 0, F.lit(None).cast("string"))
+        .when(user % 7 == 3, F.concat(F.lit("new-"), text("user_id")))
+        .otherwise(text("user_id"))
+        .alias("customer_id"),
+        F.get_json_object("props", "$.k").alias("product_id"),
+        F.lit(None).cast("string").alias("combination_id"),
+    )
