@@ -37,3 +37,23 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
         condition = term if condition is None else condition & term
     joined = left.join(renamed, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
+
+
+# Ids joined by NUL sort like (product, combination) with the base product first.
+_JOINT = "\u0000"
+
+
+def pack(product: str = "product_id", combination: str = "combination_id") -> Column:
+    """Identity as one string, for grouping and sorting inside an operator."""
+    return F.concat(
+        F.col(product),
+        F.when(F.col(combination).isNotNull(), F.concat(F.lit(_JOINT), F.col(combination))).otherwise(F.lit("")),
+    )
+
+
+def unpack(key: str, prefix: str = "") -> list[Column]:
+    """Product and combination id of a packed identity."""
+    at = F.instr(F.col(key), _JOINT)
+    product = F.when(at > 0, F.substring_index(key, _JOINT, 1)).otherwise(F.col(key))
+    combination = F.when(at > 0, F.substring(F.col(key), at + 1, F.length(key)))
+    return [product.alias(f"{prefix}product_id"), combination.alias(f"{prefix}combination_id")]

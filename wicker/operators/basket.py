@@ -6,11 +6,13 @@ combination_id (one row per item, repeats allowed unless stated).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.functions.cascade import first_match
-from wicker.functions.keys import identity_order, join_on
+from wicker.functions.keys import identity_order, pack, unpack
 from wicker.functions.ranking import top_k
 from wicker.params import PairParams
 
@@ -33,12 +35,13 @@ def in_window(window: tuple[str, str] | None) -> Column:
 def basket_contents(
     items: DataFrame, window: tuple[str, str] | None = None, transaction_type: str = "order"
 ) -> DataFrame:
-    """Distinct products per transaction of one type inside the window."""
-    return (
-        items.filter((F.col("transaction_type") == transaction_type) & in_window(window))
-        .select("transaction_id", *ITEM)
-        .dropDuplicates(["transaction_id", *ITEM])
-    )
+    """Distinct products (packed as `item`) per transaction of one type inside the window."""
+    wanted = (F.col("transaction_type") == transaction_type) & in_window(window)
+    # the NULL test is what a later semi join would infer; stated here, all
+    # readers of the contents share one shuffle
+    return items.filter(wanted & F.col("transaction_id").isNotNull()).select(
+        "transaction_id", pack().alias("item")
+    ).distinct()
 
 
 def basket_sizes(contents: DataFrame) -> DataFrame:
@@ -51,69 +54,120 @@ def eligible_baskets(
     """Contents of baskets with at least two distinct products, with the basket size."""
     contents = basket_contents(items, window, transaction_type)
     sizes = basket_sizes(contents).filter(F.col("basket_size") >= 2)
-    return contents.join(sizes, "transaction_id")
+    return contents.join(sizes, "transaction_id").select("transaction_id", *unpack("item"), "basket_size")
 
 
-def product_counts(eligible: DataFrame) -> DataFrame:
-    """Number of eligible baskets that hold each product."""
-    return eligible.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("basket_count"))
+@dataclass(frozen=True)
+class Baskets:
+    """Eligible baskets as arrays, and the contents of the large ones.
 
+    `arrays` has one row per transaction with its first BLOCK + 1 products. A
+    basket with more than BLOCK products is `large`: its contents stay in rows.
+    """
 
-def total_baskets(eligible: DataFrame) -> DataFrame:
-    """One row: number of eligible baskets."""
-    return eligible.agg(F.count_distinct("transaction_id").alias("total_baskets"))
+    arrays: DataFrame
+    contents: DataFrame | None
 
+    def small(self) -> DataFrame:
+        n = F.size("items")
+        return self.arrays.filter((n >= 2) & (n <= BLOCK) if self.contents is not None else n >= 2)
 
-def _pair_up(blocks: DataFrame) -> DataFrame:
-    """Unordered pairs (a before b) out of one block of a basket, or of two."""
-    low = F.col("low")
-    outer = blocks.select("low", "high", "same", F.posexplode("low").alias("position", "a"))
-    partners = F.when(
-        F.col("same"), F.slice(low, F.col("position") + 2, F.size(low))
-    ).otherwise(F.col("high"))
-    return outer.select("a", F.explode(partners).alias("b")).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    )
+    def large(self) -> DataFrame | None:
+        """Contents of large baskets with their size."""
+        if self.contents is None:
+            return None
+        ids = self.arrays.filter(F.size("items") > BLOCK).select("transaction_id")
+        rows = self.contents.join(ids, "transaction_id", "left_semi")
+        return rows.join(basket_sizes(rows), "transaction_id")
+
+    def total(self) -> DataFrame:
+        """One row: number of eligible baskets."""
+        return self.arrays.filter(F.size("items") >= 2).agg(F.count(F.lit(1)).alias("total_baskets"))
 
 
-def unordered_pairs(eligible: DataFrame) -> DataFrame:
-    """One row per basket and unordered pair of products.
+def gather(contents: DataFrame) -> Baskets:
+    """Baskets of any size.
 
-    Every item goes to the block pairs it takes part in; a small basket is one
-    block, a large one is split by a hash of the product. Groups stay bounded
-    and each pair comes out of exactly one group.
+    The row number keeps BLOCK + 1 products per transaction on the map side
+    already, so a transaction with very many products never fills a task.
     """
-    item = F.struct(*[F.col(c) for c in ITEM])
-    blocks = F.ceil(F.col("basket_size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64(*ITEM), F.col("n_blocks")).cast("int")
+    window = Window.partitionBy("transaction_id").orderBy("item")
+    head = contents.withColumn("n", F.row_number().over(window)).filter(F.col("n") <= BLOCK + 1)
+    return Baskets(_arrays(head), contents)
+
+
+def gather_bounded(contents: DataFrame) -> Baskets:
+    """Baskets whose size the normaliser has already bounded; one shuffle."""
+    return Baskets(_arrays(contents), None)
+
+
+def _arrays(rows: DataFrame) -> DataFrame:
+    items = F.sort_array(F.collect_list("item"))
+    return rows.groupBy("transaction_id").agg(items.alias("items"))
+
+
+def _blocks(baskets: Baskets) -> DataFrame:
+    """Groups of products to pair up: low x high, or low with itself.
+
+    A small basket is one block. The products of a large one are split by hash,
+    and every pair of its blocks becomes one group of bounded size.
+    """
+    small = baskets.small().select(
+        F.col("items").alias("low"), F.col("items").alias("high"), F.lit(True).alias("same")
+    )
+    large = baskets.large()
+    if large is None:
+        return small
+    n_blocks = F.ceil(F.col("basket_size") / F.lit(BLOCK)).cast("int")
     spread = (
-        eligible.withColumn("n_blocks", blocks)
-        .withColumn("own", own)
+        large.withColumn("n_blocks", n_blocks)
+        .withColumn("own", F.pmod(F.xxhash64("item"), F.col("n_blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     )
     first, second = F.least("own", "other"), F.greatest("own", "other")
+    item = F.col("item")
     grouped = (
         # one struct key: a partitioning on the basket alone does not satisfy it,
         # so the block pairs of a large basket really spread out
-        spread.select(
-            F.struct("transaction_id", first.alias("i"), second.alias("j")).alias("block"),
-            item.alias("item"),
-            (F.col("own") == first).alias("in_low"),
-            (F.col("own") == second).alias("in_high"),
-        )
-        .groupBy("block")
+        spread.groupBy(F.struct("transaction_id", first.alias("i"), second.alias("j")).alias("block"))
         .agg(
-            F.sort_array(F.collect_list(F.when(F.col("in_low"), F.col("item")))).alias("low"),
-            F.collect_list(F.when(F.col("in_high"), F.col("item"))).alias("high"),
+            F.sort_array(F.collect_list(F.when(F.col("own") == first, item))).alias("low"),
+            F.collect_list(F.when(F.col("own") == second, item)).alias("high"),
         )
+        .select("low", "high", (F.col("block.i") == F.col("block.j")).alias("same"))
     )
-    return _pair_up(
-        grouped.select("low", "high", (F.col("block.i") == F.col("block.j")).alias("same"))
+    return small.unionByName(grouped)
+
+
+def item_counts(baskets: Baskets) -> DataFrame:
+    """Eligible baskets per packed product."""
+    items = baskets.small().select(F.explode("items").alias("item"))
+    large = baskets.large()
+    if large is not None:
+        items = items.unionByName(large.select("item"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("basket_count"))
+
+
+def product_counts(baskets: Baskets) -> DataFrame:
+    """Number of eligible baskets that hold each product."""
+    return item_counts(baskets).select(*unpack("item"), "basket_count")
+
+
+def unordered_pairs(baskets: Baskets) -> DataFrame:
+    """One row per basket and unordered pair of products (a before b)."""
+    blocks = _blocks(baskets)
+    low = F.col("low")
+    outer = blocks.select("low", "high", "same", F.posexplode("low").alias("position", "x"))
+    partners = F.when(
+        F.col("same"), F.slice(low, F.col("position") + 2, F.size(low))
+    ).otherwise(F.col("high"))
+    return outer.select("x", F.explode(partners).alias("y")).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
     )
 
 
-def unordered_pair_counts(eligible: DataFrame) -> DataFrame:
-    return unordered_pairs(eligible).groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint_count"))
+def unordered_pair_counts(baskets: Baskets) -> DataFrame:
+    return unordered_pairs(baskets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint_count"))
 
 
 def mirror(pairs: DataFrame, swapped: dict[str, str] | None = None) -> DataFrame:
@@ -127,21 +181,16 @@ def mirror(pairs: DataFrame, swapped: dict[str, str] | None = None) -> DataFrame
             other = (swapped.get(c) or back.get(c)) if flip else None
             return F.col(other or c).alias(c)
 
-        return F.struct(
-            F.col(f"{source}.product_id").alias(SOURCE[0]),
-            F.col(f"{source}.combination_id").alias(SOURCE[1]),
-            F.col(f"{target}.product_id").alias(TARGET[0]),
-            F.col(f"{target}.combination_id").alias(TARGET[1]),
-            *[pick(c) for c in keep],
-        )
+        return F.struct(F.col(source).alias("s"), F.col(target).alias("t"), *[pick(c) for c in keep])
 
     both = F.explode(F.array(side("a", "b", False), side("b", "a", True)))
-    return pairs.select(both.alias("edge")).select("edge.*")
+    edges = pairs.select(both.alias("edge")).select("edge.*")
+    return edges.select(*unpack("s", "source_"), *unpack("t", "target_"), *keep)
 
 
-def pair_counts(eligible: DataFrame) -> DataFrame:
+def pair_counts(baskets: Baskets) -> DataFrame:
     """Directed pairs with the number of baskets that hold both products."""
-    return mirror(unordered_pair_counts(eligible))
+    return mirror(unordered_pair_counts(baskets))
 
 
 def metrics(df: DataFrame) -> DataFrame:
@@ -163,24 +212,23 @@ def metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def evidence(eligible: DataFrame) -> DataFrame:
+def evidence(baskets: Baskets, pairs: DataFrame | None = None) -> DataFrame:
     """Directed pairs with counts and metrics.
 
     Counts are attached to unordered pairs, before mirroring, which halves the
-    rows of both joins.
+    rows of both joins. `pairs` may be given where they are already stored.
     """
-    pairs = unordered_pair_counts(eligible)
-    counts = product_counts(eligible).select(F.struct(*ITEM).alias("item"), "basket_count")
-    # count_a is a basket_count of the product a; likewise for b
+    if pairs is None:
+        pairs = unordered_pair_counts(baskets)
+    counts = item_counts(baskets)
     with_a = pairs.join(
         counts.select(F.col("item").alias("a"), F.col("basket_count").alias("source_count")), "a"
     )
     with_b = with_a.join(
         counts.select(F.col("item").alias("b"), F.col("basket_count").alias("target_count")), "b"
     )
-    total = total_baskets(eligible).scalar()
     directed = mirror(with_b, {"source_count": "target_count"})
-    return metrics(directed.withColumn("total_transactions", total))
+    return metrics(directed.withColumn("total_transactions", baskets.total().scalar()))
 
 
 def threshold_code(p: PairParams) -> Column:
@@ -216,9 +264,9 @@ def in_output_order(df: DataFrame) -> DataFrame:
     return df.orderBy(*identity_order("source_"), *strength_order())
 
 
-def same_order_candidates(eligible: DataFrame, p: PairParams) -> DataFrame:
+def same_order_candidates(baskets: Baskets, p: PairParams, pairs: DataFrame | None = None) -> DataFrame:
     """Evidence that passes the thresholds, at most max_per_source edges per source."""
-    passed = with_thresholds(evidence(eligible), p).filter(F.col("reject_code").isNull())
+    passed = with_thresholds(evidence(baskets, pairs), p).filter(F.col("reject_code").isNull())
     return top_k_per_source(passed.drop("reject_code"), p.max_per_source)
 
 
@@ -271,10 +319,10 @@ def cooccurrence_stats(items: DataFrame, window: tuple[str, str], p: PairParams)
         F.count_if(order & F.col("inside") & ~several).alias("single_product_orders_ignored"),
         F.count_if(order & F.col("inside") & several).alias("orders_processed"),
     )
-    eligible = eligible_baskets(items, window)
-    products = product_counts(eligible).agg(F.count(F.lit(1)).alias("distinct_products_observed"))
+    baskets = gather(basket_contents(items, window))
+    products = product_counts(baskets).agg(F.count(F.lit(1)).alias("distinct_products_observed"))
     per_source = (
-        with_thresholds(evidence(eligible), p)
+        with_thresholds(evidence(baskets), p)
         .groupBy(*SOURCE)
         .agg(
             F.sum("joint_count").alias("joint"),
