@@ -15,6 +15,7 @@ from wicker.operators import affinity as A
 from wicker.operators import commercial as M
 from wicker.operators import personalise as X
 from wicker.params import PersonalParams
+from wicker.session import stage_table
 
 TARGET = ["target_product_id", "target_combination_id"]
 SOURCE = ["source_product_id", "source_combination_id"]
@@ -122,6 +123,8 @@ def compose(
     )
     judged = M.judge(pooled, edges, M.commercial_data(truth))
     top = M.commercial_top(M.scored_candidates(judged)).withColumn("limit", F.col("wanted")).drop("wanted")
+    # stages that several readers share are stored, so none is computed twice
+    top = stage_table(top, "recommendations")
     asked = affinity_requests(top)
     known = F.col("known_customer")
     if evidence_for is None:
@@ -133,7 +136,8 @@ def compose(
         table = A.affinity_table(asked, A.with_score(A.with_signals(evidence, profile, ref_time)))
     # neutral affinity of this stage comes without warnings
     table = table.withColumn("batch_warning", F.when(known, F.col("batch_warning")))
-    personalised = X.personalise(top, table, PersonalParams(max_results=POOL))
+    table = stage_table(table, "affinity")
+    personalised = stage_table(X.personalise(top, table, PersonalParams(max_results=POOL)), "personalised")
     return Search(open_requests, top, table, personalised, enrich(personalised, truth))
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog", "q_reco"]
+_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog", "q_reco", "q_compose"]
 
 
 def load_all() -> None:
