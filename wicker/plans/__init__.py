@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog", "q_reco", "q_compose"]
+_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog", "q_reco", "q_compose", "q_search"]
 
 
 def load_all() -> None:

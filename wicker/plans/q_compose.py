@@ -239,7 +239,7 @@ def _(spark, sf):
     SELECT s.request_id, CASE WHEN s.source_status <> 'ok' THEN s.source_status
         WHEN s.request_id NOT IN (SELECT request_id FROM sx_top) THEN 'NO_COMMERCIAL_CANDIDATES' ELSE 'ok' END AS status,
       CAST(final_rank AS INTEGER) AS rank, tgt AS target_product_id, round(final_score, 9) AS score,
-      round(commercial_score, 9) AS commercial_score, round(coalesce(affinity_score, 0), 9) AS affinity_score,
+      round(commercial_score, 9) AS commercial_score, round(affinity_score, 9) AS affinity_score,
       aconf AS affinity_confidence, reason
     FROM search_sources s LEFT JOIN sx_returned r ON r.request_id = s.request_id
     """,

@@ -559,3 +559,93 @@ def affinity_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").alias("product_id"),
         F.lit(None).cast("string").alias("combination_id"),
     )
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per part: its name, its reference, or its brand."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("query_id"),
+        F.when(key % 3 == 0, F.col("p_name"))
+        .when(key % 3 == 1, F.concat(F.lit("ref-"), text("p_partkey")))
+        .otherwise(F.concat(F.lit(" "), "p_brand"))
+        .alias("query"),
+        (3 + key % 3).cast("int").alias("limit"),
+        (key % 2 == 0).alias("include_out_of_stock"),
+    )
+
+
+def intent_name() -> Column:
+    key, size = F.col("p_partkey") % 6, text("p_size")
+    return (
+        F.when(key == 0, F.concat(F.lit("Barra Olímpica "), size, F.lit(" kg")))
+        .when(key == 1, F.concat(F.lit("Disco Bumper "), size, F.lit(" kg")))
+        .when(key == 2, F.concat(F.lit("Kettlebell "), size, F.lit(" kg")))
+        .when(key == 3, F.concat(F.lit("Barra Z "), F.col("p_name")))
+        .when(key == 4, F.concat(F.lit("Colchoneta "), size, F.lit(" cm")))
+        .otherwise(F.concat(F.col("p_name"), F.lit(" "), size, F.lit(" mm")))
+    )
+
+
+def intent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search rows of a sports shop, one per part."""
+    key = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "part").select(
+        key.alias("product_id"),
+        F.lit(0).cast("bigint").alias("combination_id"),
+        F.concat(F.lit("ref"), text("p_partkey")).alias("product_sku"),
+        none.alias("combination_sku"),
+        intent_name().alias("product_name"),
+        F.concat(F.lit("<p>"), "p_type", F.lit(" "), "p_brand", F.lit("</p>")).alias("short_description"),
+        none.alias("long_description"),
+        none.alias("variant_label"),
+        (key % 7 - 1).alias("physical_quantity"),
+        F.lit(False).alias("has_variants"),
+        F.lit(0).alias("is_default"),
+        F.lit(None).cast("int").alias("default_on"),
+    )
+
+
+def intent_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same shop as resolved products."""
+    key = F.col("p_partkey")
+    weight = F.struct(F.lit("Peso").alias("group"), F.concat(text("p_size"), F.lit(" kg")).alias("value"))
+    status = F.when(key % 31 == 0, "unknown").when(key % 7 > 1, "in_stock").otherwise("out_of_stock")
+    return table(spark, sf_dir, "part").select(
+        key.alias("product_id"),
+        F.lit(0).cast("bigint").alias("combination_id"),
+        intent_name().alias("name"),
+        F.concat(F.lit("ref"), text("p_partkey")).alias("reference"),
+        F.concat_ws(" ", "p_type", "p_brand").alias("description"),
+        F.when(F.col("p_type") != "ECONOMY", F.concat(F.lit("Cat "), "p_type")).alias("category"),
+        (key % 17 != 0).alias("active"),
+        F.when(key % 37 != 0, F.col("p_retailprice")).alias("price"),
+        status.alias("stock_status"),
+        (status == "in_stock").alias("purchasable"),
+        F.when(key % 5 == 0, F.array(weight)).alias("attributes"),
+    )
+
+
+def intent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wish per part."""
+    key, size = F.col("p_partkey"), text("p_size")
+    k = key % 8
+    return table(spark, sf_dir, "part").select(
+        key.alias("query_id"),
+        F.when(k == 0, F.concat(F.lit(" Barra  Olímpica "), size, F.lit(" kilos")))
+        .when(k == 1, F.concat(F.lit("disco bumper "), size, F.lit("kg")))
+        .when(k == 2, F.concat(F.lit("Pesa rusa "), size, F.lit(" KG")))
+        .when(k == 3, F.col("p_name"))
+        .when(k == 4, F.concat(F.lit("ref"), text("p_partkey")))
+        .when(k == 5, F.lit("barra"))
+        .when(k == 6, F.lit("Kettlebell"))
+        .otherwise(F.concat(F.lit("colchoneta "), size, F.lit(",0 centímetros")))
+        .alias("query"),
+        F.when(key % 3 == 0, F.lit("para gimnasio standard")).alias("intended_use"),
+        F.when(key % 4 == 0, F.col("p_type")).alias("category_wanted"),
+        F.when(key % 5 == 0, F.array("p_brand")).alias("preferred"),
+        F.when(key % 6 == 0, F.array(text("p_partkey"))).alias("excluded"),
+        (key % 9 == 0).alias("in_stock_only"),
+        F.when(key % 2 == 0, F.lit(10)).alias("limit"),
+    )
