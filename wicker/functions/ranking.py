@@ -42,6 +42,8 @@ def mark_repeats(
 ) -> DataFrame:
     """Flag rows that come after the first row of their key in `seq` order.
 
+    `seq` must not repeat within a key.
+
     The first row comes from a `min` aggregate with a map-side part, and only
     keys that occur twice reach the join, so a key with very many copies is
     never sorted in one task. Rows outside `among` take no part and are never

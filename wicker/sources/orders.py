@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from wicker.functions.cascade import first_match
 from wicker.functions.keys import blank
-from wicker.functions.ranking import mark_repeats
 
 
 def order_lines(
@@ -45,7 +44,10 @@ def tag_lines(
     tie_break: Sequence[str] = (),
     states_vary: bool = False,
 ) -> DataFrame:
-    """Adds drop_reason (NULL = kept) and order_accepted to every line.
+    """Adds drop_reason (NULL = kept), order_accepted and copies to every line.
+
+    Equal copies of a line are one row with their number in `copies`; all but
+    one of them count as duplicates.
 
     With `states_vary` an order may carry several states and its first line
     decides; a scan of an order table has one state per order and skips that.
@@ -63,9 +65,7 @@ def tag_lines(
         ).drop("__state")
     accepted = F.col("order_state").isin(list(accepted_states))
     df = df.withColumn("order_accepted", F.when(complete, accepted))
-    df = mark_repeats(
-        df, ["order_id", "line_id"], seq, "__repeat", among=F.coalesce("order_accepted", F.lit(False))
-    )
+    df = _fold_copies(df, ["order_id", "line_id"], seq)
     reason = first_match(
         [
             (~complete, "INCOMPLETE"),
@@ -78,8 +78,35 @@ def tag_lines(
     return df.withColumn("drop_reason", reason).drop("__repeat")
 
 
+def _fold_copies(df: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
+    """Marks later lines of a key in `__repeat` and folds equal lines into `copies`.
+
+    Only lines of accepted orders take part. Keys with one line, the usual
+    case, pass untouched; lines of the others are grouped by their content with
+    a map-side count, so a line with very many copies stays one row.
+    """
+    place = F.struct(*seq, F.xxhash64(*[c for c in df.columns if c not in seq]))
+    first = (
+        df.filter("order_accepted")
+        .groupBy(*keys)
+        .agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > 1)
+        .drop("__n")
+    )
+    joined = df.withColumn("__place", place).join(first, list(keys), "left")
+    several = F.col("__first").isNotNull() & F.coalesce("order_accepted", F.lit(False))
+    later = F.col("__place") > F.col("__first")
+    lone = joined.filter(~several).select(*df.columns, F.lit(False).alias("__repeat"), F.lit(1).cast("bigint").alias("copies"))
+    folded = (
+        joined.filter(several)
+        .groupBy(*df.columns, later.alias("__repeat"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    return lone.unionByName(folded)
+
+
 def clean_lines(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("drop_reason").isNull()).drop("drop_reason", "order_accepted")
+    return tagged.filter(F.col("drop_reason").isNull()).drop("drop_reason", "order_accepted", "copies")
 
 
 def read_stats(tagged: DataFrame) -> DataFrame:
@@ -88,11 +115,12 @@ def read_stats(tagged: DataFrame) -> DataFrame:
     Orders are counted on one row per order, so the distinct count carries no
     line data.
     """
-    reason = F.col("drop_reason")
+    reason, copies = F.col("drop_reason"), F.col("copies")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
     lines = tagged.agg(
-        F.count(F.lit(1)).alias("source_lines_read"),
-        F.count_if(reason.isNotNull()).alias("source_lines_excluded"),
-        F.count_if(reason == "DUPLICATE_LINE").alias("source_duplicate_lines_excluded"),
+        total(copies).alias("source_lines_read"),
+        total(F.when(reason.isNotNull(), copies).otherwise(copies - 1)).alias("source_lines_excluded"),
+        total(F.when(reason == "DUPLICATE_LINE", copies).otherwise(copies - 1)).alias("source_duplicate_lines_excluded"),
         F.count_if(reason == "PRODUCT_EXCLUDED").alias("source_products_excluded"),
     )
     orders = (
