@@ -57,3 +57,10 @@ def unpack(key: str, prefix: str = "") -> list[Column]:
     product = F.when(at > 0, F.substring_index(key, _JOINT, 1)).otherwise(F.col(key))
     combination = F.when(at > 0, F.substring(F.col(key), at + 1, F.length(key)))
     return [product.alias(f"{prefix}product_id"), combination.alias(f"{prefix}combination_id")]
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames of counters as one row; each of the others is a single broadcast row."""
+    for other in others:
+        first = first.join(F.broadcast(other))
+    return first

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.functions.cascade import first_match
-from wicker.functions.keys import identity_order, pack, unpack
+from wicker.functions.keys import beside, identity_order, pack, unpack
 from wicker.functions.ranking import top_k
 from wicker.params import PairParams
 
@@ -351,8 +351,7 @@ def cooccurrence_stats(items: DataFrame, window: tuple[str, str], p: PairParams)
             ]
         ]
     )
-    # three one-row frames side by side
-    return counted.join(products).join(pairs)
+    return beside(counted, products, pairs)
 
 
 def cooccurrence_warnings(stats: DataFrame, limited: DataFrame) -> DataFrame:

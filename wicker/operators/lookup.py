@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.functions.keys import blank, identity_order, join_on
+from wicker.functions.keys import beside, blank, identity_order, join_on
 from wicker.functions.ranking import top_k
 from wicker.operators.snapshot import canonical_keys
 from wicker.operators.validate import IDENTITY, SOURCE
@@ -112,4 +112,4 @@ def find_related(sources: DataFrame, edges: DataFrame, types: list[str] | None,
 def snapshot_metadata(edges: DataFrame, meta: DataFrame) -> DataFrame:
     """Declared metadata plus the number of sources."""
     sources = edges.agg(F.count_distinct(F.struct(*SOURCE)).alias("source_count"))
-    return meta.join(sources)
+    return beside(meta, sources)

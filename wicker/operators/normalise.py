@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.functions.cascade import first_match
-from wicker.functions.keys import blank, identity_order
+from wicker.functions.keys import beside, blank, identity_order
 from wicker.functions.ranking import mark_repeats
 from wicker.params import NormaliseParams
 
@@ -243,7 +243,7 @@ def stats(n: Normalised, raw_lines: DataFrame) -> DataFrame:
     products = (
         n.items.select(*ITEM).distinct().agg(F.count(F.lit(1)).alias("distinct_products_observed"))
     )
-    return records.join(read).join(products)
+    return beside(records, read, products)
 
 
 def in_output_order(items: DataFrame, mode: str = "occurred_at_then_transaction_id") -> DataFrame:

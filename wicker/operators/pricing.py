@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicker.functions.cascade import codes, first_match
+from wicker.functions.keys import beside
 from wicker.functions.ranking import top_k
 from wicker.sources import catalog as Cat
 
@@ -229,7 +230,7 @@ def truth_stats(requests: DataFrame, truth: DataFrame) -> DataFrame:
         F.count_if(F.col("final_gross").isNull()).alias("price_unavailable"),
         F.coalesce(F.sum(F.size("warnings")), F.lit(0).cast("bigint")).alias("warnings_generated"),
     )
-    return requested.join(counted).withColumn("missing", F.col("requested") - F.col("resolved"))
+    return beside(requested, counted).withColumn("missing", F.col("requested") - F.col("resolved"))
 
 
 # -- quotes: the second rule set -------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicker.functions.cascade import first_match, with_code
-from wicker.functions.keys import blank, product_key
+from wicker.functions.keys import beside, blank, product_key
 from wicker.functions.ranking import mark_repeats
 from wicker.params import ValidationParams
 
@@ -187,7 +187,7 @@ def stats(validated: DataFrame) -> DataFrame:
         F.count_distinct(F.struct(*SOURCE)).alias("distinct_source_products_accepted"),
         F.count_distinct(F.struct(*TARGET)).alias("distinct_target_products_accepted"),
     )
-    return by_code.join(distinct)
+    return beside(by_code, distinct)
 
 
 def warnings(validated: DataFrame) -> DataFrame:

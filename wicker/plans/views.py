@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wicker.schemas import TABLES
+
 WINDOW = ("1995-01-01 00:00:00", "2001-12-31 00:00:00")
 NARROW = ("1996-01-01 00:00:00", "2000-12-31 00:00:00")
 MODEL = "same-order-v1"
@@ -15,7 +17,7 @@ MODEL = "same-order-v1"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table, with zone-less timestamps read as UTC instants."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
     naive = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicker.functions.cascade import first_match
-from wicker.functions.keys import blank
+from wicker.functions.keys import beside, blank
 
 
 def order_lines(
@@ -132,7 +132,7 @@ def read_stats(tagged: DataFrame) -> DataFrame:
             F.count_if(~F.col("accepted")).alias("source_orders_excluded"),
         )
     )
-    return orders.join(lines)
+    return beside(orders, lines)
 
 
 def transaction_headers(tagged: DataFrame) -> DataFrame:
