@@ -72,6 +72,7 @@ def test_baskets_of_any_size_match_brute_force(spark):
     source = items(spark, {t: plain(v) for t, v in data.items()})
     baskets = B.gather(B.basket_contents(source, WINDOW))
     assert found_pairs(baskets) == dict(brute_force(data))
+    assert found_pairs(B.gather_stored(B.basket_contents(source, WINDOW))) == dict(brute_force(data))
     eligible = [set(v) for v in data.values() if len(set(v)) > 1]
     counts = {r.product_id: r.basket_count for r in B.product_counts(baskets).collect()}
     assert counts == dict(Counter(p for v in eligible for p in v))

@@ -15,6 +15,7 @@ from wicker.functions.cascade import first_match
 from wicker.functions.keys import beside, identity_order, pack, unpack
 from wicker.functions.ranking import top_k
 from wicker.params import PairParams
+from wicker.session import stage_table
 
 ITEM = ["product_id", "combination_id"]
 SOURCE = ["source_product_id", "source_combination_id"]
@@ -96,9 +97,18 @@ def gather(contents: DataFrame) -> Baskets:
     return Baskets(_arrays(head), contents)
 
 
-def gather_bounded(contents: DataFrame) -> Baskets:
-    """Baskets whose size the normaliser has already bounded; one shuffle."""
-    return Baskets(_arrays(contents), None)
+def gather_stored(contents: DataFrame) -> Baskets:
+    """Baskets of any size, stored once for the pair count, the counts and the total.
+
+    Without large baskets, the usual case, nothing of their path is planned.
+    """
+    lazy = gather(contents)
+    arrays = stage_table(lazy.arrays, "baskets")
+    large = arrays.filter(F.size("items") > BLOCK).select("transaction_id")
+    if large.isEmpty():
+        return Baskets(arrays, None)
+    rows = contents.join(large, "transaction_id", "left_semi")
+    return Baskets(arrays, stage_table(rows, "large-baskets"))
 
 
 def _arrays(rows: DataFrame) -> DataFrame:
@@ -319,7 +329,7 @@ def cooccurrence_stats(items: DataFrame, window: tuple[str, str], p: PairParams)
         F.count_if(order & F.col("inside") & ~several).alias("single_product_orders_ignored"),
         F.count_if(order & F.col("inside") & several).alias("orders_processed"),
     )
-    baskets = gather(basket_contents(items, window))
+    baskets = gather_stored(basket_contents(items, window))
     products = product_counts(baskets).agg(F.count(F.lit(1)).alias("distinct_products_observed"))
     per_source = (
         with_thresholds(evidence(baskets), p)

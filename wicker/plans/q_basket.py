@@ -20,11 +20,11 @@ pair_ctes("mi", "mixed_items", V.NARROW)
 
 
 def eligible(spark, sf):
-    return B.gather(B.basket_contents(V.basket_items(spark, sf), V.WINDOW))
+    return B.gather_stored(B.basket_contents(V.basket_items(spark, sf), V.WINDOW))
 
 
 def mixed_eligible(spark, sf):
-    return B.gather(B.basket_contents(V.mixed_items(spark, sf), V.NARROW))
+    return B.gather_stored(B.basket_contents(V.mixed_items(spark, sf), V.NARROW))
 
 
 @query(
@@ -199,6 +199,6 @@ def _(spark, sf):
 def _(spark, sf):
     items = V.mixed_items(spark, sf)
     limited = B.per_source_rejections(
-        B.with_thresholds(B.evidence(B.gather(B.basket_contents(items, V.NARROW))), MIXED), MIXED.max_per_source
+        B.with_thresholds(B.evidence(B.gather_stored(B.basket_contents(items, V.NARROW))), MIXED), MIXED.max_per_source
     )
     return B.cooccurrence_warnings(B.cooccurrence_stats(items, V.NARROW, MIXED), limited)
