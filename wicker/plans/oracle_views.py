@@ -281,10 +281,10 @@ cte(
 cte(
     "cat_stock",
     """
-    SELECT p_partkey AS product_id, 0 AS combination_id,
+    SELECT p_partkey AS product_id, CAST(0 AS BIGINT) AS combination_id,
       CASE WHEN p_partkey % 19 <> 0 THEN (p_partkey * 7) % 50 - 5 END AS physical_quantity
     FROM part WHERE p_partkey % 11 <> 0
-    UNION ALL SELECT product_id, combination_id, combination_id % 13 - 2 FROM cat_variant WHERE combination_id % 7 <> 0
+    UNION ALL SELECT product_id, CAST(combination_id AS BIGINT), combination_id % 13 - 2 FROM cat_variant WHERE combination_id % 7 <> 0
     """,
     "cat_variant",
 )
