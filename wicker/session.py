@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,23 +35,36 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster, or an own one where none is set."""
+    """Shared folder named by the cluster; a local session may go without one.
+
+    Executors on other machines could not read what one of them wrote to a folder
+    of its own, so a cluster that names no folder is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="spark-wicker-")
+        atexit.register(shutil.rmtree, _own_scratch[app], ignore_errors=True)
     return _own_scratch[app]
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name in the shared scratch folder that no other call uses."""
+    return f"{scratch_root(spark)}/wicker-{uuid.uuid4().hex}/{name}"
+
+
+def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a frame that several later jobs read, and read it back.
 
     Cuts the lineage through shared storage, so a lost executor costs a re-read
-    and not a recomputation, and gives the planner true file sizes.
+    and not a recomputation, and gives the planner true file sizes. Options go to
+    the Parquet writer.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/wicker-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    path = new_folder(spark, name)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
