@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wicker.llm import pii, secret_scan
 from wicker.llm.encode import default_tokenizer
+from wicker.llm.near_dup import near_duplicates
 from wicker.llm.packing import encode_pieces, place
+from wicker.llm.pii import find_pii
+from wicker.llm.secret_scan import scan_secrets
 from wicker.llm.token_counts import length_counts, length_histogram
 from wicker.llm.token_files import read_documents, write_token_files
 from wicker.plans.registry import query
@@ -36,3 +40,30 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths with suffix sums."""
     counts = length_counts(table(spark, sf_dir, "documents"), default_tokenizer())
     return length_histogram(stage_table(counts, "length_counts"))
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least id and the size of its near-duplicate class."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and a digest of the base kinds, and all spans."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return digest(found, pii.BASE)
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents through a new ledger: counts and a digest of the base kinds, and all spans."""
+    found = scan_secrets(table(spark, sf_dir, "documents"), new_folder(spark, "secret_ledger"))
+    return digest(found, secret_scan.BASE)
+
+
+def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts by base kind, the digest of the base spans, and all spans, from (doc_id, spans)."""
+    counts = [F.size(pii.of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}") for k in base]
+    own = pii.joined(pii.of_kinds(F.col("spans"), base))
+    return found.select("doc_id", *counts, F.sha2(own.cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
