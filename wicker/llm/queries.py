@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm import pii, secret_scan
+from wicker.llm import pii, quality, secret_scan, toxicity
 from wicker.llm.encode import default_tokenizer
 from wicker.llm.near_dup import near_duplicates
 from wicker.llm.packing import encode_pieces, place
@@ -67,3 +67,34 @@ def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     counts = [F.size(pii.of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}") for k in base]
     own = pii.joined(pii.of_kinds(F.col("spans"), base))
     return found.select("doc_id", *counts, F.sha2(own.cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def apart(labels: DataFrame, parts: int, held: int) -> DataFrame:
+    """Labels of the rows to learn from: those outside the held-out remainder."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts != held)
+
+
+def judged(scores: DataFrame, parts: int, held: int) -> DataFrame:
+    """Adds held_out and predicted, from 0.3 on."""
+    return scores.select(
+        "doc_id",
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for quality by attention over their passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, apart(table(spark, sf_dir, "labels"), 5, 0))
+    return judged(quality.score_quality(docs, model), 5, 0)
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for toxicity by a lexicon learnt from labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn_lexicon(docs, apart(table(spark, sf_dir, "labels"), 4, 2))
+    return judged(toxicity.score_toxicity(docs, lexicon), 4, 2)
