@@ -12,15 +12,16 @@ token goes to the library uncut.
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 from collections.abc import Iterator
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 8 << 20
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -42,6 +43,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _LETTER, _PUNCT, _SOLID = _tables()
+# ASCII white space and control characters, or the first byte of what may be white space beyond ASCII
+_HAS_SPACE = re.compile(rb"[\x00-\x20\xc2\xe1\xe2\xe3]")
 
 
 def text_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
@@ -66,37 +69,80 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def worker_encoder(path: str, specials_as_text: bool = False) -> Encoder:
+    """The encoder of this worker process: what it has encoded is known to its later tasks too."""
+    kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
+    name = (path, specials_as_text)
+    if name not in kept:
+        kept[name] = Encoder(path, specials_as_text)
+    return kept[name]
+
+
 class Encoder:
     """Encodes string columns; `specials_as_text` reads special strings as ordinary text."""
 
     def __init__(self, path: str, specials_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [] if specials_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, list[int]] = {}
+        before = self.tokenizer.pre_tokenizer
+        line = self.whole("\n")
+        # other kinds of vocabularies may join over the cuts: they get whole texts
+        self.cuts = isinstance(before, ByteLevel) and not before.add_prefix_space and self.tokenizer.normalizer is None and len(line) == 1
+        self.line = line[0] if line else -1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.first = np.zeros(1 << 18, np.int64)
+        self.used = 0
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _pieces(self, words: list[str]) -> list[list[int]]:
+    def _add(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        n, at = len(self.known), self.used
+        if at + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)))
+        if n + len(words) + 1 > len(self.first):
+            self.first = np.concatenate((self.first, np.zeros(len(self.first) + len(words), np.int64)))
+        self.ids[at : at + len(ids)] = ids
+        self.first[n + 1 : n + 1 + len(words)] = at + ends
+        self.known.update(zip(words, range(n, n + len(words))))
+        self.used = at + len(ids)
+
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        """Places of the pieces in the store, encoding those that are new."""
+        if len(self.known) > CACHE_ENTRIES:
+            self._forget()
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
         new = [w for w in words if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = found.ids
-        return [known[w] for w in words]
+        plain = [w for w in new if not _HAS_SPACE.search(w, 1) and w != b"\n"]
+        # pieces without inner white space are encoded as lines of one text: a line break is a token of its own
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            found = self.tokenizer.encode_batch_fast([b"\n".join(part).decode()], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.uint32)
+            breaks = np.flatnonzero(ids == self.line)
+            self._add(part, np.delete(ids, breaks), np.append(breaks - np.arange(len(breaks)), len(ids) - len(breaks)))
+        for w in new:
+            if w not in known:
+                ids = self.whole(w.decode())
+                self._add([w], np.array(ids, np.uint32), np.array([len(ids)]))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order (uint32), and n + 1 offsets into them."""
         texts = len(column)
         odd = np.zeros(texts, bool)
+        if not self.cuts:
+            return self._joined([np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)])
         for s in self.specials:
             odd |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
         if odd.any():
@@ -109,33 +155,33 @@ class Encoder:
         cut[1:-1] = space[1:-1] & solid[2:]
         cut[1:] |= (data[:-1] == 10) & solid[1:]
         cut[1:] |= _LETTER[data[:-1]] & _PUNCT[data[1:]]
-        cut[ends[:-1][np.diff(ends) > 0]] = True
+        filled = np.diff(ends) > 0
+        cut[ends[1:][filled] - 1] = False  # what follows the last byte belongs to the next text
+        cut[ends[:-1][filled]] = True
         starts = np.flatnonzero(cut)
         bounds = np.append(starts, len(data)).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = words.dictionary_encode()
         which = coded.indices.to_numpy()
-        ids = self._pieces(coded.dictionary.cast(pa.string()).to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        each = sizes[which]
+        slot = self._slots(coded.dictionary.to_pylist())[which]
+        first = self.first[slot]
+        each = self.first[slot + 1] - first
         upto = np.concatenate(([0], np.cumsum(each)))
-        take = np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1])
-        return flat[take], upto[np.searchsorted(starts, ends)]
+        take = np.repeat(first - upto[:-1], each) + np.arange(upto[-1])
+        return self.ids[take], upto[np.searchsorted(starts, ends)]
 
     def _with_specials(self, column: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), column)
-        ids, at = self.encode_plain(plain)
+        ids, at = self.encode(plain)
         parts = [
             np.asarray(self.whole(column[i].as_py()), np.uint32) if odd[i] else ids[at[i] : at[i + 1]]
             for i in range(len(column))
         ]
-        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return self._joined(parts)
 
-    def encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """As encode, for texts without special strings."""
-        return self.encode(column)
+    @staticmethod
+    def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
 
     def with_end(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode, with an end id after each text."""

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.llm.encode import Encoder, text_batches
+from wicker.llm.encode import text_batches, worker_encoder
 from wicker.session import stage_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, number long"
@@ -116,7 +116,7 @@ def encode_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, seen = Encoder(tokenizer), np.zeros(capacity + 1, np.int64)
+        encoder, seen = worker_encoder(tokenizer), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             at = 0
             for texts in text_batches(batch.column("text"), 4 << 20):

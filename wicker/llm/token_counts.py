@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.llm.encode import Encoder, text_batches
+from wicker.llm.encode import text_batches, worker_encoder
 
 BLOCK = 1024
 
@@ -28,7 +28,7 @@ def length_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
     """(length, docs) with one row per encoded length that occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             found = [np.diff(encoder.encode(texts)[1]) for texts in text_batches(batch.column(0))]
             if found:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicker.llm.encode import Encoder, text_batches
+from wicker.llm.encode import Encoder, text_batches, worker_encoder
 
 SHARD = "shard int, docs long, tokens long, null_ids long"
 
@@ -96,7 +96,7 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder, at, offsets, ids, nulls = Encoder(tokenizer), 0, [np.zeros(1, "<u8")], [], 0
+        encoder, at, offsets, ids, nulls = worker_encoder(tokenizer), 0, [np.zeros(1, "<u8")], [], 0
         own_store, own_folder = open_fs(uri)
         name = f"{own_folder}/{part:06d}"
         own = f"{own_folder}/.{part:06d}-{uuid.uuid4().hex}"
