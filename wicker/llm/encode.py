@@ -43,8 +43,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _LETTER, _PUNCT, _SOLID = _tables()
-# ASCII white space and control characters, or the first byte of what may be white space beyond ASCII
-_HAS_SPACE = re.compile(rb"[\x00-\x20\xc2\xe1\xe2\xe3]")
+# one space at most, then neither ASCII white space and control characters nor the first byte of what may be white space
+# beyond ASCII
+_PLAIN = re.compile(rb"\x20?[^\x00-\x20\xc2\xe1\xe2\xe3]+")
 
 
 def text_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
@@ -123,7 +124,7 @@ class Encoder:
             self._forget()
         known = self.known
         new = [w for w in words if w not in known]
-        plain = [w for w in new if not _HAS_SPACE.search(w, 1) and w != b"\n"]
+        plain = [w for w in new if _PLAIN.fullmatch(w)]
         # pieces without inner white space are encoded as lines of one text: a line break is a token of its own
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
