@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicker.llm.components import components
@@ -61,7 +61,8 @@ class NearDupParams:
         return p - 4 * math.sqrt(p * (1 - p) / k)
 
 
-def _key(text: str):
+def text_key(text: str) -> Column:
+    """Digest of a text; NULL counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
@@ -87,7 +88,7 @@ def sketches(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> D
                 at += n
                 yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), band, small], ["doc_id", "key", "size", "bands", "sketch"])
 
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     return rows_in.mapInArrow(run, "doc_id long, key binary, size long, bands array<long>, sketch binary")
 
 
@@ -109,7 +110,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, p: NearDupParams, text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, n), codes], ["key", "codes"])
                 at += n
 
-    texts = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text")).join(keys, "key", "left_semi")
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(keys, "key", "left_semi")
     return texts.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key binary, codes binary")
 
 

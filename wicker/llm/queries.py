@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from wicker.llm import pii, quality, secret_scan, toxicity
+from wicker.llm.decontaminate import find_leaks
 from wicker.llm.encode import default_tokenizer
 from wicker.llm.near_dup import near_duplicates
 from wicker.llm.packing import encode_pieces, place
@@ -13,6 +15,7 @@ from wicker.llm.pii import find_pii
 from wicker.llm.secret_scan import scan_secrets
 from wicker.llm.token_counts import length_counts, length_histogram
 from wicker.llm.token_files import read_documents, write_token_files
+from wicker.llm.vptree import build_index, search
 from wicker.plans.registry import query
 from wicker.session import new_folder, stage_table
 
@@ -98,3 +101,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn_lexicon(docs, apart(table(spark, sf_dir, "labels"), 4, 2))
     return judged(toxicity.score_toxicity(docs, lexicon), 4, 2)
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the item, the place and the similarity."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_vantage_point_trees")
+def op4_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = build_index(vectors, new_folder(spark, "trees"))
+    return search(index, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after another, over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
