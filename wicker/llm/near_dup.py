@@ -10,9 +10,9 @@ on, and a class is a connected component of links; equal texts are one class.
    and every member is paired with it: pairs grow with the members, not their
    square. Pairs are checked exactly on their shingles and linked.
 3. Buckets whose members are by then not in one class are compared inside, block
-   by block, between different classes only, on the sketches. The best partner in
-   each other class is checked first; after joining those classes, every pair
-   that is left between classes and whose sketches allow the threshold is checked.
+   by block and between different classes only: pairs whose sketches allow the
+   threshold are checked exactly, likeliest first, until the classes they belong
+   to are joined. What leaves a block is at most one link for each class in it.
    So each pair that shares a bucket ends in one class or was found too different.
 
 Pairs are dropped unchecked only if their sizes forbid the threshold, or if their
@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.llm.components import components
@@ -46,13 +46,14 @@ from wicker.session import stage_table
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """threshold: least similarity of a link. bands x rows: entries of a sketch. block: members compared in one go."""
+    """threshold: least similarity of a link. bands x rows: entries of a sketch. block, block_shingles: members compared in one go."""
 
     threshold: float = 0.8
     shingle: int = 5
     bands: int = 20
     rows: int = 5
     block: int = 1024
+    block_shingles: int = 1 << 20
 
     @property
     def plausible(self) -> float:
@@ -120,14 +121,8 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("ca"), batch.column("cb"))):
-                a, b = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                if len(a) > len(b):
-                    a, b = b, a
-                if len(a) and len(a) >= threshold * len(b):
-                    at = np.searchsorted(b, a)
-                    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                    keep[i] = same >= threshold * (len(a) + len(b) - same)
+            for i, pair in enumerate(zip(batch.column("ca"), batch.column("cb"))):
+                keep[i] = similar(*(np.frombuffer(v.as_buffer(), "<u8") for v in pair), threshold)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     left, right = sets.select(F.col("key").alias("a"), F.col("codes").alias("ca")), sets.select(F.col("key").alias("b"), F.col("codes").alias("cb"))
@@ -144,59 +139,92 @@ def hub_pairs(members: DataFrame, p: NearDupParams) -> DataFrame:
     return met.where(fits).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, p: NearDupParams, best: bool) -> DataFrame:
-    """Plausible pairs between different classes inside buckets: with `best`, each text's closest in every other class."""
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted code sets reach the threshold."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(a) < threshold * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return same >= threshold * (len(a) + len(b) - same)
+
+
+class _Joined:
+    """Union-find over small numbers."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def open_links(members: DataFrame, texts: DataFrame, sets: DataFrame, labels: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links between classes inside the buckets that hold several: enough of them to join all that are linked there.
+
+    The members of such a bucket meet in blocks. Plausible pairs between different
+    classes are checked exactly, likeliest first, unless their classes have been
+    joined by then; a pair that shares several buckets is checked in the first.
+    """
     own = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rows = own.join(mixed, "bucket", "left_semi").join(texts.select("key", "sketch"), "key")
-    blocks = F.ceil(F.col("members") / p.block)
+    rows = own.join(mixed, "bucket", "left_semi")
+    blocks = F.greatest(F.ceil(F.col("members") / p.block), F.ceil(F.col("shingles") / p.block_shingles))
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "size", "component", "sketch")
+    rows = rows.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "size", "component")
+    rows = rows.join(texts.select("key", "sketch"), "key").join(sets, "key")
     grouped = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    threshold, plausible, width = p.threshold, p.plausible, p.bands * p.rows
+    threshold, plausible, count, depth = p.threshold, p.plausible, p.bands, p.rows
 
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def compare(group: pa.Table) -> list[tuple[int, int]]:
         n = group.num_rows
-        size = group["size"].to_numpy()
-        entries = np.frombuffer(b"".join(group["sketch"].to_pylist()), "<u2").reshape(n, width)
+        size, block = group["size"].to_numpy(), group["block"].to_numpy()
+        entries = np.frombuffer(b"".join(group["sketch"].to_pylist()), "<u2").reshape(n, count * depth)
         kinds = group["component"].combine_chunks().dictionary_encode().indices.to_numpy()
-        block = group["block"].to_numpy()
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j)
+        i, j, band = (group[c][0].as_py() for c in ("i", "j", "band"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
         for at in range(0, len(left), 64):
             x = left[at : at + 64]
-            with np.errstate(all="ignore"):
-                fits = np.minimum.outer(size[x], size[right]) >= threshold * np.maximum.outer(size[x], size[right])
+            fits = np.minimum.outer(size[x], size[right]) >= threshold * np.maximum.outer(size[x], size[right])
             fits &= kinds[x][:, None] != kinds[right][None, :]
             if i == j:
                 fits &= x[:, None] < right[None, :]
             u, v = np.nonzero(fits)
             for k in range(0, len(u), 20_000):
                 a, b = x[u[k : k + 20_000]], right[v[k : k + 20_000]]
-                near = (entries[a] == entries[b]).mean(axis=1)
-                ok = near >= plausible
+                equal = entries[a] == entries[b]
+                near = equal.mean(axis=1)
+                first = equal.reshape(-1, count, depth).all(axis=2).argmax(axis=1)
+                ok = (near >= plausible) & (first == band)
                 found.append((a[ok], b[ok], near[ok]))
         if not found:
-            return np.zeros(0, int), np.zeros(0, int)
+            return []
         a, b, near = (np.concatenate(z) for z in zip(*found))
-        if best and len(a):
-            keep = np.zeros(len(a), bool)
-            for one, two in ((a, b), (b, a)):
-                order = np.lexsort((-near, kinds[two], one))
-                first = np.append(True, (np.diff(one[order]) != 0) | (np.diff(kinds[two][order]) != 0))
-                keep[order[first]] = True
-            a, b = a[keep], b[keep]
-        return a, b
+        order = np.argsort(-near, kind="stable")
+        codes = [np.frombuffer(v.as_buffer(), "<u8") for chunk in group["codes"].chunks for v in chunk]
+        classes, links = _Joined(int(kinds.max()) + 1), []
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            one, two = classes.find(kinds[x]), classes.find(kinds[y])
+            if one != two and similar(codes[x], codes[y], threshold):
+                classes.join(one, two)
+                links.append((x, y))
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b = compare(group)
-            if len(a):
+        def found(group: pa.Table) -> Iterator[pa.RecordBatch]:
+            links = compare(group)
+            if links:
                 keys = group["key"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array([x[k] for x in links])) for k in (0, 1)], ["a", "b"])
 
         held: list[pa.Table] = []
         last = None
@@ -210,37 +238,50 @@ def open_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, p: NearD
                     continue
                 name = tuple(int(c[s]) for c in ids)
                 if name != last and held:
-                    yield from pairs(pa.concat_tables(held))
+                    yield from found(pa.concat_tables(held))
                     held = []
                 held.append(part.slice(s, e - s))
                 last = name
         if held:
-            yield from pairs(pa.concat_tables(held))
+            yield from found(pa.concat_tables(held))
 
-    found = grouped.mapInArrow(run, "x binary, y binary")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return grouped.mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_rows, key): every row with the least id of its class and the rows of the class."""
+    """(doc_id, class_id, class_rows, class_key, key): every row with the least id of its class and the rows of the class.
+
+    class_key tells classes apart where ids are NULL; key is the digest of the row's text.
+    """
     p = params or NearDupParams()
     every = stage_table(sketches(docs, p, id_col, text_col), "sketches")
     texts = every.groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     texts = stage_table(texts, "texts")
-    placed = texts.select("key", "size", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    placed = texts.select("key", "size", F.posexplode("bands").alias("band", "bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")).where("members > 1")
     members = stage_table(placed.join(shared, "bucket"), "members")
     sets = stage_table(shingle_sets(docs, members.select("key").distinct(), p, text_col), "shingle_sets")
     links = stage_table(linked(hub_pairs(members, p), sets, p.threshold), "links")
-    labels = components(links)
-    for best in (True, False):
-        more = stage_table(linked(open_pairs(members, texts, labels, p, best), sets, p.threshold), "links")
-        links = links.union(more)
-        labels = components(links)
+    more = stage_table(open_links(members, texts, sets, components(links), p), "links")
+    labels = components(links.union(more))
     own = texts.select("key", "least_id", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left")
     own = stage_table(own.withColumn("component", F.coalesce("component", "key")), "text_classes")
     classes = own.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_rows"))
-    by_text = own.join(classes, "component").select("key", "class_id", "class_rows")
-    return every.select("doc_id", "key").join(by_text, "key").select("doc_id", "class_id", "class_rows", "key")
+    by_text = own.join(classes, "component").select("key", "class_id", "class_rows", F.col("component").alias("class_key"))
+    return every.select("doc_id", "key").join(by_text, "key").select("doc_id", "class_id", "class_rows", "class_key", "key")
+
+
+def one_of_each(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with the columns it came with: the least id, NULL last; of texts that repeat it, the least digest."""
+    found = near_duplicates(docs, params, id_col, text_col)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    chosen = found.groupBy("class_key", "doc_id", "key").agg(F.count("*").alias("rows"))
+    chosen = chosen.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "key", "rows"), rank).alias("best")).select("best.*")
+    chosen = stage_table(chosen.toDF("__id", "__key", "__rows"), "chosen")
+    kept = docs.join(chosen, (text_key(text_col) == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
+    if chosen.where("__rows > 1").limit(1).count():  # rows that repeat id and text: one of them stays
+        row = Window.partitionBy("__key").orderBy(*[docs[c].cast("string") for c in docs.columns if c != text_col])
+        kept = kept.withColumn("__row", F.row_number().over(row)).where("__row = 1")
+    return kept.select(*[docs[c] for c in docs.columns])
