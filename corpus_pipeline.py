@@ -13,7 +13,7 @@ pack           packs the texts into sequences of at most 2048 ids
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker.llm import decontaminate, near_dup, quality, secret_scan
@@ -31,18 +31,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     known = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     model = quality.train(docs, known)
     kept = tuple(c for c in docs.columns if c != "doc_id")
-    scored = quality.score_quality(docs, model, keep=kept)
-    return scored.where(F.col("score") >= KEEP_FROM).select(*docs.columns)
+    scored = quality.score_quality(docs, model, keep=kept, score_col="__score")
+    return scored.where(F.col("__score") >= KEEP_FROM).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each class: the least id, NULL ids last; of rows that repeat it, the first in a fixed order."""
-    classes = near_dup.near_duplicates(docs).select("key", "class_id").distinct()
-    ids = F.col("class_id").eqNullSafe(F.col("doc_id"))
-    own = docs.withColumn("key", near_dup.text_key("text")).join(classes, "key").where(ids).drop("class_id")
-    # the least id of a class picks few rows; they are told apart only where the id repeats
-    row = Window.partitionBy("doc_id").orderBy("key", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return own.withColumn("__row", F.row_number().over(row)).where("__row = 1").select(*docs.columns)
+    """Keep one row of each class: the least id, NULL last."""
+    return near_dup.one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +47,10 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets; n_chars follows the text."""
-    found = secret_scan.scan_secrets(docs, new_folder(spark, "secret_ledger"), keep=tuple(docs.columns))
-    clean = found.withColumn("text", secret_scan.masked(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secret_scan.scan_secrets(docs, new_folder(spark, "secret_ledger"), keep=tuple(docs.columns), spans_col="__spans")
+    hit = F.size("__spans") > 0
+    clean = found.withColumn("text", F.when(hit, secret_scan.masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
+    return clean.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

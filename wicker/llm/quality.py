@@ -235,14 +235,14 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, id
     return fit_attention(vectors, at, np.array([r.label for r in found]), p)
 
 
-def score_quality(docs: DataFrame, model: GatedAttention, p: QualityParams | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, score, passages) for every row."""
+def score_quality(docs: DataFrame, model: GatedAttention, p: QualityParams | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """(doc_id, *keep, score, passages) for every row; kept columns must differ from `score_col`."""
     p = p or QualityParams()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, many = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for texts in text_batches(batch.column("__text")):
+            for texts in text_batches(batch.column(batch.num_columns - 1)):
                 vectors, at = passages(texts, p.passage)
                 scores.append(model.score(vectors, at))
                 many.append(np.diff(at))
@@ -250,8 +250,10 @@ def score_quality(docs: DataFrame, model: GatedAttention, p: QualityParams | Non
             columns += [pa.array(np.concatenate(scores), pa.float64()), pa.array(np.concatenate(many), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("__text"))
-    names = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(names))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col))
+    names = rows.columns[:-1]
+    # columns go by place, so kept ones may have any name
+    rows = rows.toDF(*[f"c{i}" for i in range(len(names) + 1)])
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     scored = rows.mapInArrow(run, f"{schema}, c{len(names)} double, c{len(names) + 1} long")
-    return scored.toDF(*[f.name for f in names], "score", "passages")
+    return scored.toDF(*names, score_col, "__passages").withColumnsRenamed({} if "passages" in keep else {"__passages": "passages"})

@@ -111,8 +111,8 @@ def scan_new_blobs(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
     new.write.mode("append").parquet(ledger)
 
 
-def findings_of(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of every row with its findings (current rule versions), by start, then rule order."""
+def findings_of(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), spans_col: str = "spans") -> DataFrame:
+    """The kept columns of every row with its findings (current rule versions) as `spans_col`, by start, then rule order."""
     spark = docs.sparkSession
     keys = [r.key for r in rules]
     order = F.array(*[F.lit(k) for k in keys])
@@ -124,16 +124,16 @@ def findings_of(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, t
         lambda f: F.struct(f["start"].alias("start"), F.array_position(order, f["rule"]).alias("place"), f["kind"].alias("kind"), f["end"].alias("end")),
     )
     spans = F.transform(F.array_sort(placed), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end")))
-    own = own.select("blob", spans.alias("spans"))
-    rows = docs.select(*keep, blob_of(text_col).alias("blob"))
+    own = own.select(F.col("blob").alias("__blob"), spans.alias("__spans"))
+    rows = docs.select(*keep, blob_of(text_col).alias("__of"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return rows.join(own, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    return rows.join(own, F.col("__of") == F.col("__blob"), "left").select(*[rows[c] for c in keep], F.coalesce("__spans", none).alias(spans_col))
 
 
-def scan_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), spans_col: str = "spans") -> DataFrame:
     """Bring the ledger up to date with the rows, and give each row its findings."""
     scan_new_blobs(docs, ledger, rules, text_col)
-    return findings_of(docs, ledger, rules, text_col, keep)
+    return findings_of(docs, ledger, rules, text_col, keep, spans_col)
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:

@@ -53,7 +53,8 @@ LOOKALIKES = str.maketrans(
     "абвгдеёзийіїјклмнорстухѕԁһԛԝαβγεηικνορτυχωϲ",
     "a6brдeeзииiijkлмhopctyxsdhqwabyenikvoptuxwc",
 )
-SIGNS = str.maketrans("0134578@$!|+", "oleastbasiit")
+# l, 1, ! and | stand for each other and for i, so all fold to i
+SIGNS = str.maketrans("0134578@$!|+l", "oieastbasiiti")
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -100,9 +101,11 @@ def density(text: str, machine, per: float) -> tuple[float, int]:
         start = end - length + 1
         if start and text[start - 1].isalnum():
             continue
+        if not (family or end + 1 == size or not text[end + 1].isalnum()):
+            continue
         if exception:
             excused.append((start, end))
-        elif family or end + 1 == size or not text[end + 1].isalnum():
+        else:
             hits.append((start, end, weight))
     if not hits:
         return 0.0, 0

@@ -90,7 +90,7 @@ def shingles_of(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(n, U)
     for k in range(size):
         step = np.zeros(n, U)
-        step[: n - k] = code[k:]
+        step[: max(0, n - k)] = code[k:]
         step[left <= k] = 0
         out = (out ^ step) * U(0xFF51AFD7ED558CCD) + U(k + 1)
         out ^= out >> U(32)
