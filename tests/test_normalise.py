@@ -140,3 +140,10 @@ def test_source_cleansing_with_varying_states(spark):
     assert (s.source_orders_read, s.source_lines_read, s.source_orders_excluded) == (3, 9, 1)
     assert (s.source_lines_excluded, s.source_duplicate_lines_excluded, s.source_products_excluded) == (7, 1, 1)
     assert {r.transaction_id: r.line_count for r in O.transaction_headers(tagged).collect()} == {"1": 2, "3": 0}
+
+
+def test_a_time_needs_a_date(spark):
+    from wicker.operators.normalise import parse_instant
+
+    rows = spark.createDataFrame([("T10:00:00Z",), ("10:00:00Z",), ("2025-03-01T10:00:00Z",), ("2025-03-01T10:00:00",)], "t string")
+    assert [r[0] is None for r in rows.select(parse_instant("t")).collect()] == [True, True, False, True]

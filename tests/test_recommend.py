@@ -130,3 +130,16 @@ def test_personalised_order(spark):
     rejected = personal(spark, [("B", "product_rejection", 1)])
     assert order(rejected) == ["C"]
     assert X.excluded(rejected).first().exclusion_code == "EXPLICIT_PRODUCT_REJECTION"
+
+
+def test_spend_is_held_against_its_own_currency(spark):
+    from wicker.operators import affinity as A
+
+    rows = spark.createDataFrame(
+        [("c", "p", None, "price", None, None, None, 9.0, "CLP"), ("d", "p", None, "price", None, None, None, 9.0, "EUR")],
+        "customer_id string, product_id string, combination_id string, kind string, cnt int, occurred_at timestamp, "
+        "median_interval_days double, candidate_price double, currency string",
+    )
+    orders = spark.createDataFrame([("c", "CLP", 10.0), ("c", "USD", 5.0), ("d", "CLP", 10.0)], "customer_id string, currency string, amount double")
+    got = A.with_signals(A.evidence_from_rows(rows, None), A.customer_profile(orders), None).collect()
+    assert sorted((r.customer_id, r.s_OBSERVED_SPEND_FIT, r.affinity_warnings) for r in got) == [("c", 1.0, []), ("d", None, ["CURRENCY_MISMATCH"])]

@@ -112,3 +112,12 @@ def test_terms_fill_up_in_order(spark):
     _, hits, _, _ = resolve(spark, "barra")
     got = [(r.product_id, r.term) for r in hits.orderBy("position").collect()]
     assert got == [(2, "barra olimpica"), (1, "barra olimpica"), (3, "barra z")]
+
+
+def test_marks_that_stand_alone_go(spark):
+    from pyspark.sql import functions as F
+
+    from wicker.functions.text import normalise_text
+
+    row = spark.createDataFrame([("Barra ´olímpica ^`¨·¸ ḱ",)], "t string").select(normalise_text(F.col("t"))).first()
+    assert row[0] == "barra olimpica k"

@@ -128,3 +128,28 @@ def test_build_job_end_to_end(spark, tmp_path):
     with pytest.raises(BuildError):
         build_snapshot(orders, lines, BuildConfig(str(tmp_path), FROM, ("5",), min_reliability=1.0))
     assert store.active_id(spark, str(tmp_path)) == done["snapshot_id"]
+
+
+def test_different_content_has_different_ids(spark):
+    def id_of(*edges):
+        return S.digest(frame(spark, *edges)).first().snapshot_id
+
+    assert id_of(edge("A", "B", lift=1e8)) != id_of(edge("A", "B", lift=5e8))
+    assert id_of(edge("1|x", "y")) != id_of(edge("1", "x|y"))
+    assert id_of(edge("A", "B")) != id_of(edge("A", "B", source_combination_id="~"))
+    assert id_of(edge("A", "B", source_combination_id="-")) != id_of(edge("A", "B"))
+
+
+def test_collision_is_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "edge_fingerprint", lambda: F.sha2(F.lit("same").cast("binary"), 256))
+    assert store.write_snapshot(frame(spark, edge("A", "B")), str(tmp_path))[1] == "created"
+    assert store.write_snapshot(frame(spark, edge("A", "B")), str(tmp_path))[1] == "already_exists"
+    with pytest.raises(store.SnapshotError, match="SNAPSHOT_ID_COLLISION"):
+        store.write_snapshot(frame(spark, edge("A", "C")), str(tmp_path))
+    assert list((tmp_path / "incoming").glob("*/*")) == []
+
+
+def test_other_version_stops_a_publication(spark, tmp_path):
+    with pytest.raises(store.SnapshotError, match="MODEL_VERSION_MISMATCH"):
+        store.publish(frame(spark, edge("A", "B")), str(tmp_path), model_version="m2")
+    assert list((tmp_path / "incoming").iterdir()) == [] and store.active_id(spark, str(tmp_path)) is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,15 +30,18 @@ UNIT_TOKEN = rf"\b{NUMBER}{SPACE}*(?:kg|mm|cm|m)\b"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Accented letters and their base letters, then the bare marks to drop."""
-    accented, plain, marks = [], [], []
-    for code in range(0xC0, min(0x2000, sys.maxunicode)):
-        letter = chr(code)
-        if unicodedata.category(letter) == "Mn" and 0x300 <= code <= 0x36F:
-            marks.append(letter)
+    """Accented letters and their base letters, then the bare marks to drop, from all characters."""
+    import regex
+
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
+    marks = regex.findall(r"\p{Diacritic}", every)
+    dropped = set(marks)
+    accented, plain = [], []
+    for letter in every:
+        if letter in dropped:
             continue
         parts = unicodedata.normalize("NFD", letter)
-        base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
+        base = "".join(p for p in parts if p not in dropped)
         if len(parts) > 1 and len(base) == 1:
             accented.append(letter)
             plain.append(base)
@@ -48,7 +52,7 @@ _ACCENTED, _PLAIN = _accent_table()
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin, Greek and Cyrillic letters without their marks."""
+    """Letters without their marks; marks that stand alone go, spacing ones too."""
     return F.translate(c, _ACCENTED, _PLAIN)
 
 

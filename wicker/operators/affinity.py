@@ -199,12 +199,14 @@ def with_signals(
 ) -> DataFrame:
     """Adds strength, count and latest time per signal, and warnings.
 
-    `profile` has one row per customer.
+    `profile` has one row per customer and currency. A price is held against the
+    spend in its own currency; a customer who never paid in it is a mismatch.
     """
-    spend = profile.select("customer_id", F.col("currency").alias("__currency"), "max_spend", "avg_spend")
-    df = evidence.join(spend, "customer_id", "left")
-    price, comparable = F.col("candidate_price"), F.col("__currency") == F.col("candidate_currency")
-    has_profile = F.col("__currency").isNotNull()
+    spend = profile.select("customer_id", F.col("currency").alias("candidate_currency"), "max_spend", "avg_spend", F.lit(True).alias("__same"))
+    known = profile.select("customer_id", F.lit(True).alias("__known")).distinct()
+    df = evidence.join(known, "customer_id", "left").join(spend, ["customer_id", "candidate_currency"], "left")
+    price, comparable = F.col("candidate_price"), F.coalesce("__same", F.lit(False))
+    has_profile = F.coalesce("__known", F.lit(False))
     fit = F.when(price.isNotNull() & comparable & (price <= F.col("max_spend")), F.lit(1.0)).when(
         price.isNotNull() & comparable & (price <= F.col("avg_spend")), F.lit(0.8)
     )
@@ -227,7 +229,7 @@ def with_signals(
             F.when(missing_time & F.col("product_interest_any"), F.lit("REFERENCE_TIME_UNAVAILABLE")),
             F.when(missing_time & F.col("category_interest_any"), F.lit("REFERENCE_TIME_UNAVAILABLE")),
             F.when(price.isNotNull() & ~has_profile, F.lit("SPEND_PROFILE_UNAVAILABLE")),
-            F.when(price.isNotNull() & has_profile & ~comparable, F.lit("CURRENCY_MISMATCH")),
+            F.when(price.isNotNull() & F.col("candidate_currency").isNotNull() & has_profile & ~comparable, F.lit("CURRENCY_MISMATCH")),
         )
     )
     kept = ["customer_id", *ITEM, "repeat_median_days"]

@@ -23,8 +23,8 @@ ITEM = ["product_id", "combination_id"]
 
 
 def parse_instant(column: str) -> Column:
-    """UTC instant at millisecond precision; NULL without an explicit zone."""
-    zoned = F.col(column).rlike(r"(?:Z|[+-]\d{2}:\d{2})$")
+    """UTC instant at millisecond precision; NULL without a date and an explicit zone."""
+    zoned = F.col(column).rlike(r"^\d{4}-.*(?:Z|[+-]\d{2}:\d{2})$")
     return F.date_trunc("MILLISECOND", F.when(zoned, F.col(column).try_cast("timestamp")))
 
 

@@ -9,8 +9,8 @@ from wicker.functions.keys import identity_order
 from wicker.operators.validate import EDGE, IDENTITY, SOURCE, TARGET
 
 SCHEMA_VERSION = "1"
-# Numbers enter the digest as whole multiples of the validator's tolerance.
-SCALE = 1e12
+# Measures enter the digest with twelve significant digits, whatever their size.
+MEASURES = ("support", "confidence", "lift", "transition_probability", "median_lag_days", "reliability")
 
 
 def canonical_keys() -> list[Column]:
@@ -31,18 +31,35 @@ def canonical_order(df: DataFrame) -> DataFrame:
     )
 
 
-def edge_fingerprint() -> Column:
-    """Hash of one edge, evidence included."""
+def sized(text: Column) -> Column:
+    """A text with its length before it, NULL as a dash: a row of such fields can be read in one way only."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def edge_content() -> Column:
+    """All fields of one edge, evidence included, as one text."""
 
     def field(name: str) -> Column:
         c = F.col(name)
-        if name in ("support", "confidence", "lift", "transition_probability", "median_lag_days", "reliability"):
-            c = F.floor(c * SCALE + 0.5)
+        if name in MEASURES:
+            c = F.when(c.isNotNull(), F.format_string("%.11e", c))
         elif name in ("window_from", "window_to"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
-        return F.coalesce(c.cast("string"), F.lit("~"))
+        return sized(c.cast("string"))
+
+    return F.concat(*[field(c) for c in EDGE])
+
+
+def edge_fingerprint() -> Column:
+    """Hash of one edge."""
+    return F.sha2(edge_content(), 256)
+
 
-    return F.sha2(F.concat_ws("|", *[field(c) for c in EDGE]), 256)
+def second_sum(edges: DataFrame) -> str:
+    """Sum of hashes of another kind over all edges: tells other content under one id."""
+    h = F.md5(edge_content())
+    lanes = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(2)]
+    return "-".join(str(x) for x in edges.agg(*lanes).first())
 
 
 def digest(edges: DataFrame) -> DataFrame:
@@ -68,7 +85,7 @@ def digest(edges: DataFrame) -> DataFrame:
     content = F.concat_ws(
         "|",
         F.lit(SCHEMA_VERSION),
-        F.coalesce("model_version", F.lit("")),
+        sized(F.col("model_version")),
         F.coalesce("window_from", F.lit("")),
         F.coalesce("window_to", F.lit("")),
         F.col("relationship_count").cast("string"),

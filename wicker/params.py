@@ -22,8 +22,8 @@ class NormaliseParams:
             values = getattr(self, name) or ()
             if any(not v.strip() for v in values) or len(set(values)) != len(values):
                 raise ValueError(f"{name} must hold distinct, non-empty values")
-        if self.max_products < 1:
-            raise ValueError("max_products must be positive")
+        if not 2 <= self.max_products <= 500:
+            raise ValueError("max_products must be between 2 and 500")
         if self.window_from and self.window_to and self.window_from > self.window_to:
             raise ValueError("window_from must not be after window_to")
 

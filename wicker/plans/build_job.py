@@ -110,7 +110,7 @@ def build_snapshot(orders: DataFrame, lines: DataFrame, cfg: BuildConfig) -> dic
     ).first()
     if counts["valid"] == 0:
         raise BuildError("no valid relationships were produced; the active snapshot was not changed")
-    published = store.publish(C.accepted(checked).drop("seq"), cfg.root)
+    published = store.publish(C.accepted(checked).drop("seq"), cfg.root, model_version=cfg.model_version)
     return {
         "source_orders_read": source["source_orders_read"],
         "source_lines_read": source["source_lines_read"],

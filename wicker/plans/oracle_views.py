@@ -155,7 +155,7 @@ def edge_ctes(window: tuple[str, str], model: str) -> None:
           CAST(NULL AS VARCHAR) AS rule_version, {reliability_sql()} AS reliability,
           TIMESTAMP '{window[0]}' AS window_from, TIMESTAMP '{window[1]}' AS window_to, '{model}' AS model_version
         FROM (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY {STRENGTH}) AS rn
-              FROM bi_evidence WHERE joint_count >= 2) WHERE rn <= 3
+              FROM bi_evidence WHERE joint_count >= 2) WHERE rn <= 50
         """,
         "bi_evidence",
     )

@@ -17,6 +17,7 @@ E = ", ".join(EDGE)
 
 pair_ctes("bi", "basket_items", V.WINDOW)
 pair_ctes("mi", "mixed_items", V.NARROW)
+pair_ctes("wi", "mixed_items", V.WINDOW)
 
 
 def eligible(spark, sf):
@@ -24,7 +25,7 @@ def eligible(spark, sf):
 
 
 def mixed_eligible(spark, sf):
-    return B.gather_stored(B.basket_contents(V.mixed_items(spark, sf), V.NARROW))
+    return B.gather_stored(B.basket_contents(V.mixed_items(spark, sf), V.WINDOW))
 
 
 @query(
@@ -39,8 +40,8 @@ def _(spark, sf):
 
 @query(
     "product_counts",
-    "SELECT product_id, combination_id, count(*) AS basket_count FROM mi_eligible GROUP BY ALL",
-    "mi_eligible",
+    "SELECT product_id, combination_id, count(*) AS basket_count FROM wi_eligible GROUP BY ALL",
+    "wi_eligible",
 )
 def _(spark, sf):
     return B.product_counts(mixed_eligible(spark, sf))
@@ -91,6 +92,13 @@ cte(
         FROM bi_evidence WHERE joint_count >= 2 AND lift >= 1) WHERE source_rank <= 3""",
     "bi_evidence",
 )
+cte("bi_passed", "SELECT * FROM bi_evidence WHERE joint_count >= 2 AND lift >= 1", "bi_evidence")
+
+
+def passed(spark, sf):
+    """All pairs that pass the default thresholds."""
+    found = B.with_thresholds(B.evidence(eligible(spark, sf)), PairParams())
+    return found.filter(F.col("reject_code").isNull()).drop("reject_code")
 
 
 def candidates(spark, sf, params: PairParams = PARAMS):
@@ -115,69 +123,74 @@ def _(spark, sf):
 
 @query(
     "reliability",
-    f"SELECT {E}, joint_count, round({reliability_sql()}, 9) AS reliability FROM bi_top",
-    "bi_top",
+    f"SELECT {E}, joint_count, round({reliability_sql()}, 9) AS reliability FROM bi_passed",
+    "bi_passed",
 )
 def _(spark, sf):
-    return with_reliability(candidates(spark, sf)).select(
+    return with_reliability(passed(spark, sf)).select(
         *EDGE, "joint_count", F.round("reliability", 9).alias("reliability")
     )
 
 
 @query(
     "reliability_custom",
-    f"SELECT {E}, round({reliability_sql(0.4, 0.3, 0.2, 0.1, 5.0)}, 9) AS reliability FROM bi_top",
-    "bi_top",
+    f"SELECT {E}, round({reliability_sql(0.4, 0.3, 0.2, 0.1, 5.0)}, 9) AS reliability FROM bi_passed",
+    "bi_passed",
 )
 def _(spark, sf):
     p = ReliabilityParams(0.4, 0.3, 0.2, 0.1, 5.0)
-    return with_reliability(candidates(spark, sf), p).select(
+    return with_reliability(passed(spark, sf), p).select(
         *EDGE, F.round("reliability", 9).alias("reliability")
     )
 
 
 # Variant baskets repeat pairs less often, so one joint basket is enough here.
 MIXED = PairParams(min_joint_count=1, min_confidence=0.1, min_lift=30.0, max_per_source=3)
-cte(
-    "mi_thresholds",
-    """SELECT *, CASE WHEN joint_count < 1 THEN 'JOINT_COUNT' WHEN confidence < 0.1 THEN 'CONFIDENCE'
-       WHEN lift < 30 THEN 'LIFT' END AS reject_code FROM mi_evidence""",
-    "mi_evidence",
-)
-cte(
-    "mi_limited",
-    """SELECT source_product_id, source_combination_id, count(*) - 3 AS rejected
-       FROM mi_thresholds WHERE reject_code IS NULL GROUP BY ALL HAVING count(*) > 3""",
-    "mi_thresholds",
-)
-cte(
-    "mi_stats",
-    f"""
-    WITH h AS (SELECT transaction_id, transaction_type,
-                 bool_or(occurred_at BETWEEN TIMESTAMP '{V.NARROW[0]}' AND TIMESTAMP '{V.NARROW[1]}') AS inside,
-                 count(DISTINCT product_id || ':' || coalesce(combination_id, '')) AS n
-               FROM mixed_items GROUP BY ALL)
-    SELECT count(*) AS transactions_read,
-      count(*) FILTER (transaction_type = 'order') AS orders_read,
-      count(*) FILTER (transaction_type = 'cart') AS carts_ignored,
-      count(*) FILTER (transaction_type = 'order' AND NOT inside) AS orders_outside_data_window,
-      count(*) FILTER (transaction_type = 'order' AND inside AND n < 2) AS single_product_orders_ignored,
-      count(*) FILTER (transaction_type = 'order' AND inside AND n >= 2) AS orders_processed,
-      (SELECT count(*) FROM mi_counts) AS distinct_products_observed,
-      (SELECT CAST(sum(joint_count) AS BIGINT) FROM mi_pairs) AS directed_pairs_observed,
-      (SELECT count(*) FROM mi_pairs) AS candidates_generated,
-      (SELECT count(*) FROM mi_thresholds WHERE reject_code = 'JOINT_COUNT') AS candidates_rejected_by_joint_count,
-      (SELECT count(*) FROM mi_thresholds WHERE reject_code = 'CONFIDENCE') AS candidates_rejected_by_confidence,
-      (SELECT count(*) FROM mi_thresholds WHERE reject_code = 'LIFT') AS candidates_rejected_by_lift,
-      (SELECT CAST(coalesce(sum(rejected), 0) AS BIGINT) FROM mi_limited) AS candidates_rejected_by_source_limit,
-      (SELECT count(*) FROM mi_thresholds WHERE reject_code IS NULL)
-        - (SELECT CAST(coalesce(sum(rejected), 0) AS BIGINT) FROM mi_limited) AS candidates_accepted
-    FROM h
-    """,
-    "mixed_items",
-    "mi_thresholds",
-    "mi_limited",
-)
+def mixed_ctes(prefix: str, window: tuple[str, str]) -> None:
+    cte(
+        f"{prefix}_thresholds",
+        f"""SELECT *, CASE WHEN joint_count < 1 THEN 'JOINT_COUNT' WHEN confidence < 0.1 THEN 'CONFIDENCE'
+           WHEN lift < 30 THEN 'LIFT' END AS reject_code FROM {prefix}_evidence""",
+        f"{prefix}_evidence",
+    )
+    cte(
+        f"{prefix}_limited",
+        f"""SELECT source_product_id, source_combination_id, count(*) - 3 AS rejected
+           FROM {prefix}_thresholds WHERE reject_code IS NULL GROUP BY ALL HAVING count(*) > 3""",
+        f"{prefix}_thresholds",
+    )
+    cte(
+        f"{prefix}_stats",
+        f"""
+        WITH h AS (SELECT transaction_id, transaction_type,
+                     bool_or(occurred_at BETWEEN TIMESTAMP '{window[0]}' AND TIMESTAMP '{window[1]}') AS inside,
+                     count(DISTINCT product_id || ':' || coalesce(combination_id, '')) AS n
+                   FROM mixed_items GROUP BY ALL)
+        SELECT count(*) AS transactions_read,
+          count(*) FILTER (transaction_type = 'order') AS orders_read,
+          count(*) FILTER (transaction_type = 'cart') AS carts_ignored,
+          count(*) FILTER (transaction_type = 'order' AND NOT inside) AS orders_outside_data_window,
+          count(*) FILTER (transaction_type = 'order' AND inside AND n < 2) AS single_product_orders_ignored,
+          count(*) FILTER (transaction_type = 'order' AND inside AND n >= 2) AS orders_processed,
+          (SELECT count(*) FROM {prefix}_counts) AS distinct_products_observed,
+          (SELECT CAST(sum(joint_count) AS BIGINT) FROM {prefix}_pairs) AS directed_pairs_observed,
+          (SELECT count(*) FROM {prefix}_pairs) AS candidates_generated,
+          (SELECT count(*) FROM {prefix}_thresholds WHERE reject_code = 'JOINT_COUNT') AS candidates_rejected_by_joint_count,
+          (SELECT count(*) FROM {prefix}_thresholds WHERE reject_code = 'CONFIDENCE') AS candidates_rejected_by_confidence,
+          (SELECT count(*) FROM {prefix}_thresholds WHERE reject_code = 'LIFT') AS candidates_rejected_by_lift,
+          (SELECT CAST(coalesce(sum(rejected), 0) AS BIGINT) FROM {prefix}_limited) AS candidates_rejected_by_source_limit,
+          (SELECT count(*) FROM {prefix}_thresholds WHERE reject_code IS NULL)
+            - (SELECT CAST(coalesce(sum(rejected), 0) AS BIGINT) FROM {prefix}_limited) AS candidates_accepted
+        FROM h
+        """,
+        "mixed_items",
+        f"{prefix}_thresholds",
+        f"{prefix}_limited",
+    )
+
+
+mixed_ctes("mi", V.NARROW)
+mixed_ctes("wi", V.WINDOW)
 
 
 @query("cooccurrence_stats", "SELECT * FROM mi_stats", "mi_stats")
@@ -188,17 +201,17 @@ def _(spark, sf):
 @query(
     "source_limit_warnings",
     """SELECT 'SOURCE_RELATIONSHIP_LIMIT_APPLIED' AS code, source_product_id, source_combination_id,
-       rejected, CAST(3 AS BIGINT) AS "limit" FROM mi_limited
-       UNION ALL SELECT 'EMPTY_DATASET', NULL, NULL, NULL, NULL FROM mi_stats WHERE transactions_read = 0
-       UNION ALL SELECT 'NO_ELIGIBLE_ORDERS', NULL, NULL, NULL, NULL FROM mi_stats
+       rejected, CAST(3 AS BIGINT) AS "limit" FROM wi_limited
+       UNION ALL SELECT 'EMPTY_DATASET', NULL, NULL, NULL, NULL FROM wi_stats WHERE transactions_read = 0
+       UNION ALL SELECT 'NO_ELIGIBLE_ORDERS', NULL, NULL, NULL, NULL FROM wi_stats
          WHERE transactions_read > 0 AND orders_processed = 0
-       UNION ALL SELECT 'NO_RELATIONSHIPS_GENERATED', NULL, NULL, NULL, NULL FROM mi_stats
+       UNION ALL SELECT 'NO_RELATIONSHIPS_GENERATED', NULL, NULL, NULL, NULL FROM wi_stats
          WHERE orders_processed > 0 AND candidates_accepted = 0""",
-    "mi_stats",
+    "wi_stats",
 )
 def _(spark, sf):
     items = V.mixed_items(spark, sf)
     limited = B.per_source_rejections(
-        B.with_thresholds(B.evidence(B.gather_stored(B.basket_contents(items, V.NARROW))), MIXED), MIXED.max_per_source
+        B.with_thresholds(B.evidence(B.gather_stored(B.basket_contents(items, V.WINDOW))), MIXED), MIXED.max_per_source
     )
-    return B.cooccurrence_warnings(B.cooccurrence_stats(items, V.NARROW, MIXED), limited)
+    return B.cooccurrence_warnings(B.cooccurrence_stats(items, V.WINDOW, MIXED), limited)

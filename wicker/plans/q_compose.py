@@ -19,11 +19,10 @@ from wicker.plans.oracle_views import (
     STRENGTH,
 )
 from wicker.plans.q_catalog import truth
-from wicker.plans.q_edges import field, own_root
+from wicker.plans.q_edges import digest_ctes, own_root
 from wicker.plans.q_orders import EXCLUDED, STATES, TIES
 from wicker.plans.q_reco import personal_ctes, personal_inputs
 from wicker.plans.registry import cte, query
-from wicker.operators.validate import EDGE
 from wicker.session import stage_table
 
 TARGET = X.TARGET
@@ -39,7 +38,7 @@ cte(
     "job_items",
     """SELECT t.order_id AS transaction_id, 'order' AS transaction_type, t.occurred_at, product_id,
        CAST(NULL AS VARCHAR) AS combination_id FROM tagged_lines t JOIN job_orders o ON o.order_id = t.order_id
-       WHERE drop_reason IS NULL AND products BETWEEN 1 AND 8""",
+       WHERE drop_reason IS NULL AND products BETWEEN 1 AND 50""",
     "job_orders",
 )
 pair_ctes("job", "job_items", V.WINDOW)
@@ -58,14 +57,7 @@ cte(
     "job_evidence",
 )
 cte("job_valid", "SELECT * FROM job_edges WHERE lift > 1 AND reliability >= 0.3", "job_edges")
-cte(
-    "job_prints",
-    f"SELECT sha256({' || chr(124) || '.join(field(c) for c in EDGE)}) AS h FROM job_valid",
-    "job_valid",
-)
-JOB_LANES = " || '|' || ".join(
-    f"CAST((SELECT sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT) FROM job_prints) AS VARCHAR)" for i in range(4)
-)
+digest_ctes("job_digest", "job_valid")
 
 
 @query(
@@ -73,24 +65,23 @@ JOB_LANES = " || '|' || ".join(
     f"""
     SELECT (SELECT count(DISTINCT order_id) FROM tagged_lines WHERE line_id IS NOT NULL) AS source_orders_read,
       (SELECT count(*) FROM tagged_lines) AS source_lines_read,
-      (SELECT count(*) FROM job_orders WHERE products BETWEEN 1 AND 8) AS orders_accepted,
-      (SELECT count(*) FROM job_orders WHERE products NOT BETWEEN 1 AND 8)
+      (SELECT count(*) FROM job_orders WHERE products BETWEEN 1 AND 50) AS orders_accepted,
+      (SELECT count(*) FROM job_orders WHERE products NOT BETWEEN 1 AND 50)
         + (SELECT count(DISTINCT order_id) FROM tagged_lines WHERE line_id IS NOT NULL AND NOT order_accepted) AS orders_excluded,
       (SELECT count(DISTINCT product_id) FROM job_items) AS distinct_products,
       (SELECT count(*) FROM job_pairs) AS pair_candidates, (SELECT count(*) FROM job_edges) AS reliable_candidates,
       (SELECT count(*) FROM job_valid) AS valid_relationships,
       (SELECT count(*) FROM job_edges) - (SELECT count(*) FROM job_valid) AS rejected_relationships,
-      (SELECT 'sha256:' || sha256('1|' || min(model_version) || '|' || strftime(min(window_from), '%Y-%m-%d %H:%M:%S.%g') || '|'
-         || strftime(max(window_to), '%Y-%m-%d %H:%M:%S.%g') || '|' || count(*) || '|' || {JOB_LANES}) FROM job_valid) AS snapshot_id,
+      (SELECT snapshot_id FROM job_digest) AS snapshot_id,
       (SELECT strftime(max(window_to), '%Y-%m-%d %H:%M:%S.%g') FROM job_valid) AS window_to,
       (SELECT count(DISTINCT source_product_id) FROM job_valid) AS distinct_source_products
     """,
-    "job_prints",
+    "job_digest",
 )
 def _(spark, sf):
     """The whole job; the frame is its one-row summary."""
     cfg = BuildConfig(
-        own_root(spark, "build"), V.WINDOW[0], STATES, None, EXCLUDED, TIES, 8, PairParams(), 0.3, V.MODEL
+        own_root(spark, "build"), V.WINDOW[0], STATES, None, EXCLUDED, TIES, 50, PairParams(), 0.3, V.MODEL
     )
     summary = build_snapshot(*V.order_view(spark, sf), cfg)
     types = {"snapshot_id": "string", "window_to": "string"}

@@ -70,38 +70,46 @@ def _(spark, sf):
     return C.warnings(validated(spark, sf))
 
 
-@query("snapshot_canonical")
+@query("snapshot_canonical", f"SELECT {ENDS_SQL}, round(reliability, 9) AS reliability FROM valid_edges", "valid_edges")
 def _(spark, sf):
     return S.canonical_order(V.valid_edges(spark, sf).select(*C.EDGE)).select(*ENDS, F.round("reliability", 9).alias("reliability"))
 
 
 def field(name: str) -> str:
     if name in ("support", "confidence", "lift", "transition_probability", "median_lag_days", "reliability"):
-        return f"coalesce(CAST(CAST(floor({name} * 1e12::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), '~')"
-    if name in ("window_from", "window_to"):
-        return f"strftime({name}, '%Y-%m-%d %H:%M:%S.%g')"
-    return f"coalesce(CAST({name} AS VARCHAR), '~')"
+        text = f"printf('%.11e', {name})"
+    elif name in ("window_from", "window_to"):
+        text = f"strftime({name}, '%Y-%m-%d %H:%M:%S.%g')"
+    else:
+        text = f"CAST({name} AS VARCHAR)"
+    return sized_sql(text)
 
 
-cte(
-    "fingerprints",
-    f"SELECT sha256({' || chr(124) || '.join(field(c) for c in C.EDGE)}) AS h FROM knowledge",
-    "knowledge",
-)
-LANES = " || '|' || ".join(
-    f"CAST((SELECT sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT) FROM fingerprints) AS VARCHAR)" for i in range(4)
-)
-cte(
-    "digest",
-    f"""
-    SELECT 'sha256:' || sha256('1|' || model_version || '|' || wf || '|' || wt || '|' || n || '|' || {LANES})
-        AS snapshot_id, '1' AS schema_version, model_version, wf AS window_from, wt AS window_to, n AS relationship_count
-    FROM (SELECT count(*) AS n, min(model_version) AS model_version,
-            strftime(min(window_from), '%Y-%m-%d %H:%M:%S.%g') AS wf,
-            strftime(max(window_to), '%Y-%m-%d %H:%M:%S.%g') AS wt FROM knowledge)
-    """,
-    "fingerprints",
-)
+def sized_sql(text: str) -> str:
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+def digest_ctes(name: str, edges: str) -> None:
+    """The digest of an edge table, as a table of that name."""
+    cte(f"{name}_prints", f"SELECT sha256({' || '.join(field(c) for c in C.EDGE)}) AS h FROM {edges}", edges)
+    lanes = " || '|' || ".join(
+        f"CAST((SELECT sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT) FROM {name}_prints) AS VARCHAR)" for i in range(4)
+    )
+    cte(
+        name,
+        f"""
+        SELECT 'sha256:' || sha256('1|' || {sized_sql("model_version")} || '|' || wf || '|' || wt || '|' || n || '|' || {lanes})
+            AS snapshot_id, '1' AS schema_version, model_version, wf AS window_from, wt AS window_to, n AS relationship_count
+        FROM (SELECT count(*) AS n, min(model_version) AS model_version,
+                strftime(min(window_from), '%Y-%m-%d %H:%M:%S.%g') AS wf,
+                strftime(max(window_to), '%Y-%m-%d %H:%M:%S.%g') AS wt FROM {edges})
+        """,
+        f"{name}_prints",
+    )
+
+
+digest_ctes("digest", "knowledge")
+digest_ctes("valid_digest", "valid_edges")
 
 
 @query("snapshot_digest", "SELECT * FROM digest", "digest")
@@ -145,7 +153,11 @@ def own_root(spark, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("snapshot_write")
+@query(
+    "snapshot_write",
+    "SELECT snapshot_id, unnest(['created', 'already_exists']) AS status FROM digest",
+    "digest",
+)
 def _(spark, sf):
     """Write twice: created, then already_exists under the same id."""
     root = own_root(spark, "write")
@@ -154,7 +166,13 @@ def _(spark, sf):
     return spark.createDataFrame([(i, s) for i, s in results], "snapshot_id string, status string")
 
 
-@query("snapshot_activate")
+@query(
+    "snapshot_activate",
+    """SELECT 0 AS step, snapshot_id AS active_snapshot_id FROM valid_digest
+       UNION ALL SELECT 1, snapshot_id FROM digest UNION ALL SELECT 2, snapshot_id FROM valid_digest""",
+    "valid_digest",
+    "digest",
+)
 def _(spark, sf):
     """Activate one snapshot, then another, then roll back."""
     root = own_root(spark, "activate")
@@ -183,7 +201,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     root = own_root(spark, "publish")
-    done = store.publish(V.knowledge(spark, sf), root)
+    done = store.publish(V.knowledge(spark, sf), root, model_version=V.MODEL)
     row = (done["snapshot_id"], done["status"], done["relationships_published"], store.active_id(spark, root))
     return spark.createDataFrame(
         [row], "snapshot_id string, status string, relationships_published bigint, active_snapshot_id string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from wicker.operators import normalise as N
@@ -86,9 +88,10 @@ def _(spark, sf):
     return O.transaction_headers(tagged(spark, sf)).withColumn("occurred_at", V.stamp("occurred_at"))
 
 
-FROM, TO = "1995-03-01 00:00:00", "2001-06-01 00:00:00"
-OPEN = NormaliseParams(STATES, ("O", "P"), ("R",), 5, FROM, TO)
-STRICT = NormaliseParams(STATES, ("O", "P"), ("R",), 5, FROM, TO, allow_anonymous=False)
+FROM, TO = "1995-03-01 00:00:00", "2001-12-31 00:00:00"
+OPEN = NormaliseParams(STATES, ("O", "P"), ("R",), window_from=FROM, window_to=TO)
+CAPPED = replace(OPEN, max_products=5)
+STRICT = replace(OPEN, allow_anonymous=False)
 
 
 def normalise_ctes(prefix: str, customer_rule: str) -> None:
@@ -144,7 +147,7 @@ cte(
     "n_final",
     """
     SELECT h.*, coalesce(head_code, CASE WHEN products IS NULL THEN 'NO_VALID_LINES'
-        WHEN products > 5 THEN 'TOO_MANY_DISTINCT_PRODUCTS' END) AS reject_code,
+        WHEN products > 50 THEN 'TOO_MANY_DISTINCT_PRODUCTS' END) AS reject_code,
       coalesce(products, 0) AS products, coalesce(ok_lines, 0) AS ok_lines, coalesce(bad_lines, 0) AS bad_lines
     FROM open_headers h
     LEFT JOIN (SELECT seq, count(*) AS products, sum(lines) AS ok_lines FROM n_products GROUP BY seq) USING (seq)
@@ -227,11 +230,11 @@ def _(spark, sf):
 @query(
     "basket_size_cap",
     """SELECT seq, transaction_id, products AS product_count FROM n_final
-       WHERE reject_code = 'TOO_MANY_DISTINCT_PRODUCTS'""",
+       WHERE reject_code IS NULL AND products > 5 OR reject_code = 'TOO_MANY_DISTINCT_PRODUCTS'""",
     "n_final",
 )
 def _(spark, sf):
-    found = run(spark, sf).headers.filter(F.col("reject_code") == "TOO_MANY_DISTINCT_PRODUCTS")
+    found = run(spark, sf, CAPPED).headers.filter(F.col("reject_code") == "TOO_MANY_DISTINCT_PRODUCTS")
     return found.select("seq", "transaction_id", "product_count")
 
 
@@ -275,7 +278,12 @@ def _(spark, sf):
     return N.stats(run(spark, sf), V.raw_lines(spark, sf))
 
 
-@query("txn_sorted")
+@query(
+    "txn_sorted",
+    """SELECT transaction_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at, product_id, combination_id,
+       quantity FROM n_items""",
+    "n_items",
+)
 def _(spark, sf):
     items = N.in_output_order(run(spark, sf).items)
     return items.select("transaction_id", V.stamp("occurred_at").alias("occurred_at"), *N.ITEM, "quantity")

@@ -160,7 +160,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wicker.params import PairParams
 
     baskets = B.gather_stored(B.basket_contents(basket_items(spark, sf_dir), WINDOW))
-    mined = B.same_order_candidates(baskets, PairParams(min_lift=0.0, max_per_source=3))
+    mined = B.same_order_candidates(baskets, PairParams(min_lift=0.0))
     full = with_reliability(B.as_relationships(mined, WINDOW, MODEL))
     return complete_edges(full).select(edge_seq().alias("seq"), *EDGE)
 

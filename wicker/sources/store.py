@@ -5,12 +5,22 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wicker.operators import snapshot as S
 
 
+EDGES = (
+    "source_product_id string, source_combination_id string, target_product_id string, target_combination_id string, "
+    "relationship_type string, evidence_kind string, joint_count bigint, source_count bigint, target_count bigint, "
+    "total_transactions bigint, support double, confidence double, lift double, transition_count bigint, "
+    "transition_probability double, median_lag_days double, rule_id string, rule_version string, reliability double, "
+    "window_from timestamp, window_to timestamp, model_version string"
+)
+
+
 class SnapshotError(RuntimeError):
     def __init__(self, code: str, message: str):
         super().__init__(f"{code}: {message}")
@@ -29,10 +39,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a folder; False where the target is there already, so that two writers cannot end up inside each other."""
     fs, jvm = _fs(spark, target)
     path = jvm.org.apache.hadoop.fs.Path
     fs.mkdirs(path(target).getParent())
-    return fs.rename(path(source), path(target))
+    at = fs.makeQualified(path(target))
+    none = jvm.java.lang.reflect.Array.newInstance(jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(path(source)), at, none
+        )
+    except Py4JJavaError as error:
+        if _exists(spark, target):
+            return False
+        raise SnapshotError("SNAPSHOT_WRITE_FAILURE", f"cannot move {source} to {target}") from error
+    return True
 
 
 def _write_text(spark: SparkSession, path: str, content: str) -> None:
@@ -75,30 +96,34 @@ def _stage(edges: DataFrame, root: str) -> tuple[str, DataFrame]:
     of them by their min/max statistics.
     """
     beside = f"{root}/incoming/{uuid.uuid4().hex}"
-    S.canonical_order(edges.select(*S.EDGE)).write.parquet(f"{beside}/edges")
-    return beside, edges.sparkSession.read.parquet(f"{beside}/edges")
+    names = [f.split()[0] for f in EDGES.split(",")]
+    typed = edges.select(*[F.col(n).cast(f.split()[1]).alias(n) for n, f in zip(names, EDGES.split(","))])
+    S.canonical_order(typed).write.parquet(f"{beside}/edges")
+    return beside, edges.sparkSession.read.schema(EDGES).parquet(f"{beside}/edges")
 
 
 def _keep(beside: str, staged: DataFrame, root: str) -> tuple[str, str]:
+    """Move staged edges to their id. An id that is taken must hold the same content, by a hash of another kind."""
     spark = staged.sparkSession
-    meta = S.digest(staged).first().asDict()
+    meta = {**S.digest(staged).first().asDict(), "second_sum": S.second_sum(staged)}
     snapshot_id = meta["snapshot_id"]
     folder = _folder(root, snapshot_id)
-    if _exists(spark, folder):
-        stored = S.digest(spark.read.parquet(f"{folder}/edges")).first()["snapshot_id"]
-        _drop(spark, beside)
-        if stored != snapshot_id:
-            raise SnapshotError("SNAPSHOT_ID_COLLISION", f"other content under {snapshot_id}")
-        return snapshot_id, "already_exists"
-    _write_text(spark, f"{beside}/meta.json", json.dumps(meta))
-    if not _rename(spark, beside, folder):
-        raise SnapshotError("SNAPSHOT_WRITE_FAILURE", f"cannot move {beside} to {folder}")
-    return snapshot_id, "created"
+    if not _exists(spark, folder):
+        _write_text(spark, f"{beside}/meta.json", json.dumps(meta))
+        if _rename(spark, beside, folder):
+            return snapshot_id, "created"
+    if read_meta(spark, root, snapshot_id)["second_sum"] != meta["second_sum"]:
+        raise SnapshotError("SNAPSHOT_ID_COLLISION", f"other content under {snapshot_id}")
+    return snapshot_id, "already_exists"
 
 
 def write_snapshot(edges: DataFrame, root: str) -> tuple[str, str]:
     """Store a snapshot under its content id; returns (id, created | already_exists)."""
-    return _keep(*_stage(edges, root), root)
+    beside, staged = _stage(edges, root)
+    try:
+        return _keep(beside, staged, root)
+    finally:
+        _drop(edges.sparkSession, beside)
 
 
 def read_snapshot(spark: SparkSession, root: str, snapshot_id: str | None = None) -> DataFrame | None:
@@ -113,7 +138,7 @@ def read_snapshot(spark: SparkSession, root: str, snapshot_id: str | None = None
         if dangling:
             raise SnapshotError("SNAPSHOT_NOT_FOUND", f"active snapshot {snapshot_id} does not exist")
         return None
-    return spark.read.parquet(f"{folder}/edges")
+    return spark.read.schema(EDGES).parquet(f"{folder}/edges")
 
 
 def read_meta(spark: SparkSession, root: str, snapshot_id: str) -> dict:
@@ -138,11 +163,21 @@ def activate(spark: SparkSession, root: str, snapshot_id: str) -> None:
 
 
 def publish(
-    edges: DataFrame, root: str, allow_empty: bool = False, empty_meta: dict | None = None
+    edges: DataFrame, root: str, allow_empty: bool = False, empty_meta: dict | None = None, model_version: str | None = None
 ) -> dict:
-    """Check, store, then activate. The pointer moves last, and only on success."""
-    spark = edges.sparkSession
+    """Check, store, then activate. The pointer moves last, and only on success.
+
+    `model_version` is the one that was validated; edges of another stop the publication.
+    """
     beside, staged = _stage(edges, root)
+    try:
+        return _publish(beside, staged, root, allow_empty, empty_meta, model_version)
+    finally:
+        _drop(edges.sparkSession, beside)
+
+
+def _publish(beside: str, staged: DataFrame, root: str, allow_empty: bool, empty_meta: dict | None, model_version: str | None) -> dict:
+    spark = staged.sparkSession
     stats = S.snapshot_stats(staged).first().asDict()
     warnings = []
     if stats["relationships_read"] == 0:
@@ -154,7 +189,7 @@ def publish(
             raise SnapshotError("INVALID_EMPTY_SNAPSHOT_METADATA", "model version and window are needed")
         warnings.append("EMPTY_SNAPSHOT_PUBLISHED")
     else:
-        broken = S.publish_checks(staged).filter(F.col("violations") > 0).collect()  # at most four rows
+        broken = S.publish_checks(staged, None if model_version is None else F.lit(model_version)).filter(F.col("violations") > 0).collect()  # at most four rows
         if broken:
             raise SnapshotError(broken[0]["check"], f"{broken[0]['violations']} violations")
     snapshot_id, status = _keep(beside, staged, root)
