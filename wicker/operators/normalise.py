@@ -123,14 +123,18 @@ def normalise(headers: DataFrame, lines: DataFrame, p: NormaliseParams) -> Norma
     classified = classify_transactions(headers, p)
     open_records = classified.filter(F.col("reject_code").isNull()).select("seq", "transaction_id")
     tagged = classify_lines(lines.join(open_records, "seq"), p)
-    products = aggregate_products(tagged.filter(F.col("line_code").isNull()))
-    sizes = products.groupBy("seq").agg(
-        F.count(F.lit(1)).alias("product_count"), F.sum("line_count").alias("accepted_lines")
+    # good and bad lines in one pass: quantities by product, then counts by record
+    fine = F.col("line_code").isNull()
+    every = tagged.groupBy("seq", *ITEM).agg(
+        F.sum(F.when(fine, F.col("quantity"))).cast("bigint").alias("quantity"),
+        F.count_if(fine).alias("line_count"),
+        F.count_if(~fine).alias("bad_count"),
     )
-    rejected = (
-        tagged.filter(F.col("line_code").isNotNull())
-        .groupBy("seq")
-        .agg(F.count(F.lit(1)).alias("rejected_lines"))
+    products = every.filter("line_count > 0").drop("bad_count")
+    sizes = every.groupBy("seq").agg(
+        F.nullif(F.count_if(F.col("line_count") > 0), F.lit(0).cast("bigint")).alias("product_count"),
+        F.sum("line_count").alias("accepted_lines"),
+        F.sum("bad_count").alias("rejected_lines"),
     )
     final = first_match(
         [
@@ -140,7 +144,6 @@ def normalise(headers: DataFrame, lines: DataFrame, p: NormaliseParams) -> Norma
     )
     done = (
         classified.join(sizes, "seq", "left")
-        .join(rejected, "seq", "left")
         .withColumn("reject_code", F.coalesce("reject_code", final))
         .withColumn("accepted_lines", F.coalesce("accepted_lines", F.lit(0).cast("bigint")))
         .withColumn("rejected_lines", F.coalesce("rejected_lines", F.lit(0).cast("bigint")))

@@ -72,6 +72,8 @@ def build_snapshot(orders: DataFrame, lines: DataFrame, cfg: BuildConfig) -> dic
         cfg.excluded_products,
         cfg.tie_break,
     )
+    # headers, lines and counters read this: the source itself is read once
+    tagged = stage_table(tagged, "tagged")
     headers, raw = to_records(tagged)
     params = NormaliseParams(
         cfg.accepted_states,

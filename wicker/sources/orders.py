@@ -46,8 +46,8 @@ def tag_lines(
 ) -> DataFrame:
     """Adds drop_reason (NULL = kept), order_accepted and copies to every line.
 
-    Equal copies of a line are one row with their number in `copies`; all but
-    one of them count as duplicates.
+    Equal copies of a line are one row with their number in `copies`; of an
+    accepted order, all but one of them count as duplicates.
 
     With `states_vary` an order may carry several states and its first line
     decides; a scan of an order table has one state per order and skips that.
@@ -79,30 +79,23 @@ def tag_lines(
 
 
 def _fold_copies(df: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
-    """Marks later lines of a key in `__repeat` and folds equal lines into `copies`.
+    """Folds equal lines into one with their number in `copies`, and marks later lines of a key in `__repeat`.
 
-    Only lines of accepted orders take part. Keys with one line, the usual
-    case, pass untouched; lines of the others are grouped by their content with
-    a map-side count, so a line with very many copies stays one row.
+    Copies meet on the map side first, so a line with very many of them stays one
+    row; the first line of a key is then found among distinct lines. Only lines of
+    accepted orders are marked.
     """
     place = F.struct(*seq, F.xxhash64(*[c for c in df.columns if c not in seq]))
+    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("__place", place)
     first = (
-        df.filter("order_accepted")
+        folded.filter("order_accepted")
         .groupBy(*keys)
-        .agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        .agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") > 1)
         .drop("__n")
     )
-    joined = df.withColumn("__place", place).join(first, list(keys), "left")
-    several = F.col("__first").isNotNull() & F.coalesce("order_accepted", F.lit(False))
-    later = F.col("__place") > F.col("__first")
-    lone = joined.filter(~several).select(*df.columns, F.lit(False).alias("__repeat"), F.lit(1).cast("bigint").alias("copies"))
-    folded = (
-        joined.filter(several)
-        .groupBy(*df.columns, later.alias("__repeat"))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    return lone.unionByName(folded)
+    later = F.coalesce(F.col("order_accepted") & (F.col("__place") > F.col("__first")), F.lit(False))
+    return folded.join(first, list(keys), "left").withColumn("__repeat", later).drop("__place", "__first")
 
 
 def clean_lines(tagged: DataFrame) -> DataFrame:
@@ -120,7 +113,9 @@ def read_stats(tagged: DataFrame) -> DataFrame:
     lines = tagged.agg(
         total(copies).alias("source_lines_read"),
         total(F.when(reason.isNotNull(), copies).otherwise(copies - 1)).alias("source_lines_excluded"),
-        total(F.when(reason == "DUPLICATE_LINE", copies).otherwise(copies - 1)).alias("source_duplicate_lines_excluded"),
+        total(
+            F.when(reason == "DUPLICATE_LINE", copies).when(F.col("order_accepted"), copies - 1)
+        ).alias("source_duplicate_lines_excluded"),
         F.count_if(reason == "PRODUCT_EXCLUDED").alias("source_products_excluded"),
     )
     orders = (
