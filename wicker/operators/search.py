@@ -92,8 +92,10 @@ def text_matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
     )
     # only substrings that some term asks for enter the index
     asked = keys.select("gram").distinct()
-    postings = texts.select(
-        "text", F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram")
+    # an index row holds a hash of its text; the text itself comes back for the rows that are found
+    named = texts.select(F.xxhash64("text").alias("tid"), "text")
+    postings = named.select(
+        "tid", F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram")
     ).join(asked, "gram", "left_semi")
     frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a substring without postings proves that its term matches nothing
@@ -104,8 +106,8 @@ def text_matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
         .filter(F.col("best.n") > 0)
         .select("term", F.col("best.gram").alias("gram"))
     )
-    found = rarest.join(postings, "gram").filter(F.contains("text", "term"))
-    return found.select("term", "text")
+    found = rarest.join(postings, "gram").select("term", "tid").distinct().join(named, "tid")
+    return found.filter(F.contains("text", "term")).select("term", "text")
 
 
 def fold(c: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -266,15 +267,27 @@ CONTEXT = ["shop_id", "currency_id", "country_id", "group_id", "customer_id"]
 def price_rules_scoped(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules that may apply to a request: scope columns are 0 or equal, no cart, quantity reached.
 
-    Equi join on the product; the wildcard tests are residual predicates.
-    Rule columns come back with the prefix `rule_`.
+    A rule's mask says which of its scope columns are 0. Each request is laid out
+    once for every mask that occurs (at most 64), with 0 in the masked columns, so
+    the join is on the product, the mask and all scope columns: a product with many
+    rules and many customers meets only the rules that fit. Rule columns come back
+    with the prefix `rule_`.
     """
+    scope = ["combination_id", *CONTEXT]
     renamed = rules.filter(F.col("cart_id") == 0).select(*[F.col(c).alias(f"rule_{c}") for c in rules.columns])
-    condition = F.col("product_id") == F.col("rule_product_id")
-    for c in ["combination_id", *CONTEXT]:
-        condition = condition & ((F.col(f"rule_{c}") == 0) | (F.col(f"rule_{c}") == F.col(c)))
+    bits = [F.when(F.col(f"rule_{c}") == 0, F.lit(1 << k)).when(F.col(f"rule_{c}") != 0, F.lit(0)) for k, c in enumerate(scope)]
+    renamed = renamed.withColumn("__mask", reduce(lambda a, b: a + b, bits))
+    masks = renamed.agg(F.collect_set("__mask").alias("__masks"))  # one row
+    wide = requests.crossJoin(F.broadcast(masks)).withColumn("__asked", F.explode("__masks")).drop("__masks")
+    condition = (F.col("product_id") == F.col("rule_product_id")) & (F.col("__asked") == F.col("__mask"))
+    for k, c in enumerate(scope):
+        key = f"__key_{c}"
+        free = F.col("__asked").bitwiseAND(F.lit(1 << k)) != 0
+        wide = wide.withColumn(key, F.when(free, F.lit(0)).otherwise(F.col(c)))
+        condition = condition & (F.col(key) == F.col(f"rule_{c}"))
     condition = condition & (F.col("rule_from_quantity") <= F.col("quantity"))
-    return requests.join(renamed, condition).drop("rule_product_id", "rule_cart_id")
+    helpers = ["__asked", "__mask", *[f"__key_{c}" for c in scope], "rule_product_id", "rule_cart_id"]
+    return wide.join(renamed, condition).drop(*helpers)
 
 
 def rule_date(c: str) -> Column:
