@@ -11,22 +11,21 @@ from wicker.session import stage_table
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); the component is its least node.
 
-    Each round gives a node the least label among its own and its neighbours',
-    then the label of that label, so long chains halve. Rounds are written to the
+    Each round gives a node the least label among its own and its neighbours', then
+    the label that this node had, so long chains halve. Rounds are written to the
     shared folder and end when no label changes. Nodes without edges are not
     listed; loops and repeated edges do no harm.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stage_table(both, "edges")
-    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    ends = [("a", "b"), ("b", "a"), ("a", "a"), ("b", "b")]  # a node is its own neighbour
+    both = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends])).alias("e")).select("e.*")
+    both = stage_table(both.distinct(), "edges")
+    labels = stage_table(both.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        low = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", "m").alias("low"), "component")
-        low = stage_table(low, "low")
-        jump = low.select(F.col("node").alias("via"), F.col("low").alias("next"))
-        new = low.join(jump, low["low"] == jump["via"], "left").select(
-            "node", F.least("low", "next").alias("component"), (F.least("low", "next") != F.col("component")).alias("changed")
-        )
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a")
+        low = near.agg(F.min("component").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"))
+        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("next"))
+        label = F.least("low", "next")
+        new = low.join(jump, low["low"] == jump["via"]).select(F.col("a").alias("node"), label.alias("component"), (label != F.col("old")).alias("changed"))
         new = stage_table(new, "labels")
         labels = new.select("node", "component")
         if not new.where("changed").limit(1).count():

@@ -203,8 +203,9 @@ def open_links(members: DataFrame, texts: DataFrame, sets: DataFrame, labels: Da
                 a, b = x[u[k : k + 20_000]], right[v[k : k + 20_000]]
                 equal = entries[a] == entries[b]
                 near = equal.mean(axis=1)
-                first = equal.reshape(-1, count, depth).all(axis=2).argmax(axis=1)
-                ok = (near >= plausible) & (first == band)
+                ok = np.flatnonzero(near >= plausible)
+                first = equal[ok].reshape(-1, count, depth).all(axis=2).argmax(axis=1)
+                ok = ok[first == band]
                 found.append((a[ok], b[ok], near[ok]))
         if not found:
             return []
@@ -263,11 +264,16 @@ def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")).where("members > 1")
     members = stage_table(placed.join(shared, "bucket"), "members")
     sets = stage_table(shingle_sets(docs, members.select("key").distinct(), p, text_col), "shingle_sets")
-    links = stage_table(linked(hub_pairs(members, p), sets, p.threshold), "links")
-    more = stage_table(open_links(members, texts, sets, components(links), p), "links")
-    labels = components(links.union(more))
-    own = texts.select("key", "least_id", "copies").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    own = stage_table(own.withColumn("component", F.coalesce("component", "key")), "text_classes")
+    first = components(stage_table(linked(hub_pairs(members, p), sets, p.threshold), "links"))
+    more = stage_table(open_links(members, texts, sets, first, p), "links")
+    # links of the second kind join whole classes of the first
+    of = [first.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+    joined = more.join(of[0], "a", "left").join(of[1], "b", "left")
+    joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = components(joined)
+    own = texts.select("key", "least_id", "copies").join(first.toDF("key", "c1"), "key", "left").withColumn("c1", F.coalesce("c1", "key"))
+    own = own.join(second.toDF("c1", "c2"), "c1", "left").select("key", "least_id", "copies", F.coalesce("c2", "c1").alias("component"))
+    own = stage_table(own, "text_classes")
     classes = own.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_rows"))
     by_text = own.join(classes, "component").select("key", "class_id", "class_rows", F.col("component").alias("class_key"))
     return every.select("doc_id", "key").join(by_text, "key").select("doc_id", "class_id", "class_rows", "class_key", "key")
