@@ -35,6 +35,8 @@ from wicker.llm.encode import flat_bytes, text_batches
 from wicker.llm.words import _BACK, _BASE, _CODES, U, mix  # noqa: F401
 
 HASHED = 16
+# bytes of text that are encoded together: bounds the working arrays of a task
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -218,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = 0
-            for texts in text_batches(batch.column("text")):
+            for texts in text_batches(batch.column("text"), SLICE):
                 vectors, at = passages(texts, p.passage)
                 kept = [vectors[np.unique(np.linspace(s, e - 1, min(e - s, p.fit_passages)).astype(int))] for s, e in zip(at, at[1:])]
                 columns = [batch.column(c).slice(seen, len(texts)) for c in ("doc_id", "label")]
@@ -242,7 +244,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, p: QualityParams | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, many = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for texts in text_batches(batch.column(batch.num_columns - 1)):
+            for texts in text_batches(batch.column(batch.num_columns - 1), SLICE):
                 vectors, at = passages(texts, p.passage)
                 scores.append(model.score(vectors, at))
                 many.append(np.diff(at))
