@@ -170,7 +170,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                words = set(_WORDS.findall(fold(text or "")))
+                folded = fold(text or "")
+                words = {folded[m.start() : m.end()] for m in _WORDS.finditer(text or "")}
                 keys = words | {w[:k] + "*" for k in family for w in words if len(w) > k}
                 if keys:
                     n = len(keys)
@@ -182,7 +183,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
     weights = {s: SEED_WEIGHT for s in SEEDS}
     if toxic and other:
         seen = rows.mapInArrow(entries, "entry string, label int").groupBy("entry").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
-        odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (other + 1.0))
+        # one more document without toxicity than was seen: a word of few documents weighs less
+        odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 1.5) / (other + 1.0))
         # an entry in least_docs toxic documents for each thousand of them, so the list stays short at any size of sample
         least = max(p.least_docs, math.ceil(toxic / 200))
         kept = seen.where(F.col("t") >= least).withColumn("weight", odds).where(F.col("weight") >= p.least_weight)
