@@ -142,4 +142,8 @@ def test_spend_is_held_against_its_own_currency(spark):
     )
     orders = spark.createDataFrame([("c", "CLP", 10.0), ("c", "USD", 5.0), ("d", "CLP", 10.0)], "customer_id string, currency string, amount double")
     got = A.with_signals(A.evidence_from_rows(rows, None), A.customer_profile(orders), None).collect()
+    broken = rows.limit(1).withColumn("cnt", F.lit(-2)).withColumn("kind", F.lit("repeat"))
+    spoilt = A.with_signals(A.evidence_from_rows(rows.union(broken), None), A.customer_profile(orders), None).collect()
+    assert [r.affinity_warnings for r in spoilt if r.customer_id == "c"] == [["INVALID_EVIDENCE_IGNORED"]]
+    assert [r.s_OBSERVED_SPEND_FIT for r in spoilt if r.customer_id == "c"] == [None]
     assert sorted((r.customer_id, r.s_OBSERVED_SPEND_FIT, r.affinity_warnings) for r in got) == [("c", 1.0, []), ("d", None, ["CURRENCY_MISMATCH"])]

@@ -70,12 +70,24 @@ def evidence_from_rows(rows: DataFrame, ref_time: str | None, p: AffinityParams
     """Given evidence (customer, product, kind, cnt, occurred_at, ...) to wide rows.
 
     Kinds are the names in COUNTED, and `repeat` (cnt = purchase count), and
-    `price` (candidate_price, currency).
+    `price` (candidate_price, currency). Where a row of a customer and product has
+    a negative or fractional count, an unknown kind or a price that is no amount,
+    all evidence of the two is left out and `invalid_evidence` is set.
     """
-    kind = F.col("kind")
+    kind, price_value = F.col("kind"), F.col("candidate_price")
+    number = F.col("cnt").cast("double")
+    wrong = (
+        ~kind.isin(*COUNTED, "repeat", "price")
+        | (number < 0)
+        | (number != F.floor(number))
+        | (price_value < 0)
+        | F.isnan(price_value)
+        | (price_value == float("inf"))
+    )
     members = [c for name in COUNTED for c in _counts(name, kind == name, _keep(name, ref_time, p))]
     repeat, price = kind == "repeat", kind == "price"
-    return rows.groupBy("customer_id", *ITEM).agg(
+    found = rows.groupBy("customer_id", *ITEM).agg(
+        F.coalesce(F.bool_or(wrong), F.lit(False)).alias("invalid_evidence"),
         *members,
         F.max(F.when(repeat, F.col("cnt"))).cast("bigint").alias("repeat_count"),
         F.max(F.when(repeat, F.col("occurred_at"))).alias("repeat_last"),
@@ -83,6 +95,8 @@ def evidence_from_rows(rows: DataFrame, ref_time: str | None, p: AffinityParams
         F.max(F.when(price, F.col("candidate_price"))).alias("candidate_price"),
         F.max(F.when(price, F.col("currency"))).alias("candidate_currency"),
     )
+    values = [c for c in found.columns if c not in ("customer_id", *ITEM, "invalid_evidence")]
+    return found.withColumns({c: F.when(~F.col("invalid_evidence"), F.col(c)) for c in values})
 
 
 def repeat_patterns(purchases: DataFrame) -> DataFrame:
@@ -224,8 +238,10 @@ def with_signals(
     columns["n_OBSERVED_SPEND_FIT"] = F.when(fit.isNotNull(), F.lit(1).cast("bigint"))
     columns["t_OBSERVED_SPEND_FIT"] = F.lit(None).cast("timestamp")
     missing_time = F.lit(ref_time is None)
+    invalid = F.col("invalid_evidence") if "invalid_evidence" in evidence.columns else F.lit(False)
     warnings = F.array_compact(
         F.array(
+            F.when(invalid, F.lit("INVALID_EVIDENCE_IGNORED")),
             F.when(missing_time & F.col("product_interest_any"), F.lit("REFERENCE_TIME_UNAVAILABLE")),
             F.when(missing_time & F.col("category_interest_any"), F.lit("REFERENCE_TIME_UNAVAILABLE")),
             F.when(price.isNotNull() & ~has_profile, F.lit("SPEND_PROFILE_UNAVAILABLE")),

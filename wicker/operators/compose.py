@@ -172,7 +172,7 @@ def _upstream(own: list[str], fallback: str):
 
 
 def merged_warnings(search: Search, affinity_available: bool = True) -> DataFrame:
-    """Distinct warnings per request: stage, code, and stage position for display order.
+    """Distinct warnings per request: stage, code, stage position for display order, and for catalogue warnings the number of products.
 
     CUSTOMER_NOT_IDENTIFIED is not shown without a customer.
     """
@@ -188,7 +188,7 @@ def merged_warnings(search: Search, affinity_available: bool = True) -> DataFram
     )
     names = [c for c in counts.columns if c != "request_id"]
     own = counts.unpivot(["request_id"], names, "code", "n").filter(F.col("n") > 0).select(
-        "request_id", F.lit("search").alias("stage"), "code"
+        "request_id", F.lit("search").alias("stage"), "code", F.col("n").alias("count")
     )
     empty = usable.join(top.select("request_id").distinct(), "request_id", "left_anti").select(
         "request_id", F.lit("search").alias("stage"), F.lit("NO_COMMERCIAL_CANDIDATES").alias("code")
@@ -212,17 +212,18 @@ def merged_warnings(search: Search, affinity_available: bool = True) -> DataFram
     personal = X.all_warnings(with_candidates, search.personalised, search.affinity).select(
         "request_id", F.lit("personalisation").alias("stage"), to_personal(F.col("code")).alias("code")
     )
-    frames = [own, empty, commercial, affinity, personal]
+    frames = [empty, commercial, affinity, personal]
     if not affinity_available:
         frames.append(
             top.filter(A.identified()).select(
                 "request_id", F.lit("search").alias("stage"), F.lit("CUSTOMER_AFFINITY_UNAVAILABLE").alias("code")
             )
         )
-    merged = reduce(DataFrame.unionByName, frames).distinct().join(usable, "request_id")
+    others = reduce(DataFrame.unionByName, frames).distinct().withColumn("count", F.lit(None).cast("bigint"))
+    merged = own.unionByName(others).join(usable, "request_id")
     hidden = ~A.identified() & (F.col("code") == "CUSTOMER_NOT_IDENTIFIED")
     place = F.when(F.col("stage") == "search", 0).when(F.col("stage") == "commercial", 1).when(F.col("stage") == "affinity", 2)
-    return merged.filter(~hidden).select("request_id", "stage", place.otherwise(3).alias("stage_order"), "code")
+    return merged.filter(~hidden).select("request_id", "stage", place.otherwise(3).alias("stage_order"), "code", "count")
 
 
 def _passed() -> Column:

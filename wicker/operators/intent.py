@@ -389,7 +389,10 @@ def rank(scored: DataFrame) -> DataFrame:
 
 
 def decide(understood: DataFrame, ranked: DataFrame, p: IntentParams = IntentParams()) -> DataFrame:
-    """Status, confidence and resolved product of every query."""
+    """Status, confidence and resolved product of every query.
+
+    A query with explicit constraints has a threshold of its own.
+    """
     good = ranked.filter(F.col("plausible") & (F.col("score") >= p.plausible_score))
     place = Window.partitionBy("query_id").orderBy("rank")
     placed = good.withColumn("place", F.row_number().over(place))
@@ -403,7 +406,7 @@ def decide(understood: DataFrame, ranked: DataFrame, p: IntentParams = IntentPar
     )
     joined = understood.select("query_id", "constraint_count").join(summary, "query_id", "left")
     constrained = F.col("constraint_count") > 0
-    by_constraints = constrained & (F.col("full_matches") == 1) & (F.col("full.score") >= p.resolved_score)
+    by_constraints = constrained & (F.col("full_matches") == 1) & (F.col("full.score") >= p.explicit_resolved_score)
     gap = F.when(F.col("second").isNotNull(), F.col("top.score") - F.col("second")).otherwise(F.lit(1.0))
     by_score = ~constrained & (F.col("top.score") >= p.resolved_score) & (gap >= p.resolved_gap)
     status = (

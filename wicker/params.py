@@ -144,5 +144,6 @@ class IntentParams:
     max_terms: int = 8
     resolved_score: float = 0.82
     resolved_gap: float = 0.12
+    explicit_resolved_score: float = 0.82
     plausible_score: float = 0.4
     max_options: int = 5
