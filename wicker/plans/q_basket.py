@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wicker.operators import basket as B
 from wicker.operators.reliability import with_reliability
+from wicker.operators.sequence import next_purchases
 from wicker.params import PairParams, ReliabilityParams
 from wicker.plans import views as V
 from wicker.plans.oracle_views import STRENGTH, pair_ctes, reliability_sql
@@ -215,3 +216,60 @@ def _(spark, sf):
         B.with_thresholds(B.evidence(B.gather_stored(B.basket_contents(items, V.WINDOW))), MIXED), MIXED.max_per_source
     )
     return B.cooccurrence_warnings(B.cooccurrence_stats(items, V.WINDOW, MIXED), limited)
+
+
+# -- further relationship types ----------------------------------------------
+@query(
+    "candidates_in_order",
+    f"SELECT {E}, CAST(source_rank AS INTEGER) AS source_rank FROM bi_top",
+    "bi_top",
+)
+def _(spark, sf):
+    return B.in_output_order(candidates(spark, sf)).select(*EDGE, "source_rank")
+
+
+cte(
+    "cart_items",
+    "SELECT * REPLACE (CASE transaction_type WHEN 'cart' THEN 'order' ELSE 'cart' END AS transaction_type) FROM mixed_items",
+    "mixed_items",
+)
+pair_ctes("ci", "cart_items", V.WINDOW)
+
+
+@query("same_cart_pairs", f"SELECT {E}, joint_count FROM ci_pairs", "ci_pairs")
+def _(spark, sf):
+    """Products that share a cart."""
+    baskets = B.gather_stored(B.basket_contents(V.mixed_items(spark, sf), V.WINDOW, "cart"))
+    return B.pair_counts(baskets).select(*EDGE, "joint_count")
+
+
+cte(
+    "history_items",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id, CAST(o_custkey AS VARCHAR) AS customer_key, o_orderdate AS occurred_at,
+       CAST(l_partkey AS VARCHAR) AS product_id, CAST(NULL AS VARCHAR) AS combination_id
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL""",
+)
+
+
+@query(
+    "next_purchase",
+    """
+    SELECT * FROM (WITH baskets AS (SELECT customer_key, transaction_id, min(occurred_at) AS seen_at FROM history_items GROUP BY ALL),
+    steps AS (SELECT transaction_id, lead(transaction_id) OVER w AS next_id,
+                CAST(date_diff('day', CAST(seen_at AS DATE), CAST(lead(seen_at) OVER w AS DATE)) AS DOUBLE) AS lag_days FROM baskets
+              WINDOW w AS (PARTITION BY customer_key ORDER BY seen_at, transaction_id)),
+    contents AS (SELECT DISTINCT transaction_id, product_id, combination_id FROM history_items),
+    sources AS (SELECT c.product_id, c.combination_id, next_id, lag_days FROM steps JOIN contents c USING (transaction_id) WHERE next_id IS NOT NULL)
+    SELECT s.product_id AS source_product_id, s.combination_id AS source_combination_id, t.product_id AS target_product_id,
+      t.combination_id AS target_combination_id, count(*) AS transition_count, any_value(n.source_count) AS source_count,
+      round(CAST(count(*) AS DOUBLE) / any_value(n.source_count), 9) AS transition_probability, median(lag_days) AS median_lag_days
+    FROM sources s JOIN contents t ON t.transaction_id = s.next_id
+      JOIN (SELECT product_id, count(*) AS source_count FROM sources GROUP BY 1) n ON n.product_id = s.product_id
+    GROUP BY ALL)
+    """,
+    "history_items",
+)
+def _(spark, sf):
+    """Products in the next basket of the same customer."""
+    found = next_purchases(V.history_items(spark, sf))
+    return found.withColumn("transition_probability", F.round("transition_probability", 9))

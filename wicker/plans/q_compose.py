@@ -186,7 +186,8 @@ def _(spark, sf):
 @query(
     "merged_warnings",
     """
-    SELECT request_id, stage, stage_order, code, CASE WHEN code LIKE 'CATALOG%' THEN count(*) END AS "count" FROM (
+    SELECT * EXCLUDE (n), CASE WHEN code LIKE 'CATALOG%' THEN n END AS "count" FROM (
+    SELECT request_id, stage, stage_order, code, count(*) AS n FROM (
       SELECT request_id, 'search' AS stage, 0 AS stage_order, CASE enrichment_code WHEN 'MISSING_CATALOG_PRODUCT' THEN 'CATALOG_PRODUCT_MISSING'
         ELSE 'CATALOG_PRODUCT_INACTIVE' END AS code FROM sx_enriched
         WHERE enrichment_code IN ('MISSING_CATALOG_PRODUCT', 'INACTIVE_PRODUCT')
@@ -203,7 +204,7 @@ def _(spark, sf):
       UNION ALL SELECT batch_id, 'personalisation', 3, batch_warning FROM sx_shown WHERE batch_warning IS NOT NULL
       UNION ALL SELECT request_id, 'personalisation', 3, CASE WHEN w IN ('NO_CUSTOMER_HISTORY', 'PARTIAL_CUSTOMER_HISTORY',
           'AFFINITY_MISSING_FOR_PRODUCT') THEN w ELSE 'UPSTREAM_PERSONALIZATION_WARNING' END
-        FROM (SELECT request_id, unnest(pwarnings) AS w FROM sp_personal WHERE exclusion_code IS NULL)) GROUP BY ALL
+        FROM (SELECT request_id, unnest(pwarnings) AS w FROM sp_personal WHERE exclusion_code IS NULL)) GROUP BY ALL)
     """,
     "sx_enriched",
     "search_open",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wicker.operators import lookup as L
 from wicker.operators import snapshot as S
 from wicker.operators import validate as C
+from wicker.operators.sequence import snapshot_diff
 from wicker.plans import views as V
 from wicker.plans.oracle_views import edge_ctes
 from wicker.plans.registry import cte, query
@@ -279,3 +280,18 @@ def _(spark, sf):
 
 
 
+
+
+@query(
+    "snapshot_diff",
+    f"""SELECT {ENDS_SQL}, relationship_type, 'appeared' AS change FROM (
+          SELECT {", ".join(C.IDENTITY)} FROM knowledge EXCEPT SELECT {", ".join(C.IDENTITY)} FROM valid_edges)
+        UNION ALL SELECT {ENDS_SQL}, relationship_type, 'vanished' FROM (
+          SELECT {", ".join(C.IDENTITY)} FROM valid_edges EXCEPT SELECT {", ".join(C.IDENTITY)} FROM knowledge)""",
+    "knowledge",
+    "valid_edges",
+)
+def _(spark, sf):
+    """What the knowledge base has that the mined edges lack, and the other way round."""
+    found = snapshot_diff(V.valid_edges(spark, sf), V.knowledge(spark, sf))
+    return found.select(*ENDS, "relationship_type", "change")

@@ -48,6 +48,19 @@ def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as baskets of base products, with their customer."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        text("o_orderkey").alias("transaction_id"),
+        text("o_custkey").alias("customer_key"),
+        F.col("o_orderdate").alias("occurred_at"),
+        text("l_partkey").alias("product_id"),
+        F.lit(None).cast("string").alias("combination_id"),
+    )
+
+
 def mixed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and carts, with product variants."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
