@@ -111,8 +111,10 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, p: NearDupParams, text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, n), codes], ["key", "codes"])
                 at += n
 
-    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).join(keys, "key", "left_semi")
-    return texts.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key binary, codes binary")
+    # copies meet on the map side before they are dealt out, so a large group of them sends one row per task; an inner join
+    # with the distinct keys stays above that, where a semi join would be pushed below
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    return texts.join(keys, "key").select("key", "text").mapInArrow(run, "key binary, codes binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
