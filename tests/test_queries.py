@@ -30,5 +30,11 @@ def test_query_matches_sql(spark, con, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
 
 
+def test_detail_holds_texts_and_variants(spark, con):
+    test_query_matches_sql(spark, con, "product_detail_full")
+    rows = con.execute(f"SELECT * FROM ({entry.oracle_sql()['product_detail_full']})").fetchdf()
+    assert (rows["variants"].fillna("").str.count("\n") >= 1).any() and (rows["attributes"].fillna("") != "").any()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

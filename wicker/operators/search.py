@@ -17,6 +17,8 @@ from wicker.sources import catalog as Cat
 
 GRAM = 3
 TEXTS = ["product_name", "short_description", "long_description"]
+VARIANT = ["combination_id", "sku", "label", "attributes", "impact_net", "physical_quantity", "available", "is_default"]
+ATTRIBUTES = "array<struct<group:string,value:string>>"
 
 
 def search_items(cat: Cat.Catalog) -> DataFrame:
@@ -188,12 +190,32 @@ def search(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_of: str) -> DataFrame:
-    """Product, chosen variant, stock and price of each request, with an outcome code.
+    """Product with texts and variants, chosen variant, stock and price of each request, with an outcome code.
 
     `requests`: request_id, product_id, combination_id (0 = choose), quantity
-    and the price context.
+    and the price context. `attributes` are those of the chosen variant, none for a
+    base product. `variants` is ordered as in `listed_variants`, empty for a product
+    without any. Both and the texts are NULL where the outcome is not ok, and
+    `attributes` also where no variant is chosen.
     """
-    chosen = choose_variant(requests, cat)
+    texts = Cat.product_core(cat, requests).select("product_id", "short_description", "long_description")
+    attributes = Cat.variant_attributes(cat, requests).withColumnRenamed("combination_id", "selected")
+    listed = listed_variants(cat, requests)
+    chosen = (
+        choose_variant(requests, cat)
+        .join(texts, "product_id", "left")
+        .join(listed, "product_id", "left")
+        .join(attributes, ["product_id", "selected"], "left")
+    )
+    ok = F.col("outcome") == "ok"
+    chosen = chosen.withColumns(
+        {
+            "short_description": F.when(ok, F.col("short_description")),
+            "long_description": F.when(ok, F.col("long_description")),
+            "variants": F.when(ok, F.coalesce("variants", F.array().cast(listed.schema["variants"].dataType))),
+            "attributes": F.when(F.col("selected").isNotNull(), F.coalesce("attributes", F.array().cast(ATTRIBUTES))),
+        }
+    )
     stock = cat.stock.filter(F.col("shop_id") == cat.shop_id).select(
         "product_id",
         F.col("combination_id").alias("selected"),
@@ -213,6 +235,26 @@ def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_o
     )
 
 
+def listed_variants(cat: Cat.Catalog, requests: DataFrame) -> DataFrame:
+    """(product_id, variants): the variants in stock tables, default first, then by id.
+
+    A variant without a reference has that of its product.
+    """
+    products = Cat.product_core(cat, requests).select("product_id", F.col("sku").alias("product_sku"))
+    defaults = cat.product_attribute.select("combination_id", F.coalesce(-F.col("default_on"), F.lit(1)).alias("place"))
+    rows = (
+        Cat.variants(cat, requests)
+        .join(products, "product_id")
+        .join(defaults, "combination_id")
+        .join(Cat.variant_attributes(cat, requests), ["product_id", "combination_id"], "left")
+        .withColumn("sku", F.coalesce("sku", "product_sku"))
+        .withColumn("attributes", F.coalesce("attributes", F.array().cast(ATTRIBUTES)))
+    )
+    entry = F.struct(*VARIANT)
+    ordered = F.sort_array(F.collect_list(F.struct("place", "combination_id", entry.alias("entry"))))
+    return rows.groupBy("product_id").agg(F.transform(ordered, lambda v: v["entry"]).alias("variants"))
+
+
 def choose_variant(requests: DataFrame, cat: Cat.Catalog) -> DataFrame:
     """Outcome code and selected combination per request.
 

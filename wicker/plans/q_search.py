@@ -219,6 +219,64 @@ def _(spark, sf):
     return found.select("request_id", "outcome", "selected", "sku", "stock_quantity", "available")
 
 
+cte(
+    "attribute_texts",
+    """
+    SELECT combination_id, string_agg("group" || '=' || value, ';' ORDER BY "group", value) AS attributes
+    FROM cat_attributes GROUP BY 1
+    """,
+    "cat_attributes",
+)
+cte(
+    "variant_texts",
+    """
+    SELECT product_id, string_agg(concat_ws('|', combination_id, coalesce(r.sku, p.reference, '~'), coalesce(label, '~'),
+        coalesce(attributes, ''), CAST(CAST(r.impact_net AS DECIMAL(20, 6)) AS VARCHAR), coalesce(physical_quantity, 0),
+        coalesce(physical_quantity, 0) > 0, is_default), chr(10) ORDER BY v.default_on DESC NULLS LAST, combination_id) AS variants
+    FROM variant_rows r JOIN cat_product p USING (product_id) JOIN cat_variant v USING (product_id, combination_id)
+    LEFT JOIN attribute_texts USING (combination_id) GROUP BY product_id
+    """,
+    "variant_rows",
+    "attribute_texts",
+)
+
+
+def attribute_text(c):
+    return F.array_join(F.transform(c, lambda a: F.concat_ws("=", a["group"], a["value"])), ";")
+
+
+def variant_text(v):
+    plain = ["impact_net", "physical_quantity", "available", "is_default"]
+    return F.concat_ws(
+        "|", v["combination_id"], F.coalesce(v["sku"], F.lit("~")), F.coalesce(v["label"], F.lit("~")),
+        attribute_text(v["attributes"]), *[v[c].cast("string") for c in plain],
+    )
+
+
+@query(
+    "product_detail_full",
+    """SELECT c.request_id, outcome, c.name, CASE WHEN outcome = 'ok' THEN short_description END AS short_description,
+         CASE WHEN outcome = 'ok' THEN long_description END AS long_description, selected, sku, label,
+         CASE WHEN selected IS NOT NULL THEN coalesce(attributes, '') END AS attributes,
+         CASE WHEN outcome = 'ok' THEN coalesce(variants, '') END AS variants
+       FROM chosen c LEFT JOIN cat_product p ON p.product_id = c.product_id AND p.active
+       LEFT JOIN variant_texts t ON t.product_id = c.product_id
+       LEFT JOIN attribute_texts a ON a.combination_id = c.selected""",
+    "chosen",
+    "variant_texts",
+)
+def _(spark, sf):
+    """Detail rows with the product's texts and variants, lists as text."""
+    found = G.product_detail(
+        V.catalog_requests(spark, sf), V.catalog(spark, sf), V.price_rules(spark, sf), V.AS_OF
+    )
+    return found.select(
+        "request_id", "outcome", "name", "short_description", "long_description", "selected", "sku", "label",
+        attribute_text("attributes").alias("attributes"),
+        F.array_join(F.transform("variants", variant_text), "\n").alias("variants"),
+    )
+
+
 @query("product_detail_priced")
 def _(spark, sf):
     """Detail rows with the price of the chosen variant."""
