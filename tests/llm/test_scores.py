@@ -73,6 +73,31 @@ def test_lexicon_matches():
     assert len(fold("İIі")) == 3
 
 
+def test_disguised_words_match():
+    words = ("idiot", "moron", "scum", "stupid", "pathetic", "worthless", "clown", "hazy")
+    machine = automaton(Lexicon(dict.fromkeys(words, 4.0), (-3.0, 2.0), 100.0))
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    shifted = lambda first: {c: chr(first + k) for k, c in enumerate(plain)}
+    disguises = [
+        shifted(0xFF41), shifted(0xFF21), shifted(0x1D41A), shifted(0x1D400), shifted(0x1D5D4),  # fullwidth, mathematical
+        dict(zip("abcdehijkmnoprstuwxy", "аьсԁеһіјкмпоргѕтцшху")) | {"u": "υ"},
+        dict(zip("abcehijkmoprstxy", "АВСЕНІЈКМОРГЅТХУ")),
+        dict(zip("abehiklmnoprtuvwxyz", "ΑΒΕΗΙΚӀΜΝΟΡГΤυνωΧΥΖ")),
+        dict(zip("abcdefghijklmnoprstuvwyz", "ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ")),
+        *[{c: c + z for c in plain} for z in "\u200b\u200d\u2060\ufeff\u00ad\ufe0f"],
+    ]
+    for table in disguises:
+        for word in words:
+            for k in range(len(word)):
+                one = word[:k] + table.get(word[k], word[k]) + word[k + 1 :]
+                assert density(f"a {one} b", machine, 100.0)[1] == 1, (one, fold(one))
+            every = "".join(table.get(c, c) for c in word)
+            assert density(f"a {every} b", machine, 100.0)[1] == 1, (every, fold(every))
+    assert density("мoronic idiotс", machine, 100.0)[1] == 0
+    for c in map(chr, range(0x110000)):
+        assert len(fold(c)) == 1 and fold(fold(c)) == fold(c)
+
+
 def test_toxicity_learns_words_and_families(spark, docs_of, odd_rows):
     rng = random.Random(4)
     rows, marks = [], []

@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon (operator 6).
 
-Texts are folded before matching: lower case, letters of other scripts that look
-like Latin ones to these, digits and signs that stand for letters to these. An
+Texts are folded before matching: characters without width go, compatibility forms
+(fullwidth, mathematical) become plain letters, lower case, letters that
+look like Latin ones (Cyrillic, Greek, Armenian, small capitals; capitals by the
+look of the capital) become these, digits and signs that stand for letters too. An
 Aho-Corasick automaton finds all lexicon entries in one pass. An entry is a word
 or the beginning of a word family; it counts where a word begins (and, for a
 whole word, ends). Matches inside an exception phrase do not count. The weights of
@@ -23,8 +25,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,24 +52,50 @@ SEEDS = ("idiot", "moron", "imbecile", "stupid", "scum", "loser", "pathetic", "w
 SEED_WEIGHT = 4.0
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash collection", "clown fish", "circus clown", "class clown", "sore loser", "no idiot", "not stupid", "not worthless")
 
-# letters that look like Latin ones, and signs that stand for letters
-LOOKALIKES = str.maketrans(
-    "абвгдеёзийіїјклмнорстухѕԁһԛԝαβγεηικνορτυχωϲ",
-    "a6brдeeзииiijkлмhopctyxsdhqwabyenikvoptuxwc",
+# letters that look like Latin ones: Cyrillic, Greek, Armenian, small capitals and phonetic letters
+LOOKALIKES = dict(
+    zip(
+        "абвгдеёзийіїјклмнорстухѕԁһԛԝαβγεηικνορτυχωϲ" "зѐєҽмпшщьъүұӏґғԍѵѡҝӓӧ" "μπσςϳ" "օոսհցզյա" "ɑɡıɩȷʋᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ",
+        "a6brдeeзииiijkлмhopctyxsdhqwabyenikvoptuxwc" "3eeemnwwbbyylrfgvwkao" "unooj" "onuhgqjw" "agiijvabcdefghijklmnoprstuvwyz",
+        strict=True,
+    )
 )
+# capitals that look like another letter than their small letter does; they go before lower case
+CAPITALS = dict(zip("ΗΝΥΜΖΣΓΠΧΙİՏՍԼՕ", "hnymzerпxiisulo", strict=True))
 # l, 1, ! and | stand for each other and for i, so all fold to i
 SIGNS = str.maketrans("0134578@$!|+l", "oieastbasiiti")
+# characters without width: soft hyphen, joiners, direction and variation marks, tags
+UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 _WORDS = re.compile(r"[^\W_]+")
 
 
+class _Folds(dict):
+    """What each character folds to, worked out when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        c = _single(chr(code), partial(unicodedata.normalize, "NFKC"))
+        c = _single(CAPITALS.get(c, c), str.lower)
+        self[code] = LOOKALIKES.get(c, c).translate(SIGNS)
+        return self[code]
+
+
+def _single(c: str, change: Callable[[str], str]) -> str:
+    """The changed character, or the same if it would become several."""
+    changed = change(c)
+    return changed if len(changed) == 1 else c
+
+
+_FOLDS = _Folds()
+
+
+def visible(text: str) -> str:
+    """The text without characters that have no width."""
+    return text if text.isascii() else UNSEEN.sub("", text)
+
+
 def fold(text: str) -> str:
-    """The text in the alphabet of the lexicon, character for character (lower case that changes the length is left as it is)."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not low.isascii():
-        low = low.translate(LOOKALIKES)
-    return low.translate(SIGNS)
+    """The text in the alphabet of the lexicon, character for character (what would change the length is left as it is)."""
+    return text.lower().translate(SIGNS) if text.isascii() else text.translate(_FOLDS)
 
 
 @dataclass
@@ -95,6 +125,7 @@ def automaton(lexicon: Lexicon):
 def density(text: str, machine, per: float) -> tuple[float, int]:
     """Weight of the matches per `per` words, and their number."""
     hits, excused = [], []
+    text = visible(text)
     folded = fold(text)
     size = len(text)
     for end, (length, exception, weight, family) in machine.iter(folded):
@@ -170,8 +201,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                folded = fold(text or "")
-                words = {folded[m.start() : m.end()] for m in _WORDS.finditer(text or "")}
+                text = visible(text or "")
+                folded = fold(text)
+                words = {folded[m.start() : m.end()] for m in _WORDS.finditer(text)}
                 keys = words | {w[:k] + "*" for k in family for w in words if len(w) > k}
                 if keys:
                     n = len(keys)
