@@ -49,6 +49,28 @@ def test_checks_and_context():
     assert pii.score("call +49 30 12345678", "phone", 5, 20) > pii.score("version +49 30 12345678", "phone", 8, 23)
 
 
+def with_check(country, rest):
+    """A valid account number of the country."""
+    left = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+    return f"{country}{left:02d}{rest}"
+
+
+def test_accounts_end_where_their_country_says():
+    accounts = ["ES9121000418450200051332", "BE68539007547034", "AT611904300234573201", "GB82WEST12345698765432", "NO9386011117947", "SE4550000000058398257466"]
+    accounts += [with_check(c, ("7" * 40)[: n - 4]) for c, n in pii.IBAN_LENGTH.items()]
+    accounts += [with_check("QQ", "1234" * n) for n in range(3, 8)]
+    for account in accounts:
+        spaced = " ".join(account[k : k + 4] for k in range(0, len(account), 4))
+        for shown in (account, spaced):
+            for after in ("", ",", " BIC X", " EUR", " 2024", " 2024 2025 USD", " A1", " and more", f" {accounts[0]}", " " + accounts[1] + " 2024"):
+                found = [x[1:3] for x in find(f"to {shown}{after}") if x[0] == "iban"]
+                assert found[:1] == [(3, 3 + len(shown))], (shown, after)
+                assert len(found) == 1 + ("ES91" in after or "BE68" in after), (shown, after)
+    assert [x[1:3] for x in find("CD34 BE68 5390 0754 7034 EUR") if x[0] == "iban"] == [(5, 24)]
+    assert not [x for x in find("BE68 5390 0754 7035 EUR or BE685390075470340") if x[0] == "iban"]
+    assert find("AB12 CD34 " * 5000) == []
+
+
 def test_pii_rows(docs_of, odd_rows):
     got = find_pii(docs_of([*odd_rows, (50, TEXTS[0])])).collect()
     assert len(got) == len(odd_rows) + 1

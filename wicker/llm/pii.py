@@ -6,6 +6,9 @@ phones. Words near a span move its score up or down. The kinds of the base set
 keep every validated span whatever its score; the added kinds (iban, ssn) are
 kept from `threshold` on.
 
+An account number is cut to the length its country has, as words that follow it can
+look like a part of it.
+
 All scans are linear in the text: local parts of mail addresses are found from
 their @ backwards, and numbers are only tried where a run of digits begins.
 
@@ -36,6 +39,18 @@ _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+# characters of an account by country, as registered
+IBAN_LENGTH = {
+    code: length
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
+
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
 NEAR = 48
 STEP = 0.3
@@ -89,6 +104,39 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(done, at + 1))
 
 
+def _accounts(text: str) -> Iterator[tuple[str, int, int]]:
+    """The proposed span takes in words that follow, so its end is looked for: see `_account_end`."""
+    m = _IBAN.search(text)
+    while m:
+        end = _account_end(m)
+        if end:
+            yield "iban", m.start(), end
+        # a span that fails may hide an account that begins inside it
+        m = _IBAN.search(text, end or m.start() + 1)
+
+
+def _account_end(m: re.Match) -> int | None:
+    """Where a valid account that begins with the match ends.
+
+    Ends lie before a space or at the end of the match. The length of the country
+    goes first, then the whole match; where the country is not known, every end
+    from the longest to the shortest.
+    """
+    parts = m[0].split(" ")
+    ends, size, at = [], 0, m.start()
+    for part in parts:
+        size, at = size + len(part), at + len(part)
+        ends.append((size, at))
+        at += 1
+    ends.reverse()
+    length = IBAN_LENGTH.get(m[0][:2])
+    tried = ends if length is None else [e for e in ends if e[0] == length] + ends[:1]
+    for size, at in tried:
+        if 15 <= size <= 34 and mod97(m[0].replace(" ", "")[:size]):
+            return at
+    return None
+
+
 def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IP.finditer(text):
         parts = (p.lstrip("0") for p in m[0].split("."))
@@ -103,10 +151,7 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end()
+    yield from _accounts(text)
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 
