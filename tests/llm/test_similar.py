@@ -150,6 +150,28 @@ def test_index_over_shards(spark, tmp_path):
     assert search(none, table.limit(0), 5, p).count() == 0
 
 
+def test_short_benchmark_items(spark, docs_of, odd_rows):
+    rng = random.Random(8)
+    long = " ".join(f"q{k}" for k in range(9))
+    items = [(0, "Red blue."), (1, "red"), (2, "one two three four"), (3, "  ... "), (4, None), (5, long), (6, "red blue"), (0, "red blue")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "a red, BLUE b red blue"), (2, "red"), (3, "blue red"), (4, "x one two three four"), (5, "one two three"), (6, long + " red"), (7, "redblue"), (7, "red"), (None, "red")]
+    rows += [(k, " ".join(rng.choice(("red", "blue", "one", "two", "three", "four")) for _ in range(60))) for k in range(50, 60)] + odd_rows
+    want = []
+    for i, text in rows:
+        words = re.findall(r"\w+", (text or "").lower())
+        for item, its in ((0, ["red", "blue"]), (1, ["red"]), (2, ["one", "two", "three", "four"]), (5, long.split()), (6, ["red", "blue"])):
+            at = [s for s in range(len(words)) if words[s : s + len(its)] == its]
+            if at:
+                want.append((str(i), item, at[0], 1.0))
+    for limit in (0, 500_000):
+        p = LeakParams(short_items=True, broadcast_limit=limit)
+        got = find_leaks(docs_of(rows), bench, p).collect()
+        assert sorted((str(r.doc_id), r.item_id, r.start, r.similarity) for r in got) == sorted(want)
+    clean = without_leaks(docs_of(rows), bench, LeakParams(short_items=True))
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, t in rows if not re.search(r"\bred\b|\bone two three four\b", (t or "").lower()))
+
+
 def test_leaks(spark, docs_of, odd_rows):
     rng = random.Random(6)
     items = [" ".join(f"q{rng.randrange(3000)}" for _ in range(n)) for n in (12, 20, 33, 57, 5, 3)]

@@ -14,12 +14,17 @@ occurs; from `threshold` on the document holds the item.
    and the Hamming distance then holds exactly.
 3. Candidates are verified by the exact similarity.
 
+With `short_items`, an item with fewer words than a shingle has one shingle of all its words. A window
+of its size is like it only if it holds the same words, so it is looked up among
+the runs of that length; runs are laid only for lengths that such items have.
+
 Equal texts are searched once, under two 64-bit hashes of the text, and found
 items are joined back to every document. Shingles of the benchmark are broadcast
 only if a count shows them under `broadcast_limit`; beyond it the join shuffles.
 
-Defined cases: NULL and empty texts hold nothing; items with fewer than five words
-have no shingle and match nothing; a document shorter than an item is compared
+Defined cases: NULL and empty texts hold nothing; items without a
+word match nothing, nor do items with fewer than five words unless `short_items` is
+set; a document shorter than an item is compared
 whole; repeated rows are each reported; NULL ids stay NULL; an empty table gives
 no rows; other columns are not read.
 """
@@ -38,12 +43,13 @@ BITS = 64
 
 @dataclass(frozen=True)
 class LeakParams:
-    """radius: Hamming distance of fingerprints that still counts as near. broadcast_limit: most benchmark shingles sent to every task."""
+    """radius: Hamming distance of fingerprints that still counts as near. short_items: items with fewer words than a shingle are looked for too, else they match nothing (the registered queries set it). broadcast_limit: most benchmark shingles sent to every task."""
 
     threshold: float = 0.8
     shingle: int = 5
     radius: int = 20
     broadcast_limit: int = 500_000
+    short_items: bool = False
 
 
 def words(text: Column) -> Column:
@@ -85,10 +91,33 @@ def text_id(text: str) -> tuple[Column, Column]:
     return F.xxhash64(value).alias("t1"), F.xxhash64(F.lit("second"), value).alias("t2")
 
 
+def item_texts(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("item_words")).distinct()
+
+
+def short_leaks(text: DataFrame, benchmark: DataFrame, p: LeakParams, item_col: str, item_text_col: str) -> DataFrame | None:
+    """(t1, t2, item_id, start, similarity) of the items shorter than a shingle; None if there are none. `text`: t1, t2, w."""
+    short = item_texts(benchmark, item_col, item_text_col).where(F.size("item_words").between(1, p.shingle - 1)).withColumn("n", F.size("item_words"))
+    # at most shingle - 1 numbers
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())
+    if not lengths:
+        return None
+
+    def of_length(w: Column, k: int) -> Column:
+        return F.transform(shingles(w, k), lambda c, i: F.struct(F.lit(k).alias("n"), c.alias("code"), i.alias("start")))
+
+    def runs(w: Column) -> Column:
+        return F.concat(*[of_length(w, k) for k in lengths])
+
+    codes = stage_table(short.select("item_id", "n", F.inline(runs(F.col("item_words"))).alias("size", "code", "at")).where("size = n").select("item_id", "n", "code"), "short_items")
+    known = F.broadcast(codes) if codes.limit(p.broadcast_limit + 1).count() <= p.broadcast_limit else codes
+    found = text.select("t1", "t2", F.inline(runs(F.col("w")))).join(known, ["n", "code"])
+    return found.groupBy("t1", "t2", "item_id").agg(F.min("start").alias("start")).withColumn("similarity", F.lit(1.0))
+
+
 def benchmark_items(benchmark: DataFrame, p: LeakParams, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, item_words, n, fingerprint) of the items with at least one shingle; repeated items once."""
-    w = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("item_words")).distinct()
-    w = w.where(F.size("item_words") >= p.shingle)
+    """(item_id, item_words, n, fingerprint) of the items with at least one whole shingle; repeated items once."""
+    w = item_texts(benchmark, item_col, text_col).where(F.size("item_words") >= p.shingle)
     return w.select("item_id", "item_words", F.size("item_words").alias("n"), simhash(F.transform("item_words", lambda x: F.xxhash64(x))).alias("fingerprint"))
 
 
@@ -123,7 +152,9 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, p: LeakParams, text_col:
     theirs = items.select("item_id", (F.col("n") - p.shingle + 1).alias("item_total"), F.explode(shingles(F.col("item_words"), p.shingle)).alias("code"))
     theirs = theirs.groupBy("item_id", "item_total", "code").agg(F.count("*").alias("item_times"))
     both = own.join(theirs, ["item_id", "code"]).groupBy("t1", "t2", "start", "item_id", "total", "item_total").agg(F.sum(F.least("times", "item_times")).alias("same"))
-    scored = both.withColumn("similarity", F.col("same") / (F.col("total") + F.col("item_total") - F.col("same"))).where(F.col("similarity") >= p.threshold)
+    scored = both.withColumn("similarity", F.col("same") / (F.col("total") + F.col("item_total") - F.col("same"))).select("t1", "t2", "item_id", "start", "similarity")
+    short = short_leaks(text, benchmark, p, item_col, item_text_col) if p.short_items else None
+    scored = (scored if short is None else scored.unionByName(short)).where(F.col("similarity") >= p.threshold)
     best = scored.groupBy("t1", "t2", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best"))
     return best.select("t1", "t2", "item_id", (-F.col("best.before")).alias("start"), F.col("best.similarity").alias("similarity"))
 

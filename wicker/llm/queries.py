@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wicker.llm import pii, quality, secret_scan, toxicity
-from wicker.llm.decontaminate import find_leaks
+from wicker.llm.decontaminate import LeakParams, find_leaks
 from wicker.llm.encode import default_tokenizer
 from wicker.llm.near_dup import near_duplicates
 from wicker.llm.packing import encode_pieces, place
@@ -106,7 +106,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the item, the place and the similarity."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), LeakParams(short_items=True))
 
 
 @query("op4_vantage_point_trees")
