@@ -31,6 +31,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer() -> str:
+    """Path of the vocabulary with word ends."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = np.arange(256)
     letter = ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))

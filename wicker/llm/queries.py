@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wicker.llm import pii, quality, secret_scan, toxicity
+from wicker.llm import pii, quality, secret_scan, sql, toxicity
+from wicker.llm.bpe import decode_documents, encode_documents
 from wicker.llm.decontaminate import LeakParams, find_leaks
-from wicker.llm.encode import default_tokenizer
+from wicker.llm.encode import default_tokenizer, word_tokenizer
 from wicker.llm.near_dup import near_duplicates
 from wicker.llm.packing import encode_pieces, place
 from wicker.llm.pii import find_pii
+from wicker.llm.resample import ResampleParams, resample
 from wicker.llm.secret_scan import scan_secrets
+from wicker.llm.spelling import SpellingParams, spelling_variants, words_of_texts
 from wicker.llm.token_counts import length_counts, length_histogram
 from wicker.llm.token_files import read_documents, write_token_files
 from wicker.llm.vptree import build_index, search
@@ -117,6 +120,30 @@ def op4_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+@query("op11_spelling_variants", sql.SPELLING)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter lost, with their near words, forms and roots."""
+    p = SpellingParams(noise=31)
+    return spelling_variants(words_of_texts(table(spark, sf_dir, "documents"), p), p)
+
+
+@query("op12_importance_resampling", sql.RESAMPLING)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by their likeness to the benchmark, a tenth of the longer ones drawn."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ResampleParams())
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_bpe_codec")
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with the word vocabulary and decoded again: digests of the ids and of the text."""
+    path = word_tokenizer()
+    encoded = encode_documents(table(spark, sf_dir, "documents"), path)
+    digests = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    decoded = decode_documents(digests, path, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another, over all documents."""
