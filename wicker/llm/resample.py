@@ -72,15 +72,13 @@ def grams(column: pa.Array, longest: int) -> Grams:
     text = text.filter(some).to_numpy().astype(np.int64)
     single = coded.indices.to_numpy().astype(np.int64)
     out = Grams([coded.dictionary], [single], [text], np.bincount(text, minlength=texts))
-    number, strings = single, coded.dictionary
+    strings, starts, n, base = coded.dictionary, np.arange(len(single)), len(single), len(coded.dictionary) + 1
     for k in range(1, longest):
-        inside = text[: len(text) - k] == text[k:]  # the run does not leave its text
-        before = out.number[-1]
-        here = np.flatnonzero(inside)
-        at = np.searchsorted(np.flatnonzero(text[: len(text) - k + 1] == text[k - 1 :]), here) if k > 1 else here
-        pair, number = np.unique(before[at] * (len(coded.dictionary) + 1) + single[here + k], return_inverse=True)
-        left, right = pair // (len(coded.dictionary) + 1), pair % (len(coded.dictionary) + 1)
-        strings = pc.binary_join_element_wise(strings.take(pa.array(left)), coded.dictionary.take(pa.array(right)), " ")
+        here = np.flatnonzero(text[: max(0, n - k)] == text[k:])  # a run does not leave its text
+        before = out.number[-1][np.searchsorted(starts, here)]
+        pair, number = np.unique(before * base + single[here + k], return_inverse=True)
+        strings = pc.binary_join_element_wise(strings.take(pa.array(pair // base)), coded.dictionary.take(pa.array(pair % base)), pa.scalar(" ", strings.type))
+        starts = here
         out.distinct.append(strings)
         out.number.append(number)
         out.text.append(text[here])
