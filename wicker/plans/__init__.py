@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog", "q_reco", "q_compose", "q_search"]
+_MODULES = ["q_basket", "q_orders", "q_edges", "q_catalog", "q_reco", "q_compose", "q_search", "q_history"]
 
 
 def load_all() -> None:

@@ -279,14 +279,11 @@ def _(spark, sf):
     return L.snapshot_metadata(edges, S.digest(edges))
 
 
-
-
-
 @query(
     "snapshot_diff",
-    f"""SELECT {ENDS_SQL}, relationship_type, 'appeared' AS change FROM (
+    f"""SELECT {ENDS_SQL}, 'appeared' AS change FROM (
           SELECT {", ".join(C.IDENTITY)} FROM knowledge EXCEPT SELECT {", ".join(C.IDENTITY)} FROM valid_edges)
-        UNION ALL SELECT {ENDS_SQL}, relationship_type, 'vanished' FROM (
+        UNION ALL SELECT {ENDS_SQL}, 'vanished' FROM (
           SELECT {", ".join(C.IDENTITY)} FROM valid_edges EXCEPT SELECT {", ".join(C.IDENTITY)} FROM knowledge)""",
     "knowledge",
     "valid_edges",
@@ -294,4 +291,4 @@ def _(spark, sf):
 def _(spark, sf):
     """What the knowledge base has that the mined edges lack, and the other way round."""
     found = snapshot_diff(V.valid_edges(spark, sf), V.knowledge(spark, sf))
-    return found.select(*ENDS, "relationship_type", "change")
+    return found.select(*ENDS, "change")

@@ -434,6 +434,27 @@ def price_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price rules as relationship rules with a validity; odd dates are open ends."""
+    source = F.col("product_id")
+    return price_rules(spark, sf_dir).select(
+        F.concat(F.lit("r-"), text("id")).alias("rule_id"),
+        F.lpad(text(F.coalesce("priority", F.lit(0))), 4, "0").alias("rule_version"),
+        text(source).alias("source_product_id"),
+        text((source * 7 + F.col("group_id")) % 100 + 1).alias("target_product_id"),
+        (0.5 + F.col("priority") / 10.0).alias("reliability"),
+        F.when(F.col("valid_from").rlike("^[1-9]"), F.col("valid_from").try_cast("timestamp")).alias("valid_from"),
+        F.col("valid_to").cast("timestamp").alias("valid_to"),
+    )
+
+
+def rule_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each product of each order at the time of the order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("at"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", text("l_partkey").alias("source_product_id"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("request_id"), "source_product_id", "at").distinct()
+
+
 def truth_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text references: base products twice over, variants, and unusable ones."""
     key, size = F.col("p_partkey"), F.col("p_size")
