@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wicker.functions import text as T
@@ -121,3 +123,43 @@ def test_marks_that_stand_alone_go(spark):
 
     row = spark.createDataFrame([("Barra ´olímpica ^`¨·¸ ḱ",)], "t string").select(normalise_text(F.col("t"))).first()
     assert row[0] == "barra olimpica k"
+
+
+def test_longest_phrase_of_whole_words_wins(spark):
+    queries = spark.createDataFrame([(1, "Barra  Torque Pro negra, TORQUE"), (2, "barra torquemada"), (3, ""), (4, "torque"), (5, "rojo torque rojo mate")], "query_id int, query string")
+    words = I.normalise_queries(queries)
+    phrases = [("brand", "Torque"), ("brand", "torque PRO"), ("brand", "Pro Negra"), ("variant", "negra"), ("variant", "rojo"), ("variant", "Rojo  mate"), ("other", "barra"), ("brand", " "), ("brand", None), ("brand", "torque")]
+    dictionary = I.phrase_dictionary(spark.createDataFrame(phrases, "kind string, phrase string"))
+    assert dictionary.filter("kind = 'other'").count() == 0 and dictionary.filter("phrase = 'torque'").count() == 1
+    found = words.join(I.find_phrases(words, dictionary), "normalised")
+    assert sorted((r["query_id"], r["kind"], r["phrase"], r["start"]) for r in found.collect()) == [
+        (1, "brand", "torque pro", 1), (1, "variant", "negra", 3), (4, "brand", "torque", 0), (5, "brand", "torque", 1), (5, "variant", "rojo mate", 2)
+    ]
+    none = spark.createDataFrame([], "kind string, phrase string")
+    assert I.find_phrases(words, I.phrase_dictionary(none)).count() == 0
+
+
+def test_brand_and_variant_count_as_constraints_and_add_their_bonus(spark):
+    queries = spark.createDataFrame([(1, "disco bumper torque rojo", None, None, [])], "query_id int, query string, intended_use string, category_wanted string, preferred array<string>")
+    phrases = spark.createDataFrame([("brand", "torque"), ("variant", "rojo")], "kind string, phrase string")
+    words = I.named_constraints(I.understand(queries), I.phrase_dictionary(phrases))
+    assert words.first()["constraint_count"] == 3
+    schema = """product_id int, combination_id int, name string, reference string, description string, category string, active boolean, price double,
+      stock_status string, purchasable boolean, attributes array<struct<group:string,value:string>>"""
+    rows = [
+        (1, 0, "Disco bumper", None, "torque", None, True, 1.0, "in_stock", True, [("Color", "Rojo")]),
+        (2, 0, "Disco bumper", None, "torque", None, True, 1.0, "in_stock", True, [("Color", "Azul")]),
+        (3, 0, "Disco bumper", None, "otra", None, True, 1.0, "in_stock", True, [("Color", "Azul")]),
+    ]
+    products = I.describe_products(spark.createDataFrame(rows, schema))
+    with_names = {r["product_id"]: r for r in I.score(I.evaluate_constraints(words.crossJoin(products))).collect()}
+    plain = {r["product_id"]: r for r in I.score(I.evaluate_constraints(I.understand(queries).crossJoin(products))).collect()}
+    assert [with_names[i]["m_brand"] for i in (1, 2, 3)] == ["matched", "matched", "contradicted"]
+    assert [with_names[i]["m_variant"] for i in (1, 2, 3)] == ["matched", "contradicted", "contradicted"]
+    assert [with_names[i]["satisfies_all"] for i in (1, 2, 3)] == [True, False, False]
+    assert with_names[1]["score"] >= 0.9 and plain[1]["satisfies_all"]
+    only_brand = I.named_constraints(I.understand(queries), I.phrase_dictionary(phrases.filter("kind = 'brand'")))
+    branded = {r["product_id"]: r for r in I.score(I.evaluate_constraints(only_brand.crossJoin(products)).withColumn("satisfies_all", F.lit(False))).collect()}
+    unfloored = {r["product_id"]: r for r in I.score(I.evaluate_constraints(I.understand(queries).crossJoin(products)).withColumn("satisfies_all", F.lit(False))).collect()}
+    assert branded[1]["score"] == pytest.approx(min(1.0, unfloored[1]["score"] + 0.08), abs=2e-6)
+    assert not with_names[2]["plausible"] and "m_brand" not in plain[1].asDict()

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,49 @@ def test_other_version_stops_a_publication(spark, tmp_path):
     with pytest.raises(store.SnapshotError, match="MODEL_VERSION_MISMATCH"):
         store.publish(frame(spark, edge("A", "B")), str(tmp_path), model_version="m2")
     assert list((tmp_path / "incoming").iterdir()) == [] and store.active_id(spark, str(tmp_path)) is None
+
+
+def test_lookups_read_the_buckets_of_their_sources(spark, tmp_path):
+    root = str(tmp_path)
+    edges = frame(spark, *[edge(f"S{i}", f"T{k}", reliability=0.3 + k / 10) for i in range(200) for k in range(3)])
+    store.publish(edges, root, buckets=16)
+    one = spark.createDataFrame([(1, "S7", None, None, None)], "request_id int, source_product_id string, source_combination_id string, relationship_types array<string>, limit int")
+    read = store.read_for(spark, root, one)
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(read) == 1 and files(store.read_snapshot(spark, root)) == 16
+    many = one.withColumn("source_product_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda n: F.concat(F.lit("S"), n.cast("string")))))
+    assert files(store.read_for(spark, root, many)) == 16
+    found = L.find_by_source(one, read).collect()
+    assert [(r["target_product_id"], r["position"], r["total_matched"]) for r in found] == [("T0", 1, 3), ("T1", 2, 3), ("T2", 3, 3)]
+    none = one.filter("request_id > 1")
+    assert store.read_for(spark, root, none).count() == 0
+    assert store.read_for(spark, f"{root}/other", one) is None
+
+
+def test_diff_reads_only_changed_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [edge(f"S{i}", "T") for i in range(200)]
+    old, _ = store.write_snapshot(frame(spark, *rows), root, buckets=16)
+    rows[7] = edge("S7", "U")
+    new, _ = store.write_snapshot(frame(spark, *rows), root, buckets=16)
+    assert len(store.changed_buckets(spark, root, old, new)) == 1
+    for snapshot in (old, new):  # what has not changed can be gone
+        for folder in (tmp_path / "snapshots" / snapshot.replace(":", "-") / "edges").glob("bucket=*"):
+            if folder.name != f"bucket={store.changed_buckets(spark, root, old, new)[0]}":
+                shutil.rmtree(folder)
+    found = store.diff(spark, root, old, new)
+    assert sorted((r["source_product_id"], r["target_product_id"], r["change"]) for r in found.collect()) == [("S7", "T", "vanished"), ("S7", "U", "appeared")]
+    assert len(set(found.columns)) == len(found.columns)
+    assert store.changed_buckets(spark, root, old, old) == [] and store.diff(spark, root, old, old).count() == 0
+    more, _ = store.write_snapshot(frame(spark, *rows, edge("Z", "Y")), root, buckets=16)
+    other, _ = store.write_snapshot(frame(spark, *rows[:100]), root, buckets=4)
+    assert store.changed_buckets(spark, root, more, other) is None
+    assert store.diff(spark, root, more, other).filter("change = 'vanished'").count() == 101
+    with pytest.raises(store.SnapshotError):
+        store.diff(spark, root, old, "sha256:none")
+
+
+def test_evidence_that_changes_is_no_change_of_identity(spark, tmp_path):
+    old, _ = store.write_snapshot(frame(spark, edge("A", "B")), str(tmp_path))
+    new, _ = store.write_snapshot(frame(spark, edge("A", "B", reliability=0.9)), str(tmp_path))
+    assert store.changed_buckets(spark, str(tmp_path), old, new) and store.diff(spark, str(tmp_path), old, new).count() == 0

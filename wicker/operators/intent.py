@@ -56,6 +56,9 @@ MEASURES = {
 }
 CONSTRAINTS = ["product_type", "weight", "diameter", "length", "reference"]
 BONUS = {"product_type": 0.22, "weight": 0.25, "diameter": 0.2, "length": 0.2, "reference": 0.35}
+# constraints whose values are phrases of the catalogue; they are there after named_constraints
+NAMED = ["brand", "variant"]
+NAMED_BONUS = 0.08
 # fixed values: facet names by words of the product text
 FACET_TYPES = [
     (["hexagonal"], "barra hexagonal"),
@@ -141,6 +144,48 @@ def understand(queries: DataFrame) -> DataFrame:
     return extract_constraints(expand_synonyms(normalise_queries(queries)))
 
 
+def phrase_words(text: Column) -> Column:
+    """Words of a normalised text without the punctuation around them."""
+    return F.transform(F.split(text, " "), lambda w: F.regexp_replace(w, "^[^a-z0-9]+|[^a-z0-9]+$", ""))
+
+
+def phrase_dictionary(phrases: DataFrame) -> DataFrame:
+    """(kind, phrase, words) from (kind, phrase): normalised, each once; NULL and empty phrases and other kinds go."""
+    own = F.filter(phrase_words(T.normalise_text(T.collapse_spaces(F.col("phrase")))), lambda w: w != "")
+    named = phrases.filter(F.col("kind").isin(NAMED)).select("kind", F.array_join(own, " ").alias("phrase"))
+    return named.filter(F.col("phrase") != "").distinct().withColumn("words", F.size(F.split("phrase", " ")))
+
+
+def find_phrases(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(normalised, kind, phrase, start, words): for each text and kind the longest phrase in it, the first of these.
+
+    Runs of words as long as some phrase meet the phrases by equality; equal texts
+    are looked up once. Phrases are whole words of the text.
+    """
+    lengths = sorted(r["words"] for r in dictionary.select("words").distinct().collect())  # word counts of phrases
+    if not lengths:
+        lengths = [1]
+    own = phrase_words(F.col("normalised"))
+    run = lambda n: F.transform(
+        F.when(F.size(own) >= n, F.sequence(F.lit(0), F.size(own) - n)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(i.alias("start"), F.array_join(F.slice(own, i + 1, F.lit(n)), " ").alias("phrase")),
+    )
+    distinct = texts.select("normalised").filter(F.col("normalised") != "").distinct()
+    runs = distinct.select("normalised", F.inline(F.flatten(F.array(*[run(n) for n in lengths]))))
+    met = runs.join(dictionary, "phrase")
+    best = F.min(F.struct((-F.col("words")).alias("less"), "start", "phrase")).alias("best")
+    found = met.groupBy("normalised", "kind").agg(best)
+    return found.select("normalised", "kind", F.col("best.phrase").alias("phrase"), F.col("best.start").alias("start"), (-F.col("best.less")).alias("words"))
+
+
+def named_constraints(understood: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Adds c_brand and c_variant, the phrases that a query names, and counts them as constraints."""
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("phrase"))).alias(f"c_{kind}")
+    found = find_phrases(understood, dictionary).groupBy("normalised").agg(*[pick(k) for k in NAMED])
+    more = sum((F.col(f"c_{k}").isNotNull().cast("int") for k in NAMED), F.lit(0))
+    return understood.join(found, "normalised", "left").withColumn("constraint_count", F.col("constraint_count") + more)
+
+
 # -- retrieval ---------------------------------------------------------------
 
 
@@ -290,10 +335,16 @@ def evaluate_constraints(df: DataFrame) -> DataFrame:
         .when(F.contains("n_identity", "c_reference"), "matched")
         .otherwise("contradicted"),
     )
+
+    def named(kind: str) -> Column:
+        state = F.when(F.col("n_all") == "", "not_available").when(F.contains("n_all", f"c_{kind}"), "matched").otherwise("contradicted")
+        return F.when(F.col(f"c_{kind}").isNotNull(), state)
+
     kinds = {k: compare(k) for k in ("product_type", "weight", "diameter", "length")} | {"reference": reference}
+    kinds |= {k: named(k) for k in NAMED if f"c_{k}" in df.columns}
     out = df.withColumns({f"m_{k}": c for k, c in kinds.items()})
     tally = lambda state: sum(
-        (F.coalesce(F.col(f"m_{k}") == state, F.lit(False)).cast("int") for k in CONSTRAINTS), F.lit(0)
+        (F.coalesce(F.col(f"m_{k}") == state, F.lit(False)).cast("int") for k in kinds), F.lit(0)
     )
     return out.withColumn("matched", tally("matched")).withColumn("contradicted", tally("contradicted")).withColumn(
         "satisfies_all", (F.col("constraint_count") > 0) & (F.col("matched") == F.col("constraint_count"))
@@ -332,7 +383,8 @@ def score(df: DataFrame) -> DataFrame:
         }
     )
     bonus = F.lit(0.0)
-    for kind, value in BONUS.items():
+    named = {k: NAMED_BONUS for k in NAMED if f"m_{k}" in df.columns}
+    for kind, value in (BONUS | named).items():
         bonus = bonus + F.when(c(f"m_{kind}") == "matched", value).otherwise(0.0)
     penalty = F.when(c("contradicted") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.08), F.lit(0.22) / c("contradicted")))
     base = (

@@ -62,6 +62,18 @@ def second_sum(edges: DataFrame) -> str:
     return "-".join(str(x) for x in edges.agg(*lanes).first())
 
 
+def lane(hashed: str, i: int) -> Column:
+    """One of four numbers of a hash; sums of them combine on the map side."""
+    return F.conv(F.substring(hashed, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+
+
+def bucket_digests(edges: DataFrame) -> DataFrame:
+    """(bucket, edges, lane0 .. lane3): a digest of each bucket, independent of the order of its edges."""
+    hashed = edges.select("bucket", edge_fingerprint().alias("h"))
+    sums = [F.sum(lane("h", i)).cast("decimal(38,0)").alias(f"lane{i}") for i in range(4)]
+    return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("edges"), *sums)
+
+
 def digest(edges: DataFrame) -> DataFrame:
     """One row: snapshot_id over all edges, independent of their order.
 
@@ -74,13 +86,12 @@ def digest(edges: DataFrame) -> DataFrame:
         F.date_format("window_from", "yyyy-MM-dd HH:mm:ss.SSS").alias("wf"),
         F.date_format("window_to", "yyyy-MM-dd HH:mm:ss.SSS").alias("wt"),
     )
-    lane = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
     summed = hashed.agg(
         F.count(F.lit(1)).alias("relationship_count"),
         F.min("model_version").alias("model_version"),
         F.min("wf").alias("window_from"),
         F.max("wt").alias("window_to"),
-        *[F.coalesce(F.sum(lane(i)), F.lit(0)).cast("decimal(38,0)").alias(f"lane{i}") for i in range(4)],
+        *[F.coalesce(F.sum(lane("h", i)), F.lit(0)).cast("decimal(38,0)").alias(f"lane{i}") for i in range(4)],
     )
     content = F.concat_ws(
         "|",

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from wicker.operators import lookup as L
 from wicker.operators import snapshot as S
 from wicker.operators import validate as C
-from wicker.operators.sequence import snapshot_diff
 from wicker.plans import views as V
 from wicker.plans.oracle_views import edge_ctes
 from wicker.plans.registry import cte, query
-from wicker.session import scratch_root
+from wicker.session import scratch_root, stage_table
 from wicker.sources import store
 
 edge_ctes(V.WINDOW, V.MODEL)
@@ -147,6 +146,19 @@ def _(spark, sf):
     return S.snapshot_stats(V.knowledge(spark, sf))
 
 
+_published: dict[tuple[str, str], str] = {}
+
+
+def published(spark, sf: str) -> str:
+    """Root of the knowledge base of these tables, published once a session; lookups read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _published:
+        root = own_root(spark, "knowledge")
+        store.publish(V.knowledge(spark, sf), root, model_version=V.MODEL)
+        _published[key] = root
+    return _published[key]
+
+
 def own_root(spark, name: str) -> str:
     """A snapshot root of its own for every run of a store query."""
     import uuid
@@ -225,7 +237,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Spoilt edges against the metadata of the good ones."""
-    return L.index_checks(V.dirty_edges(spark, sf), S.digest(V.edges(spark, sf)))
+    edges = stage_table(V.edges(spark, sf), "edges")
+    return L.index_checks(V.dirty_edges(spark, sf, edges), S.digest(edges))
 
 
 CANONICAL = """source_product_id, source_combination_id NULLS FIRST, target_product_id,
@@ -252,7 +265,8 @@ cte(
     "found",
 )
 def _(spark, sf):
-    found = L.find_by_source(V.source_requests(spark, sf), V.knowledge(spark, sf))
+    requests = V.source_requests(spark, sf)
+    found = L.find_by_source(requests, store.read_for(spark, published(spark, sf), requests))
     return found.select("request_id", *C.TARGET, "relationship_type", "position", "total_matched", "returned")
 
 
@@ -265,7 +279,8 @@ def _(spark, sf):
     "knowledge",
 )
 def _(spark, sf):
-    found = L.find_related(V.source_requests(spark, sf), V.knowledge(spark, sf), ["same_order", "manual"], 2)
+    requests = V.source_requests(spark, sf)
+    found = L.find_related(requests, store.read_for(spark, published(spark, sf), requests), ["same_order", "manual"], 2)
     return found.select(*ENDS, F.round("reliability", 9).alias("reliability"), "rank")
 
 
@@ -275,8 +290,8 @@ def _(spark, sf):
     "digest",
 )
 def _(spark, sf):
-    edges = V.knowledge(spark, sf)
-    return L.snapshot_metadata(edges, S.digest(edges))
+    root = published(spark, sf)
+    return L.snapshot_metadata(store.read_snapshot(spark, root), store.metadata(spark, root, store.active_id(spark, root)))
 
 
 @query(
@@ -290,5 +305,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """What the knowledge base has that the mined edges lack, and the other way round."""
-    found = snapshot_diff(V.valid_edges(spark, sf), V.knowledge(spark, sf))
-    return found.select(*ENDS, "change")
+    root = own_root(spark, "diff")
+    old, _ = store.write_snapshot(V.valid_edges(spark, sf), root)
+    new, _ = store.write_snapshot(store.read_snapshot(spark, published(spark, sf)), root)
+    return store.diff(spark, root, old, new).select(*ENDS, "change")

@@ -328,9 +328,7 @@ def measure_sql(x: str, kind: str) -> tuple[str, str]:
 QUERY_MEASURES = ", ".join(
     f"{measure_sql('txt', k)[0]} AS c_{k}, {measure_sql('txt', k)[1]} AS u_{k}" for k in I.MEASURES
 )
-cte(
-    "iu",
-    f"""
+UNDERSTOOD_SQL = f"""
     SELECT *, CAST(c_product_type IS NOT NULL AS INTEGER) + CAST(c_weight IS NOT NULL AS INTEGER)
         + CAST(c_diameter IS NOT NULL AS INTEGER) + CAST(c_length IS NOT NULL AS INTEGER)
         + CAST(c_reference IS NOT NULL AS INTEGER) AS constraint_count
@@ -339,10 +337,9 @@ cte(
       FROM (SELECT *, CASE WHEN len(synonyms) = 1 THEN n || ' ' || synonyms[1] ELSE n END AS txt
         FROM (SELECT *, {toks("n")} AS tokens, {units("n")} AS unit_tokens,
             list_filter({SYNONYM_SQL}, lambda x, i: list_position({SYNONYM_SQL}, x) = i) AS synonyms
-          FROM (SELECT *, {norm("trim(query)")} AS n FROM iq))))
-    """,
-    "iq",
-)
+          FROM (SELECT *, {norm("trim(query)")} AS n FROM <queries>))))
+    """
+cte("iu", UNDERSTOOD_SQL.replace("<queries>", "iq"), "iq")
 
 
 def understood(spark, sf):
@@ -500,18 +497,26 @@ def state(kind: str) -> str:
       WHEN abs(c_{kind} - p_{kind}) < 0.001 THEN 'matched' ELSE 'contradicted' END END"""
 
 
-TALLY = lambda s: " + ".join(f"CAST(coalesce(m_{k} = '{s}', false) AS INTEGER)" for k in I.CONSTRAINTS)
-cte(
-    "i_states",
-    f"""
-    SELECT *, {TALLY("matched")} AS matched, {TALLY("contradicted")} AS contradicted,
-      constraint_count > 0 AND {TALLY("matched")} = constraint_count AS satisfies_all
-    FROM (SELECT *, {", ".join(f"{state(k)} AS m_{k}" for k in ("product_type", "weight", "diameter", "length"))},
-        CASE WHEN c_reference IS NOT NULL THEN CASE WHEN contains(n_identity, c_reference) THEN 'matched' ELSE 'contradicted' END END
-          AS m_reference FROM i_eligible)
-    """,
-    "i_eligible",
-)
+def states_cte(name: str, eligible: str, kinds: list[str]) -> None:
+    """States of the constraints of a query for each product that is eligible."""
+    tally = lambda s: " + ".join(f"CAST(coalesce(m_{k} = '{s}', false) AS INTEGER)" for k in kinds)
+    named = "".join(
+        f", CASE WHEN c_{k} IS NOT NULL THEN CASE WHEN contains(n_all, c_{k}) THEN 'matched' ELSE 'contradicted' END END AS m_{k}" for k in I.NAMED if k in kinds
+    )
+    cte(
+        name,
+        f"""
+        SELECT *, {tally("matched")} AS matched, {tally("contradicted")} AS contradicted,
+          constraint_count > 0 AND {tally("matched")} = constraint_count AS satisfies_all
+        FROM (SELECT *, {", ".join(f"{state(k)} AS m_{k}" for k in ("product_type", "weight", "diameter", "length"))},
+            CASE WHEN c_reference IS NOT NULL THEN CASE WHEN contains(n_identity, c_reference) THEN 'matched' ELSE 'contradicted' END END
+              AS m_reference{named} FROM {eligible})
+        """,
+        eligible,
+    )
+
+
+states_cte("i_states", "i_eligible", I.CONSTRAINTS)
 
 
 @query(
@@ -529,18 +534,20 @@ def cover(words: str, x: str) -> str:
       ELSE 0.0::DOUBLE END"""
 
 
-BONUS = " + ".join(f"CASE WHEN m_{k} = 'matched' THEN {v}::DOUBLE ELSE 0.0::DOUBLE END" for k, v in I.BONUS.items())
+bonus_sql = lambda values: " + ".join(f"CASE WHEN m_{k} = 'matched' THEN {v}::DOUBLE ELSE 0.0::DOUBLE END" for k, v in values.items())
 CLAMP = lambda x: f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {x})), 6)"
-cte(
-    "i_scored",
-    f"""
+def scored_cte(name: str, states: str, values: dict[str, float]) -> None:
+    """Scores of eligible products from their states."""
+    cte(
+        name,
+        f"""
     SELECT *, CASE WHEN contradicted > 0 THEN false WHEN same_reference THEN true WHEN constraint_count = 0 THEN score > 0
         ELSE score >= 0.35 END AS plausible
     FROM (SELECT *, CASE WHEN same_reference THEN 1.0::DOUBLE WHEN same_name THEN {CLAMP("0.95::DOUBLE * penalty")}
         ELSE {CLAMP("greatest(base + bonus, CASE WHEN satisfies_all AND constraint_count >= 2 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END) * penalty")} END AS score
       FROM (SELECT *, 0.7::DOUBLE * name_cover + 0.12::DOUBLE * attribute_cover + 0.08::DOUBLE * category_cover
           + CASE WHEN synonym_hit THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN use_hit THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END
-          + 0.04::DOUBLE * description_cover AS base, {BONUS} AS bonus,
+          + 0.04::DOUBLE * description_cover AS base, {bonus_sql(values)} AS bonus,
           CASE WHEN contradicted = 0 THEN 1.0::DOUBLE ELSE greatest(0.08::DOUBLE, 0.22::DOUBLE / contradicted) END AS penalty,
           n_reference = n AS same_reference, n_name = n AS same_name
         FROM (SELECT *, {cover("tokens", "n_name")} AS name_cover,
@@ -551,10 +558,13 @@ cte(
               CASE WHEN contains(n_product, {norm("preferred")}) AND preferred IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS attribute_cover,
             len(list_filter(synonyms, lambda t: contains(n_product, t))) > 0 AS synonym_hit,
             intended_use IS NOT NULL AND contains(n_product, 'gimnasio') AND contains(n_product, 'standard') AS use_hit
-          FROM i_states)))
+          FROM {states})))
     """,
-    "i_states",
-)
+        states,
+    )
+
+
+scored_cte("i_scored", "i_states", I.BONUS)
 
 
 def scored(spark, sf):
@@ -678,3 +688,83 @@ def _(spark, sf):
 def _(spark, sf):
     words, found, rows = ranked(spark, sf)
     return I.stats(words, found, rows, I.decide(words, rows)).withColumn("warnings", F.array_join("warnings", ","))
+
+
+# -- brands and variants -----------------------------------------------------
+
+cte(
+    "named_queries",
+    """SELECT p_partkey AS query_id, CASE p_partkey % 6 WHEN 0 THEN 'Disco  Bumper ' || p_brand || ' ' || p_size || ' KG'
+         WHEN 1 THEN p_brand || ' ' || p_name WHEN 2 THEN 'peso ' || p_size || ' kg de ' || p_brand || ', no de ' || p_name
+         WHEN 3 THEN p_name || ' de ' || (p_size + 1) || ' kg' WHEN 4 THEN p_name ELSE 'ref' || p_partkey || ' ' || p_brand END AS query,
+       CAST(NULL AS VARCHAR) AS intended_use, CAST(NULL AS VARCHAR) AS category_wanted, CAST(NULL AS VARCHAR) AS preferred FROM part""",
+)
+cte(
+    "phrases",
+    f"""SELECT DISTINCT kind, phrase, len(string_split(phrase, ' ')) AS words FROM (
+          SELECT 'brand' AS kind, {norm("p_brand")} AS phrase FROM part UNION ALL SELECT 'brand', {norm("p_name || ' de luxe'")} FROM part WHERE p_partkey % 7 = 0
+          UNION ALL SELECT 'variant', {norm("'Peso ' || p_size || ' kg'")} FROM part WHERE p_partkey % 5 = 0
+          UNION ALL SELECT 'variant', {norm("p_size || ' kg'")} FROM part WHERE p_partkey % 5 = 0)""",
+)
+cte("nu", UNDERSTOOD_SQL.replace("<queries>", "named_queries"), "named_queries")
+cte(
+    "n_found",
+    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY words DESC, start, phrase) AS place FROM (
+         SELECT query_id, kind, phrase, words, len(string_split(left(padded, strpos(padded, ' ' || phrase || ' ')), ' ')) - 2 AS start
+         FROM (SELECT query_id, ' ' || array_to_string(list_transform(string_split(n, ' '), lambda w: regexp_replace(w, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')), ' ') || ' ' AS padded FROM nu)
+         JOIN phrases ON contains(padded, ' ' || phrase || ' '))) WHERE place = 1""",
+    "nu",
+    "phrases",
+)
+cte(
+    "n_understood",
+    """SELECT * REPLACE (constraint_count + CAST(c_brand IS NOT NULL AS INTEGER) + CAST(c_variant IS NOT NULL AS INTEGER) AS constraint_count) FROM nu
+       LEFT JOIN (SELECT query_id, max(phrase) FILTER (kind = 'brand') AS c_brand, max(phrase) FILTER (kind = 'variant') AS c_variant FROM n_found GROUP BY 1) USING (query_id)""",
+    "n_found",
+)
+cte(
+    "n_eligible",
+    "SELECT u.*, p.* FROM n_understood u JOIN i_products p ON p.product_id BETWEEN u.query_id AND u.query_id + 2",
+    "n_understood",
+    "i_products",
+)
+SEVEN = [*I.CONSTRAINTS, *I.NAMED]
+states_cte("n_states", "n_eligible", SEVEN)
+scored_cte("n_scored", "n_states", I.BONUS | {k: I.NAMED_BONUS for k in I.NAMED})
+
+
+def named(spark, sf):
+    """Queries that name brands and variants, understood."""
+    words = I.understand(V.named_queries(spark, sf))
+    return I.named_constraints(words, stage_table(I.phrase_dictionary(V.phrases(spark, sf)), "phrases"))
+
+
+@query("query_phrases", "SELECT query_id, kind, phrase, CAST(start AS INTEGER) AS start, CAST(words AS INTEGER) AS words FROM n_found", "n_found")
+def _(spark, sf):
+    """The longest brand and variant named by each query."""
+    words = I.understand(V.named_queries(spark, sf))
+    found = I.find_phrases(words, stage_table(I.phrase_dictionary(V.phrases(spark, sf)), "phrases"))
+    return words.select("query_id", "normalised").join(found, "normalised").select("query_id", "kind", "phrase", "start", "words")
+
+
+def named_rows(spark, sf):
+    """Each query with three products."""
+    near = F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 2))
+    asked = named(spark, sf).withColumn("product_id", near)
+    return I.evaluate_constraints(asked.join(I.describe_products(V.intent_products(spark, sf)), "product_id"))
+
+
+@query(
+    "intent_named_constraints",
+    f"SELECT query_id, product_id, constraint_count, {', '.join(f'm_{k}' for k in SEVEN)}, satisfies_all FROM n_states",
+    "n_states",
+)
+def _(spark, sf):
+    """All seven kinds of constraint, brands and variants among them."""
+    return named_rows(spark, sf).select("query_id", "product_id", "constraint_count", *[f"m_{k}" for k in SEVEN], "satisfies_all")
+
+
+@query("intent_named_score", "SELECT query_id, product_id, score, plausible FROM n_scored", "n_scored")
+def _(spark, sf):
+    """Scores with the bonus of brands and variants."""
+    return I.score(named_rows(spark, sf)).select("query_id", "product_id", "score", "plausible")

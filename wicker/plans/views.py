@@ -187,11 +187,11 @@ def edge_seq() -> Column:
     return (s * 10000000 + t) * 2
 
 
-def dirty_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges, most of them spoilt in one of twenty ways; some occur twice."""
+def dirty_edges(spark: SparkSession, sf_dir: str, mined: DataFrame | None = None) -> DataFrame:
+    """Edges, most of them spoilt in one of twenty ways; some occur twice. `mined` are the edges where they are stored."""
     s, t = ids()
     case = (s * 31 + t) % 31
-    base = edges(spark, sf_dir).withColumn("m", case)
+    base = (edges(spark, sf_dir) if mined is None else mined).withColumn("m", case)
     m = F.col("m")
 
     def change(name: str, *cases: tuple[int, Column]) -> Column:
@@ -685,3 +685,40 @@ def intent_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 9 == 0).alias("in_stock_only"),
         F.when(key % 2 == 0, F.lit(10)).alias("limit"),
     )
+
+
+def named_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wish per part; most name a brand or a variant."""
+    key, size, brand, name = F.col("p_partkey"), text("p_size"), F.col("p_brand"), F.col("p_name")
+    k = key % 6
+    return table(spark, sf_dir, "part").select(
+        key.alias("query_id"),
+        F.when(k == 0, F.concat(F.lit("Disco  Bumper "), brand, F.lit(" "), size, F.lit(" KG")))
+        .when(k == 1, F.concat(brand, F.lit(" "), name))
+        .when(k == 2, F.concat(F.lit("peso "), size, F.lit(" kg de "), brand, F.lit(", no de "), name))
+        .when(k == 3, F.concat(name, F.lit(" de "), text(F.col("p_size") + 1), F.lit(" kg")))
+        .when(k == 4, name)
+        .otherwise(F.concat(F.lit("ref"), text("p_partkey"), F.lit(" "), brand))
+        .alias("query"),
+        F.lit(None).cast("string").alias("intended_use"),
+        F.lit(None).cast("string").alias("category_wanted"),
+        F.array().cast("array<string>").alias("preferred"),
+    )
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands and variants of the catalogue as phrases."""
+    key, size = F.col("p_partkey"), text("p_size")
+    fifth = F.when(key % 5 == 0, F.array(F.concat(F.lit("Peso "), size, F.lit(" kg")), F.concat(size, F.lit(" kg"))))
+    return table(spark, sf_dir, "part").select(
+        F.explode(
+            F.concat(
+                F.array(F.struct(F.lit("brand").alias("kind"), F.col("p_brand").alias("phrase"))),
+                F.when(key % 7 == 0, F.array(F.struct(F.lit("brand").alias("kind"), F.concat("p_name", F.lit(" de luxe")).alias("phrase"))))
+                .otherwise(F.array().cast("array<struct<kind:string,phrase:string>>")),
+                F.coalesce(
+                    F.transform(fifth, lambda p: F.struct(F.lit("variant").alias("kind"), p.alias("phrase"))), F.array().cast("array<struct<kind:string,phrase:string>>")
+                ),
+            )
+        ).alias("p")
+    ).select("p.*")
