@@ -21,7 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 8 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
+CACHE_BYTES = 8 << 20  # of pieces; the store takes about ten times that
 
 
 def default_tokenizer() -> str:
@@ -55,8 +56,8 @@ _LETTER, _PUNCT, _SOLID = _tables()
 _PLAIN = re.compile(rb"\x20?[^\x00-\x20\xc2\xe1\xe2\xe3]+")
 
 
-def text_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
-    """Slices of a string column of about `limit` bytes; a longer text is one slice. NULL becomes ''."""
+def text_batches(column: pa.Array, limit: int = BATCH_BYTES, most: int | None = None) -> Iterator[pa.Array]:
+    """Slices of a string column of about `limit` bytes and at most `most` texts; a longer text is one slice. NULL becomes ''."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -64,6 +65,7 @@ def text_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Arra
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+        to = min(to, at + most) if most else to
         yield column.slice(at, to - at)
         at = to
 
@@ -109,7 +111,7 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.first = np.zeros(1 << 18, np.int64)
-        self.used = 0
+        self.used = self.piece_bytes = 0
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -124,10 +126,11 @@ class Encoder:
         self.first[n + 1 : n + 1 + len(words)] = at + ends
         self.known.update(zip(words, range(n, n + len(words))))
         self.used = at + len(ids)
+        self.piece_bytes += sum(map(len, words))
 
     def _slots(self, words: list[bytes]) -> np.ndarray:
         """Places of the pieces in the store, encoding those that are new."""
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > CACHE_ENTRIES or self.piece_bytes > CACHE_BYTES:
             self._forget()
         known = self.known
         new = [w for w in words if w not in known]

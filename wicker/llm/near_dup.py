@@ -43,6 +43,10 @@ from wicker.llm.encode import text_batches
 from wicker.llm.words import U, counted, mix, shingles_of, words_of
 from wicker.session import stage_table
 
+# a slice of texts worked on at once: its shingles grow with the bytes, its darts with the number of texts
+SLICE_BYTES = 2 << 20
+SLICE_TEXTS = 512
+
 
 @dataclass(frozen=True)
 class NearDupParams:
@@ -74,7 +78,7 @@ def sketches(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in text_batches(batch.column("text"), 4 << 20):
+            for texts in text_batches(batch.column("text"), SLICE_BYTES, SLICE_TEXTS):
                 n = len(texts)
                 code, text = shingles_of(words_of(texts), p.shingle)
                 size = np.bincount(text, minlength=n)
@@ -99,7 +103,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, p: NearDupParams, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in text_batches(batch.column("text"), 4 << 20):
+            for texts in text_batches(batch.column("text"), SLICE_BYTES, SLICE_TEXTS):
                 n = len(texts)
                 code, text, times = counted(*shingles_of(words_of(texts), p.shingle))
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
