@@ -163,3 +163,17 @@ def test_brand_and_variant_count_as_constraints_and_add_their_bonus(spark):
     unfloored = {r["product_id"]: r for r in I.score(I.evaluate_constraints(I.understand(queries).crossJoin(products)).withColumn("satisfies_all", F.lit(False))).collect()}
     assert branded[1]["score"] == pytest.approx(min(1.0, unfloored[1]["score"] + 0.08), abs=2e-6)
     assert not with_names[2]["plausible"] and "m_brand" not in plain[1].asDict()
+
+
+def test_the_best_match_is_found_beyond_the_pool(spark):
+    rows = [(i, 0, f"R{i}", None, f"barra {i}", None, None, 5, 0, None) for i in range(1, 120)] + [(500, 0, "barra", None, "otra", None, None, 5, 0, None), (501, 0, "X", None, "Barra", None, None, 5, 0, None)]
+    items = spark.createDataFrame(
+        rows,
+        """product_id bigint, combination_id bigint, product_sku string, combination_sku string, product_name string, short_description string,
+           long_description string, physical_quantity int, is_default int, default_on int""",
+    )
+    q = spark.createDataFrame([(1, "barra", 3, True), (2, "barra", 1, True)], "query_id int, query string, limit int, include_out_of_stock boolean")
+    found = G.search(q, items)
+    assert sorted((r["query_id"], r["rank"], r["product_id"]) for r in found.collect()) == [(1, 1, 500), (1, 2, 501), (1, 3, 1), (2, 1, 500)]
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["product_id"] for r in G.search(q, items, G.SHOP_POOL).collect()} <= set(range(1, 120))

@@ -227,7 +227,7 @@ def intent_hits(understood: DataFrame, items: DataFrame, p: IntentParams = Inten
         F.col("pool").alias("limit"),
         F.col("with_empty").alias("include_out_of_stock"),
     )
-    found = G.search(asked, items).select(
+    found = G.search(asked, items, G.SHOP_POOL).select(
         F.col("query_id").alias("search_id"), "rank", "product_id", "combination_id", "product_name", "match_type"
     )
     hit = F.struct("rank", "product_id", "combination_id", "match_type", T.normalise_text(F.col("product_name")).alias("name"))

@@ -8,11 +8,14 @@ physical_quantity, has_variants, is_default).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicker.functions.text import html_to_text, strip_accents
 from wicker.operators.pricing import price_quote
+from wicker.session import stage_table
 from wicker.sources import catalog as Cat
 
 GRAM = 3
@@ -95,10 +98,11 @@ def text_matches(terms: DataFrame, texts: DataFrame) -> DataFrame:
     # only substrings that some term asks for enter the index
     asked = keys.select("gram").distinct()
     # an index row holds a hash of its text; the text itself comes back for the rows that are found
-    named = texts.select(F.xxhash64("text").alias("tid"), "text")
-    postings = named.select(
-        "tid", F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram")
-    ).join(asked, "gram", "left_semi")
+    named = stage_table(texts.select(F.xxhash64("text").alias("tid"), "text"), "texts")
+    lengths = sorted(r["__w"] for r in sized.select("__w").distinct().collect()) or [GRAM]  # at most GRAM numbers
+    postings = named.select("tid", F.explode(F.concat(*[_grams(F.col("text"), n) for n in lengths])).alias("gram"))
+    # read for the frequencies and again for the rarest substrings
+    postings = stage_table(postings.join(asked, "gram", "left_semi"), "postings")
     frequency = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a substring without postings proves that its term matches nothing
     rarest = (
@@ -117,17 +121,31 @@ def fold(c: Column | str) -> Column:
     return F.lower(strip_accents(F.col(c) if isinstance(c, str) else c))
 
 
-def search_candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Matching items per query, at most max(10 * limit, 50) of them.
+@dataclass(frozen=True)
+class Pool:
+    """A cut before scoring: at most max(factor * limit, least) matches of a query, by the least product ids."""
+
+    factor: int = 10
+    least: int = 50
+
+
+# what the shop's own search applies
+SHOP_POOL = Pool()
 
-    The order of the cut is product, default variant first, variant. Queries
+
+def search_candidates(queries: DataFrame, items: DataFrame, pool: Pool | None = None) -> DataFrame:
+    """Matching items per query with their position; with a pool, only the first of them.
+
+    The order is product, default variant first, variant; without a pool `position`
+    is a struct that sorts so, and no query's matches are brought together. Queries
     with the same words and limits are answered once.
     """
+    size = F.lit(None).cast("int") if pool is None else F.greatest(F.col("limit") * pool.factor, F.lit(pool.least))
     q = queries.select(
         "query_id",
         F.trim("query").alias("words"),
         F.coalesce("include_out_of_stock", F.lit(False)).alias("with_empty"),
-        F.greatest(F.col("limit") * 10, F.lit(50)).alias("pool"),
+        size.alias("pool"),
     ).withColumn("term", fold("words"))
     terms = q.select("term").distinct()
     slim = items.select("product_id", "combination_id", "physical_quantity", "default_on", *TEXTS, "product_sku", "combination_sku")
@@ -141,19 +159,29 @@ def search_candidates(queries: DataFrame, items: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.array(fold("product_sku"), fold("combination_sku")))).alias("term"),
     ).join(terms, "term", "left_semi")
     matched = hits.join(texts, "text").drop("text").unionByName(skus).distinct()
-    contexts = q.select("term", "with_empty", "pool").distinct()
+    key = ["term", "with_empty"] if pool is None else ["term", "with_empty", "pool"]
+    contexts = q.select(*key).distinct()
     open_rows = contexts.join(matched, "term").filter(F.col("with_empty") | (F.col("physical_quantity") > 0))
-    order = [F.col("product_id").asc(), F.col("default_on").desc_nulls_last(), F.col("combination_id").asc()]
-    cut = top_k_by(open_rows, ["term", "with_empty", "pool"], order, F.col("pool"), "position")
-    kept = cut.select("term", "with_empty", "pool", "product_id", "combination_id", "position")
-    found = q.join(kept, ["term", "with_empty", "pool"]).drop("with_empty", "pool", "term")
+    if pool is None:
+        place = F.struct("product_id", F.coalesce(-F.col("default_on"), F.lit(1 << 30)).alias("d"), "combination_id")
+        kept = open_rows.select(*key, "product_id", "combination_id", place.alias("position"))
+    else:
+        order = [F.col("product_id").asc(), F.col("default_on").desc_nulls_last(), F.col("combination_id").asc()]
+        most = max(most_wanted(queries) * pool.factor, pool.least)
+        kept = top_k_by(open_rows, key, order, F.col("pool"), "position", most).select(*key, "product_id", "combination_id", "position")
+    found = q.join(kept, key).drop("with_empty", "pool", "term")
     return found.join(items.drop("default_on"), ["product_id", "combination_id"])
 
 
-def top_k_by(df: DataFrame, partition: list[str], order: list[Column], k: Column, rank: str) -> DataFrame:
-    """First k rows per group where k differs by row."""
+def most_wanted(queries: DataFrame) -> int:
+    """The largest limit of a query."""
+    return queries.agg(F.coalesce(F.max("limit"), F.lit(0))).first()[0]
+
+
+def top_k_by(df: DataFrame, partition: list[str], order: list[Column], k: Column, rank: str, most: int) -> DataFrame:
+    """First k rows per group where k differs by row and is at most `most`, which is what cuts on the map side."""
     window = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= most).filter(F.col(rank) <= k)
 
 
 def with_match(candidates: DataFrame) -> DataFrame:
@@ -181,12 +209,12 @@ def with_match(candidates: DataFrame) -> DataFrame:
     )
 
 
-def search(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """Ranked items per query, up to the limit of the query."""
-    scored = with_match(search_candidates(queries, items)).join(queries.select("query_id", "limit"), "query_id")
+def search(queries: DataFrame, items: DataFrame, pool: Pool | None = None) -> DataFrame:
+    """Ranked items per query, up to the limit of the query; of all matches, or of those in the pool."""
+    scored = with_match(search_candidates(queries, items, pool)).join(queries.select("query_id", "limit"), "query_id")
     # equal scores and names keep the order of retrieval
     order = [F.col("score").asc(), F.col("product_name").asc(), F.col("position").asc()]
-    return top_k_by(scored, ["query_id"], order, F.col("limit"), "rank")
+    return top_k_by(scored, ["query_id"], order, F.col("limit"), "rank", most_wanted(queries))
 
 
 def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_of: str) -> DataFrame:

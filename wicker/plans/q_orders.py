@@ -88,20 +88,21 @@ def _(spark, sf):
     return O.transaction_headers(tagged(spark, sf)).withColumn("occurred_at", V.stamp("occurred_at"))
 
 
-FROM, TO = "1995-03-01 00:00:00", "2001-12-31 00:00:00"
+FROM, TO = "1995-01-01 00:00:00", "2001-12-31 00:00:00"
+LATER = "1995-03-01 00:00:00"  # only where records outside the window are what is shown
 OPEN = NormaliseParams(STATES, ("O", "P"), ("R",), window_from=FROM, window_to=TO)
 CAPPED = replace(OPEN, max_products=5)
-STRICT = replace(OPEN, allow_anonymous=False)
+STRICT = replace(OPEN, allow_anonymous=False, window_from=LATER)
 
 
-def normalise_ctes(prefix: str, customer_rule: str) -> None:
+def normalise_ctes(prefix: str, customer_rule: str, start: str) -> None:
     cte(
         f"{prefix}_checked",
         f"""
         SELECT *, CASE WHEN trim(transaction_id) = '' THEN 'INVALID_TRANSACTION_ID'
           WHEN transaction_type NOT IN ('order', 'cart') THEN 'INVALID_TRANSACTION_TYPE'
           WHEN instant IS NULL THEN 'INVALID_OCCURRED_AT'
-          WHEN instant NOT BETWEEN TIMESTAMP '{FROM}' AND TIMESTAMP '{TO}' THEN 'OUTSIDE_DATA_WINDOW'
+          WHEN instant NOT BETWEEN TIMESTAMP '{start}' AND TIMESTAMP '{TO}' THEN 'OUTSIDE_DATA_WINDOW'
           WHEN transaction_type = 'order' AND status NOT IN ('O', 'F') THEN 'STATUS_NOT_ACCEPTED'
           WHEN transaction_type = 'cart' AND status NOT IN ('O', 'P') THEN 'STATUS_NOT_ACCEPTED'
           {customer_rule} END AS own_code
@@ -123,8 +124,8 @@ def normalise_ctes(prefix: str, customer_rule: str) -> None:
     )
 
 
-normalise_ctes("strict", "WHEN customer_key IS NULL THEN 'MISSING_CUSTOMER_KEY'")
-normalise_ctes("open", "")
+normalise_ctes("strict", "WHEN customer_key IS NULL THEN 'MISSING_CUSTOMER_KEY'", LATER)
+normalise_ctes("open", "", FROM)
 cte(
     "n_lines",
     """

@@ -95,7 +95,7 @@ cte(
 )
 
 
-def search_ctes(prefix: str, queries: str, items: str) -> None:
+def search_ctes(prefix: str, queries: str, items: str, pool: str = "greatest({}lim * 10, 50)") -> None:
     """Brute-force candidates and ranked results; queries: query_id, query, lim, with_empty."""
     fold = lambda c: f"lower(strip_accents({c}))"
     cte(
@@ -104,11 +104,11 @@ def search_ctes(prefix: str, queries: str, items: str) -> None:
         SELECT q.query_id, q.lim, lower(trim(q.query)) AS words, i.*, position
         FROM (SELECT term, with_empty, pool, product_id, combination_id, row_number() OVER
                 (PARTITION BY term, with_empty, pool ORDER BY product_id, default_on DESC NULLS LAST, combination_id) AS position
-              FROM (SELECT DISTINCT {fold("trim(query)")} AS term, with_empty, greatest(lim * 10, 50) AS pool FROM {queries})
+              FROM (SELECT DISTINCT {fold("trim(query)")} AS term, with_empty, {pool.format("")} AS pool FROM {queries})
               JOIN {items} ON (with_empty OR physical_quantity > 0) AND ({fold("product_sku")} = term OR {fold("combination_sku")} = term
                 OR contains({fold("product_name")}, term) OR contains({fold("short_description")}, term)
                 OR contains({fold("long_description")}, term))) c
-        JOIN {queries} q ON {fold("trim(q.query)")} = c.term AND q.with_empty = c.with_empty AND greatest(q.lim * 10, 50) = c.pool
+        JOIN {queries} q ON {fold("trim(q.query)")} = c.term AND q.with_empty = c.with_empty AND {pool.format("q.")} = c.pool
         JOIN {items} i ON i.product_id = c.product_id AND i.combination_id = c.combination_id
         WHERE position <= c.pool
         """,
@@ -147,7 +147,7 @@ search_ctes("g", "search_queries", "search_items")
     "g_cand",
 )
 def _(spark, sf):
-    found = G.search_candidates(V.search_queries(spark, sf), G.search_items(V.catalog(spark, sf)))
+    found = G.search_candidates(V.search_queries(spark, sf), G.search_items(V.catalog(spark, sf)), G.SHOP_POOL)
     return found.select(
         "query_id", "product_id", "combination_id", "product_sku", "combination_sku", "product_name", "variant_label",
         "physical_quantity", "has_variants", "is_default", "position",
@@ -156,7 +156,7 @@ def _(spark, sf):
 
 @query("search_match", "SELECT query_id, product_id, combination_id, sku, match_type, score FROM g_match", "g_match")
 def _(spark, sf):
-    found = G.with_match(G.search_candidates(V.search_queries(spark, sf), G.search_items(V.catalog(spark, sf))))
+    found = G.with_match(G.search_candidates(V.search_queries(spark, sf), G.search_items(V.catalog(spark, sf)), G.SHOP_POOL))
     return found.select("query_id", "product_id", "combination_id", "sku", "match_type", "score")
 
 
@@ -166,6 +166,20 @@ def _(spark, sf):
     "g_rank",
 )
 def _(spark, sf):
+    found = G.search(V.search_queries(spark, sf), G.search_items(V.catalog(spark, sf)), G.SHOP_POOL)
+    return found.select("query_id", "rank", "product_id", "combination_id", "match_type", "score")
+
+
+search_ctes("gw", "search_queries", "search_items", "1000000000")
+
+
+@query(
+    "search_topk_whole",
+    "SELECT query_id, CAST(rank AS INTEGER) AS rank, product_id, combination_id, match_type, score FROM gw_rank",
+    "gw_rank",
+)
+def _(spark, sf):
+    """The best of all matches, not only of those in the shop's pool."""
     found = G.search(V.search_queries(spark, sf), G.search_items(V.catalog(spark, sf)))
     return found.select("query_id", "rank", "product_id", "combination_id", "match_type", "score")
 
