@@ -13,13 +13,16 @@ factor 1 is the exact search, a smaller one visits less. Shards and query blocks
 meet in tasks of bounded size; the neighbours of all shards are then ranked.
 
 Equal vectors are one point of a tree with all their ids, of which a query needs
-the first few, so a vector that fills a third of the table costs nothing extra.
+the first few, so a vector that fills a third of the table costs nothing extra. The tree
+compares unit vectors; whatever lies within rounding of a query's last neighbour is
+then scored on the original vectors and ranked by that score and the id, so ties,
+as between multiples of one vector, go to the smaller id.
 
 Defined cases: vectors that are NULL, zero, hold NULL or non-finite components, or
-differ in length from most others take no part; rows with a NULL id take no part;
-a row is no candidate of its own id; repeated rows with one id count once; fewer
-candidates than asked for are all given; an empty table gives no rows; other
-columns are not read.
+differ in length from most others of the indexed table take no part; rows with a NULL
+id take no part; a row is no candidate of its own id; of rows that repeat an id the
+one with the least vector counts, among candidates and among queries; fewer candidates
+than asked for are all given; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 
 from wicker.llm.token_files import open_fs, shared_uri
 
+ROUNDING = 1e-12  # between a cosine of unit vectors and that of the original ones
+
 
 @dataclass(frozen=True)
 class TreeParams:
@@ -51,19 +56,23 @@ class TreeParams:
 
 @dataclass(frozen=True)
 class Index:
-    """A written index: folder, number of shards."""
+    """A written index: folder, number of shards, components of its vectors."""
 
     path: str
     shards: int
+    length: int
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, v as doubles."""
+    """(id, v) of the rows that could take part, v as doubles, whatever its length."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0].n if sizes else 0))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+
+
+def one_each(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of the given length, one of each id."""
+    return rows.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -149,21 +158,29 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarra
     points, nodes, perm = tree["unit"], tree["nodes"], tree["perm"]
     keep = k + 1  # one point may be the query itself
     n = len(ids)
-    best = np.full((n, keep), -np.inf)
+    best = np.full((n, keep), -np.inf)  # exact scores, falling
     who = np.full((n, keep), -1, np.int64)
+    least = np.full((n, keep), np.iinfo(np.int64).max)  # the least id of each point
     limit = np.full(n, np.inf)
+    lengths = np.linalg.norm(tree["points"], axis=1)
+    own_length = np.sqrt((vectors * vectors).sum(axis=1))
+    first_id = tree["ids"][tree["upto"][:-1]] if len(points) else tree["ids"]
 
     def offer(q: np.ndarray, at: np.ndarray) -> None:
-        close = unit[q] @ points[at].T
-        if close.shape[1] > keep:
-            top = np.argpartition(-close, keep - 1, axis=1)[:, :keep]
-            close, at = np.take_along_axis(close, top, 1), at[top]
-        else:
-            at = np.broadcast_to(at, close.shape)
-        value, name = np.concatenate((best[q], close), 1), np.concatenate((who[q], at), 1)
-        top = np.argsort(-value, axis=1, kind="stable")[:, :keep]
-        best[q], who[q] = np.take_along_axis(value, top, 1), np.take_along_axis(name, top, 1)
-        limit[q] = np.sqrt(np.maximum(0, 2 - 2 * best[q, -1])) + 1e-9
+        row, col = np.nonzero(unit[q] @ points[at].T >= best[q, -1][:, None] - ROUNDING)
+        if not len(row):
+            return
+        asked, point = q[row], at[col]
+        score = (tree["points"][point] * vectors[asked]).sum(axis=1) / (lengths[point] * own_length[asked])
+        some = np.unique(asked)
+        owner = np.concatenate((asked, np.repeat(some, keep)))
+        value, name, id_ = np.concatenate((score, best[some].ravel())), np.concatenate((point, who[some].ravel())), np.concatenate((first_id[point], least[some].ravel()))
+        order = np.lexsort((id_, -value, owner))
+        owner, value, name, id_ = owner[order], value[order], name[order], id_[order]
+        begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        take = (begins[:, None] + np.arange(keep)).ravel()  # every owner has its former entries, so at least `keep`
+        best[some], who[some], least[some] = (x[take].reshape(-1, keep) for x in (value, name, id_))
+        limit[some] = np.sqrt(np.maximum(0, 2 - 2 * (best[some, -1] - ROUNDING))) + 1e-9
 
     def visit(node: int, q: np.ndarray) -> None:
         low, high, vantage, left, right, *bound = nodes[node]
@@ -186,11 +203,10 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarra
     if len(points) and n:
         visit(0, np.arange(n))
     rows, found, scores = [], [], []
-    lengths = np.linalg.norm(tree["points"], axis=1)
     for i in range(n):
         pairs = []
-        own = who[i][who[i] >= 0]
-        dots = (tree["points"][own] * vectors[i]).sum(axis=1) / (lengths[own] * np.sqrt((vectors[i] * vectors[i]).sum()))
+        has = who[i] >= 0
+        own, dots = who[i][has], best[i][has]
         for g, s in zip(own, dots):
             names = tree["ids"][tree["upto"][g] : tree["upto"][g + 1]]
             pairs += [(-s, int(v)) for v in dict.fromkeys(names[: k + 1].tolist()) if v != ids[i]]
@@ -208,7 +224,10 @@ def build_index(vectors: DataFrame, path: str, params: TreeParams | None = None,
     uri = shared_uri(spark, path)
     store, folder = open_fs(uri)
     store.create_dir(folder, recursive=True)
-    rows = usable(vectors, id_col, vector_col).dropDuplicates(["id", "v"])
+    rows = usable(vectors, id_col, vector_col)
+    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    length = sizes[0].n if sizes else 0
+    rows = one_each(rows, length)
     shards = max(1, math.ceil(rows.count() / p.shard))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
     leaf, seed = p.leaf, p.seed
@@ -220,7 +239,7 @@ def build_index(vectors: DataFrame, path: str, params: TreeParams | None = None,
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "rows": pa.array([table.num_rows], pa.int64())})
 
     dealt.select("shard", "id", "v").mapInArrow(write, "shard long, rows long").agg(F.sum("rows")).collect()
-    return Index(uri, shards)
+    return Index(uri, shards, length)
 
 
 def search(index: Index, queries: DataFrame, k: int, params: TreeParams | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -228,7 +247,7 @@ def search(index: Index, queries: DataFrame, k: int, params: TreeParams | None =
     p = params or TreeParams()
     spark: SparkSession = queries.sparkSession
     uri, shards = index.path, index.shards
-    rows = usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    rows = one_each(usable(queries, id_col, vector_col), index.length)
     count = max(1, math.ceil(rows.count() / p.block))
     name = uuid.uuid4().hex[:12]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).repartition(count, "block").sortWithinPartitions("block")
