@@ -10,8 +10,9 @@ occurs; from `threshold` on the document holds the item.
    before it as in the item.
 2. Each window gets a 64-bit SimHash of its words, as each item has one. Both are
    cut into radius + 1 blocks; fingerprints within the radius agree in at least
-   one block, so a join on item size, block number and block value finds them all,
-   and the Hamming distance then holds exactly.
+   one block, so a join on item, block number and block value finds them all, and
+   the Hamming distance then holds exactly. A window is compared with the items
+   that it was laid for.
 3. Candidates are verified by the exact similarity.
 
 With `short_items`, an item with fewer words than a shingle has one shingle of all its words. A window
@@ -124,26 +125,31 @@ def benchmark_items(benchmark: DataFrame, p: LeakParams, item_col: str, text_col
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, p: LeakParams, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """(t1, t2, item_id, start, similarity): the best window of every text and item that reaches the threshold."""
     items = stage_table(benchmark_items(benchmark, p, item_col, item_text_col), "items")
-    grams = items.select("n", F.posexplode(shingles(F.col("item_words"), p.shingle)).alias("at", "code")).distinct()
+    grams = items.select("item_id", "n", F.posexplode(shingles(F.col("item_words"), p.shingle)).alias("at", "code")).distinct()
     grams = stage_table(grams, "item_shingles")
     known = F.broadcast(grams) if grams.limit(p.broadcast_limit + 1).count() <= p.broadcast_limit else grams
 
     text = docs.select(*text_id(text_col), words(F.col(text_col)).alias("w"))
     placed = text.select("t1", "t2", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), p.shingle)).alias("place", "code"))
     start = F.least(F.greatest(F.col("place") - F.col("at"), F.lit(0)), F.greatest(F.col("size") - F.col("n"), F.lit(0)))
-    windows = placed.join(known, "code").select("t1", "t2", "n", start.alias("start")).distinct()
-    windows = stage_table(windows, "windows")
+    # a window keeps the items that its shingle is from: it is compared with these only
+    asked = stage_table(placed.join(known, "code").select("t1", "t2", "n", start.alias("start"), "item_id").distinct(), "windows")
+    windows = asked.groupBy("t1", "t2").agg(F.collect_set(F.struct("n", "start")).alias("places"))
 
-    # the words of these windows; each text once
-    texts = docs.select(*text_id(text_col), F.col(text_col).alias("text")).join(windows.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi")
+    # the words of these windows; each text is read once and cut into words once, and only windows leave it
+    texts = docs.select(*text_id(text_col), F.col(text_col).alias("text")).join(windows.select("t1", "t2"), ["t1", "t2"], "left_semi")
     texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    cut = windows.join(texts, ["t1", "t2"]).select("t1", "t2", "n", "start", F.slice(words(F.col("text")), F.col("start") + 1, F.col("n")).alias("window"))
+    pieces = F.transform(
+        F.array(words(F.col("text"))), lambda w: F.transform("places", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(w, x["start"] + 1, x["n"]).alias("window")))
+    )
+    cut = windows.join(texts, ["t1", "t2"]).select("t1", "t2", F.inline(F.flatten(pieces)))
     marked = stage_table(cut.withColumn("mark", simhash(F.transform("window", lambda x: F.xxhash64(x)))), "fingerprints")
 
-    near = marked.select("t1", "t2", "n", "start", "mark", F.inline(blocks(F.col("mark"), p.radius)))
+    place = ["t1", "t2", "n", "start"]
+    near = asked.join(marked.drop("window"), place).select(*place, "item_id", "mark", F.inline(blocks(F.col("mark"), p.radius)))
     index = items.select("item_id", "n", "fingerprint", F.inline(blocks(F.col("fingerprint"), p.radius)))
-    met = near.join(index, ["n", "block", "value"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("fingerprint"))) <= p.radius)
-    pairs = met.select("t1", "t2", "n", "start", "item_id").distinct()
+    met = near.join(index, ["item_id", "n", "block", "value"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("fingerprint"))) <= p.radius)
+    pairs = met.select(*place, "item_id").distinct()
 
     # shingle weights on both sides, then the shared ones
     own = pairs.join(marked.select("t1", "t2", "n", "start", "window"), ["t1", "t2", "n", "start"])
