@@ -141,8 +141,13 @@ def density(text: str, machine, per: float) -> tuple[float, int]:
     if not hits:
         return 0.0, 0
     best: dict[int, float] = {}  # one match for each word: the heaviest
-    for start, end, weight in hits:
-        if not any(s <= start and end <= e for s, e in excused):
+    excused.sort()
+    at, reach = 0, -1  # phrases that begin up to here, and how far they go
+    for start, end, weight in sorted(hits):
+        while at < len(excused) and excused[at][0] <= start:
+            reach = max(reach, excused[at][1])
+            at += 1
+        if end > reach:
             best[start] = max(weight, best.get(start, 0.0))
     words = text.count(" ") + text.count("\n") + 1
     return sum(best.values()) * per / max(words, per / 4), len(best)
@@ -192,7 +197,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
     """Learn entries and curve from the labelled rows given (leave held-out rows out beforehand), at most p.sample of them."""
     p = p or ToxicityParams()
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(p.sample).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))  # labels that differ: toxic if one says so
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # at most p.sample rows of two numbers
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
@@ -217,9 +223,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
         seen = rows.mapInArrow(entries, "entry string, label int").groupBy("entry").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
         # one more document without toxicity than was seen: a word of few documents weighs less
         odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 1.5) / (other + 1.0))
-        # an entry in least_docs toxic documents for each thousand of them, so the list stays short at any size of sample
-        least = max(p.least_docs, math.ceil(toxic / 200))
-        kept = seen.where(F.col("t") >= least).withColumn("weight", odds).where(F.col("weight") >= p.least_weight)
+        # the sample is bounded, and so is what it can teach
+        kept = seen.where(F.col("t") >= p.least_docs).withColumn("weight", odds).where(F.col("weight") >= p.least_weight)
         learnt = {r.entry: r.weight for r in kept.select("entry", "weight").collect()}
         # a beginning is needed only where it says more than the words under it
         weights.update({k: w for k, w in learnt.items() if not (k.endswith("*") and any(o != k and not o.endswith("*") and o.startswith(k[:-1]) and learnt[o] >= w for o in learnt))})
