@@ -147,3 +147,15 @@ def test_spend_is_held_against_its_own_currency(spark):
     assert [r.affinity_warnings for r in spoilt if r.customer_id == "c"] == [["INVALID_EVIDENCE_IGNORED"]]
     assert [r.s_OBSERVED_SPEND_FIT for r in spoilt if r.customer_id == "c"] == [None]
     assert sorted((r.customer_id, r.s_OBSERVED_SPEND_FIT, r.affinity_warnings) for r in got) == [("c", 1.0, []), ("d", None, ["CURRENCY_MISMATCH"])]
+
+
+def test_warnings_of_the_evidence_source_come_first(spark):
+    table = spark.createDataFrame(
+        [("b1", True, "NO_CUSTOMER_HISTORY"), ("b1", True, "NO_CUSTOMER_HISTORY"), ("b2", False, "CUSTOMER_NOT_IDENTIFIED"), ("b3", True, None), ("b4", True, None)],
+        "batch_id string, known_customer boolean, batch_warning string",
+    )
+    provider = spark.createDataFrame([("b1",), ("b1",), ("b2",), ("b3",), ("b9",)], "batch_id string")
+    got = sorted((r["batch_id"], r["position"], r["code"]) for r in A.batch_warnings(table, provider).collect())
+    own = "AFFINITY_PROVIDER_WARNING"
+    assert got == [("b1", 1, own), ("b1", 2, own), ("b1", 3, "NO_CUSTOMER_HISTORY"), ("b2", 1, "CUSTOMER_NOT_IDENTIFIED"), ("b3", 1, own)]
+    assert sorted((r["batch_id"], r["code"]) for r in A.batch_warnings(table).collect()) == [("b1", "NO_CUSTOMER_HISTORY"), ("b2", "CUSTOMER_NOT_IDENTIFIED")]

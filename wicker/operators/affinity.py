@@ -351,6 +351,25 @@ def affinity_table(requests: DataFrame, scored: DataFrame) -> DataFrame:
     )
 
 
+def batch_warnings(table: DataFrame, provider: DataFrame | None = None) -> DataFrame:
+    """(batch_id, position, code): a code for each warning of the evidence source, then the batch's own warning.
+
+    `table` is an affinity table, `provider` has one row (batch_id) for each warning that
+    came with the evidence. The source is not asked for customers who are not
+    identified, so its warnings do not count there.
+    """
+    own = table.groupBy("batch_id").agg(F.max("batch_warning").alias("own"), F.bool_or("known_customer").alias("asked"))
+    if provider is None:
+        given = own.select("batch_id", F.lit(0).cast("bigint").alias("n"))
+    else:
+        given = provider.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    both = own.join(given, "batch_id", "left")
+    n = F.when(F.col("asked"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("int")
+    codes_ = F.concat(F.array_repeat(F.lit("AFFINITY_PROVIDER_WARNING"), n), F.array_compact(F.array("own")))
+    listed = both.select("batch_id", F.posexplode(codes_).alias("place", "code"))
+    return listed.select("batch_id", (F.col("place") + 1).alias("position"), "code")
+
+
 def evidence_checks(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     """Violations of a provided evidence table (batch_id, customer_id, product).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wicker.functions.cascade import codes, first_match
 from wicker.functions.keys import beside
 from wicker.functions.ranking import top_k
+from wicker.session import stage_table
 from wicker.sources import catalog as Cat
 
 TAX = "0.19"
@@ -71,12 +72,13 @@ def _specificity() -> list[Column]:
 def select_price_rule(requests: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
     """Best rule per request, with the warnings of the selection.
 
-    Requests that share product and context are resolved once. Two best rules
-    per context come from a limited window, cut to two rows before the shuffle.
+    Requests that share product and context are resolved once. The rules in scope
+    are stored, for the best two and for the invalid dates. Two best rules per
+    context come from a limited window, cut to two rows before the shuffle.
     """
     keys = _context_keys(requests)
-    contexts = requests.select(*keys).distinct()
-    scoped = Cat.price_rules_scoped(contexts, rules)
+    contexts = stage_table(requests.select(*keys).distinct(), "contexts")
+    scoped = stage_table(Cat.price_rules_scoped(contexts, rules), "scoped-rules")
     usable = scoped.filter(Cat.active_at(as_of)).withColumn("score", F.struct(*_specificity()))
     best = top_k(usable, keys, [F.col("score").desc(), F.col("rule_id").desc()], 2, "place")
     chosen = [c for c in usable.columns if c.startswith("rule_")]

@@ -245,6 +245,21 @@ def _(spark, sf):
     )
 
 
+@query(
+    "affinity_warnings",
+    """SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY own, code) AS INTEGER) AS position, code FROM (
+         SELECT r.batch_id, 0 AS own, 'AFFINITY_PROVIDER_WARNING' AS code FROM affinity_requests r WHERE r.seq % 83 = 0
+           AND r.batch_id NOT IN (SELECT batch_id FROM aff_table WHERE batch_warning = 'CUSTOMER_NOT_IDENTIFIED')
+         UNION ALL SELECT DISTINCT batch_id, 1, batch_warning FROM aff_table WHERE batch_warning IS NOT NULL)""",
+    "aff_table",
+    "affinity_requests",
+)
+def _(spark, sf):
+    """Warnings of every batch: those that came with the evidence, then its own."""
+    provider = V.affinity_requests(spark, sf).filter(F.col("seq") % 83 == 0).select("batch_id")
+    return A.batch_warnings(affinity(spark, sf), provider)
+
+
 def given_evidence(spark, sf):
     """Evidence filed per event, with wrong customers and foreign products among it."""
     asked = V.affinity_requests(spark, sf)

@@ -152,9 +152,12 @@ def combination_attributes(cat: Catalog) -> DataFrame:
     )
 
 
-def variant_labels(cat: Catalog) -> DataFrame:
-    """'group: value' pairs of a variant, in (group, value) order."""
-    pairs = combination_attributes(cat).distinct()
+def variant_labels(cat: Catalog, combinations: DataFrame | None = None) -> DataFrame:
+    """'group: value' pairs of a variant, in (group, value) order; of the given combinations, or of the whole shop."""
+    pairs = combination_attributes(cat)
+    if combinations is not None:
+        pairs = pairs.join(combinations.select("combination_id").distinct(), "combination_id", "left_semi")
+    pairs = pairs.distinct()
     return pairs.groupBy("combination_id").agg(
         F.array_join(
             F.transform(
@@ -189,7 +192,7 @@ def variants(cat: Catalog, requests: DataFrame) -> DataFrame:
         catalog_combinations(cat)
         .join(active, "product_id", "left_semi")
         .join(stock, ["product_id", "combination_id"])
-        .join(variant_labels(cat), "combination_id", "left")
+        .join(variant_labels(cat, cat.product_attribute.join(wanted, "product_id", "left_semi")), "combination_id", "left")
         .select(
             "product_id",
             "combination_id",
