@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wicker.operators import history as H
-from wicker.operators.sequence import next_purchases
+from wicker.operators.sequence import next_purchases, successors
 from wicker.operators.validity import filed, rule_edges, valid_at
 
 ITEMS = "customer_key string, product_id string, combination_id string"
@@ -133,3 +133,15 @@ def test_next_purchases_by_hand(spark):
     items = spark.createDataFrame([(*r, None) for r in rows], "customer_key string, transaction_id string, occurred_at timestamp, product_id string, combination_id string")
     got = {(r["source_product_id"], r["target_product_id"]): (r["transition_count"], r["source_count"], r["median_lag_days"]) for r in next_purchases(items).collect()}
     assert got == {("a", "a"): (1, 2, 3.0), ("a", "b"): (2, 2, 5.0), ("b", "b"): (1, 1, 7.0)}
+
+
+def test_successors_over_ranges_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), f"t{n:04d}", datetime(1969, 11, 1) + timedelta(hours=rng.randrange(24 * rng.choice([40, 400, 4000])))) for n in range(600)]
+    rows += [("d", "only", AT), ("e", "x2", AT), ("e", "x1", AT), ("e", "x3", AT)]
+    want = set()
+    for customer in "abcde":
+        own = sorted((at, t) for c, t, at in rows if c == customer)
+        want |= {(t, n, (later.date() - at.date()).days) for (at, t), (later, n) in zip(own, own[1:])}
+    got = successors(spark.createDataFrame(rows, "customer_key string, transaction_id string, at timestamp")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

@@ -9,23 +9,41 @@ from wicker.functions.keys import pack, unpack
 from wicker.operators.validate import EDGE, IDENTITY
 
 
+RANGE_DAYS = 30
+
+
+def successors(baskets: DataFrame) -> DataFrame:
+    """(transaction_id, next_id, lag_days) of consecutive baskets (customer_key, transaction_id, at) of one customer.
+
+    A customer's baskets are sorted in ranges of RANGE_DAYS; the last of a range is
+    followed by the first of the customer's next range. What is sorted together is
+    one range, or one row for each range of a customer.
+    """
+    ranged = baskets.withColumn("range", F.floor(F.date_diff("at", F.lit("1970-01-01").cast("date")) / F.lit(RANGE_DAYS)))
+    inside = Window.partitionBy("customer_key", "range").orderBy("at", "transaction_id")
+    after = F.lead(F.struct("at", "transaction_id"))
+    placed = ranged.withColumn("next", after.over(inside))
+    heads = ranged.groupBy("customer_key", "range").agg(F.min(F.struct("at", "transaction_id")).alias("head"))
+    heads = heads.withColumn("next_head", F.lead("head").over(Window.partitionBy("customer_key").orderBy("range")))
+    rest = placed.filter(F.col("next").isNull()).join(heads, ["customer_key", "range"])
+    both = placed.filter(F.col("next").isNotNull()).select("transaction_id", "at", "next").unionByName(rest.select("transaction_id", "at", F.col("next_head").alias("next")))
+    return both.filter(F.col("next").isNotNull()).select(
+        "transaction_id", F.col("next.transaction_id").alias("next_id"), F.date_diff(F.col("next.at"), F.col("at")).alias("lag_days")
+    )
+
+
 def next_purchases(items: DataFrame) -> DataFrame:
     """Directed product pairs of consecutive baskets of one customer.
 
     Columns: source and target product, transition_count, source_count (baskets
     with the source that have a successor), transition_probability and
     median_lag_days. Baskets of a customer are ordered by time, then id; only ids
-    and times go through that order. Pairs grow with the product of two basket
+    and times go through that order, a month of a customer at a time. Pairs grow with the product of two basket
     sizes, which the normaliser bounds. Rows without a customer take no part.
     """
     known = items.filter(F.col("customer_key").isNotNull())
-    order = Window.partitionBy("customer_key").orderBy("at", "transaction_id")
     baskets = known.groupBy("customer_key", "transaction_id").agg(F.min("occurred_at").alias("at"))
-    steps = baskets.select(
-        "transaction_id",
-        F.lead("transaction_id").over(order).alias("next_id"),
-        F.date_diff(F.lead("at").over(order), F.col("at")).alias("lag_days"),
-    ).filter(F.col("next_id").isNotNull())
+    steps = successors(baskets)
     contents = known.select("transaction_id", pack().alias("item")).distinct()
     sources = steps.join(contents, "transaction_id").select("next_id", "lag_days", F.col("item").alias("source"))
     targets = contents.select(F.col("transaction_id").alias("next_id"), F.col("item").alias("target"))
