@@ -10,10 +10,10 @@ hash of its words. Gated attention weighs the passages,
 and a logistic layer scores the weighted vector sum(a_k h_k). Only document
 labels are given; the attention learns which passages carry them.
 
-The model is fitted on at most `sample` labelled documents, chosen by a hash of
-their id. Their passages are encoded by tasks; what reaches the driver for the
-fit is bounded by `sample` and `fit_passages` a document (evenly spaced; scoring
-always reads all passages).
+The model is fitted on all passages of at most `sample` labelled documents, chosen by
+a hash of their id, and on fewer documents if their passages are more than
+`fit_total` together. Their passages are encoded by tasks; what reaches the driver
+for the fit is bounded by these two. A document with labels 0 and 1 counts as 1.
 
 Defined cases: NULL and empty texts, and texts of white space, have one passage of
 zeros and get its score; repeated rows score alike; NULL ids stay NULL; an empty
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from wicker.llm.encode import flat_bytes, text_batches
 from wicker.llm.words import _BACK, _BASE, _CODES, U, mix  # noqa: F401
+from wicker.session import stage_table
 
 HASHED = 16
 # bytes of text that are encoded together: bounds the working arrays of a task
@@ -41,11 +42,11 @@ SLICE = 2 << 20
 
 @dataclass(frozen=True)
 class QualityParams:
-    """sample: most labelled documents to fit on. fit_passages: most passages of each that the fit reads. The rest as in the formula."""
+    """sample: most labelled documents to fit on. fit_total: documents are taken, in the order of a hash, while their passages together are no more. The rest as in the formula."""
 
     passage: int = 64
     sample: int = 6000
-    fit_passages: int = 24
+    fit_total: int = 150_000
     hidden: int = 12
     steps: int = 400
     rate: float = 0.02
@@ -170,6 +171,23 @@ class GatedAttention:
         return _sigmoid(z @ self.out + self.bias)
 
 
+def gradients(model: GatedAttention, vectors: np.ndarray, at: np.ndarray, label: np.ndarray, decay: float) -> dict:
+    """Of the mean log loss of the bags plus decay / 2 times the squares of all parameters but the bias."""
+    x, t, g, a, own, z = model.parts(vectors, at)
+    error = (_sigmoid(z @ model.out + model.bias) - label) / len(label)
+    dz = error[:, None] * model.out
+    da = (x * dz[own]).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, at[:-1])[own])
+    inner = de[:, None] * model.pick
+    return {
+        "out": z.T @ error + decay * model.out,
+        "bias": error.sum(),
+        "pick": (t * g).T @ de + decay * model.pick,
+        "value": x.T @ (inner * g * (1 - t * t)) + decay * model.value,
+        "gate": x.T @ (inner * t * g * (1 - g)) + decay * model.gate,
+    }
+
+
 def fit_attention(vectors: np.ndarray, at: np.ndarray, label: np.ndarray, p: QualityParams) -> GatedAttention:
     """Full-batch Adam on the log loss of bags (vectors of bag i: at[i] to at[i+1])."""
     rng = np.random.default_rng(p.seed)
@@ -187,19 +205,7 @@ def fit_attention(vectors: np.ndarray, at: np.ndarray, label: np.ndarray, p: Qua
     first = {k: 0.0 for k in names}
     second = {k: 0.0 for k in names}
     for step in range(1, p.steps + 1):
-        x, t, g, a, own, z = model.parts(vectors, at)
-        error = (_sigmoid(z @ model.out + model.bias) - label) / len(label)
-        dz = error[:, None] * model.out
-        da = (x * dz[own]).sum(axis=1)
-        de = a * (da - np.add.reduceat(a * da, at[:-1])[own])
-        inner = de[:, None] * model.pick
-        grads = {
-            "out": z.T @ error + p.decay * model.out,
-            "bias": error.sum(),
-            "pick": (t * g).T @ de + p.decay * model.pick,
-            "value": x.T @ (inner * g * (1 - t * t)) + p.decay * model.value,
-            "gate": x.T @ (inner * t * g * (1 - g)) + p.decay * model.gate,
-        }
+        grads = gradients(model, vectors, at, label, p.decay)
         for k in names:
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
@@ -212,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, id
     """Fit on the labelled rows given (leave held-out rows out beforehand), at most p.sample of them."""
     p = p or QualityParams()
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(p.sample).dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))  # labels that differ: good if one says so
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # at most p.sample rows of two numbers
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
@@ -222,15 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, id
             seen = 0
             for texts in text_batches(batch.column("text"), SLICE):
                 vectors, at = passages(texts, p.passage)
-                kept = [vectors[np.unique(np.linspace(s, e - 1, min(e - s, p.fit_passages)).astype(int))] for s, e in zip(at, at[1:])]
                 columns = [batch.column(c).slice(seen, len(texts)) for c in ("doc_id", "label")]
-                columns.append(pa.array([v.astype("<f4").tobytes() for v in kept], pa.binary()))
+                columns.append(pa.array([vectors[s:e].astype("<f4").tobytes() for s, e in zip(at, at[1:])], pa.binary()))
                 seen += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "vectors"])
 
     found = rows.mapInArrow(encode, "doc_id long, label double, vectors binary")
-    # repeated ids can match more rows than were chosen: one of each keeps the fit bounded
-    found = sorted({r.doc_id: r for r in found.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("vectors").alias("vectors")).collect()}.values(), key=lambda r: r.doc_id)
+    # of rows that repeat an id one is fitted on, with all its passages
+    found = stage_table(found.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("vectors").alias("vectors")), "passages")
+    sizes = found.select("doc_id", (F.length("vectors") / (4 * WIDTH)).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    upto = np.cumsum([r.n for r in sizes])
+    taken = [r.doc_id for r, total in zip(sizes, upto) if total <= max(p.fit_total, sizes[0].n)]  # at most p.sample ids
+    found = sorted(found.where(F.col("doc_id").isin(taken)).collect() if len(taken) < len(sizes) else found.collect(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.vectors, "<f4").reshape(-1, WIDTH) for r in found]
     at = np.append(0, np.cumsum([len(b) for b in bags])).astype(int)
     vectors = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, WIDTH))
