@@ -1,8 +1,10 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from wicker.llm.components import components
 from wicker.llm.darts import bands, sketch
@@ -210,3 +212,46 @@ def test_leaks(spark, docs_of, odd_rows):
     assert find_leaks(docs_of([]), bench).count() == find_leaks(docs_of(rows), bench.limit(0)).count() == 0
     shuffled = find_leaks(docs_of(rows), bench, LeakParams(broadcast_limit=0)).collect()
     assert sorted(map(str, shuffled)) == sorted(map(str, got))
+
+
+def test_ties_between_multiples_of_a_vector_go_to_the_smaller_id():
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 16))
+    vectors = np.vstack([base, np.stack([base[0] * 2.0**e for e in range(-20, 20)]), base[0][None] * 3.1, base[:50]])
+    ids = rng.permutation(len(vectors)).astype(np.int64)
+    at, found, scores = search_tree(grow(ids, vectors, 8, 3), ids, vectors, 5, 1.0)
+    lengths = np.linalg.norm(vectors, axis=1)
+    for i, own in enumerate(vectors):
+        exact = (vectors * own).sum(axis=1) / (lengths * np.sqrt((own * own).sum()))
+        want = sorted((-s, int(v)) for s, v in zip(exact, ids) if v != ids[i])[:5]
+        assert [(-s, int(v)) for s, v in zip(scores[at == i], found[at == i])] == want
+
+
+def test_mixed_lengths_and_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=4).tolist()) for i in range(20)]
+    rows += [(5, rng.normal(size=8).tolist()), (5, rng.normal(size=8).tolist()), (105, rng.normal(size=8).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = build_index(table, f"{tmp_path}/mixed", TreeParams(shard=16, leaf=4, block=7, factor=1.0))
+    assert index.length == 8
+    # most queries are of the other length: they take no part, and the index keeps its own
+    asked = table.where("vec_id >= 100 OR vec_id = 5 OR vec_id = 7")
+    kept = {}
+    for i, v in rows:
+        if len(v) == 8:
+            kept[i] = min(v, kept.get(i, v))
+    ids, vectors = np.array(list(kept)), np.array(list(kept.values()))
+    want = brute_nearest(ids, vectors, [5, 7, 105], 5)
+    found = {}
+    for r in sorted(search(index, asked, 5, TreeParams(shard=16, leaf=4, block=7, factor=1.0)).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == want
+
+
+def test_equal_words_against_an_item_are_linear_in_the_text(spark):
+    docs = spark.createDataFrame([(1, "spam " * 20_000), (2, "spam " * 14), (3, "eggs " * 100)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "spam " * 15)], "item_id long, text string")
+    began = time.time()
+    found = find_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in found) == [(1, 7, 0, 1.0), (2, 7, 0, pytest.approx(10 / 11))]
+    assert time.time() - began < 60

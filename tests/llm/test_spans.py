@@ -1,9 +1,12 @@
+import hashlib
+import random
 import re
 
 import pytest
 
 from wicker.llm import pii, secret_scan
 from wicker.llm.pii import find, find_pii, luhn, mod97
+from wicker.llm.queries import op5_pii, op8_secret_scan
 from wicker.llm.secret_scan import RULES, Rule, compiled, masked, open_ledger, scan_secrets
 from pyspark.sql import functions as F
 
@@ -110,3 +113,46 @@ def test_ledger_scans_new_pairs_only(spark, docs_of, odd_rows, tmp_path):
 def test_mask(spark):
     rows = spark.createDataFrame([("ab secret cd", [("k", 3, 9), ("l", 5, 10)]), ("plain", [])], "t string, s array<struct<kind:string,start:int,end:int>>")
     assert [r[0] for r in rows.select(masked(F.col("t"), F.col("s"))).collect()] == ["ab [SECRET]cd", "plain"]
+
+
+def naive_secrets(text):
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def random_texts(parts, seed, n=400):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(parts) * rng.choice([1, 1, 1, 2, 9]) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+SECRET_PARTS = ["password", "Secret", "api_key", "APIKEY", "token", '"', "'", " ", ":", "=", "ab12", "+/x", "AKIA", "QZ09", "deadbeef", "0", "f", "é", "-----", "eyJ", "ſ", "\n", "ghp_"]
+
+
+def test_base_secrets_against_the_patterns_as_stated():
+    ready = compiled(RULES)
+    for text in random_texts(SECRET_PARTS, 1, 1500):
+        assert [(f["kind"], f["start"], f["end"]) for f in secret_scan.find(text, ready) if f["kind"] in secret_scan.BASE] == naive_secrets(text), text
+
+
+def test_base_personal_data_against_the_patterns_as_stated():
+    parts = ["a", "b.c", "@", ".", "-", " ", "1", "255", "256", ".7", "4111", "1111", "+", "49", "(30)", "  ", "é", "x_%", "\n"]
+    for text in random_texts(parts, 2, 1500):
+        assert [x[:3] for x in find(text) if x[0] in pii.BASE] == naive(text), text
+
+
+def as_digest(found, base):
+    joined = ",".join(f"{k}:{s}:{e}" for k, s, e in found)
+    return (*[sum(k == b for k, _, _ in found) for b in base], hashlib.sha256(joined.encode()).hexdigest())
+
+
+def test_queries_against_the_patterns_as_stated(spark, docs_of, odd_rows, tmp_path):
+    docs = [*odd_rows, *enumerate(TEXTS, 100), *enumerate(random_texts(SECRET_PARTS, 3, 60), 200)]
+    docs_of(docs).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, base, plain in ((op8_secret_scan, secret_scan.BASE, naive_secrets), (op5_pii, pii.BASE, naive)):
+        got = sorted(((r.doc_id, *[r[f"n_{b}"] for b in base], r.base_sha256) for r in query(spark, str(tmp_path)).collect()), key=repr)
+        assert got == sorted(((i, *as_digest(plain(t or ""), base)) for i, t in docs), key=repr)
