@@ -158,15 +158,6 @@ def returned(search: Search) -> DataFrame:
     return rows.withColumn("reason", commercial_reason()).withColumn("reasons", X.reasons())
 
 
-def exclusions(search: Search) -> DataFrame:
-    """Everything dropped after the commercial stage, with the code."""
-    first = X.excluded(search.personalised).select("request_id", *TARGET, F.col("exclusion_code").alias("code"))
-    second = search.enriched.filter(F.col("enrichment_code").isNotNull()).select(
-        "request_id", *TARGET, F.col("enrichment_code").alias("code")
-    )
-    return first.unionByName(second)
-
-
 def _upstream(own: list[str], fallback: str):
     return lambda c: F.when(c.isin(own), c).otherwise(F.lit(fallback))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicker.functions.ranking import top_k
+from wicker.functions.ranking import top_1
 
 BASE_SECONDS = 3600  # buckets of the lowest level
 LEVELS = 40  # the highest is for intervals with an open end
@@ -58,5 +58,5 @@ def rule_edges(rules: DataFrame, instants: DataFrame) -> DataFrame:
     usable = F.col("rule_id").isNotNull() & (F.col("source_product_id") != F.col("target_product_id"))
     met = valid_at(instants, rules.filter(usable), ["source_product_id"])
     order = [F.col("rule_version").desc(), F.col("rule_id").asc()]
-    chosen = top_k(met, ["request_id", "source_product_id", "target_product_id"], order, 1, "place").drop("place")
+    chosen = top_1(met, ["request_id", "source_product_id", "target_product_id"], order)
     return chosen.withColumn("relationship_type", F.lit("manual")).withColumn("evidence_kind", F.lit("rule"))

@@ -28,10 +28,6 @@ def order_lines(
     return orders.filter(inside).join(lines, "order_id")
 
 
-def in_source_order(df: DataFrame) -> DataFrame:
-    return df.orderBy("occurred_at", "order_id", "line_id")
-
-
 def positive_integer(quantity: str) -> Column:
     q = F.col(quantity).cast("double")
     return q.isNotNull() & ~F.isnan(q) & (q > 0) & (q == F.floor(q))
