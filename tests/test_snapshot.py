@@ -201,3 +201,14 @@ def test_evidence_that_changes_is_no_change_of_identity(spark, tmp_path):
     old, _ = store.write_snapshot(frame(spark, edge("A", "B")), str(tmp_path))
     new, _ = store.write_snapshot(frame(spark, edge("A", "B", reliability=0.9)), str(tmp_path))
     assert store.changed_buckets(spark, str(tmp_path), old, new) and store.diff(spark, str(tmp_path), old, new).count() == 0
+
+
+def test_subtotals_of_validation(spark):
+    rows = frame(spark, edge("A", "B"), edge("A", "C", kind="manual", window_from="2025-02-01 00:00:00"), edge("A", "D", model_version=None))
+    judged = rows.withColumn("reject_code", F.when(F.col("target_product_id") == "C", "X"))
+    got = {(r["relationship_type"], r["model_version"], r["month"], r["level"]): (r["read"], r["accepted"], r["rejected"]) for r in C.rollup_stats(judged).collect()}
+    assert got[None, None, None, 7] == (3, 2, 1)
+    assert got["same_order", None, None, 3] == (2, 2, 0)
+    assert got["same_order", None, None, 1] == (1, 1, 0)  # the model that is NULL, over its months
+    assert got["same_order", None, "2025-01", 0] == (1, 1, 0)
+    assert got["manual", "m1", "2025-02", 0] == (1, 0, 1)

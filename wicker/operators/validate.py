@@ -203,3 +203,22 @@ def warnings(validated: DataFrame) -> DataFrame:
         ]
     )
     return counted.select(code.alias("code"), "accepted", "rejected").filter(F.col("code").isNotNull())
+
+
+def rollup_stats(validated: DataFrame) -> DataFrame:
+    """Counters by relationship type, model and month of the window, with all subtotals, from one pass.
+
+    `level` tells a subtotal from a group of NULLs: 0 for a whole group, 1 over all
+    months, 3 over all models too, 7 for everything. An empty input gives no rows.
+    """
+    month = F.date_format("window_from", "yyyy-MM")
+    rows = validated.select("relationship_type", "model_version", month.alias("month"), F.col("reject_code").isNull().alias("__fine"), "reliability")
+    usable = F.when(F.col("__fine"), F.col("reliability"))
+    return rows.rollup("relationship_type", "model_version", "month").agg(
+        F.grouping_id().alias("level"),
+        F.count(F.lit(1)).alias("read"),
+        F.count_if("__fine").alias("accepted"),
+        F.count_if(~F.col("__fine")).alias("rejected"),
+        F.min(usable).alias("least_reliability"),
+        F.max(usable).alias("most_reliability"),
+    )

@@ -70,6 +70,20 @@ def _(spark, sf):
     return C.warnings(validated(spark, sf))
 
 
+@query(
+    "stats_rollup",
+    """SELECT relationship_type, model_version, month, grouping(relationship_type, model_version, month) AS level, count(*) AS read,
+         count(*) FILTER (reject_code IS NULL) AS accepted, count(*) FILTER (reject_code IS NOT NULL) AS rejected,
+         round(min(reliability) FILTER (reject_code IS NULL), 9) AS least_reliability, round(max(reliability) FILTER (reject_code IS NULL), 9) AS most_reliability
+       FROM (SELECT *, strftime(window_from, '%Y-%m') AS month FROM validated) GROUP BY ROLLUP (relationship_type, model_version, month)""",
+    "validated",
+)
+def _(spark, sf):
+    """Validation counters with all subtotals."""
+    found = C.rollup_stats(validated(spark, sf))
+    return found.withColumns({c: F.round(c, 9) for c in ("least_reliability", "most_reliability")})
+
+
 @query("snapshot_canonical", f"SELECT {ENDS_SQL}, round(reliability, 9) AS reliability FROM valid_edges", "valid_edges")
 def _(spark, sf):
     return S.canonical_order(V.valid_edges(spark, sf).select(*C.EDGE)).select(*ENDS, F.round("reliability", 9).alias("reliability"))
