@@ -255,12 +255,8 @@ def open_links(members: DataFrame, texts: DataFrame, sets: DataFrame, labels: Da
     return grouped.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_rows, class_key, key): every row with the least id of its class and the rows of the class.
-
-    class_key tells classes apart where ids are NULL; key is the digest of the row's text.
-    """
-    p = params or NearDupParams()
+def text_classes(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (key, least_id, copies, component) of all distinct texts."""
     every = stage_table(sketches(docs, p, id_col, text_col), "sketches")
     texts = every.groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
@@ -279,7 +275,15 @@ def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col
     second = components(joined)
     own = texts.select("key", "least_id", "copies").join(first.toDF("key", "c1"), "key", "left").withColumn("c1", F.coalesce("c1", "key"))
     own = own.join(second.toDF("c1", "c2"), "c1", "left").select("key", "least_id", "copies", F.coalesce("c2", "c1").alias("component"))
-    own = stage_table(own, "text_classes")
+    return every, stage_table(own, "text_classes")
+
+
+def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_rows, class_key, key): every row with the least id of its class and the rows of the class.
+
+    class_key tells classes apart where ids are NULL; key is the digest of the row's text.
+    """
+    every, own = text_classes(docs, params or NearDupParams(), id_col, text_col)
     classes = own.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_rows"))
     by_text = own.join(classes, "component").select("key", "class_id", "class_rows", F.col("component").alias("class_key"))
     return every.select("doc_id", "key").join(by_text, "key").select("doc_id", "class_id", "class_rows", "class_key", "key")
@@ -287,13 +291,15 @@ def near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col
 
 def one_of_each(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, with the columns it came with: the least id, NULL last; of texts that repeat it, the least digest."""
-    found = near_duplicates(docs, params, id_col, text_col)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    chosen = found.groupBy("class_key", "doc_id", "key").agg(F.count("*").alias("rows"))
-    chosen = chosen.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "key", "rows"), rank).alias("best")).select("best.*")
-    chosen = stage_table(chosen.toDF("__id", "__key", "__rows"), "chosen")
-    kept = docs.join(chosen, (text_key(text_col) == F.col("__key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    if chosen.where("__rows > 1").limit(1).count():  # rows that repeat id and text: one of them stays
+    every, own = text_classes(docs, params or NearDupParams(), id_col, text_col)
+    # a large group of copies is one row here: rows are not joined to their class, only the chosen ids and texts to the rows
+    rank = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "key")
+    chosen = own.groupBy("component").agg(F.min_by(F.struct("least_id", "key"), rank).alias("best")).select("best.*")
+    chosen = stage_table(chosen.toDF("__id", "__key"), "chosen")
+    same = lambda key, id_: (key == F.col("__key")) & id_.eqNullSafe(F.col("__id"))
+    kept = docs.join(chosen, same(text_key(text_col), F.col(id_col).cast("long")))
+    repeated = every.join(chosen, same(every["key"], every["doc_id"])).groupBy("__key").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.limit(1).count():  # rows that repeat id and text: one of them stays
         row = Window.partitionBy("__key").orderBy(*[docs[c].cast("string") for c in docs.columns if c != text_col])
         kept = kept.withColumn("__row", F.row_number().over(row)).where("__row = 1")
     return kept.select(*[docs[c] for c in docs.columns])
