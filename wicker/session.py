@@ -6,11 +6,13 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_scratch: dict[str, str] = {}
+_made = threading.local()  # folders that calls of this thread were given, in order
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -54,7 +56,30 @@ def scratch_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name in the shared scratch folder that no other call uses."""
-    return f"{scratch_root(spark)}/wicker-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_root(spark)}/wicker-{uuid.uuid4().hex}"
+    _folders().append(folder)
+    return f"{folder}/{name}"
+
+
+def _folders() -> list[str]:
+    if not hasattr(_made, "folders"):
+        _made.folders = []
+    return _made.folders
+
+
+def folders_made() -> int:
+    """How many folders this thread has been given so far."""
+    return len(_folders())
+
+
+def drop_folders(spark: SparkSession, since: int) -> None:
+    """Remove the folders of this thread from number `since` on, all but the last: what a written result needs no more."""
+    folders = _folders()
+    jvm = spark.sparkContext._jvm
+    for folder in folders[since:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del folders[since:-1]
 
 
 def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
