@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from wicker.llm import decontaminate, near_dup, quality, secret_scan
 from wicker.llm.encode import default_tokenizer
 from wicker.llm.packing import encode_pieces, place
-from wicker.session import new_folder, stage_table
+from wicker.session import drop_folders, folders_made, new_folder, stage_table
 
 KEEP_FROM = 0.3
 CAPACITY = 2048
@@ -73,6 +73,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = folders_made()
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), name)
+        drop_folders(spark, since)  # what the stage worked with, and the result of the one before
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,13 +1,17 @@
+import pathlib
+
 import corpus_pipeline
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from wicker.session import scratch_root
+
 SF = "/root/testdata/sf0.001"
 
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_stages_take_odd_rows(spark, docs_of, odd_rows):
@@ -37,3 +41,12 @@ def test_decisions_take_effect(spark):
             assert kept.where(F.col("text").rlike("[0-9a-f]{24}")).count() == 0
             assert len(ids) == before.count()
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} == ids
+
+
+def test_a_run_leaves_the_last_result_only(spark):
+    root = pathlib.Path(scratch_root(spark))
+    before = set(root.glob("wicker-*"))
+    rows = corpus_pipeline.run(spark, SF)
+    left = {p.name for folder in set(root.glob("wicker-*")) - before for p in folder.iterdir()}
+    assert "secrets" in left and not left & {"quality", "near_dup", "decontaminate", "sketches", "shingle_sets", "windows", "secret_ledger"}
+    assert rows.count() > 0
