@@ -21,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BATCH_BYTES = 8 << 20
-CACHE_ENTRIES = 500_000
-CACHE_BYTES = 8 << 20  # of pieces; the store takes about ten times that
+CACHE_ENTRIES = 1_000_000
+CACHE_BYTES = 16 << 20  # of pieces; the store takes about ten times that
 
 
 def default_tokenizer() -> str:
