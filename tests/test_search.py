@@ -177,3 +177,12 @@ def test_the_best_match_is_found_beyond_the_pool(spark):
     assert sorted((r["query_id"], r["rank"], r["product_id"]) for r in found.collect()) == [(1, 1, 500), (1, 2, 501), (1, 3, 1), (2, 1, 500)]
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
     assert {r["product_id"] for r in G.search(q, items, G.SHOP_POOL).collect()} <= set(range(1, 120))
+
+
+def test_equal_queries_are_scored_once(spark, monkeypatch):
+    items, _ = products(spark)
+    q = spark.range(200).select(F.col("id").alias("query_id"), F.lit(" barra").alias("query"), F.lit(2).alias("limit"), F.lit(True).alias("include_out_of_stock"))
+    seen, whole = [], G.with_match
+    monkeypatch.setattr(G, "with_match", lambda rows: seen.append(rows.count()) or whole(rows))
+    assert G.search(q, items).count() == 400
+    assert seen[0] == 3  # the matches of one question, not of two hundred

@@ -210,11 +210,19 @@ def with_match(candidates: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, items: DataFrame, pool: Pool | None = None) -> DataFrame:
-    """Ranked items per query, up to the limit of the query; of all matches, or of those in the pool."""
-    scored = with_match(search_candidates(queries, items, pool)).join(queries.select("query_id", "limit"), "query_id")
+    """Ranked items per query, up to the limit of the query; of all matches, or of those in the pool.
+
+    Queries with the same words, limit and stock wish are one question: it is scored and
+    cut once, and only the rows that stay meet the queries.
+    """
+    asked = [F.trim("query").alias("query"), "limit", F.coalesce("include_out_of_stock", F.lit(False)).alias("include_out_of_stock")]
+    named = queries.select("query_id", F.struct(*asked).alias("question"))
+    questions = named.select("question").distinct().select(F.col("question").alias("query_id"), "question.*")
+    scored = with_match(search_candidates(questions, items, pool)).withColumn("limit", F.col("query_id")["limit"])
     # equal scores and names keep the order of retrieval
     order = [F.col("score").asc(), F.col("product_name").asc(), F.col("position").asc()]
-    return top_k_by(scored, ["query_id"], order, F.col("limit"), "rank", most_wanted(queries))
+    ranked = top_k_by(scored, ["query_id"], order, F.col("limit"), "rank", most_wanted(queries))
+    return named.join(ranked.withColumnRenamed("query_id", "question"), "question").drop("question")
 
 
 def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_of: str) -> DataFrame:
