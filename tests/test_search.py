@@ -186,3 +186,30 @@ def test_equal_queries_are_scored_once(spark, monkeypatch):
     monkeypatch.setattr(G, "with_match", lambda rows: seen.append(rows.count()) or whole(rows))
     assert G.search(q, items).count() == 400
     assert seen[0] == 3  # the matches of one question, not of two hundred
+
+
+def test_equal_wishes_are_folded_once(spark):
+    rows = 150
+    _, hits, _, _ = resolve(spark, *["barra"] * rows, "pesa rusa")
+    assert hits.count() == 3 * rows + 1
+    # the fold is above the distinct wishes: their rows are two
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    fold = next(line for line in plan.split("\n") if "aggregate(" in line)
+    assert "wish" in fold and "query_id" not in fold
+
+
+def test_wishes_for_their_queries(spark):
+    """Queries that share a wish get its products, each without those it excludes, numbered again."""
+    items, resolved = products(spark)
+    q = spark.createDataFrame(
+        [(n, query, None, None, None, out, False, 5) for n, (query, out) in enumerate([("barra", None), ("barra", ["1"]), ("barra", ["2", None]), ("barra", []), ("KB16", None), ("none", None)])],
+        "query_id int, query string, intended_use string, category_wanted string, preferred array<string>, excluded array<string>, in_stock_only boolean, limit int",
+    )
+    described = I.describe_products(resolved)
+    ranked = lambda words: I.rank(I.score(I.evaluate_constraints(I.eligible(I.intent_hits(words, items), words, described))))
+    want = sorted((r.query_id, r["rank"], r.product_id, r.score) for r in ranked(I.understand(q)).collect())
+    asked, links = I.wishes(q)
+    assert asked.count() == 3 and links.count() == 6
+    rows = ranked(I.understand(asked)).select("query_id", "rank", "product_id", "score")
+    got = sorted((r.query_id, r["rank"], r.product_id, r.score) for r in I.of_queries(rows, links, "rank").collect())
+    assert got == want and len(got) > 6

@@ -450,7 +450,7 @@ cte(
 
 
 def hits(spark, sf):
-    return I.intent_hits(understood(spark, sf), V.intent_items(spark, sf))
+    return I.intent_hits(stage_table(understood(spark, sf), "understood"), V.intent_items(spark, sf))
 
 
 @query("intent_hits", "SELECT query_id, product_id FROM i_hits", "i_hits")
@@ -492,15 +492,19 @@ cte(
 
 
 def eligible(spark, sf):
-    words = stage_table(understood(spark, sf), "understood")
+    """Understood wishes, their hits and eligible products, and the queries behind each wish."""
+    asked, links = I.wishes(V.intent_queries(spark, sf))
+    links = stage_table(links, "links")
+    words = stage_table(I.understand(asked), "understood")
     found = stage_table(I.intent_hits(words, V.intent_items(spark, sf)), "hits")
     rows = I.eligible(found, words, I.describe_products(V.intent_products(spark, sf)))
-    return words, found, rows
+    return words, found, rows, links
 
 
 @query("intent_eligible", "SELECT query_id, product_id FROM i_eligible", "i_eligible")
 def _(spark, sf):
-    return eligible(spark, sf)[2].select("query_id", "product_id")
+    _, _, rows, links = eligible(spark, sf)
+    return I.of_queries(rows.select("query_id", "product_id"), links)
 
 
 def state(kind: str) -> str:
@@ -539,8 +543,9 @@ states_cte("i_states", "i_eligible", I.CONSTRAINTS)
     "i_states",
 )
 def _(spark, sf):
-    found = I.evaluate_constraints(eligible(spark, sf)[2])
-    return found.select("query_id", "product_id", *[f"m_{k}" for k in I.CONSTRAINTS], "satisfies_all")
+    _, _, rows, links = eligible(spark, sf)
+    states = I.evaluate_constraints(rows).select("query_id", "product_id", *[f"m_{k}" for k in I.CONSTRAINTS], "satisfies_all")
+    return I.of_queries(states, links)
 
 
 def cover(words: str, x: str) -> str:
@@ -582,13 +587,14 @@ scored_cte("i_scored", "i_states", I.BONUS)
 
 
 def scored(spark, sf):
-    words, found, rows = eligible(spark, sf)
-    return words, found, I.score(I.evaluate_constraints(rows))
+    words, found, rows, links = eligible(spark, sf)
+    return words, found, I.score(I.evaluate_constraints(rows)), links
 
 
 @query("intent_score", "SELECT query_id, product_id, score, plausible FROM i_scored", "i_scored")
 def _(spark, sf):
-    return scored(spark, sf)[2].select("query_id", "product_id", "score", "plausible")
+    _, _, rows, links = scored(spark, sf)
+    return I.of_queries(rows.select("query_id", "product_id", "score", "plausible"), links)
 
 
 cte(
@@ -599,14 +605,20 @@ cte(
 )
 
 
-def ranked(spark, sf):
-    words, found, rows = scored(spark, sf)
-    return words, found, stage_table(I.rank(rows), "ranked")
+def ranked(spark, sf, *columns):
+    """Queries with the columns of their wish that a decision reads, hits of a wish, ranked products of each query, links."""
+    words, found, rows, links = scored(spark, sf)
+    best = stage_table(I.rank(rows).select("query_id", "rank", "product_id", "combination_id", *columns), "ranked")
+    wished = words.select(F.col("query_id").alias("wish"), "query", "normalised", "limit", "constraint_count")
+    return links.join(wished.hint("merge"), "wish"), found, I.of_queries(best, links, "rank"), links
+
+
+DECIDED = ["score", "plausible", "satisfies_all"]
 
 
 @query("intent_topk", "SELECT query_id, product_id, CAST(rank AS INTEGER) AS rank, score FROM i_ranked", "i_ranked")
 def _(spark, sf):
-    return ranked(spark, sf)[2].select("query_id", "product_id", "rank", "score")
+    return ranked(spark, sf, "score")[2].select("query_id", "product_id", "rank", "score")
 
 
 cte(
@@ -630,7 +642,7 @@ cte(
 
 @query("intent_decision", "SELECT query_id, status, confidence, resolved_product_id FROM i_decided", "i_decided")
 def _(spark, sf):
-    words, _, rows = ranked(spark, sf)
+    words, _, rows, _ = ranked(spark, sf, *DECIDED)
     return I.decide(words, rows).select("query_id", "status", "confidence", "resolved_product_id")
 
 
@@ -677,7 +689,8 @@ cte(
     "i_chosen",
 )
 def _(spark, sf):
-    words, _, rows = ranked(spark, sf)
+    asked = [f"c_{k}" for k in ("product_type", *I.MEASURES)]
+    words, _, rows, _ = ranked(spark, sf, *DECIDED, "name", "category", "n_facet", *asked)
     return I.clarify(rows, I.decide(words, rows))
 
 
@@ -700,8 +713,9 @@ def _(spark, sf):
     "i_decided",
 )
 def _(spark, sf):
-    words, found, rows = ranked(spark, sf)
-    return I.stats(words, found, rows, I.decide(words, rows)).withColumn("warnings", F.array_join("warnings", ","))
+    words, found, rows, links = ranked(spark, sf, *DECIDED, "constraint_count", "limit", "price", "stock_status")
+    hits = I.of_queries(found.select("query_id", "product_id"), links.withColumn("excluded", F.lit(None).cast("array<string>")))
+    return I.stats(words, hits, rows, I.decide(words, rows)).withColumn("warnings", F.array_join("warnings", ","))
 
 
 # -- brands and variants -----------------------------------------------------
