@@ -145,3 +145,17 @@ def test_successors_over_ranges_against_brute_force(spark):
         want |= {(t, n, (later.date() - at.date()).days) for (at, t), (later, n) in zip(own, own[1:])}
     got = successors(spark.createDataFrame(rows, "customer_key string, transaction_id string, at timestamp")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_a_pair_is_shuffled_as_a_list_and_counted_in_place(spark):
+    lines = lines_of(random.Random(5), 40, 12, 900)
+    contents = H.contents_of(spark.createDataFrame(lines, ITEMS))
+    counts = H._customers(contents)
+    tails = H._within(contents, 4).withColumn("n", F.lit(1).cast("bigint"))
+    for hot in (3, 1000):  # with products dealt by partner and without
+        found = H._counted(tails, counts, 480, hot)
+        assert {(r["a"], r["b"]): r["joint_count"] for r in found.collect()} == naive(lines)[0]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert "Aggregate [a" in above and "Generate explode(partners" in above  # pairs become rows after the only exchange
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a" in plan and ", b#" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning(a" in line)

@@ -2,8 +2,10 @@
 
 A history has no upper size. Its products are dealt to blocks by hash, and each
 pair of blocks of one customer is a group of bounded size, so no task holds a
-long history and each pair comes out once. The state is kept in tables; new lines
-are counted against it without counting the old pairs again.
+long history and each pair comes out once. Pairs travel as a product with the list of
+its later partners, not as rows of their own, and are counted where the lists of a
+product meet; a product of very many customers is dealt by partner. The state is kept
+in tables; new lines are counted against it without counting the old pairs again.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from wicker.operators.basket import metrics, mirror
 from wicker.session import stage_table
 
 BLOCK = 64
+# customers of a product beyond which its partners are dealt to several tasks
+HOT = 20_000
+# distinct (customer, product) rows for each task that counts pairs
+ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -57,21 +63,37 @@ def _groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def pairs_within(contents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row (a, b) per customer and unordered pair of its products."""
+def _tails(groups: DataFrame, same: bool) -> DataFrame:
+    """(a, partners): each product of a group with those it meets there that sort behind it.
+
+    With `same`, a block meets itself where i = j.
+    """
+    after = lambda own, others: F.transform(own, lambda x: F.struct(x.alias("a"), F.filter(others, lambda y: y > x).alias("partners")))
+    lows, highs = after(F.col("low"), F.col("high")), after(F.col("high"), F.col("low"))
+    both = F.when(F.col("i") == F.col("j"), lows).otherwise(F.concat(lows, highs)) if same else F.concat(lows, highs)
+    return groups.select(F.explode(both).alias("p")).select("p.*").filter(F.size("partners") > 0)
+
+
+def _each(tails: DataFrame) -> DataFrame:
+    return tails.select("a", F.explode("partners").alias("b"))
+
+
+def _within(contents: DataFrame, block: int) -> DataFrame:
     _, dealt = _in_blocks(contents, block, "")
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     groups = _groups(
         spread.select("customer_key", i.alias("i"), j.alias("j"), "item", (F.col("own") == i).alias("is_low"), (F.col("own") == j).alias("is_high"))
     )
-    met = groups.select("i", "j", F.explode("low").alias("x"), "high").select("i", "j", "x", F.explode("high").alias("y"))
-    once = (F.col("i") != F.col("j")) | (F.col("x") < F.col("y"))
-    return met.filter(once).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return _tails(groups, True)
 
 
-def pairs_between(new: DataFrame, old: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row (a, b) per customer, product of `new` and product of `old`; the two share no product of a customer."""
+def pairs_within(contents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row (a, b) per customer and unordered pair of its products."""
+    return _each(_within(contents, block))
+
+
+def _between(new: DataFrame, old: DataFrame, block: int) -> DataFrame:
     new_blocks, new_rows = _in_blocks(new, block, "new_")
     old_blocks, old_rows = _in_blocks(old, block, "old_")
     left = new_rows.join(old_blocks, "customer_key").select(
@@ -90,48 +112,72 @@ def pairs_between(new: DataFrame, old: DataFrame, block: int = BLOCK) -> DataFra
         F.lit(False).alias("is_low"),
         F.lit(True).alias("is_high"),
     )
-    met = _groups(left.unionByName(right)).select(F.explode("low").alias("x"), "high").select("x", F.explode("high").alias("y"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return _tails(_groups(left.unionByName(right)), False)
+
+
+def pairs_between(new: DataFrame, old: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row (a, b) per customer, product of `new` and product of `old`; the two share no product of a customer."""
+    return _each(_between(new, old, block))
 
 
-def _counted(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint_count"))
+def _counted(tails: DataFrame, counts: DataFrame, rows: int, hot: int = HOT) -> DataFrame:
+    """(a, b, joint_count) from tails (a, partners, n), which are dealt by product once and not again by pair.
+
+    `counts` has the customers of each product, `rows` is their sum. Products over `hot`
+    are at most rows / hot in number, so they are broadcast.
+    """
+    shares = F.ceil(F.col("customers") / F.lit(hot)).cast("int").alias("shares")
+    many = counts.filter(F.col("customers") > hot).select(F.col("item").alias("a"), shares)
+    dealt = tails.join(F.broadcast(many), "a", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    own = F.filter("partners", lambda y: F.pmod(F.xxhash64(y), F.col("shares")) == F.col("share"))
+    kept = dealt.select("a", "share", F.when(F.col("shares") == 1, F.col("partners")).otherwise(own).alias("partners"), "n")
+    tasks = max(tails.sparkSession.sparkContext.defaultParallelism, rows // ROWS + 1)
+    met = kept.filter(F.size("partners") > 0).repartition(tasks, "a", "share").select("a", "share", "n", F.explode("partners").alias("b"))
+    return met.groupBy("a", "share", "b").agg(F.sum("n").alias("joint_count")).select("a", "b", "joint_count")
 
 
 def _customers(contents: DataFrame) -> DataFrame:
     return contents.groupBy("item").agg(F.count(F.lit(1)).alias("customers"))
 
 
-def build_history(items: DataFrame, block: int = BLOCK) -> History:
-    """State of all lines: (customer_key, product_id, combination_id), repeats allowed."""
+def build_history(items: DataFrame, block: int = BLOCK, stored: bool = True) -> History:
+    """State of all lines: (customer_key, product_id, combination_id), repeats allowed.
+
+    A state that is read once and not kept need not have its pairs `stored`.
+    """
     contents = stage_table(contents_of(items), "history")
+    counts = stage_table(_customers(contents), "history-counts")
+    pairs = _counted(_within(contents, block).withColumn("n", F.lit(1).cast("bigint")), counts, contents.count())
     return History(
         contents,
-        stage_table(_counted(pairs_within(contents, block)), "history-pairs"),
-        _customers(contents),
+        stage_table(pairs, "history-pairs") if stored else pairs,
+        counts,
         contents.agg(F.count_distinct("customer_key").alias("customers")),
     )
 
 
-def update_history(state: History, items: DataFrame, block: int = BLOCK) -> History:
+def update_history(state: History, items: DataFrame, block: int = BLOCK, stored: bool = True) -> History:
     """The state with more lines. Only customers with new products are read again, and only pairs with one are counted."""
     key = ["customer_key", "item"]
     fresh = stage_table(contents_of(items).join(state.contents, key, "left_anti"), "history-fresh")
     touched = fresh.select("customer_key").distinct()
     before = stage_table(state.contents.join(touched, "customer_key", "left_semi"), "history-touched")
-    delta = _counted(pairs_within(fresh, block).unionByName(pairs_between(fresh, before, block)))
-    pairs = state.pairs.unionByName(delta).groupBy("a", "b").agg(F.sum("joint_count").alias("joint_count"))
+    delta = _within(fresh, block).unionByName(_between(fresh, before, block)).withColumn("n", F.lit(1).cast("bigint"))
+    known = state.pairs.select("a", F.array("b").alias("partners"), F.col("joint_count").alias("n"))
     counts = state.counts.unionByName(_customers(fresh)).groupBy("item").agg(F.sum("customers").alias("customers"))
+    counts = stage_table(counts, "history-counts")
+    contents = stage_table(state.contents.unionByName(fresh), "history")
+    pairs = _counted(known.unionByName(delta), counts, contents.count())
     newcomers = touched.join(before.select("customer_key").distinct(), "customer_key", "left_anti")
     total = state.total.unionByName(newcomers.agg(F.count(F.lit(1)).alias("customers"))).agg(F.sum("customers").alias("customers"))
-    return History(
-        stage_table(state.contents.unionByName(fresh), "history"), stage_table(pairs, "history-pairs"), stage_table(counts, "history-counts"), stage_table(total, "history-total")
-    )
+    return History(contents, stage_table(pairs, "history-pairs") if stored else pairs, counts, stage_table(total, "history-total"))
 
 
-def history_evidence(state: History) -> DataFrame:
-    """Directed pairs with counts and metrics; every customer with a product counts in the total."""
+def history_evidence(state: History, least: int = 1) -> DataFrame:
+    """Directed pairs with counts and metrics, of pairs with at least `least` customers; every customer with a product counts in the total."""
     count = lambda item, name: state.counts.select(F.col("item").alias(item), F.col("customers").alias(name))
-    counted = state.pairs.join(count("a", "source_count"), "a").join(count("b", "target_count"), "b")
+    # most pairs have one customer: those that a threshold drops are not joined
+    counted = state.pairs.filter(F.col("joint_count") >= least).join(count("a", "source_count"), "a").join(count("b", "target_count"), "b")
     directed = mirror(counted, {"source_count": "target_count"})
     return metrics(directed.withColumn("total_transactions", state.total.scalar()))

@@ -36,14 +36,14 @@ HISTORY_SQL = f"""SELECT {", ".join(EDGE + COUNTS)}, round(support, 12) AS suppo
 
 
 def found(state: H.History):
-    kept = B.with_thresholds(H.history_evidence(state), PAIRS).filter(F.col("reject_code").isNull())
+    kept = B.with_thresholds(H.history_evidence(state, PAIRS.min_joint_count), PAIRS).filter(F.col("reject_code").isNull())
     return kept.select(*EDGE, *COUNTS, F.round("support", 12).alias("support"), F.round("confidence", 9).alias("confidence"), F.round("lift", 9).alias("lift"))
 
 
 @query("customer_history_pairs", HISTORY_SQL, "history_pairs")
 def _(spark, sf):
     """Pairs of products that the same customers bought, in whatever orders."""
-    return found(H.build_history(V.history_items(spark, sf)))
+    return found(H.build_history(V.history_items(spark, sf), stored=False))
 
 
 @query("customer_history_update", HISTORY_SQL, "history_pairs")
@@ -51,7 +51,7 @@ def _(spark, sf):
     """The same pairs, from a state of the older orders that the newer ones are counted into."""
     items = V.history_items(spark, sf)
     newer = F.col("occurred_at") >= F.lit("1997-01-01").cast("timestamp")
-    return found(H.update_history(H.build_history(items.filter(~newer)), items.filter(newer)))
+    return found(H.update_history(H.build_history(items.filter(~newer)), items.filter(newer), stored=False))
 
 
 cte(
