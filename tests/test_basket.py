@@ -114,3 +114,13 @@ def test_reliability_refuses_other_evidence_and_bad_weights(spark):
         with_reliability(df).collect()
     with pytest.raises(ValueError):
         ReliabilityParams(0.5, 0.5, 0.5, 0.5)
+
+
+def test_pairs_under_the_threshold_are_not_joined(spark, monkeypatch):
+    rows = [(t, "order", None, p, None) for t in range(40) for p in ("1", "2", f"x{t}")]
+    items = spark.createDataFrame(rows, "transaction_id int, transaction_type string, occurred_at timestamp, product_id string, combination_id string")
+    baskets = B.gather(B.basket_contents(items.withColumn("transaction_id", F.col("transaction_id").cast("string"))))
+    seen, whole = [], B.metrics
+    monkeypatch.setattr(B, "metrics", lambda rows: seen.append(rows.count()) or whole(rows))
+    assert B.same_order_candidates(baskets, PairParams()).count() == 2
+    assert seen == [2]  # both directions of one pair of 81

@@ -222,14 +222,16 @@ def metrics(df: DataFrame) -> DataFrame:
     )
 
 
-def evidence(baskets: Baskets, pairs: DataFrame | None = None) -> DataFrame:
-    """Directed pairs with counts and metrics.
+def evidence(baskets: Baskets, pairs: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """Directed pairs with counts and metrics, of pairs with at least `least` joint baskets.
 
     Counts are attached to unordered pairs, before mirroring, which halves the
     rows of both joins. `pairs` may be given where they are already stored.
     """
     if pairs is None:
         pairs = unordered_pair_counts(baskets)
+    # most pairs occur once: those that a threshold drops are not joined
+    pairs = pairs.filter(F.col("joint_count") >= least)
     counts = item_counts(baskets)
     with_a = pairs.join(
         counts.select(F.col("item").alias("a"), F.col("basket_count").alias("source_count")), "a"
@@ -276,7 +278,7 @@ def in_output_order(df: DataFrame) -> DataFrame:
 
 def same_order_candidates(baskets: Baskets, p: PairParams, pairs: DataFrame | None = None) -> DataFrame:
     """Evidence that passes the thresholds, at most max_per_source edges per source."""
-    passed = with_thresholds(evidence(baskets, pairs), p).filter(F.col("reject_code").isNull())
+    passed = with_thresholds(evidence(baskets, pairs, p.min_joint_count), p).filter(F.col("reject_code").isNull())
     return top_k_per_source(passed.drop("reject_code"), p.max_per_source)
 
 

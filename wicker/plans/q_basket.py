@@ -98,7 +98,7 @@ cte("bi_passed", "SELECT * FROM bi_evidence WHERE joint_count >= 2 AND lift >= 1
 
 def passed(spark, sf):
     """All pairs that pass the default thresholds."""
-    found = B.with_thresholds(B.evidence(eligible(spark, sf)), PairParams())
+    found = B.with_thresholds(B.evidence(eligible(spark, sf), least=PairParams().min_joint_count), PairParams())
     return found.filter(F.col("reject_code").isNull()).drop("reject_code")
 
 
