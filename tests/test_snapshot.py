@@ -3,6 +3,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wicker.operators import lookup as L
 from wicker.operators import snapshot as S
 from wicker.operators import validate as C
@@ -212,3 +213,11 @@ def test_subtotals_of_validation(spark):
     assert got["same_order", None, None, 1] == (1, 1, 0)  # the model that is NULL, over its months
     assert got["same_order", None, "2025-01", 0] == (1, 1, 0)
     assert got["manual", "m1", "2025-02", 0] == (1, 0, 1)
+
+
+def test_a_snapshot_query_mines_once(spark, monkeypatch):
+    read, write = [], store.write_snapshot
+    monkeypatch.setattr(store, "write_snapshot", lambda edges, root: read.extend(edges.inputFiles()) or write(edges, root))
+    for name in ("snapshot_write", "snapshot_diff", "snapshot_activate"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert read and not any("testdata" in f for f in read)

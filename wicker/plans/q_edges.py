@@ -188,7 +188,7 @@ def own_root(spark, name: str) -> str:
 def _(spark, sf):
     """Write twice: created, then already_exists under the same id."""
     root = own_root(spark, "write")
-    edges = V.knowledge(spark, sf)
+    edges = stage_table(V.knowledge(spark, sf), "knowledge")
     results = [store.write_snapshot(edges, root), store.write_snapshot(edges, root)]
     return spark.createDataFrame([(i, s) for i, s in results], "snapshot_id string, status string")
 
@@ -203,8 +203,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Activate one snapshot, then another, then roll back."""
     root = own_root(spark, "activate")
-    first, _ = store.write_snapshot(V.valid_edges(spark, sf), root)
-    second, _ = store.write_snapshot(V.knowledge(spark, sf), root)
+    valid = stage_table(V.valid_edges(spark, sf), "edges")
+    first, _ = store.write_snapshot(valid, root)
+    second, _ = store.write_snapshot(V.knowledge(spark, sf, valid), root)
     seen = []
     for step, target in enumerate([first, second, first]):
         store.activate(spark, root, target)
@@ -320,6 +321,7 @@ def _(spark, sf):
 def _(spark, sf):
     """What the knowledge base has that the mined edges lack, and the other way round."""
     root = own_root(spark, "diff")
-    old, _ = store.write_snapshot(V.valid_edges(spark, sf), root)
-    new, _ = store.write_snapshot(store.read_snapshot(spark, published(spark, sf)), root)
+    valid = stage_table(V.valid_edges(spark, sf), "edges")
+    old, _ = store.write_snapshot(valid, root)
+    new, _ = store.write_snapshot(V.knowledge(spark, sf, valid), root)
     return store.diff(spark, root, old, new).select(*ENDS, "change")

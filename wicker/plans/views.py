@@ -238,13 +238,13 @@ def valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.accepted(C.validate(edges(spark, sf_dir)))
 
 
-def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated edges, and rule edges on some of the same pairs."""
+def knowledge(spark: SparkSession, sf_dir: str, valid: DataFrame | None = None) -> DataFrame:
+    """Validated edges, and rule edges on some of the same pairs. `valid` are the validated edges where they are stored."""
     from wicker.operators.validate import EDGE
 
     s, t = ids()
     manual = F.when((s + t) % 6 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    both = valid_edges(spark, sf_dir).withColumn("__manual", F.explode(manual))
+    both = (valid_edges(spark, sf_dir) if valid is None else valid).withColumn("__manual", F.explode(manual))
     flag = F.col("__manual")
     new = {
         "relationship_type": F.lit("manual"),
