@@ -38,3 +38,13 @@ def test_detail_holds_texts_and_variants(spark, con):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_detail_without_prices_reads_no_rules(spark, con, monkeypatch):
+    from wicker.plans import views as V
+
+    def refuse(*_):
+        raise AssertionError("price rules are read")
+
+    monkeypatch.setattr(V, "price_rules", refuse)
+    test_query_matches_sql(spark, con, "product_detail_full")

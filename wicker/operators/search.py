@@ -225,8 +225,8 @@ def search(queries: DataFrame, items: DataFrame, pool: Pool | None = None) -> Da
     return named.join(ranked.withColumnRenamed("query_id", "question"), "question").drop("question")
 
 
-def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_of: str) -> DataFrame:
-    """Product with texts and variants, chosen variant, stock and price of each request, with an outcome code.
+def product_texts(requests: DataFrame, cat: Cat.Catalog) -> DataFrame:
+    """Product with texts and variants, and chosen variant of each request, with an outcome code.
 
     `requests`: request_id, product_id, combination_id (0 = choose), quantity
     and the price context. `attributes` are those of the chosen variant, none for a
@@ -244,7 +244,7 @@ def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_o
         .join(attributes, ["product_id", "selected"], "left")
     )
     ok = F.col("outcome") == "ok"
-    chosen = chosen.withColumns(
+    return chosen.withColumns(
         {
             "short_description": F.when(ok, F.col("short_description")),
             "long_description": F.when(ok, F.col("long_description")),
@@ -252,6 +252,11 @@ def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_o
             "attributes": F.when(F.col("selected").isNotNull(), F.coalesce("attributes", F.array().cast(ATTRIBUTES))),
         }
     )
+
+
+def product_detail(requests: DataFrame, cat: Cat.Catalog, rules: DataFrame, as_of: str) -> DataFrame:
+    """The rows of `product_texts` with the stock and price of the chosen variant."""
+    chosen = product_texts(requests, cat)
     stock = cat.stock.filter(F.col("shop_id") == cat.shop_id).select(
         "product_id",
         F.col("combination_id").alias("selected"),

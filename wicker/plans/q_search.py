@@ -281,9 +281,7 @@ def variant_text(v):
 )
 def _(spark, sf):
     """Detail rows with the product's texts and variants, lists as text."""
-    found = G.product_detail(
-        V.catalog_requests(spark, sf), V.catalog(spark, sf), V.price_rules(spark, sf), V.AS_OF
-    )
+    found = G.product_texts(V.catalog_requests(spark, sf), V.catalog(spark, sf))
     return found.select(
         "request_id", "outcome", "name", "short_description", "long_description", "selected", "sku", "label",
         attribute_text("attributes").alias("attributes"),
