@@ -1,10 +1,12 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wicker.operators import basket as B
 from wicker.operators.reliability import with_reliability
 from wicker.params import PairParams, ReliabilityParams
@@ -124,3 +126,23 @@ def test_pairs_under_the_threshold_are_not_joined(spark, monkeypatch):
     monkeypatch.setattr(B, "metrics", lambda rows: seen.append(rows.count()) or whole(rows))
     assert B.same_order_candidates(baskets, PairParams()).count() == 2
     assert seen == [2]  # both directions of one pair of 81
+
+
+def test_a_pair_is_counted_where_the_lists_of_a_product_meet(spark):
+    data = {str(t): plain("ABC" if t % 2 else "ABD") for t in range(30)} | {"large": plain([f"p{n:03}" for n in range(150)])}
+    baskets = B.gather(B.basket_contents(items(spark, data), WINDOW))
+    counted = B.unordered_pair_counts(baskets)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(a#\d+, b#", plan)
+    want = Counter(p for basket in data.values() for p in itertools.combinations(sorted({i[0] for i in basket}), 2))
+    assert {(r.a, r.b): r.joint_count for r in counted.collect()} == want
+    tails = B._tails(baskets).withColumn("n", F.lit(1).cast("bigint"))
+    dealt = B.count_tails(tails, B.item_counts(baskets).withColumnRenamed("basket_count", "n"), 4, hot=7)
+    assert {(r.a, r.b): r.joint_count for r in dealt.collect()} == want
+
+
+def test_counters_and_limits_come_from_one_count(spark, monkeypatch):
+    calls, whole = [], B.evidence
+    monkeypatch.setattr(B, "evidence", lambda *given: calls.append(1) or whole(*given))
+    rows = entry.queries()["source_limit_warnings"](spark, "/root/testdata/sf0.001").count()
+    assert rows > 0 and calls == [1]

@@ -24,6 +24,10 @@ TARGET = ["target_product_id", "target_combination_id"]
 # Baskets above this size are paired block against block, so that no task ever
 # holds more than about two blocks of one basket.
 BLOCK = 64
+# baskets of a product beyond which its partners are dealt to several tasks
+HOT = 20_000
+# pairs for each task that counts them
+PAIRS = 500_000
 
 
 def in_window(window: tuple[str, str] | None) -> Column:
@@ -116,18 +120,13 @@ def _arrays(rows: DataFrame) -> DataFrame:
     return rows.groupBy("transaction_id").agg(items.alias("items"))
 
 
-def _blocks(baskets: Baskets) -> DataFrame:
-    """Groups of products to pair up: low x high, or low with itself.
+def _large_blocks(baskets: Baskets) -> DataFrame:
+    """Groups of products of large baskets to pair up: low x high, or low with itself.
 
-    A small basket is one block. The products of a large one are split by hash,
-    and every pair of its blocks becomes one group of bounded size.
+    The products are split by hash, and every pair of blocks of a basket becomes one
+    group of bounded size.
     """
-    small = baskets.small().select(
-        F.col("items").alias("low"), F.col("items").alias("high"), F.lit(True).alias("same")
-    )
     large = baskets.large()
-    if large is None:
-        return small
     n_blocks = F.ceil(F.col("basket_size") / F.lit(BLOCK)).cast("int")
     spread = (
         large.withColumn("n_blocks", n_blocks)
@@ -136,7 +135,7 @@ def _blocks(baskets: Baskets) -> DataFrame:
     )
     first, second = F.least("own", "other"), F.greatest("own", "other")
     item = F.col("item")
-    grouped = (
+    return (
         # one struct key: a partitioning on the basket alone does not satisfy it,
         # so the block pairs of a large basket really spread out
         spread.groupBy(F.struct("transaction_id", first.alias("i"), second.alias("j")).alias("block"))
@@ -146,7 +145,6 @@ def _blocks(baskets: Baskets) -> DataFrame:
         )
         .select("low", "high", (F.col("block.i") == F.col("block.j")).alias("same"))
     )
-    return small.unionByName(grouped)
 
 
 def item_counts(baskets: Baskets) -> DataFrame:
@@ -163,21 +161,51 @@ def product_counts(baskets: Baskets) -> DataFrame:
     return item_counts(baskets).select(*unpack("item"), "basket_count")
 
 
-def unordered_pairs(baskets: Baskets) -> DataFrame:
-    """One row per basket and unordered pair of products (a before b)."""
-    blocks = _blocks(baskets)
-    low = F.col("low")
-    outer = blocks.select("low", "high", "same", F.posexplode("low").alias("position", "x"))
-    partners = F.when(
-        F.col("same"), F.slice(low, F.col("position") + 2, F.size(low))
-    ).otherwise(F.col("high"))
-    return outer.select("x", F.explode(partners).alias("y")).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-    )
+def _tails(baskets: Baskets) -> DataFrame:
+    """(a, partners): each product of a block with those it meets there that sort behind it."""
+    small = baskets.small().select(F.posexplode("items").alias("position", "a"), "items")
+    small = small.select("a", F.slice("items", F.col("position") + 2, F.size("items")).alias("partners"))
+    tails = small
+    if baskets.contents is not None:
+        after = lambda own, others: F.transform(own, lambda x: F.struct(x.alias("a"), F.filter(others, lambda y: y > x).alias("partners")))
+        lows, highs = after(F.col("low"), F.col("high")), after(F.col("high"), F.col("low"))
+        met = _large_blocks(baskets).select(F.explode(F.when(F.col("same"), lows).otherwise(F.concat(lows, highs))).alias("p"))
+        tails = small.unionByName(met.select("p.*"))
+    return tails.filter(F.size("partners") > 0)
+
+
+def count_tails(tails: DataFrame, counts: DataFrame, tasks: int, hot: int = HOT) -> DataFrame:
+    """(a, b, joint_count) from tails (a, partners, n), which are dealt by product once and not again by pair.
+
+    `counts` (item, n) has the rows of each product. The partners of a product with more
+    than `hot` are dealt too; such products are few, at most rows / hot, so they are broadcast.
+    """
+    shares = F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shares")
+    many = counts.filter(F.col("n") > hot).select(F.col("item").alias("a"), shares)
+    dealt = tails.join(F.broadcast(many), "a", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    own = F.filter("partners", lambda y: F.pmod(F.xxhash64(y), F.col("shares")) == F.col("share"))
+    kept = dealt.select("a", "share", F.when(F.col("shares") == 1, F.col("partners")).otherwise(own).alias("partners"), "n")
+    met = kept.filter(F.size("partners") > 0).repartition(tasks, "a", "share").select("a", "share", "n", F.explode("partners").alias("b"))
+    return met.groupBy("a", "share", "b").agg(F.sum("n").alias("joint_count")).select("a", "b", "joint_count")
 
 
 def unordered_pair_counts(baskets: Baskets) -> DataFrame:
-    return unordered_pairs(baskets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("joint_count"))
+    """(a, b, joint_count), a before b.
+
+    Most pairs occur once, so adding them up before the exchange only fills memory: a
+    product travels with the list of its later partners, and pairs are counted where the
+    lists of a product meet. Tasks grow with the number of pairs.
+    """
+    tails = _tails(baskets).withColumn("n", F.lit(1).cast("bigint"))
+    n = F.least(F.size("items"), F.lit(BLOCK)).cast("bigint")
+    sizes = [F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0)).cast("bigint").alias("pairs")]
+    pairs = baskets.arrays.agg(*sizes).first()["pairs"]
+    large = baskets.large()
+    if large is not None:
+        pairs += large.agg(F.coalesce(F.sum((F.col("basket_size") - 1) / 2), F.lit(0)).cast("bigint").alias("pairs")).first()["pairs"]
+    tasks = max(baskets.arrays.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS + 1)
+    return count_tails(tails, item_counts(baskets).withColumnRenamed("basket_count", "n"), tasks)
 
 
 def mirror(pairs: DataFrame, swapped: dict[str, str] | None = None) -> DataFrame:
@@ -304,17 +332,26 @@ def as_relationships(candidates: DataFrame, window: tuple[str, str], model_versi
 
 def per_source_rejections(thresholded: DataFrame, k: int) -> DataFrame:
     """Sources that lose candidates to the limit, with the number lost."""
-    return (
-        thresholded.filter(F.col("reject_code").isNull())
-        .groupBy(*SOURCE)
-        .agg(F.count(F.lit(1)).alias("candidates"))
-        .filter(F.col("candidates") > k)
-        .select(*SOURCE, (F.col("candidates") - k).alias("rejected"), F.lit(k).cast("bigint").alias("limit"))
+    passed = thresholded.filter(F.col("reject_code").isNull())
+    return _limited(passed.groupBy(*SOURCE).agg(F.count(F.lit(1)).alias("candidates")), k)
+
+
+def _limited(per_source: DataFrame, k: int) -> DataFrame:
+    return per_source.filter(F.col("candidates") > k).select(
+        *SOURCE, (F.col("candidates") - k).alias("rejected"), F.lit(k).cast("bigint").alias("limit")
     )
 
 
 def cooccurrence_stats(items: DataFrame, window: tuple[str, str], p: PairParams) -> DataFrame:
     """The fourteen counters of a calculation, as one row."""
+    return calculation(items, window, p)[0]
+
+
+def calculation(items: DataFrame, window: tuple[str, str], p: PairParams) -> tuple[DataFrame, DataFrame]:
+    """The fourteen counters as one row, and the sources that lose candidates to the limit.
+
+    Both come from one count of the pairs: its sums per source are stored.
+    """
     # one row per transaction: map-side combine keeps hot transactions small
     inside = in_window(window)
     product = F.when(inside, F.struct(*ITEM))
@@ -346,6 +383,7 @@ def cooccurrence_stats(items: DataFrame, window: tuple[str, str], p: PairParams)
             F.count_if(F.col("reject_code").isNull()).alias("passed"),
         )
     )
+    per_source = stage_table(per_source, "sources")
     zero = F.lit(0).cast("bigint")
     over = F.greatest(F.col("passed") - p.max_per_source, zero)
     kept = F.least(F.col("passed"), F.lit(p.max_per_source).cast("bigint"))
@@ -363,7 +401,8 @@ def cooccurrence_stats(items: DataFrame, window: tuple[str, str], p: PairParams)
             ]
         ]
     )
-    return beside(counted, products, pairs)
+    limited = _limited(per_source.withColumnRenamed("passed", "candidates"), p.max_per_source)
+    return beside(counted, products, pairs), limited
 
 
 def cooccurrence_warnings(stats: DataFrame, limited: DataFrame) -> DataFrame:

@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicker.functions.keys import pack
-from wicker.operators.basket import metrics, mirror
+from wicker.operators.basket import HOT, count_tails, metrics, mirror
 from wicker.session import stage_table
 
 BLOCK = 64
-# customers of a product beyond which its partners are dealt to several tasks
-HOT = 20_000
 # distinct (customer, product) rows for each task that counts pairs
 ROWS = 50_000
 
@@ -121,20 +119,9 @@ def pairs_between(new: DataFrame, old: DataFrame, block: int = BLOCK) -> DataFra
 
 
 def _counted(tails: DataFrame, counts: DataFrame, rows: int, hot: int = HOT) -> DataFrame:
-    """(a, b, joint_count) from tails (a, partners, n), which are dealt by product once and not again by pair.
-
-    `counts` has the customers of each product, `rows` is their sum. Products over `hot`
-    are at most rows / hot in number, so they are broadcast.
-    """
-    shares = F.ceil(F.col("customers") / F.lit(hot)).cast("int").alias("shares")
-    many = counts.filter(F.col("customers") > hot).select(F.col("item").alias("a"), shares)
-    dealt = tails.join(F.broadcast(many), "a", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    own = F.filter("partners", lambda y: F.pmod(F.xxhash64(y), F.col("shares")) == F.col("share"))
-    kept = dealt.select("a", "share", F.when(F.col("shares") == 1, F.col("partners")).otherwise(own).alias("partners"), "n")
+    """(a, b, joint_count) from tails (a, partners, n). `counts` has the customers of each product, `rows` is their sum."""
     tasks = max(tails.sparkSession.sparkContext.defaultParallelism, rows // ROWS + 1)
-    met = kept.filter(F.size("partners") > 0).repartition(tasks, "a", "share").select("a", "share", "n", F.explode("partners").alias("b"))
-    return met.groupBy("a", "share", "b").agg(F.sum("n").alias("joint_count")).select("a", "b", "joint_count")
+    return count_tails(tails, counts.withColumnRenamed("customers", "n"), tasks, hot)
 
 
 def _customers(contents: DataFrame) -> DataFrame:

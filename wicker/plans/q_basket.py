@@ -211,11 +211,7 @@ def _(spark, sf):
     "wi_stats",
 )
 def _(spark, sf):
-    items = V.mixed_items(spark, sf)
-    limited = B.per_source_rejections(
-        B.with_thresholds(B.evidence(B.gather_stored(B.basket_contents(items, V.WINDOW))), MIXED), MIXED.max_per_source
-    )
-    return B.cooccurrence_warnings(B.cooccurrence_stats(items, V.WINDOW, MIXED), limited)
+    return B.cooccurrence_warnings(*B.calculation(V.mixed_items(spark, sf), V.WINDOW, MIXED))
 
 
 # -- further relationship types ----------------------------------------------
