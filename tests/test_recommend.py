@@ -159,3 +159,31 @@ def test_warnings_of_the_evidence_source_come_first(spark):
     own = "AFFINITY_PROVIDER_WARNING"
     assert got == [("b1", 1, own), ("b1", 2, own), ("b1", 3, "NO_CUSTOMER_HISTORY"), ("b2", 1, "CUSTOMER_NOT_IDENTIFIED"), ("b3", 1, own)]
     assert sorted((r["batch_id"], r["code"]) for r in A.batch_warnings(table).collect()) == [("b1", "NO_CUSTOMER_HISTORY"), ("b2", "CUSTOMER_NOT_IDENTIFIED")]
+
+
+def test_history_is_read_once_and_summed_from_days(spark, tmp_path):
+    rows = [
+        ("c", "P", None, "purchase", 2, "2026-01-01 08:00:00"), ("c", "P", None, "purchase", None, "2026-01-01 09:00:00"),
+        ("c", "P", None, "interest", 1, "2026-01-03 00:00:00"), ("c", "P", None, "purchase", 1, "2026-01-11 00:00:00"),
+        ("c", "Q", "1", "purchase", 1, "2026-01-05 00:00:00"), ("c", "Q", None, "rejection", 1, "2026-01-06 00:00:00"),
+        ("d", "P", None, "purchase", 9, "2026-01-01 00:00:00"),
+    ]
+    history = spark.createDataFrame(rows, "customer_id string, product_id string, combination_id string, action string, cnt int, at string")
+    history.withColumn("occurred_at", F.col("at").cast("timestamp")).write.parquet(f"{tmp_path}/history")
+    history = spark.read.parquet(f"{tmp_path}/history")
+    item = "product_id string, combination_id string"
+    products = spark.createDataFrame(
+        [("P", None, "k", "b", 5.0, "CLP"), ("Q", "1", "k", None, None, None), ("R", None, "k", "b", None, None)],
+        f"{item}, category string, brand string, price double, currency string",
+    )
+    compatible = spark.createDataFrame([("R", None, "Q", "1"), ("R", None, "P", None)], f"{item}, compatible_product_id string, compatible_combination_id string")
+    asked = spark.createDataFrame([("c", "P", None), ("c", "R", None), ("c", "Q", None), ("e", "P", None)], f"customer_id string, {item}")
+    found = A.evidence_from_history(asked, history, products, compatible, "2026-01-20 00:00:00")
+    assert not any(f"{tmp_path}" in f for f in found.inputFiles())
+    got = {(r.customer_id, r.product_id): r for r in found.collect()}
+    assert set(got) == {("c", "P"), ("c", "R"), ("c", "Q")}
+    own, other = got["c", "P"], got["c", "R"]
+    assert (own.direct_count, str(own.direct_last), own.product_interest_count, own.repeat_count, own.repeat_median_days) == (4, "2026-01-11 00:00:00", 1, 2, 10.0)
+    assert (other.direct_count, other.category_count, other.brand_count, other.category_interest_count) == (None, 5, 4, 1)
+    assert (other.owned_compatible_count, str(other.owned_compatible_last), other.repeat_count) == (2, "2026-01-11 00:00:00", None)
+    assert (got["c", "Q"].product_rejection_count, got["c", "Q"].combination_id, got["c", "Q"].category_count) == (1, None, None)

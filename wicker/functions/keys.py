@@ -59,6 +59,20 @@ def unpack(key: str, prefix: str = "") -> list[Column]:
     return [product.alias(f"{prefix}product_id"), combination.alias(f"{prefix}combination_id")]
 
 
+def sealed(product: str = "product_id", combination: str = "combination_id") -> Column:
+    """Identity as one string that is never NULL, so that plain joins and groupings agree and treat NULL ids as equal."""
+    given = lambda c, mark: F.coalesce(F.concat(F.lit(mark), F.col(c)), F.lit(""))
+    return F.concat(given(product, "p"), F.lit(_JOINT), given(combination, "c"))
+
+
+def unsealed(key: str) -> list[Column]:
+    """Product and combination id of a sealed identity."""
+    at = F.instr(F.col(key), _JOINT)
+    product = F.when(at > 1, F.substring(F.col(key), F.lit(2), at - 2))
+    combination = F.when(F.length(key) > at, F.substring(F.col(key), at + 2, F.length(key)))
+    return [product.alias("product_id"), combination.alias("combination_id")]
+
+
 def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     """One-row frames of counters as one row; each of the others is a single broadcast row."""
     for other in others:

@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.functions.keys import join_on
+from wicker.functions.keys import join_on, sealed, unsealed
 from wicker.functions.ranking import mark_repeats
 from wicker.params import AffinityParams
+from wicker.session import stage_table
 
 ITEM = ["product_id", "combination_id"]
 # evidence member -> (signal, divisor)
@@ -99,24 +100,45 @@ def evidence_from_rows(rows: DataFrame, ref_time: str | None, p: AffinityParams
     return found.withColumns({c: F.when(~F.col("invalid_evidence"), F.col(c)) for c in values})
 
 
-def repeat_patterns(purchases: DataFrame) -> DataFrame:
-    """Purchase days per customer and product, and the median gap between them.
+def daily_history(known: DataFrame, ref_time: str | None, p: AffinityParams) -> DataFrame:
+    """What a customer did with a product on one day: a row for each customer, product and day.
 
-    Purchases shrink to distinct days first, so a group is bounded by the
-    calendar and not by the number of purchases.
+    All evidence is made of these rows. Purchases shrink to distinct days first, so a
+    group is bounded by the calendar and not by the number of purchases.
     """
-    day = F.to_date("occurred_at")
-    days = purchases.groupBy("customer_id", *ITEM, day.alias("day")).agg(F.max("occurred_at").alias("at"))
-    window = Window.partitionBy("customer_id", *ITEM).orderBy("day")
-    return (
-        days.withColumn("gap", F.date_diff("day", F.lag("day").over(window)))
-        .groupBy("customer_id", *ITEM)
-        .agg(
-            F.count(F.lit(1)).alias("repeat_count"),
-            F.max("at").alias("repeat_last"),
-            F.median("gap").alias("repeat_median_days"),
+    action = F.col("action")
+    members = {"direct": action == "purchase", "product_interest": action == "interest", "product_rejection": action == "rejection"}
+    aggs = []
+    for name, when in members.items():
+        use = when & _keep(name, ref_time, p)
+        aggs += [
+            F.sum(F.when(use, F.coalesce("cnt", F.lit(1)))).alias(f"{name}_count"),
+            F.max(F.when(use, F.col("occurred_at"))).alias(f"{name}_last"),
+            F.max(when).alias(f"{name}_any"),
+        ]
+    return known.groupBy("customer_id", sealed().alias("item"), F.to_date("occurred_at").alias("day")).agg(*aggs)
+
+
+def _summed(daily: DataFrame, keys: Sequence[str], members: dict[str, str], *more: Column) -> DataFrame:
+    """Sums of daily history; `members` maps evidence members to those of the days."""
+    aggs = [
+        c
+        for name, own in members.items()
+        for c in (
+            F.sum(f"{own}_count").cast("bigint").alias(f"{name}_count"),
+            F.max(f"{own}_last").alias(f"{name}_last"),
+            F.max(f"{own}_any").alias(f"{name}_any"),
         )
-    )
+    ]
+    return daily.groupBy("customer_id", *keys).agg(*aggs, *more)
+
+
+def with_gaps(daily: DataFrame) -> DataFrame:
+    """Adds to every day with a purchase the days since the one before."""
+    bought = F.coalesce("direct_any", F.lit(False))
+    before = Window.partitionBy("customer_id", "item").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(bought, F.col("day")), ignorenulls=True).over(before)
+    return daily.withColumn("gap", F.when(bought, F.date_diff("day", last)))
 
 
 def evidence_from_history(
@@ -131,57 +153,49 @@ def evidence_from_history(
 
     `behaviour`: customer, product, action (purchase | interest | rejection),
     cnt, occurred_at. `products`: category, brand, price, currency. `compatible`:
-    product and compatible product. History is summed per customer and product,
-    category or brand before it meets the pairs.
+    product and compatible product. The history of the asked customers is read once,
+    summed per customer, product and day, and stored; what it says of products,
+    categories, brands and purchase days comes from there.
     """
-    asked = pairs.select("customer_id", *ITEM).distinct()
+    asked = pairs.select("customer_id", sealed().alias("item")).distinct()
     known = behaviour.join(asked.select("customer_id").distinct(), "customer_id", "left_semi")
-    facts = products.select(*ITEM, "category", "brand")
-    action = F.col("action")
-    purchase, interest, rejection = (action == a for a in ("purchase", "interest", "rejection"))
-    described = join_on(known, facts, ITEM, "left")
-
-    def summed(df: DataFrame, keys: Sequence[str], members: dict[str, Column]) -> DataFrame:
-        aggs = [c for name, when in members.items() for c in _counts(name, when, _keep(name, ref_time, p))]
-        return df.groupBy("customer_id", *keys).agg(*aggs)
-
-    by_product = summed(
-        known, ITEM, {"direct": purchase, "product_interest": interest, "product_rejection": rejection}
+    daily = stage_table(daily_history(known, ref_time, p), "history")
+    facts = products.select(
+        sealed().alias("item"), "category", "brand", F.col("price").alias("candidate_price"), F.col("currency").alias("candidate_currency")
     )
-    by_category = summed(
-        described.filter(F.col("category").isNotNull()),
-        ["category"],
-        {"category": purchase, "category_interest": interest, "category_rejection": rejection},
+    by_product = _summed(
+        with_gaps(daily),
+        ["item"],
+        {n: n for n in ("direct", "product_interest", "product_rejection")},
+        F.nullif(F.count_if("direct_any"), F.lit(0)).alias("repeat_count"),
+        F.max(F.when(F.col("direct_any"), F.col("direct_last"))).alias("repeat_last"),
+        F.median("gap").alias("repeat_median_days"),
     )
-    by_brand = summed(described.filter(purchase & F.col("brand").isNotNull()), ["brand"], {"brand": purchase})
-    bought = known.filter(purchase)
-    owned = (
-        bought.groupBy("customer_id", *ITEM)
-        .agg(F.max("occurred_at").alias("occurred_at"))
-        .withColumnsRenamed({c: f"owned_{c}" for c in ITEM})
+    described = daily.join(facts.select("item", "category", "brand"), "item")
+    of_category = {"category": "direct", "category_interest": "product_interest", "category_rejection": "product_rejection"}
+    by_category = _summed(described.filter(F.col("category").isNotNull()), ["category"], of_category)
+    by_brand = _summed(described.filter(F.col("direct_any") & F.col("brand").isNotNull()), ["brand"], {"brand": "direct"})
+    edges = compatible.select(
+        sealed().alias("item"), sealed("compatible_product_id", "compatible_combination_id").alias("owned_item")
     )
-    edges = compatible.withColumnsRenamed({"compatible_product_id": "owned_product_id", "compatible_combination_id": "owned_combination_id"})
+    owned = daily.filter(F.col("direct_any")).groupBy("customer_id", F.col("item").alias("owned_item")).agg(F.max("direct_last").alias("occurred_at"))
     compatible_owned = (
-        join_on(owned, edges, ["owned_product_id", "owned_combination_id"])
-        .groupBy("customer_id", *ITEM)
+        owned.join(edges, "owned_item")
+        .groupBy("customer_id", "item")
         .agg(
             F.count(F.lit(1)).alias("owned_compatible_count"),
             F.max("occurred_at").alias("owned_compatible_last"),
             F.lit(True).alias("owned_compatible_any"),
         )
     )
-    price = products.select(
-        *ITEM, "category", "brand", F.col("price").alias("candidate_price"), F.col("currency").alias("candidate_currency")
-    )
-    wide = join_on(asked, price, ITEM, "left")
-    wide = join_on(wide, by_product, ["customer_id", *ITEM], "left")
+    wide = asked.join(by_product, ["customer_id", "item"], "left").join(compatible_owned, ["customer_id", "item"], "left")
+    wide = wide.join(facts, "item", "left")
     wide = wide.join(by_category, ["customer_id", "category"], "left").join(by_brand, ["customer_id", "brand"], "left")
-    wide = join_on(wide, compatible_owned, ["customer_id", *ITEM], "left")
-    wide = join_on(wide, repeat_patterns(bought), ["customer_id", *ITEM], "left")
     some = reduce(
         lambda a, b: a | b, [F.coalesce(f"{name}_any", F.lit(False)) for name in COUNTED] + [F.col("repeat_count").isNotNull()]
     )
-    return wide.filter(some).drop("category", "brand")
+    rest = [c for c in wide.columns if c not in ("customer_id", "item", "category", "brand")]
+    return wide.filter(some).select("customer_id", *unsealed("item"), *rest)
 
 
 def no_evidence(keys: DataFrame) -> DataFrame:
