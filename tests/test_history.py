@@ -159,3 +159,32 @@ def test_a_pair_is_shuffled_as_a_list_and_counted_in_place(spark):
     assert "Aggregate [a" in above and "Generate explode(partners" in above  # pairs become rows after the only exchange
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(a" in plan and ", b#" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning(a" in line)
+
+
+def test_next_purchases_of_many_lags_by_brute_force(spark):
+    import random
+    import re
+    from statistics import median
+
+    random.seed(5)
+    days, found, totals = {}, {}, {}
+    for c in range(12):
+        at = 0
+        for n in range(9):
+            days[f"{c}-{n}"] = (at, sorted(random.sample("ABCDE", 2)))
+            at += random.randint(1, 40)
+    for c in range(12):
+        for n in range(8):
+            (at, sources), (then, targets) = days[f"{c}-{n}"], days[f"{c}-{n + 1}"]
+            for s in sources:
+                totals[s] = totals.get(s, 0) + 1
+                for t in targets:
+                    found.setdefault((s, t), []).append(then - at)
+    found = {k: (len(v), totals[k[0]], float(median(v))) for k, v in found.items()}
+    rows = [(k, k.split("-")[0], d, p, None) for k, (d, products) in days.items() for p in products]
+    items = spark.createDataFrame(rows + rows[:5], "transaction_id string, customer_key string, day int, product_id string, combination_id string")
+    pairs = next_purchases(items.withColumn("occurred_at", F.expr("timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, day)")))
+    got = {(r.source_product_id, r.target_product_id): (r.transition_count, r.source_count, r.median_lag_days) for r in pairs.collect()}
+    assert got == found
+    # single pairs are not dealt by both products
+    assert not re.search(r"hashpartitioning\((source|a)#\d+, (target|b)#", pairs._jdf.queryExecution().executedPlan().toString())

@@ -174,19 +174,26 @@ def _tails(baskets: Baskets) -> DataFrame:
     return tails.filter(F.size("partners") > 0)
 
 
-def count_tails(tails: DataFrame, counts: DataFrame, tasks: int, hot: int = HOT) -> DataFrame:
-    """(a, b, joint_count) from tails (a, partners, n), which are dealt by product once and not again by pair.
+def dealt_tails(tails: DataFrame, counts: DataFrame, tasks: int, hot: int = HOT) -> DataFrame:
+    """(a, share, b, ...) from tails (a, partners, ...), which are dealt by product once and not again by pair.
 
     `counts` (item, n) has the rows of each product. The partners of a product with more
     than `hot` are dealt too; such products are few, at most rows / hot, so they are broadcast.
+    Rows of one pair (a, b) have one share and lie in one task.
     """
+    rest = [c for c in tails.columns if c not in ("a", "partners")]
     shares = F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("shares")
     many = counts.filter(F.col("n") > hot).select(F.col("item").alias("a"), shares)
     dealt = tails.join(F.broadcast(many), "a", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
     dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     own = F.filter("partners", lambda y: F.pmod(F.xxhash64(y), F.col("shares")) == F.col("share"))
-    kept = dealt.select("a", "share", F.when(F.col("shares") == 1, F.col("partners")).otherwise(own).alias("partners"), "n")
-    met = kept.filter(F.size("partners") > 0).repartition(tasks, "a", "share").select("a", "share", "n", F.explode("partners").alias("b"))
+    kept = dealt.select("a", "share", F.when(F.col("shares") == 1, F.col("partners")).otherwise(own).alias("partners"), *rest)
+    return kept.filter(F.size("partners") > 0).repartition(tasks, "a", "share").select("a", "share", *rest, F.explode("partners").alias("b"))
+
+
+def count_tails(tails: DataFrame, counts: DataFrame, tasks: int, hot: int = HOT) -> DataFrame:
+    """(a, b, joint_count) from tails (a, partners, n)."""
+    met = dealt_tails(tails, counts, tasks, hot)
     return met.groupBy("a", "share", "b").agg(F.sum("n").alias("joint_count")).select("a", "b", "joint_count")
 
 

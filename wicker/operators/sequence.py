@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicker.functions.keys import pack, unpack
+from wicker.functions.keys import join_on, pack, unpack
+from wicker.operators.basket import dealt_tails
 from wicker.operators.validate import EDGE, IDENTITY
+from wicker.session import stage_table
 
 
 RANGE_DAYS = 30
+# products of baskets for each task that counts pairs
+ROWS = 50_000
 
 
 def successors(baskets: DataFrame) -> DataFrame:
@@ -32,25 +36,55 @@ def successors(baskets: DataFrame) -> DataFrame:
     )
 
 
+def medians(steps: DataFrame) -> DataFrame:
+    """(source, target, transition_count, median_lag_days) of steps (a, share, b, lag_days), dealt as by `dealt_tails`.
+
+    Up to three lags, or equal ones, have their median in count, sum, least and largest,
+    which are plain numbers. The other pairs meet their steps again; without any, that is
+    not planned.
+    """
+    lag = F.col("lag_days").cast("bigint")
+    key = ["a", "share", "b"]
+    found = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(lag).alias("sum"), F.min(lag).alias("least"), F.max(lag).alias("most"))
+    found = stage_table(found, "transitions")
+    n, least, most = F.col("n"), F.col("least"), F.col("most")
+    many = (n > 3) & (least < most)
+    middle = F.when(n == 3, F.col("sum") - least - most).otherwise((least + most) / 2).cast("double")
+    ends = [F.col("a").alias("source"), F.col("b").alias("target"), F.col("n").alias("transition_count")]
+    plain = found.filter(~many).select(*ends, middle.alias("median_lag_days"))
+    rest = found.filter(many).select(*key, "n")
+    if rest.isEmpty():
+        return plain
+    again = join_on(steps, rest.drop("n"), key, "left_semi").groupBy(*key)
+    whole = again.agg(F.count(F.lit(1)).alias("n"), F.median("lag_days").alias("median_lag_days"))
+    return plain.unionByName(whole.select(*ends, "median_lag_days"))
+
+
 def next_purchases(items: DataFrame) -> DataFrame:
     """Directed product pairs of consecutive baskets of one customer.
 
     Columns: source and target product, transition_count, source_count (baskets
     with the source that have a successor), transition_probability and
     median_lag_days. Baskets of a customer are ordered by time, then id; only ids
-    and times go through that order, a month of a customer at a time. Pairs grow with the product of two basket
-    sizes, which the normaliser bounds. Rows without a customer take no part.
+    and times go through that order, a month of a customer at a time. A product travels
+    with the list of the next basket, and pairs are counted where the lists of a product
+    meet. Pairs grow with the product of two basket sizes, which the normaliser bounds.
+    Rows without a customer take no part.
     """
     known = items.filter(F.col("customer_key").isNotNull())
     baskets = known.groupBy("customer_key", "transaction_id").agg(F.min("occurred_at").alias("at"))
-    steps = successors(baskets)
-    contents = known.select("transaction_id", pack().alias("item")).distinct()
-    sources = steps.join(contents, "transaction_id").select("next_id", "lag_days", F.col("item").alias("source"))
-    targets = contents.select(F.col("transaction_id").alias("next_id"), F.col("item").alias("target"))
-    pairs = sources.join(targets, "next_id").groupBy("source", "target").agg(
-        F.count(F.lit(1)).alias("transition_count"), F.median("lag_days").alias("median_lag_days")
-    )
-    totals = sources.groupBy("source").agg(F.count(F.lit(1)).alias("source_count"))
+    named = known.filter(F.col("transaction_id").isNotNull())
+    # a struct, as a set of plain ids would leave a product without an id out
+    held = F.transform(F.collect_set(F.struct(pack().alias("item"))), lambda s: s["item"])
+    contents = stage_table(named.groupBy("transaction_id").agg(held.alias("items")), "contents")
+    steps = successors(baskets).join(contents, "transaction_id").select("next_id", "lag_days", "items")
+    steps = stage_table(steps, "steps")
+    totals = steps.select(F.explode("items").alias("source")).filter(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("source_count"))
+    following = contents.select(F.col("transaction_id").alias("next_id"), F.col("items").alias("partners"))
+    tails = steps.join(following, "next_id").select(F.explode("items").alias("a"), "partners", "lag_days").filter(F.col("a").isNotNull())
+    rows = steps.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, rows // ROWS + 1)
+    pairs = medians(dealt_tails(tails, totals.withColumnsRenamed({"source": "item", "source_count": "n"}), tasks))
     return pairs.join(totals, "source").select(
         *unpack("source", "source_"),
         *unpack("target", "target_"),
