@@ -146,3 +146,18 @@ def test_counters_and_limits_come_from_one_count(spark, monkeypatch):
     monkeypatch.setattr(B, "evidence", lambda *given: calls.append(1) or whole(*given))
     rows = entry.queries()["source_limit_warnings"](spark, "/root/testdata/sf0.001").count()
     assert rows > 0 and calls == [1]
+
+
+def test_baskets_of_orders_need_one_shuffle_of_the_lines(spark):
+    from wicker.plans import views as V
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        contents = B.basket_contents(V.basket_items(spark, "/root/testdata/sf0.001"), V.WINDOW)
+        plan = B.gather(contents).arrays._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and orders

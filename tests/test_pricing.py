@@ -91,3 +91,55 @@ def test_availability(spark):
     got = P.availability(df).collect()
     assert all(r.status == r.want and r.purchasable == (r.want == "available") for r in got)
     assert [r.stock_quantity for r in got][-3:] == [2, 0, -2]
+
+
+def test_rules_above_all_requests_are_dropped_before_the_join(spark):
+    from wicker.sources import catalog as Cat
+
+    overs = [{}, {"from_quantity": 6}, {"group_id": 2}, {"group_id": 1}, {"customer_id": 3}, {"shop_id": -1}, {"currency_id": None}, {"country_id": 4}, {"from_quantity": None}]
+    named = rules(spark, *overs)
+    named = named.select(*[F.col(c).alias(f"rule_{c}") for c in named.columns])
+    left = named.filter(Cat._in_range(requests(spark)))
+    assert sorted(r.rule_id for r in left.collect()) == [1, 4, 6]
+
+    asked = requests(spark, 2).withColumn("group_id", F.when(F.col("request_id") == 0, -3).cast("bigint"))
+    found = Cat.price_rules_scoped(asked, rules(spark, {"group_id": -3}, {"group_id": 1}, {}, {"group_id": None}))
+    assert sorted((r.request_id, r.rule_id) for r in found.collect()) == [(0, 1), (0, 3), (1, 3)]
+    none = asked.withColumn("group_id", F.lit(None).cast("bigint"))
+    assert sorted((r.request_id, r.rule_id) for r in Cat.price_rules_scoped(none, rules(spark, {"group_id": 1}, {})).collect()) == [(0, 2), (1, 2)]
+    assert Cat.price_rules_scoped(asked.limit(0), rules(spark, {})).count() == 0
+
+
+def stored_frames(monkeypatch):
+    """Names and frames given to the stages of prices, catalogue views and search from now on."""
+    from wicker import session
+    from wicker.plans import q_compose
+
+    frames, store = {}, session.stage_table
+
+    def note(df, name, **options):
+        frames[name] = df
+        return store(df, name, **options)
+
+    for place in (P, session, q_compose):
+        monkeypatch.setattr(place, "stage_table", note)
+    return frames
+
+
+def test_truth_reads_variants_once_and_contexts_from_the_references(spark, monkeypatch):
+    from wicker.plans.q_catalog import truth
+
+    frames = stored_frames(monkeypatch)
+    found = truth(spark, "/root/testdata/sf0.001")
+    assert [f for f in frames["contexts"].inputFiles() if "lineitem" in f] == []
+    assert [f for f in found.inputFiles() if "lineitem" in f] == []
+    assert "variants" in frames and found.count() > 0
+
+
+def test_search_stores_what_it_reads_of_the_truth(spark, monkeypatch):
+    from wicker.operators import compose as Z
+    from wicker.plans import q_compose
+
+    frames = stored_frames(monkeypatch)
+    q_compose.search_inputs(spark, "/root/testdata/sf0.001")
+    assert frames["truth"].columns == Z.FACTS and "description" not in Z.FACTS

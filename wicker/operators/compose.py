@@ -20,6 +20,8 @@ from wicker.session import stage_table
 TARGET = ["target_product_id", "target_combination_id"]
 SOURCE = ["source_product_id", "source_combination_id"]
 POOL = 20
+# what the search reads of the catalogue truth
+FACTS = ["product_id", "combination_id", "name", "active", "status", "purchasable", "stock_quantity", "final_gross", "currency"]
 
 
 def enrich(personalised: DataFrame, truth: DataFrame) -> DataFrame:

@@ -69,15 +69,16 @@ def _specificity() -> list[Column]:
     return [exact.cast("int"), _same("shop_id"), F.col("rule_from_quantity"), context, start]
 
 
-def select_price_rule(requests: DataFrame, rules: DataFrame, as_of: str) -> DataFrame:
+def select_price_rule(requests: DataFrame, rules: DataFrame, as_of: str, asked: DataFrame | None = None) -> DataFrame:
     """Best rule per request, with the warnings of the selection.
 
     Requests that share product and context are resolved once. The rules in scope
     are stored, for the best two and for the invalid dates. Two best rules per
-    context come from a limited window, cut to two rows before the shuffle.
+    context come from a limited window, cut to two rows before the shuffle. `asked`
+    has at least the contexts of the requests, where they are cheaper to read.
     """
     keys = _context_keys(requests)
-    contexts = stage_table(requests.select(*keys).distinct(), "contexts")
+    contexts = stage_table((requests if asked is None else asked).select(*keys).distinct(), "contexts")
     scoped = stage_table(Cat.price_rules_scoped(contexts, rules), "scoped-rules")
     usable = scoped.filter(Cat.active_at(as_of)).withColumn("score", F.struct(*_specificity()))
     best = top_k(usable, keys, [F.col("score").desc(), F.col("rule_id").desc()], 2, "place")
@@ -185,7 +186,8 @@ def commercial_truth(
         *[F.lit(v).cast("bigint").alias(k) for k, v in context.items()],
     )
     assembled = availability(Cat.assemble_catalog(cat, wanted))
-    selected = select_price_rule(assembled, rules, as_of)
+    # the references themselves: the catalogue is put together once, for the result
+    selected = select_price_rule(assembled, rules, as_of, wanted)
     priced = commercial_price(selected, tax)
     warnings = F.concat(
         F.array_repeat(F.lit("SPECIFIC_PRICE_INVALID_DATE"), F.col("invalid_dates").cast("int")),

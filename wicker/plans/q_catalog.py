@@ -280,7 +280,7 @@ cte(
 
 def truth(spark, sf):
     return P.commercial_truth(
-        V.truth_requests(spark, sf), V.catalog(spark, sf), V.price_rules(spark, sf), V.CONTEXT, AS_OF
+        V.truth_requests(spark, sf), V.catalog(spark, sf, stored=True), V.price_rules(spark, sf), V.CONTEXT, AS_OF
     )
 
 

@@ -142,7 +142,7 @@ cte(
 def search_inputs(spark, sf):
     edges = stage_table(V.valid_edges(spark, sf), "edges")
     requests = V.reco_requests(spark, sf, edges)
-    facts = stage_table(truth(spark, sf), "truth")
+    facts = stage_table(truth(spark, sf).select(*Z.FACTS), "truth")
     return edges, requests, facts
 
 

@@ -36,11 +36,15 @@ def mod(c: str, n: int) -> Column:
 
 
 def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as baskets of base products."""
+    """All orders as baskets of base products.
+
+    The transaction id is the key they are joined by, as it is: one shuffle by it serves
+    the join and the baskets.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        text("o_orderkey").alias("transaction_id"),
+        F.col("l_orderkey").alias("transaction_id"),
         F.lit("order").alias("transaction_type"),
         F.col("o_orderdate").alias("occurred_at"),
         text("l_partkey").alias("product_id"),
@@ -281,8 +285,12 @@ AS_OF = "1999-01-01 00:00:00"
 CONTEXT = {"shop_id": 1, "currency_id": 1, "country_id": 1, "group_id": 1, "customer_id": 0, "quantity": 10}
 
 
-def catalog(spark: SparkSession, sf_dir: str):
-    """Shop tables out of parts (products) and line items (variants)."""
+def catalog(spark: SparkSession, sf_dir: str, stored: bool = False):
+    """Shop tables out of parts (products) and line items (variants).
+
+    `stored` variants are read from the line items once for all tables made of them.
+    """
+    from wicker.session import stage_table
     from wicker.sources.catalog import Catalog
 
     key = F.col("p_partkey")
@@ -327,6 +335,8 @@ def catalog(spark: SparkSession, sf_dir: str):
     variant = (
         table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") % 3).alias("v")).distinct()
     )
+    if stored:
+        variant = stage_table(variant, "variants")
     attribute_rows = variant.select(
         F.when(lp % 4 == 0, -1 - lp).otherwise(lp).alias("product_id"),
         (lp * 10 + v + 1).alias("combination_id"),

@@ -267,17 +267,32 @@ def stock_by_product(cat: Catalog, requests: DataFrame) -> DataFrame:
 CONTEXT = ["shop_id", "currency_id", "country_id", "group_id", "customer_id"]
 
 
+def _in_range(requests: DataFrame) -> Column:
+    """False for a rule that fits no request, as its quantity or a value of its context is above that of all of them.
+
+    The highest values are one row however many requests there are, so they prune without a join.
+    """
+    highest = [F.greatest(F.max(c), F.lit(0)).alias(c) for c in CONTEXT]
+    asked = requests.agg(F.struct(F.max("quantity").alias("quantity"), *highest).alias("asked")).scalar()
+    fits = F.col("rule_from_quantity") <= asked["quantity"]
+    for c in CONTEXT:
+        fits = fits & (F.col(f"rule_{c}") <= asked[c])
+    return fits
+
+
 def price_rules_scoped(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules that may apply to a request: scope columns are 0 or equal, no cart, quantity reached.
 
     A rule's mask says which of its scope columns are 0. Each request is laid out
     once for every mask that occurs (at most 64), with 0 in the masked columns, so
     the join is on the product, the mask and all scope columns: a product with many
-    rules and many customers meets only the rules that fit. Rule columns come back
-    with the prefix `rule_`.
+    rules and many customers meets only the rules that fit. Rules above the highest
+    values asked for are dropped before they are shuffled. Rule columns come back with
+    the prefix `rule_`.
     """
     scope = ["combination_id", *CONTEXT]
     renamed = rules.filter(F.col("cart_id") == 0).select(*[F.col(c).alias(f"rule_{c}") for c in rules.columns])
+    renamed = renamed.filter(_in_range(requests))
     bits = [F.when(F.col(f"rule_{c}") == 0, F.lit(1 << k)).when(F.col(f"rule_{c}") != 0, F.lit(0)) for k, c in enumerate(scope)]
     renamed = renamed.withColumn("__mask", reduce(lambda a, b: a + b, bits))
     masks = renamed.agg(F.collect_set("__mask").alias("__masks"))  # one row
