@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from wicker.operators import history as H
 from wicker.operators.sequence import next_purchases, successors
 from wicker.operators.validity import filed, rule_edges, valid_at
+from wicker.session import stage_and_clear
 
 ITEMS = "customer_key string, product_id string, combination_id string"
 
@@ -188,3 +190,35 @@ def test_next_purchases_of_many_lags_by_brute_force(spark):
     assert got == found
     # single pairs are not dealt by both products
     assert not re.search(r"hashpartitioning\((source|a)#\d+, (target|b)#", pairs._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pairs_are_counted_part_after_part_and_a_part_leaves_only_its_result(spark, monkeypatch):
+    monkeypatch.setattr(H, "PART", 1000)
+    folders = []
+    monkeypatch.setattr(H, "stage_and_clear", lambda df, name: folders.append((name, staged := stage_and_clear(df, name))) or staged)
+    lines = lines_of(random.Random(6), 30, 25, 700)
+    pairs, _, _ = naive(lines)
+    state = H.build_history(spark.createDataFrame(lines, ITEMS), 4, stored=False)
+    got = H._pairs(H.in_parts(state, 2)).collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got})
+    assert {(r["a"], r["b"]): r["joint_count"] for r in got} == {p: n for p, n in pairs.items() if n >= 2}
+    parts = [df for name, df in folders if name == "history-part"]
+    assert len(parts) == sum(pairs.values()) // 1000 + 1 > 2
+    firsts = [{r["a"] for r in df.collect()} for df in parts]
+    assert sum(map(len, firsts)) == len(set().union(*firsts)) and max(map(len, firsts)) < len(set().union(*firsts))
+    # the state that is kept has all pairs, counted in parts too
+    assert state_of(H.build_history(spark.createDataFrame(lines, ITEMS), 4)) == naive(lines)
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for n in range(blocks.getAllBlocks().size()) if (x := blocks.getAllBlocks().apply(n).name()).startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffles(), spark.conf.get(key, None)
+    staged = stage_and_clear(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    for _ in range(100):  # they go in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key, None) == was
+    assert sorted(r["count"] for r in staged.collect()) == [142] * 1 + [143] * 6

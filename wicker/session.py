@@ -93,3 +93,14 @@ def stage_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_folder(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_and_clear(df: DataFrame, name: str) -> DataFrame:
+    """`stage_table`, after which the shuffle files of the write go; else they stay until the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stage_table(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
