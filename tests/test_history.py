@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from collections import Counter
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from wicker.operators import history as H
 from wicker.operators.sequence import next_purchases, successors
 from wicker.operators.validity import filed, rule_edges, valid_at
+from wicker.plans import load_all
+from wicker.plans.registry import QUERIES
 from wicker.session import stage_and_clear
 
 ITEMS = "customer_key string, product_id string, combination_id string"
@@ -222,3 +225,36 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not left and spark.conf.get(key, None) == was
     assert sorted(r["count"] for r in staged.collect()) == [142] * 1 + [143] * 6
+
+
+def test_old_pairs_of_an_update_are_held_for_one_part_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(H, "PART", 1000)
+    folders = []
+
+    def spy(df, name):
+        gone = [os.path.exists(f.removeprefix("file:")) for n, _, files in folders if n == "history-known" for f in files]
+        staged = stage_and_clear(df, name)
+        folders.append((name, gone, staged.inputFiles()))
+        return staged
+
+    monkeypatch.setattr(H, "stage_and_clear", spy)
+    rng = random.Random(7)
+    old, new = lines_of(rng, 25, 25, 500), lines_of(rng, 30, 28, 200)
+    pairs, counts, total = naive(old + new)
+    state = H.update_history(H.build_history(spark.createDataFrame(old, ITEMS), 4, stored=False), spark.createDataFrame(new, ITEMS), 4, stored=False)
+    edges = H.history_evidence(state, 2).filter("target_product_id > source_product_id or target_product_id = source_product_id and target_combination_id is not null")
+    assert {r["joint_count"] for r in edges.collect()} == {n for n in pairs.values() if n >= 2}
+    assert H.history_evidence(state, 2).count() == 2 * sum(n >= 2 for n in pairs.values())
+    assert state.total.first()[0] == total and {r["item"]: r["customers"] for r in state.counts.collect()} == counts
+    known = [gone for name, gone, _ in folders if name == "history-known"]
+    assert len(known) > 2 and not any(map(any, known))  # those of the former parts are gone
+    # stored in parts and updated, the state is that of all lines
+    assert state_of(H.update_history(H.build_history(spark.createDataFrame(old, ITEMS), 4), spark.createDataFrame(new, ITEMS), 4)) == naive(old + new)
+
+
+def test_the_update_query_keeps_no_pairs_of_the_older_orders(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(H, "stage_and_clear", lambda df, name: names.append(name) or stage_and_clear(df, name))
+    load_all()
+    QUERIES["customer_history_update"](spark, "/root/testdata/sf0.001")
+    assert names.count("history-part") == 1 and names.count("history-known") == 1

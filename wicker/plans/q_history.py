@@ -51,7 +51,7 @@ def _(spark, sf):
     """The same pairs, from a state of the older orders that the newer ones are counted into."""
     items = V.history_items(spark, sf)
     newer = F.col("occurred_at") >= F.lit("1997-01-01").cast("timestamp")
-    return found(H.update_history(H.build_history(items.filter(~newer)), items.filter(newer), stored=False))
+    return found(H.update_history(H.build_history(items.filter(~newer), stored=False), items.filter(newer), stored=False))
 
 
 cte(
