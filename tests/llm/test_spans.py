@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from wicker.llm import pii, secret_scan
@@ -156,3 +157,24 @@ def test_queries_against_the_patterns_as_stated(spark, docs_of, odd_rows, tmp_pa
     for query, base, plain in ((op8_secret_scan, secret_scan.BASE, naive_secrets), (op5_pii, pii.BASE, naive)):
         got = sorted(((r.doc_id, *[r[f"n_{b}"] for b in base], r.base_sha256) for r in query(spark, str(tmp_path)).collect()), key=repr)
         assert got == sorted(((i, *as_digest(plain(t or ""), base)) for i, t in docs), key=repr)
+
+
+def test_texts_that_can_hold_nothing_are_told_apart():
+    texts = ["plain words, no digit", "", None, "x@", "one 1", "ünï ² ٣ + - ."]
+    assert pii.may_hold(pa.array(texts)).to_pylist() == [False, False, None, True, True, False]
+    parts = ["a", "GB82 WEST 1234 5698 7654 32", "@", "b.c", " ", "219-09-9999", "4111", "é", "²", "+49 30 12345678", "1.2.3.4"]
+    for text in random_texts(parts, 4, 1500):
+        assert pii.may_hold(pa.array([text]))[0].as_py() or find(text, 0) == [], text
+
+
+def test_patterns_begin_with_characters_and_find_what_was_stated():
+    stated = {
+        pii._IP: r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        pii._SSN: r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+        pii._IBAN: r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    }
+    parts = ["GB82", "WEST", "1234", " ", "é", "Z", "_", "000", "666", "9", "219-09-9999", "-", "00", "123-45-", "6789", ".", "7", "255", "²", "\n"]
+    for text in random_texts(parts, 5, 3000):
+        for ready, plain in stated.items():
+            assert [m.span() for m in ready.finditer(text)] == [m.span() for m in re.finditer(plain, text)], text
+    assert all(p.pattern.startswith("[") for p in stated)  # the engine skips to such a beginning
