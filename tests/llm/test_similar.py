@@ -10,7 +10,7 @@ from wicker.llm.components import components
 from wicker.llm.darts import bands, sketch
 from wicker.llm.decontaminate import LeakParams, find_leaks, without_leaks
 from wicker.llm.near_dup import NearDupParams, near_duplicates, one_of_each
-from wicker.llm.vptree import TreeParams, build_index, grow, search, search_tree
+from wicker.llm.vptree import TreeParams, build_index, grow, search, search_tree, search_trees
 
 
 def test_darts_estimate_weighted_similarity():
@@ -255,3 +255,48 @@ def test_equal_words_against_an_item_are_linear_in_the_text(spark):
     found = find_leaks(docs, items).collect()
     assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in found) == [(1, 7, 0, 1.0), (2, 7, 0, pytest.approx(10 / 11))]
     assert time.time() - began < 60
+
+
+def test_neighbours_of_former_trees_narrow_the_search_in_later_ones():
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(size=(3000, 12))
+    vectors[200:230], vectors[300:310] = vectors[5], 4 * vectors[6]  # ties within a tree and between trees
+    ids = rng.permutation(3000).astype(np.int64)
+    shard = rng.integers(0, 6, 3000)
+    trees = [grow(ids[shard == s], vectors[shard == s], 16, 3) for s in range(6)]
+    asked = np.arange(0, 3000, 20)
+    lengths = np.linalg.norm(vectors, axis=1)
+    at, found, scores = search_trees(iter(trees), ids[asked], vectors[asked], 5, 1.0)
+    for i, q in enumerate(asked):
+        exact = (vectors * vectors[q]).sum(axis=1) / (lengths * np.sqrt((vectors[q] * vectors[q]).sum()))
+        want = sorted((-s, int(v)) for s, v in zip(exact, ids) if v != ids[q])[:5]
+        got = sorted(zip((-scores[at == i]).tolist(), found[at == i].tolist()))
+        assert got[:5] == want and all(s <= want[-1][0] for s, _ in got)
+    # nothing under the known scores comes out, and all that reaches them does
+    alone = search_tree(trees[1], ids[asked], vectors[asked], 5, 1.0)
+    known = np.array([np.sort(scores[at == i])[0] for i in range(len(asked))])
+    rest = search_tree(trees[1], ids[asked], vectors[asked], 5, 1.0, known)
+    assert len(rest[0]) < len(alone[0]) / 2
+    wanted = {(r, f) for r, f, s in zip(*alone) if s >= known[r]}
+    assert wanted <= {*zip(rest[0].tolist(), rest[1].tolist())} <= {*zip(alone[0].tolist(), alone[1].tolist())}
+
+
+def test_single_precision_leaves_no_neighbour_out():
+    rng = np.random.default_rng(12)
+    near = rng.normal(size=64) + rng.normal(scale=1e-7, size=(400, 64))  # closer together than single precision tells apart
+    ids = np.arange(400)
+    at, found, _ = search_tree(grow(ids, near, 16, 3), ids[::10], near[::10], 5, 1.0)
+    lengths = np.linalg.norm(near, axis=1)
+    for i, q in enumerate(ids[::10]):
+        exact = (near * near[q]).sum(axis=1) / (lengths * np.sqrt((near[q] * near[q]).sum()))
+        assert found[at == i].tolist() == sorted(np.delete(ids, q).tolist(), key=lambda v: (-exact[v], v))[:5]
+
+
+def test_meetings_are_ranges_and_only_neighbours_are_shuffled(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    p = TreeParams(shard=20, leaf=8, block=200)
+    found = search(build_index(table, f"{tmp_path}/spans", p), table, 5, p)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(query_id" in plan
+    assert found.count() == 3000

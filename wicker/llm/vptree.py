@@ -7,10 +7,15 @@ to the shared folder: a node has a vantage point and parts the other vectors at
 the median distance to it; a leaf holds up to `leaf`.
 
 A search takes all queries of a block through a shard's tree together, nearer
-child first. A child is left out for a query when the triangle inequality puts
-all of it farther than `factor` times the distance of its last neighbour so far:
-factor 1 is the exact search, a smaller one visits less. Shards and query blocks
-meet in tasks of bounded size; the neighbours of all shards are then ranked.
+child first; once all have neighbours, the child nearer to most of them. A child is
+left out for a query when the triangle inequality puts all of it farther than `factor`
+times the distance of its last neighbour so far: factor 1 is the exact search, a smaller
+one visits less. A task takes a block through several shards and leaves out what lies
+farther than the last of the neighbours from the shards before, whatever the factor, as
+that cannot be among the nearest. The neighbours of all tasks are then ranked.
+
+Products in single precision tell which points of a leaf may be near enough; only these
+are scored, in double precision.
 
 Equal vectors are one point of a tree with all their ids, of which a query needs
 the first few, so a vector that fills a third of the table costs nothing extra. The tree
@@ -50,6 +55,8 @@ class TreeParams:
     shard: int = 8192
     leaf: int = 128
     block: int = 512
+    # shards that a task takes a block through at most
+    span: int = 64
     factor: float = 0.95
     seed: int = 3
 
@@ -119,21 +126,19 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
 
 
 def grow(ids: np.ndarray, vectors: np.ndarray, leaf: int, seed: int) -> dict[str, np.ndarray]:
-    """The arrays of a tree. Points are distinct vectors, each with its ids in order."""
+    """The arrays of a tree. Points are distinct vectors in the order of the nodes, each with its ids in order."""
     order = np.lexsort(ids[None, :])
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order] + 0.0)
     _, first, which = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_index=True, return_inverse=True)
-    by = np.argsort(which, kind="stable")
-    upto = np.append(0, np.cumsum(np.bincount(which)))
     points = vectors[first]
     unit = points / np.linalg.norm(points, axis=1)[:, None]
     rng = np.random.default_rng(seed)
     perm = np.arange(len(points))
-    nodes: list[list[float]] = []  # low, high, vantage, left, right, and the bounds of both children's distances
+    nodes: list[list[float]] = []  # low, high, left, right, and the bounds of both children's distances; the vantage point is at low
 
     def build(low: int, high: int) -> int:
         at = len(nodes)
-        nodes.append([low, high, -1, -1, -1, 0, 0, 0, 0])
+        nodes.append([low, high, -1, -1, 0, 0, 0, 0])
         if high - low > leaf:
             pick = low + int(rng.integers(high - low))
             perm[[low, pick]] = perm[[pick, low]]
@@ -145,33 +150,53 @@ def grow(ids: np.ndarray, vectors: np.ndarray, leaf: int, seed: int) -> dict[str
             middle = low + 1 + half
             bounds = [away[0], away[half - 1], away[half], away[-1]]
             left, right = build(low + 1, middle), build(middle, high)
-            nodes[at] = [low, high, perm[low], left, right, *bounds]
+            nodes[at] = [low, high, left, right, *bounds]
         return at
 
     build(0, len(points))
-    return {"ids": ids[by], "upto": upto, "points": points, "unit": unit, "perm": perm, "nodes": np.array(nodes, np.float64)}
+    which = np.argsort(perm)[which]
+    upto = np.append(0, np.cumsum(np.bincount(which)))
+    return {"ids": ids[np.argsort(which, kind="stable")], "upto": upto, "points": points[perm], "unit": unit[perm], "nodes": np.array(nodes, np.float64)}
+
 
+def _distance(score: np.ndarray) -> np.ndarray:
+    """The distance of unit vectors with this cosine, not rounded down."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (score - ROUNDING))) + 1e-9
 
-def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, id, score) of up to k nearest of each query, its own id left out."""
+
+def search_tree(
+    tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int, factor: float, known: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, id, score) of up to k nearest of each query, its own id left out. `known`: scores under which nothing is wanted."""
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    points, nodes, perm = tree["unit"], tree["nodes"], tree["perm"]
+    points, nodes = tree["unit"], tree["nodes"]
+    single, asked_single = points.astype(np.float32), unit.astype(np.float32)
+    slack = (unit.shape[1] + 8) * 2.0**-23  # more than a product in single precision is off
     keep = k + 1  # one point may be the query itself
     n = len(ids)
+    known = np.full(n, -np.inf) if known is None else known
     best = np.full((n, keep), -np.inf)  # exact scores, falling
     who = np.full((n, keep), -1, np.int64)
     least = np.full((n, keep), np.iinfo(np.int64).max)  # the least id of each point
     limit = np.full(n, np.inf)
+    farthest = _distance(known)
     lengths = np.linalg.norm(tree["points"], axis=1)
     own_length = np.sqrt((vectors * vectors).sum(axis=1))
     first_id = tree["ids"][tree["upto"][:-1]] if len(points) else tree["ids"]
 
-    def offer(q: np.ndarray, at: np.ndarray) -> None:
-        row, col = np.nonzero(unit[q] @ points[at].T >= best[q, -1][:, None] - ROUNDING)
-        if not len(row):
-            return
-        asked, point = q[row], at[col]
+    def offer(q: np.ndarray, low: int, high: int) -> None:
+        near = asked_single[q] @ single[low:high].T
+        floor = np.maximum(best[q, -1], known[q])
+        rough = floor - slack
+        if high - low > keep and np.isneginf(rough).any():  # as many as are kept lie in this leaf alone
+            rough = np.maximum(rough, np.partition(near, -keep, axis=1)[:, -keep] - 2 * slack)
+        row, point = np.divmod(np.flatnonzero(near >= rough.astype(np.float32)[:, None]), high - low)
+        asked, point = q[row], point + low
         score = (tree["points"][point] * vectors[asked]).sum(axis=1) / (lengths[point] * own_length[asked])
+        fine = score >= floor[row] - ROUNDING
+        if not fine.any():
+            return
+        asked, point, score = asked[fine], point[fine], score[fine]
         some = np.unique(asked)
         owner = np.concatenate((asked, np.repeat(some, keep)))
         value, name, id_ = np.concatenate((score, best[some].ravel())), np.concatenate((point, who[some].ravel())), np.concatenate((first_id[point], least[some].ravel()))
@@ -180,41 +205,54 @@ def search_tree(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarra
         begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         take = (begins[:, None] + np.arange(keep)).ravel()  # every owner has its former entries, so at least `keep`
         best[some], who[some], least[some] = (x[take].reshape(-1, keep) for x in (value, name, id_))
-        limit[some] = np.sqrt(np.maximum(0, 2 - 2 * (best[some, -1] - ROUNDING))) + 1e-9
+        limit[some] = _distance(best[some, -1])
 
     def visit(node: int, q: np.ndarray) -> None:
-        low, high, vantage, left, right, *bound = nodes[node]
-        if vantage < 0:
-            offer(q, perm[int(low) : int(high)])
+        low, high, left, right = map(int, nodes[node, :4])
+        bound = nodes[node, 4:]
+        if left < 0:
+            offer(q, low, high)
             return
-        offer(q, np.array([int(vantage)]))
-        away = np.linalg.norm(unit[q] - points[int(vantage)], axis=1)
-        children = []
-        for child, near, far in ((int(left), bound[0], bound[1]), (int(right), bound[2], bound[3])):
-            children.append((child, np.maximum(0, np.maximum(near - away, away - far))))
+        offer(q, low, low + 1)
+        away = np.linalg.norm(unit[q] - points[low], axis=1)
+        apart = {left: np.maximum(bound[0] - away, away - bound[1]), right: np.maximum(bound[2] - away, away - bound[3])}
         inner = away <= (bound[1] + bound[2]) / 2
-        for turn in (inner, ~inner):  # the nearer child of each query, then the other
-            for first in (True, False):
-                child, apart = children[0] if first == bool(turn is inner) else children[1]
-                use = turn & (apart <= factor * limit[q])
+        # queries without a limit go to their nearer child first, as that sets it; others stay together
+        for turn in (inner, ~inner) if np.isinf(np.minimum(limit[q], farthest[q])).any() else (np.full(len(q), True),):
+            for child in (left, right) if 2 * inner[turn].sum() >= turn.sum() else (right, left):
+                use = turn & (apart[child] <= np.minimum(factor * limit[q], farthest[q]))
                 if use.any():
                     visit(child, q[use])
 
     if len(points) and n:
         visit(0, np.arange(n))
-    rows, found, scores = [], [], []
-    for i in range(n):
-        pairs = []
-        has = who[i] >= 0
-        own, dots = who[i][has], best[i][has]
-        for g, s in zip(own, dots):
-            names = tree["ids"][tree["upto"][g] : tree["upto"][g + 1]]
-            pairs += [(-s, int(v)) for v in dict.fromkeys(names[: k + 1].tolist()) if v != ids[i]]
-        for s, v in sorted(pairs)[:k]:
-            rows.append(i)
-            found.append(v)
-            scores.append(-s)
-    return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores, np.float64)
+    row, col = np.nonzero(who >= 0)
+    point, score, upto = who[row, col], best[row, col], tree["upto"]
+    names = np.minimum(upto[point + 1] - upto[point], keep)
+    each = np.repeat(np.arange(len(point)), names)
+    found = tree["ids"][upto[point][each] + np.arange(len(each)) - (np.cumsum(names) - names)[each]]
+    row, score = row[each], score[each]
+    other = found != ids[row]
+    row, found, score = row[other], found[other], score[other]
+    order = np.lexsort((found, -score, row))
+    row, found, score = row[order], found[order], score[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], found[first], score[first]
+
+
+def search_trees(trees: Iterator[dict[str, np.ndarray]], ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, id, score) of the nearest of each query in several trees: k, and more that tie with the last of them."""
+    top = np.full((len(ids), k), -np.inf)
+    found = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.float64))]
+    for tree in trees:
+        at, id_, score = search_tree(tree, ids, vectors, k, factor, top[:, -1])
+        found.append((at, id_, score))
+        here = np.full((len(ids), k), -np.inf)
+        here[at, np.arange(len(at)) - np.searchsorted(at, at)] = score
+        top = -np.sort(-np.concatenate((top, here), axis=1), axis=1)[:, :k]
+    at, id_, score = map(np.concatenate, zip(*found))
+    kept = score >= top[at, -1]
+    return at[kept], id_[kept], score[kept]
 
 
 def build_index(vectors: DataFrame, path: str, params: TreeParams | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
@@ -259,22 +297,23 @@ def search(index: Index, queries: DataFrame, k: int, params: TreeParams | None =
 
     dealt.select("block", "id", "v").mapInArrow(write, "block long").count()
     factor = p.factor
+    # every block of queries meets every shard: a task takes a block through `span` of them, or fewer where cores would idle
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    span = max(1, min(p.span, math.ceil(shards / math.ceil(tasks / count))))
+    spans = math.ceil(shards / span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tree = -1, None
         for batch in batches:
-            for pair in batch.column("pair").to_pylist():
-                shard, block = divmod(pair, count)
-                if shard != held:
-                    held, tree = shard, _load(uri, f"tree-{shard:06d}")
+            for meeting in batch.column("id").to_pylist():
+                block, part = divmod(meeting, spans)
                 asked = _load(uri, f"queries-{name}-{block:06d}")
-                if tree is None or asked is None:
+                if asked is None:
                     continue
-                at, found, scores = search_tree(tree, asked["ids"], asked["v"], k, factor)
+                trees = (_load(uri, f"tree-{shard:06d}") for shard in range(part * span, min(shards, (part + 1) * span)))
+                at, found, scores = search_trees((t for t in trees if t is not None), asked["ids"], asked["v"], k, factor)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(asked["ids"][at]), "vec_id": pa.array(found), "score": pa.array(scores)})
 
-    # every block of queries meets every shard, one small row a meeting
-    pairs = spark.range(shards * count).withColumnRenamed("id", "pair").repartition(min(shards * count, 100_000), "pair")
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    meetings = spark.range(0, spans * count, 1, min(spans * count, 100_000))
+    found = meetings.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
