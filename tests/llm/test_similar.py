@@ -10,7 +10,7 @@ from wicker.llm.components import components
 from wicker.llm.darts import bands, sketch
 from wicker.llm.decontaminate import LeakParams, find_leaks, without_leaks
 from wicker.llm.near_dup import NearDupParams, near_duplicates, one_of_each
-from wicker.llm.vptree import TreeParams, build_index, grow, search, search_tree, search_trees
+from wicker.llm.vptree import TreeParams, build_index, dealt, grow, search, search_tree, search_trees, usable
 
 
 def test_darts_estimate_weighted_similarity():
@@ -300,3 +300,22 @@ def test_meetings_are_ranges_and_only_neighbours_are_shuffled(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "hashpartitioning(query_id" in plan
     assert found.count() == 3000
+
+
+def test_vectors_are_shuffled_once_and_as_they_are(spark):
+    rows = [(1, [3.0, 1.0]), (1, [2.0, 9.0]), (2, [1.5, 0.1]), (3, [1.0]), (None, [1.0, 1.0]), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, None)]
+    for kind in ("float", "double"):
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        found = dealt(usable(table, "vec_id", "embedding"), 2, 5, "shard")
+        assert dict(found.dtypes)["v"] == f"array<{kind}>"
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "hashpartitioning(shard" in plan
+        assert sorted((r.id, [round(x, 6) for x in r.v]) for r in found.collect()) == [(1, [2.0, 9.0]), (2, [1.5, 0.1])]
+
+
+def test_a_tree_holds_vectors_once_as_they_were_given():
+    vectors = np.random.default_rng(14).normal(size=(300, 8)).astype(np.float32)
+    tree = grow(np.arange(300), vectors, 16, 3)
+    assert [k for k, x in tree.items() if x.size == vectors.size] == ["points"] and tree["points"].dtype == np.float32
+    for a, b in zip(search_tree(tree, np.arange(300), vectors, 5, 1.0), search_tree(grow(np.arange(300), vectors.astype(np.float64), 16, 3), np.arange(300), vectors.astype(np.float64), 5, 1.0)):
+        assert np.array_equal(a, b)

@@ -71,15 +71,20 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that could take part, v as doubles, whatever its length."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """(id, v) of the rows that could take part, v as floats if it has them and else as doubles, whatever its length."""
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def one_each(rows: DataFrame, length: int) -> DataFrame:
-    """Rows of the given length, one of each id."""
-    return rows.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"))
+def dealt(rows: DataFrame, length: int, parts: int, name: str) -> DataFrame:
+    """(name, id, v), one row of each id with vectors of the given length, dealt by id and in order of `name`.
+
+    Rows are dealt before ids are made one, so that vectors are shuffled once.
+    """
+    rows = rows.where(F.size("v") == length).withColumn(name, F.pmod(F.xxhash64("id"), F.lit(parts)))
+    return rows.repartition(parts, name).groupBy(name, "id").agg(F.min("v").alias("v")).sortWithinPartitions(name).select(name, "id", "v")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -126,12 +131,13 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
 
 
 def grow(ids: np.ndarray, vectors: np.ndarray, leaf: int, seed: int) -> dict[str, np.ndarray]:
-    """The arrays of a tree. Points are distinct vectors in the order of the nodes, each with its ids in order."""
+    """The arrays of a tree. Points are distinct vectors in the order of the nodes, as given, each with its ids in order."""
     order = np.lexsort(ids[None, :])
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order] + 0.0)
     _, first, which = np.unique(vectors.view([("", vectors.dtype)] * vectors.shape[1]).ravel(), return_index=True, return_inverse=True)
     points = vectors[first]
-    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    unit = points.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
     rng = np.random.default_rng(seed)
     perm = np.arange(len(points))
     nodes: list[list[float]] = []  # low, high, left, right, and the bounds of both children's distances; the vantage point is at low
@@ -156,7 +162,7 @@ def grow(ids: np.ndarray, vectors: np.ndarray, leaf: int, seed: int) -> dict[str
     build(0, len(points))
     which = np.argsort(perm)[which]
     upto = np.append(0, np.cumsum(np.bincount(which)))
-    return {"ids": ids[np.argsort(which, kind="stable")], "upto": upto, "points": points[perm], "unit": unit[perm], "nodes": np.array(nodes, np.float64)}
+    return {"ids": ids[np.argsort(which, kind="stable")], "upto": upto, "points": points[perm], "nodes": np.array(nodes, np.float64)}
 
 
 def _distance(score: np.ndarray) -> np.ndarray:
@@ -168,8 +174,9 @@ def search_tree(
     tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int, factor: float, known: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query place, id, score) of up to k nearest of each query, its own id left out. `known`: scores under which nothing is wanted."""
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    points, nodes = tree["unit"], tree["nodes"]
+    vectors, given, nodes = vectors.astype(np.float64), tree["points"].astype(np.float64), tree["nodes"]
+    lengths = np.linalg.norm(given, axis=1)
+    unit, points = vectors / np.linalg.norm(vectors, axis=1)[:, None], given / lengths[:, None]
     single, asked_single = points.astype(np.float32), unit.astype(np.float32)
     slack = (unit.shape[1] + 8) * 2.0**-23  # more than a product in single precision is off
     keep = k + 1  # one point may be the query itself
@@ -180,7 +187,6 @@ def search_tree(
     least = np.full((n, keep), np.iinfo(np.int64).max)  # the least id of each point
     limit = np.full(n, np.inf)
     farthest = _distance(known)
-    lengths = np.linalg.norm(tree["points"], axis=1)
     own_length = np.sqrt((vectors * vectors).sum(axis=1))
     first_id = tree["ids"][tree["upto"][:-1]] if len(points) else tree["ids"]
 
@@ -192,7 +198,7 @@ def search_tree(
             rough = np.maximum(rough, np.partition(near, -keep, axis=1)[:, -keep] - 2 * slack)
         row, point = np.divmod(np.flatnonzero(near >= rough.astype(np.float32)[:, None]), high - low)
         asked, point = q[row], point + low
-        score = (tree["points"][point] * vectors[asked]).sum(axis=1) / (lengths[point] * own_length[asked])
+        score = (given[point] * vectors[asked]).sum(axis=1) / (lengths[point] * own_length[asked])
         fine = score >= floor[row] - ROUNDING
         if not fine.any():
             return
@@ -263,11 +269,10 @@ def build_index(vectors: DataFrame, path: str, params: TreeParams | None = None,
     store, folder = open_fs(uri)
     store.create_dir(folder, recursive=True)
     rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("id").alias("ids"))
+    sizes = sizes.orderBy(F.desc("count"), "n").limit(1).collect()
     length = sizes[0].n if sizes else 0
-    rows = one_each(rows, length)
-    shards = max(1, math.ceil(rows.count() / p.shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard")
+    shards = max(1, math.ceil((sizes[0].ids if sizes else 0) / p.shard))
     leaf, seed = p.leaf, p.seed
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +281,7 @@ def build_index(vectors: DataFrame, path: str, params: TreeParams | None = None,
             _save(uri, f"tree-{shard:06d}", tree)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "rows": pa.array([table.num_rows], pa.int64())})
 
-    dealt.select("shard", "id", "v").mapInArrow(write, "shard long, rows long").agg(F.sum("rows")).collect()
+    dealt(rows, length, shards, "shard").mapInArrow(write, "shard long, rows long").agg(F.sum("rows")).collect()
     return Index(uri, shards, length)
 
 
@@ -285,17 +290,16 @@ def search(index: Index, queries: DataFrame, k: int, params: TreeParams | None =
     p = params or TreeParams()
     spark: SparkSession = queries.sparkSession
     uri, shards = index.path, index.shards
-    rows = one_each(usable(queries, id_col, vector_col), index.length)
-    count = max(1, math.ceil(rows.count() / p.block))
+    rows = usable(queries, id_col, vector_col)
+    count = max(1, math.ceil(rows.where(F.size("v") == index.length).select("id").distinct().count() / p.block))
     name = uuid.uuid4().hex[:12]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).repartition(count, "block").sortWithinPartitions("block")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, table in _groups(batches, "block"):
             _save(uri, f"queries-{name}-{block:06d}", {"ids": table["id"].to_numpy(), "v": _matrix(table["v"].combine_chunks())})
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64())})
 
-    dealt.select("block", "id", "v").mapInArrow(write, "block long").count()
+    dealt(rows, index.length, count, "block").mapInArrow(write, "block long").count()
     factor = p.factor
     # every block of queries meets every shard: a task takes a block through `span` of them, or fewer where cores would idle
     tasks = 2 * spark.sparkContext.defaultParallelism
